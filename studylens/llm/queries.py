@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, minhash, packing, substring_dedup, token_counts, toxicity
+from . import bpe, exact_dedup, license_scan, media, minhash, packing, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_media_columns": media.op4_media_columns,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
