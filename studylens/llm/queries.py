@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, media, minhash, packing, substring_dedup, token_counts, toxicity
+from . import bpe, exact_dedup, katz, license_scan, media, minhash, packing, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_bpe_codec": bpe.op8_bpe_codec,
+    "op9_katz_scores": katz.op9_katz_scores,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 

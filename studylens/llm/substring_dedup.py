@@ -174,7 +174,7 @@ def _runs(pos: np.ndarray, window: int, n: int) -> np.ndarray:
 _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
 
 
-def _apply(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], window: int, verbatim: bool) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, text, spans (start positions, null for none)."""
     for batch in batches:
         spans = np.append(0, np.cumsum(lengths(batch.select(["spans"]), "spans")))
@@ -191,6 +191,11 @@ def _apply(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
                     stay = (np.flatnonzero(~gone) + lo).tolist()
                 else:
                     stay = range(lo, hi)
+                if verbatim and len(stay) == hi - lo:
+                    n_words.append(hi - lo)
+                    n_removed.append(0)
+                    kept.append(data[words.offsets[d] : words.offsets[d + 1]])
+                    continue
                 n_words.append(hi - lo)
                 n_removed.append(hi - lo - len(stay))
                 kept.append(b" ".join([data[begin[i] : end[i]] for i in stay]))
@@ -214,9 +219,12 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return materialize(full.groupBy("bucket").applyInArrow(_survivors, _SPANS), "windows-repeated")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, verbatim: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text.
 
+    kept_text is the words that stay, joined by one space; with ``verbatim`` a text that
+    loses nothing stays as it is.
+
     A word goes if any window of ``window`` consecutive words that covers it starts
     at another place too, in this document or another; all places go, the first one
     included.  Windows are judged on the input.  Null or empty text has no words and
@@ -231,7 +239,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = documents(docs, id_col, text_col)
     starts = repeated_starts(rows, window).groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("spans"))
-    return rows.join(starts, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _apply(it, window), _RESULT)
+    return rows.join(starts, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _apply(it, window, verbatim), _RESULT)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

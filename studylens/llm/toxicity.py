@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -210,24 +210,43 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] |
     return [(r[0], r[1] or "", r[2]) for r in rows.select("doc_id", "text", "toxic").collect()]
 
 
+def _scorer(model: Model | float) -> Callable[[pa.Array], np.ndarray]:
+    """Scores of a text column; the dictionaries are prepared once per task."""
+    if not isinstance(model, Model):
+        return lambda column: np.full(len(column), model)
+    toxic, ordinary = _dictionary(model.toxic, model.raw), _dictionary(model.ordinary, model.raw)
+    mean, scale, weights = (np.array(x) for x in (model.mean, model.scale, model.weights))
+
+    def score(column: pa.Array) -> np.ndarray:
+        x = _batch_features(*text_buffers(column), toxic, ordinary)
+        return 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ weights[:-1] + weights[-1], -30, 30)))
+
+    return score
+
+
 def score_documents(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, score.  Narrow: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if isinstance(model, Model):
-            toxic, ordinary = _dictionary(model.toxic, model.raw), _dictionary(model.ordinary, model.raw)
-            mean, scale, weights = (np.array(x) for x in (model.mean, model.scale, model.weights))
+        score = _scorer(model)
         for batch in batches:
-            if isinstance(model, Model):
-                x = _batch_features(*text_buffers(batch.column(1)), toxic, ordinary)
-                score = 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ weights[:-1] + weights[-1], -30, 30)))
-            else:
-                score = np.full(batch.num_rows, model)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double")
 
 
+def drop_toxic(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, all columns as they are.  Narrow."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted.
 
