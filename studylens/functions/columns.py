@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-SUCCESS = F.coalesce(F.col("data_correct").cast("int"), F.lit(0))
+def success() -> Column:
+    """Outcome as 0 or 1; NULL counts as 0."""
+    return F.coalesce(F.col("data_correct").cast("int"), F.lit(0))
 
 
 def trimmed(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import SUCCESS, count_with_null, rate, weighted
+from ..functions.columns import success, count_with_null, rate, weighted
 
 HIERARCHY = ["module_id", "module_code", "module_label", "objective_id", "objective_label", "activity_id", "activity_label"]
 
@@ -13,12 +13,12 @@ def attempt_context(attempts: DataFrame) -> DataFrame:
     """AGG-0: success as integer, first-attempt flag and value, retry before any success."""
     earlier = Window.partitionBy("user_id", "exercise_id").orderBy("created_at", "attempt_number").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("attempt_number") == 1
-    prior = F.coalesce(F.sum(SUCCESS).over(earlier), F.lit(0))
+    prior = F.coalesce(F.sum(success()).over(earlier), F.lit(0))
     return attempts.withColumns(
         {
-            "success": SUCCESS,
+            "success": success(),
             "first_attempt_flag": first.cast("int"),
-            "first_attempt_value": F.when(first, SUCCESS),
+            "first_attempt_value": F.when(first, success()),
             "repeat_attempt_flag": (F.col("attempt_number") > 1).cast("int"),
             "retry_before_success_flag": ((F.col("attempt_number") > 1) & (prior == 0)).cast("int"),
         }
@@ -55,7 +55,7 @@ def exercise_daily(attempts: DataFrame, exercises: DataFrame | None = None) -> D
 
 def objective_daily(attempts: DataFrame) -> DataFrame:
     """AGG-2: date x objective."""
-    return attempts.groupBy("date_utc", *HIERARCHY[:5]).agg(F.count("*").alias("attempts"), count_with_null("user_id").alias("unique_students"), rate(SUCCESS).alias("success_rate"), F.median("data_duration").alias("median_duration"))
+    return attempts.groupBy("date_utc", *HIERARCHY[:5]).agg(F.count("*").alias("attempts"), count_with_null("user_id").alias("unique_students"), rate(success()).alias("success_rate"), F.median("data_duration").alias("median_duration"))
 
 
 def student_module_progress(attempts: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def student_module_progress(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("date_utc", "user_id", *HIERARCHY[:3]).agg(
         F.count("*").alias("attempts"),
         count_with_null("activity_id").alias("unique_activities"),
-        rate(SUCCESS).alias("success_rate"),
+        rate(success()).alias("success_rate"),
         rate(F.col("attempt_number")).alias("avg_attempt_number"),
         F.max("created_at").alias("last_attempt_at"),
     )
@@ -112,10 +112,10 @@ def work_mode_summary(attempts: DataFrame) -> DataFrame:
         F.count("*").alias("attempts"),
         F.count_distinct("user_id").alias("unique_students"),
         F.count_distinct("exercise_id").alias("unique_exercises"),
-        rate(SUCCESS).alias("success_rate"),
+        rate(success()).alias("success_rate"),
         rate((F.col("attempt_number") > 1).cast("int")).alias("repeat_attempt_rate"),
     )
-    balanced = attempts.groupBy("work_mode", "exercise_id").agg(rate(SUCCESS).alias("r")).groupBy("work_mode").agg(F.avg("r").alias("balanced_success_rate"))
+    balanced = attempts.groupBy("work_mode", "exercise_id").agg(rate(success()).alias("r")).groupBy("work_mode").agg(F.avg("r").alias("balanced_success_rate"))
     typical = attempts.groupBy("work_mode", "activity_id").count().groupBy("work_mode").agg(F.median("count").alias("median_attempts_per_activity"))
     return totals.join(balanced, "work_mode").join(typical, "work_mode")
 
@@ -139,7 +139,7 @@ def diligent_performance(attempts: DataFrame, min_attempts: int = 10, min_activi
     return rows.groupBy(F.coalesce("diligent", F.lit(False)).alias("diligent")).agg(
         F.count("*").alias("attempts"),
         F.count_distinct("user_id").alias("unique_students"),
-        rate(SUCCESS).alias("success_rate"),
+        rate(success()).alias("success_rate"),
         F.median("data_duration").alias("median_duration"),
         rate((F.col("attempt_number") > 1).cast("int")).alias("repeat_attempt_rate"),
     )
@@ -222,7 +222,7 @@ SCOPES = ("zpdes", "playlist", "adaptive-test", "initial-test")
 def classroom_activity_summary(attempts: DataFrame, weak: float = 0.60) -> DataFrame:
     """AGG-11: activity rates per classroom, summarised over classrooms by mode scope."""
     scope = F.explode(F.when(F.col("work_mode").isin(*SCOPES), F.array("work_mode", F.lit("all"))).otherwise(F.array(F.lit("all"))))
-    per_class = attempts.filter("classroom_id is not null").select("classroom_id", "activity_label", SUCCESS.alias("success"), scope.alias("mode_scope")).groupBy("mode_scope", "classroom_id", "activity_label").agg(F.count("*").alias("n"), F.sum("success").alias("s"), rate(F.col("success")).alias("r"))
+    per_class = attempts.filter("classroom_id is not null").select("classroom_id", "activity_label", success().alias("success"), scope.alias("mode_scope")).groupBy("mode_scope", "classroom_id", "activity_label").agg(F.count("*").alias("n"), F.sum("success").alias("s"), rate(F.col("success")).alias("r"))
     below = F.count_if(F.col("r") < weak)
     return per_class.groupBy("mode_scope", "activity_label").agg(
         F.count("*").alias("classrooms"),

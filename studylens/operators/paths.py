@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import SUCCESS, rate
+from ..functions.columns import success, rate
 
 ORDER = ["created_at", "exercise_id", "attempt_number", "event_id"]
 
@@ -16,7 +16,7 @@ def transition_edges(attempts: DataFrame) -> DataFrame:
     """WIN-1: consecutive activities of a student by date of the first; self-transitions stay."""
     w = Window.partitionBy("user_id").orderBy(*ORDER)
     names = ["activity_id", "activity_label", "module_code", "objective_id"]
-    rows = attempts.select("user_id", "date_utc", *names, F.lead(F.struct(*names, SUCCESS.alias("success"))).over(w).alias("next")).filter("next is not null")
+    rows = attempts.select("user_id", "date_utc", *names, F.lead(F.struct(*names, success().alias("success"))).over(w).alias("next")).filter("next is not null")
     keys = [F.col(c).alias(f"from_{c}") for c in names[:3]] + [F.col(f"next.{c}").alias(f"to_{c}") for c in names[:3]]
     return rows.groupBy("date_utc", *keys).agg(
         F.count("*").alias("transition_count"),
@@ -155,25 +155,25 @@ def segment_progress(runs: DataFrame) -> DataFrame:
     The middle row of an odd run is in neither half.
     """
     half = F.floor(F.col("run_length") / 2)
-    early = F.when(F.col("position") < half, SUCCESS)
-    late = F.when(F.col("position") >= F.col("run_length") - half, SUCCESS)
+    early = F.when(F.col("position") < half, success())
+    late = F.when(F.col("position") >= F.col("run_length") - half, success())
     return runs.filter("run_length >= 2").groupBy("user_id", "run", "work_mode").agg(F.max("run_length").alias("run_length"), (100 * (F.avg(late) - F.avg(early))).alias("progress"))
 
 
 def empirical_curve(runs: DataFrame, ratings: DataFrame | None = None) -> DataFrame:
     """MOD-6: success by mode and position, with item rating and its coverage."""
     if ratings is None:
-        return runs.groupBy("work_mode", "position").agg(F.count("*").alias("attempts"), rate(SUCCESS).alias("success_rate"))
+        return runs.groupBy("work_mode", "position").agg(F.count("*").alias("attempts"), rate(success()).alias("success_rate"))
     exact = ratings.select("module_code", "exercise_id", F.col("rating").alias("_exact"))
     mean = ratings.groupBy("exercise_id").agg(F.avg("rating").alias("_mean"))
     rows = runs.join(exact, ["module_code", "exercise_id"], "left").join(mean, "exercise_id", "left").withColumn("item_rating", F.coalesce("_exact", "_mean"))
-    return rows.groupBy("work_mode", "position").agg(F.count("*").alias("attempts"), rate(SUCCESS).alias("success_rate"), F.avg("item_rating").alias("mean_item_rating"), (F.count("item_rating") / F.count("*")).alias("rating_coverage"))
+    return rows.groupBy("work_mode", "position").agg(F.count("*").alias("attempts"), rate(success()).alias("success_rate"), F.avg("item_rating").alias("mean_item_rating"), (F.count("item_rating") / F.count("*")).alias("rating_coverage"))
 
 
 def individual_series(attempts: DataFrame, users: list[str], cutoff: int) -> DataFrame:
     """WIN-16: attempts and success per activity of chosen students up to an ordinal."""
     rows = attempts.filter(F.col("user_id").isin(users) & (F.col("student_attempt_index") <= cutoff))
-    return rows.groupBy("user_id", "activity_id").agg(F.count("*").alias("attempts"), rate(SUCCESS).alias("success_rate"), F.max("student_attempt_index").alias("last_ordinal"))
+    return rows.groupBy("user_id", "activity_id").agg(F.count("*").alias("attempts"), rate(success()).alias("success_rate"), F.max("student_attempt_index").alias("last_ordinal"))
 
 
 def last_moves(attempts: DataFrame, users: list[str], cutoff: int, n: int = 3) -> DataFrame:
