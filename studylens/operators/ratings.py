@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import success, logistic, outcome, real_text
+from ..functions.columns import logistic, outcome, real_text
+from ..functions.lineage import kept
 
 # fixed values of the rating model
 BASE, SCALE, K = 1500.0, 400.0, 24.0
@@ -95,10 +96,9 @@ def joint_ratings(rows: DataFrame, rounds: int = BATCH_ROUNDS) -> DataFrame:
     maximum below 3, measured before the items are moved back to a mean of 1500.  Each
     round is checkpointed; one row per module returns to the driver.
     """
-    spark = rows.sparkSession
-    observed = _kept(rows.groupBy("module_code", "user_id", "exercise_id").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("n")))
-    items = _kept(smoothed_start(rows).select("module_code", "exercise_id", "rating"))
-    users = _kept(observed.select("module_code", "user_id").distinct().withColumn("rating", F.lit(BASE)))
+    observed = kept(rows.groupBy("module_code", "user_id", "exercise_id").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("n")))
+    items = kept(smoothed_start(rows).select("module_code", "exercise_id", "rating"))
+    users = kept(observed.select("module_code", "user_id").distinct().withColumn("rating", F.lit(BASE)))
     open_ = {r[0] for r in observed.select("module_code").distinct().collect()}
     for _ in range(rounds):
         if not open_:
@@ -109,29 +109,16 @@ def joint_ratings(rows: DataFrame, rounds: int = BATCH_ROUNDS) -> DataFrame:
         pairs = live.join(fitted.withColumnRenamed("rating", "other"), ["module_code", "user_id"]).join(items.withColumnRenamed("rating", "start"), ["module_code", "exercise_id"])
         refit = _fit(pairs, ["module_code", "exercise_id"], -1)
         shift = BASE - F.avg("rating").over(Window.partitionBy("module_code"))
-        step = _kept(refit.join(items.withColumnRenamed("rating", "last"), ["module_code", "exercise_id"]).withColumns({"delta": F.abs(F.col("rating") - F.col("last")), "shift": shift}))
+        step = kept(refit.join(items.withColumnRenamed("rating", "last"), ["module_code", "exercise_id"]).withColumns({"delta": F.abs(F.col("rating") - F.col("last")), "shift": shift}))
         moved = step.groupBy("module_code").agg(F.first("shift").alias("shift"), F.median("delta").alias("median"), F.max("delta").alias("max"))
         users_new = fitted.join(F.broadcast(moved), "module_code").select("module_code", "user_id", (F.col("rating") + F.col("shift")).alias("rating"))
         rest = lambda df: df.filter(~F.col("module_code").isin(*open_))
-        users = _kept(rest(users).unionByName(users_new))
-        items = _kept(rest(items).unionByName(step.select("module_code", "exercise_id", (F.col("rating") + F.col("shift")).alias("rating"))))
+        users = kept(rest(users).unionByName(users_new))
+        items = kept(rest(items).unionByName(step.select("module_code", "exercise_id", (F.col("rating") + F.col("shift")).alias("rating"))))
         open_ = {r["module_code"] for r in moved.collect() if not (r["median"] < BATCH_MEDIAN and r["max"] < BATCH_MAX)}
     return items
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = "file://" + tempfile.mkdtemp(prefix="studylens-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def replay_rows(attempts: DataFrame) -> DataFrame:
     """ELO-9: attempts that a replay reads."""
     rows = attempts.withColumn("y", outcome(F.col("data_correct"))).filter("y is not null and created_at is not null")
@@ -304,13 +291,13 @@ def iterative_ratings(rows: DataFrame, rounds: int = ITER_ROUNDS) -> DataFrame:
     numbers per round return to the driver.
     """
     first = rows.filter("attempt_number = 1")
-    items = _kept(smoothed_start(first, by_module=False).select("exercise_id", "rating"))
+    items = kept(smoothed_start(first, by_module=False).select("exercise_id", "rating"))
     for _ in range(rounds):
         events = sequential_replay(rows, items, by_module=False).join(first.select("event_id"), "event_id", "left_semi")
         seen = events.groupBy("exercise_id").agg(F.collect_list("pre").alias("pre"), F.collect_list("y").alias("y"))
         fitted = items.select("exercise_id").join(seen.mapInPandas(_golden_items, "exercise_id string, rating double"), "exercise_id", "left").withColumn("rating", F.coalesce("rating", F.lit(BASE)))
         moved = fitted.withColumn("rating", F.col("rating") - F.avg("rating").over(Window.partitionBy(F.lit(0))) + BASE)
-        step = _kept(moved.join(items.withColumnRenamed("rating", "last"), "exercise_id"))
+        step = kept(moved.join(items.withColumnRenamed("rating", "last"), "exercise_id"))
         items = step.select("exercise_id", "rating")
         median, most = step.agg(F.median(F.abs(F.col("rating") - F.col("last"))), F.max(F.abs(F.col("rating") - F.col("last")))).first()
         if median is None or (median < ITER_MEDIAN and most < ITER_MAX):
