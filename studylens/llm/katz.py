@@ -18,6 +18,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,10 @@ DISCOUNTED = 5
 HOT = 1024
 #: Buckets of word pairs at least.  Every document touches many anyway.
 PAIR_BUCKETS = 1024
-BLOCK_SLICES = 6
+BLOCK_SLICES = 3
+#: Parts of the pair table that are merged one after the other, so that only one part's
+#: shuffle is on disk at a time.
+PARTS = 4
 _END = np.uint64(0x5EED0E4D0FD0C5)
 _FLOOR = 0.1
 
@@ -44,7 +48,7 @@ def squeeze(**columns: np.ndarray) -> bytes:
     for values in columns.values():
         values = np.ascontiguousarray(values)
         parts.append(np.array([len(values), ord(values.dtype.kind), values.dtype.itemsize], dtype=np.int64).tobytes())
-        parts.append(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
+        parts.append(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -334,10 +338,12 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     whole = blocks.filter("bucket < 0").select("block", "blob")
     answers = numbered.select("block", "bucket", "blob")
-    stored = materialize(whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: _pairs(b, a, model, pairs), _PAIRS), "lm-pairs")
+    stored = materialize(whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: _pairs(b, a, model, pairs), _PAIRS).withColumn("part", F.pmod("bucket", F.lit(PARTS))), "lm-pairs", "part")
     discard(blocks, numbered)
     info = materialize(stored.filter("bucket < 0").select("block", "blob"), "lm-documents")
-    table = materialize(stored.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _merge(t, model), _MODEL), "lm-model")
+    merged = [stored.filter(f"part = {p} and bucket >= 0").select("block", "bucket", "blob").groupBy("bucket").applyInArrow(lambda t: _merge(t, model), _MODEL) for p in range(PARTS)]
+    parts = [materialize(df, f"lm-model-{p}") for p, df in enumerate(merged)]
+    table = reduce(DataFrame.unionByName, parts)
     discard(stored)
 
     n = table.agg(*[F.sum(F.col("n")[r]) for r in range(DISCOUNTED + 2)]).first()
@@ -348,7 +354,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hot = {int(r[0]): (float(r[2] + sum(r[2 + k] * k * factors[k] for k in range(1, width))), float(r[1])) for r in sums}
 
     scored = materialize(table.select("blocks", "blob").mapInArrow(lambda it: _evaluate(it, model, factors, hot), "block string, blob binary"), "lm-sums")
-    discard(table)
+    discard(*parts)
     out = info.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(_collect, _SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
