@@ -20,7 +20,7 @@ from studylens.llm.toxicity import drop_toxic, fit, labelled_sample
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; the model is fitted on labelled documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return drop_toxic(docs, fit(labelled_sample(documents(docs), labels)))
+    return drop_toxic(docs, fit(*labelled_sample(documents(docs), labels)))
 
 
 def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -44,9 +44,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated 35-word windows leave the texts; documents stay, others unchanged."""
-    kept = substring_dedup(docs, verbatim=True).select("doc_id", F.col("kept_text").alias("text"))
-    rest = docs.drop("text", "n_chars").join(kept, "doc_id")
-    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    kept = substring_dedup(docs, verbatim=True, keep=others).withColumnRenamed("kept_text", "text")
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

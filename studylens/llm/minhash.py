@@ -229,8 +229,9 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest doc_id of a connected group is its component and stays.  Null or empty
     text has no shingles and is linked with nothing; texts shorter than a shingle are
     one shingle.  Identical sets are one class from the start and are never paired.
-    Ids must be unique and not null; an empty table gives an empty table, and other
-    columns are ignored.
+    Repeated rows are one class and all kept if their id is; rows without id join the
+    class of an equal set and are else alone with a null component; an empty table gives
+    an empty table, and other columns are ignored.
 
     Links are found bucket by bucket and confirmed on the full sets.  First every member
     of a bucket is compared with one drawn member; in a group of copies that joins
@@ -255,7 +256,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = signs.select("doc_id", "n", "set1", "set2").join(classes, ["set1", "set2"], "left")
     component = joined.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     chosen = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return component.select("doc_id", F.col("n").alias("n_shingles"), chosen.alias("component_id"), (F.col("doc_id") == chosen).alias("kept"))
+    return component.select("doc_id", F.col("n").alias("n_shingles"), chosen.alias("component_id"), F.coalesce(F.col("doc_id") == chosen, chosen.isNull()).alias("kept"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,7 +152,8 @@ def _full(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Itera
             if not len(start):
                 continue
             wanted = np.zeros(len(words) + 1, dtype=bool)
-            wanted[survive[firsts[a] : firsts[b]] + np.repeat(words.first[:-1], count[a:b])] = True
+            place = survive[firsts[a] : firsts[b]] + np.repeat(words.first[:-1], count[a:b])
+            wanted[np.minimum(place, len(words))] = True
             chosen = wanted[best]
             start, best = start[chosen], best[chosen]
             if not len(start):
@@ -175,7 +176,7 @@ _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
 
 
 def _apply(batches: Iterator[pa.RecordBatch], window: int, verbatim: bool) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, spans (start positions, null for none)."""
+    """Columns doc_id, text, spans (start positions, null for none) and others that stay."""
     for batch in batches:
         spans = np.append(0, np.cumsum(lengths(batch.select(["spans"]), "spans")))
         starts = flat(batch, "spans").astype(np.int64)
@@ -187,7 +188,7 @@ def _apply(batches: Iterator[pa.RecordBatch], window: int, verbatim: bool) -> It
                 lo, hi = int(words.first[d]), int(words.first[d + 1])
                 pos = starts[spans[a + d] : spans[a + d + 1]]
                 if len(pos):
-                    gone = _runs(pos, window, hi - lo)
+                    gone = _runs(pos[pos + window <= hi - lo], window, hi - lo)
                     stay = (np.flatnonzero(~gone) + lo).tolist()
                 else:
                     stay = range(lo, hi)
@@ -200,8 +201,8 @@ def _apply(batches: Iterator[pa.RecordBatch], window: int, verbatim: bool) -> It
                 n_removed.append(hi - lo - len(stay))
                 kept.append(b" ".join([data[begin[i] : end[i]] for i in stay]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_text"],
+            [batch.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[3:]],
+            names=["doc_id", "n_words", "n_removed", "kept_text", *batch.schema.names[3:]],
         )
 
 
@@ -219,8 +220,8 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return materialize(full.groupBy("bucket").applyInArrow(_survivors, _SPANS), "windows-repeated")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, verbatim: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_text.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, verbatim: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_text, and the columns of ``keep``.
 
     kept_text is the words that stay, joined by one space; with ``verbatim`` a text that
     loses nothing stays as it is.
@@ -228,18 +229,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word goes if any window of ``window`` consecutive words that covers it starts
     at another place too, in this document or another; all places go, the first one
     included.  Windows are judged on the input.  Null or empty text has no words and
-    an empty kept_text; documents shorter than the window lose nothing.  Rows with the
-    same doc_id are told apart by nothing, so ids must be unique and not null
-    (``documents`` has such ids); an empty table gives an empty table, and other
-    columns are ignored.
+    an empty kept_text; documents shorter than the window lose nothing.  Repeated rows are
+    places like others, so they remove each other's windows; rows without id take no
+    part and lose nothing; an empty table gives an empty table; columns beyond ``keep``
+    are ignored and may have any names.
 
     Ids, positions and 64-bit hashes move; texts move twice, to meet the surviving
     starts and to meet the final ones.  A window that occurs in a third of all
     documents is settled inside slices, see ``_ask``.
     """
     rows = documents(docs, id_col, text_col)
-    starts = repeated_starts(rows, window).groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("spans"))
-    return rows.join(starts, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _apply(it, window, verbatim), _RESULT)
+    starts = repeated_starts(rows.filter("doc_id is not null"), window).groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("spans"))
+    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    kept = "".join(f", `keep_{c}` {full.schema[f'keep_{c}'].dataType.simpleString()}" for c in keep)
+    joined = full.join(starts, "doc_id", "left").select("doc_id", "text", "spans", *[f"keep_{c}" for c in keep])
+    out = joined.mapInArrow(lambda it: _apply(it, window, verbatim), _RESULT + kept)
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
