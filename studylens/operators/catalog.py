@@ -151,7 +151,7 @@ def resolve(attempts: DataFrame, catalog: DataFrame, codes: DataFrame) -> DataFr
     decides, else the exercise.  ``codes`` maps graph ids to codes; all dimensions are
     curriculum-sized.  Emits one resolution source per level.
     """
-    rows = attempts
+    rows = attempts.drop("module_id", "module_code", "module_label", "objective_label", "activity_label")
     for c in ("playlist_or_module_id", "objective_id", "activity_id", "exercise_id"):
         rows = rows.withColumn(c, real_id(F.col(c)))
     small = lambda df: F.broadcast(df)
