@@ -1,16 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on what marks toxic text and one on
+Two zstandard dictionaries are learned, one from what marks toxic text and one from
 ordinary text.  A document is cut into overlapping windows of a few words; a window that
 compresses better with the toxic dictionary speaks for toxicity by the bytes saved.
-Thresholds on that saving are calibrated on labelled documents that trained no
-dictionary: a logistic model weighs how many windows save 1, 2, ... 8 bytes or more.
+Thresholds on that saving are calibrated on labelled documents that made no dictionary:
+a logistic model weighs how many windows save 1, 2, ... 8 bytes or more.
+
+The dictionaries' content is chosen by contrast between the classes and used as raw
+content, the strongest units last, where zstandard reaches them most cheaply.
+zstandard's own trainer picks segments by frequency alone; most of a toxic text is
+ordinary, so it fills the dictionary with ordinary syllables.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,9 +32,11 @@ SAVINGS = 8
 LEVEL = 3
 TOXIC_DICT, ORDINARY_DICT = 2048, 4096
 #: Bound of the labelled sample that the model is fitted on, by class.
-SAMPLE = {1: 2000, 0: 5000}
-#: Words of ordinary text that its dictionary is trained on at most.
-ORDINARY_WORDS = 60_000
+SAMPLE = {1: 1500, 0: 3000}
+#: A unit marks toxic text from so many standard errors and so many times the ordinary rate.
+MARK_ERRORS, MARK_RATE, MARK_DOCS = 6.0, 5.0, 4
+#: Units are words and their beginnings of these lengths in bytes.
+STEMS = range(4, 9)
 #: Fewer labelled documents of a class than this fit no model.
 LEAST = 20
 _SLICE = 4 << 20
@@ -45,7 +51,6 @@ _LETTER[128:] = np.arange(128, 256)
 class Model:
     toxic: bytes
     ordinary: bytes
-    raw: bool
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]
@@ -80,9 +85,8 @@ def _windows(text: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarra
     return starts[mine], (ends[last] - starts)[mine], doc[mine]
 
 
-def _dictionary(data: bytes, raw: bool) -> zstandard.ZstdCompressionDict:
-    kind = zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT
-    out = zstandard.ZstdCompressionDict(data, dict_type=kind)
+def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict:
+    out = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     out.precompute_compress(level=LEVEL)
     return out
 
@@ -132,26 +136,47 @@ def _words_of(text: str) -> list[bytes]:
     return _LETTER[np.frombuffer(text.encode(), dtype=np.uint8)].tobytes().split()
 
 
-def _marking(in_toxic: Counter, n_toxic: int, in_ordinary: Counter, n_ordinary: int) -> set[bytes]:
-    """Words that toxic documents have far more often: 10 times the rate, 4 standard errors."""
-    out = set()
-    for word, c in in_toxic.items():
-        other = in_ordinary[word]
-        if len(word) < 3 or c < 3 or (c + 0.5) / n_toxic <= 10 * (other + 0.5) / n_ordinary:
-            continue
-        pooled = (c + other + 1) / (n_toxic + n_ordinary + 2)
-        error = math.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_ordinary))
-        if (c / n_toxic - other / n_ordinary) > 4 * error:
-            out.add(word)
-    return out
+def _units(text: str) -> set[bytes]:
+    words = set(_words_of(text))
+    return words | {w[:k] for w in words for k in STEMS if k < len(w)}
+
+
+def _marks(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Units that toxic documents have far more often, the strongest first.
+
+    A stem gives way to a longer unit that has at least four fifths of its documents.
+    """
+    n1, n0 = len(toxic), len(ordinary)
+    within = Counter(u for t in toxic for u in _units(t))
+    within = Counter({u: c for u, c in within.items() if c >= MARK_DOCS and len(u) >= STEMS[0]})
+    outside = Counter(u for t in ordinary for u in _units(t) if u in within)
+    strength = {}
+    for unit, c in within.items():
+        other = outside[unit]
+        pooled = (c + other + 1) / (n1 + n0 + 2)
+        errors = (c / n1 - other / n0) / math.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+        if (c + 0.5) / n1 > MARK_RATE * (other + 0.5) / n0 and errors > MARK_ERRORS:
+            strength[unit] = errors
+    longer = Counter()  # most documents of a longer unit, by stem
+    for unit in strength:
+        for k in range(STEMS[0], len(unit)):
+            longer[unit[:k]] = max(longer[unit[:k]], within[unit])
+    return sorted((u for u in strength if longer[u] < 0.8 * within[u]), key=lambda u: (-strength[u], u))
+
+
+def _toxic_content(marks: list[bytes]) -> bytes:
+    chosen, size = [], 0
+    for unit in marks:
+        if (size := size + len(unit) + 1) > TOXIC_DICT:
+            break
+        chosen.append(unit)
+    return b" ".join(reversed(chosen)) + b" "
 
 
-def _train(samples: list[bytes], size: int) -> tuple[bytes, bool]:
-    """Trained dictionary; text that is too short to train on is a dictionary as it is."""
-    try:
-        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes(), False
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:] or b" ", True
+def _ordinary_content(texts: list[str]) -> bytes:
+    """Words by the number of documents that have them, the most common last."""
+    count = Counter(w for t in texts for w in set(_words_of(t)))
+    return b" ".join(sorted(count, key=lambda w: (count[w], w)))[-ORDINARY_DICT:] + b" "
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,10 +193,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return mean, scale, w
 
 
-def fit(rows: list[tuple[int, str, int]]) -> Model | float:
-    """Model from labelled (doc_id, text, toxic), or the toxic share where a class is too rare.
+def fit(rows: list[tuple[int, str, int]], share: float) -> Model | float:
+    """Model from labelled (doc_id, text, toxic), or ``share`` where a class is too rare.
 
-    Documents with even hash train the dictionaries, the others calibrate.
+    Documents with even hash make the dictionaries, the others calibrate.  ``share`` is the
+    toxic share of all labelled documents; the sample's own share is corrected to it.
     """
     rows = sorted(rows)
     side = crc_mods([r[0] for r in rows], 10) % 2
@@ -179,42 +205,39 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | float:
     calibrate = [(t, y) for (_, t, y), s in zip(rows, side) if s]
     n = [Counter(y for _, y in part) for part in (train, calibrate)]
     if min(c[y] for c in n for y in (0, 1)) < LEAST:
-        return (sum(r[2] for r in rows) + 0.5) / (len(rows) + 1) if rows else 0.0
-    words = [(_words_of(t), y) for t, y in train]
-    within = {y: Counter(w for ws, k in words if k == y for w in set(ws)) for y in (0, 1)}
-    marks = _marking(within[1], n[0][1], within[0], n[0][0])
-    toxic, raw1 = _train([w + b" " for ws, y in words if y for w in ws if w in marks], TOXIC_DICT)
-    plain = [w + b" " for ws, y in words if not y for w in ws]
-    random.Random(0).shuffle(plain)
-    ordinary, raw0 = _train(plain[:ORDINARY_WORDS], ORDINARY_DICT)
-    if raw0 != raw1:  # a trained dictionary has entropy tables that a plain one lacks
-        raw1, toxic, ordinary = True, toxic[-TOXIC_DICT:], b"".join(dict.fromkeys(plain[:ORDINARY_WORDS]))[-ORDINARY_DICT:]
-    x = _batch_features(*_joined([t for t, _ in calibrate]), _dictionary(toxic, raw1), _dictionary(ordinary, raw1))
+        return share
+    ordinary_texts = [t for t, y in train if not y]
+    toxic, ordinary = _toxic_content(_marks([t for t, y in train if y], ordinary_texts)), _ordinary_content(ordinary_texts)
+    tools = _dictionary(toxic), _dictionary(ordinary)
+    x = np.concatenate([_batch_features(*_joined([t for t, _ in calibrate[i : i + 200]]), *tools) for i in range(0, len(calibrate), 200)])
     mean, scale, weights = _logistic(x, np.array([y for _, y in calibrate], dtype=float))
-    return Model(toxic, ordinary, raw1, tuple(mean), tuple(scale), tuple(weights))
+    sampled = n[1][1] / len(calibrate)
+    weights[-1] += math.log(share / (1 - share)) - math.log(sampled / (1 - sampled))
+    return Model(toxic, ordinary, tuple(mean), tuple(scale), tuple(weights))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> list[tuple[int, str, int]]:
-    """At most ``sample[y]`` documents of each class, chosen by the hash of their id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> tuple[list[tuple[int, str, int]], float]:
+    """(at most ``sample[y]`` documents of each class by the hash of their id, toxic share).
 
     Only ids with crc32(doc_id) mod 5 > 0 take part.  The chosen ids, bounded by the
-    sample, are broadcast to the scan that fetches their texts.
+    sample, are broadcast to the scan that fetches their texts; the share counts all.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    total, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     order = [F.xxhash64(F.col("doc_id").cast("long")), F.col("doc_id")]
     picked = None
     for y, most in (sample or SAMPLE).items():
         part = known.filter(F.col("toxic") == y).orderBy(*order).limit(most)
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.join(F.broadcast(picked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))), "doc_id")
-    return [(r[0], r[1] or "", r[2]) for r in rows.select("doc_id", "text", "toxic").collect()]
+    return [(r[0], r[1] or "", r[2]) for r in rows.select("doc_id", "text", "toxic").toLocalIterator()], (toxic / total if total else 0.0)
 
 
 def _scorer(model: Model | float) -> Callable[[pa.Array], np.ndarray]:
     """Scores of a text column; the dictionaries are prepared once per task."""
     if not isinstance(model, Model):
         return lambda column: np.full(len(column), model)
-    toxic, ordinary = _dictionary(model.toxic, model.raw), _dictionary(model.ordinary, model.raw)
+    toxic, ordinary = _dictionary(model.toxic), _dictionary(model.ordinary)
     mean, scale, weights = (np.array(x) for x in (model.mean, model.scale, model.weights))
 
     def score(column: pa.Array) -> np.ndarray:
@@ -256,7 +279,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     documents (0 without labels); other columns are ignored.
     """
     rows = documents(docs, id_col, text_col)
-    model = fit(labelled_sample(rows, labels))
+    model = fit(*labelled_sample(rows, labels))
     scored = score_documents(rows, model)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
