@@ -170,16 +170,20 @@ def empirical_curve(runs: DataFrame, ratings: DataFrame | None = None) -> DataFr
     return rows.groupBy("work_mode", "position").agg(F.count("*").alias("attempts"), rate(success()).alias("success_rate"), F.avg("item_rating").alias("mean_item_rating"), (F.count("item_rating") / F.count("*")).alias("rating_coverage"))
 
 
-def individual_series(attempts: DataFrame, users: list[str], cutoff: int) -> DataFrame:
-    """WIN-16: attempts and success per activity of chosen students up to an ordinal."""
-    rows = attempts.filter(F.col("user_id").isin(users) & (F.col("student_attempt_index") <= cutoff))
+def _chosen(rows: DataFrame, users: list[str] | None) -> DataFrame:
+    return rows if users is None else rows.filter(F.col("user_id").isin(users))
+
+
+def individual_series(attempts: DataFrame, cutoff: int, users: list[str] | None = None) -> DataFrame:
+    """WIN-16: attempts and success per activity of each (chosen) student up to an ordinal."""
+    rows = _chosen(attempts, users).filter(F.col("student_attempt_index") <= cutoff)
     return rows.groupBy("user_id", "activity_id").agg(F.count("*").alias("attempts"), rate(success()).alias("success_rate"), F.max("student_attempt_index").alias("last_ordinal"))
 
 
-def last_moves(attempts: DataFrame, users: list[str], cutoff: int, n: int = 3) -> DataFrame:
+def last_moves(attempts: DataFrame, cutoff: int, n: int = 3, users: list[str] | None = None) -> DataFrame:
     """WIN-16: the last distinct activity changes before an ordinal."""
     w = Window.partitionBy("user_id").orderBy("student_attempt_index")
-    rows = attempts.filter(F.col("user_id").isin(users) & (F.col("student_attempt_index") <= cutoff)).select("user_id", "student_attempt_index", "activity_id", F.lag("activity_id").over(w).alias("from_activity_id"))
+    rows = _chosen(attempts, users).filter(F.col("student_attempt_index") <= cutoff).select("user_id", "student_attempt_index", "activity_id", F.lag("activity_id").over(w).alias("from_activity_id"))
     moves = rows.filter("from_activity_id is not null and from_activity_id <> activity_id")
     back = Window.partitionBy("user_id").orderBy(F.desc("student_attempt_index"))
     return moves.withColumn("recency", F.row_number().over(back)).filter(F.col("recency") <= n).select("user_id", "recency", "student_attempt_index", "from_activity_id", F.col("activity_id").alias("to_activity_id"))

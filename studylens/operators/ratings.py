@@ -311,10 +311,11 @@ def compare_systems(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("exercises"), F.corr("a", "b").alias("correlation"), F.median(F.abs(F.col("a") - F.col("b"))).alias("median_abs_shift"), F.avg(F.col("b") - F.col("a")).alias("mean_shift"))
 
 
-def student_sample(events: DataFrame, users: list[str]) -> DataFrame:
-    """ELO-19: net change, volatility and worst drop of chosen students."""
+def student_sample(events: DataFrame, users: list[str] | None = None) -> DataFrame:
+    """ELO-19: net change, volatility and worst drop of each (chosen) student."""
     change = F.col("post") - F.col("pre")
-    return events.filter(F.col("user_id").isin(users)).groupBy("user_id").agg(
+    rows = events if users is None else events.filter(F.col("user_id").isin(users))
+    return rows.groupBy("user_id").agg(
         F.count("*").alias("attempts"),
         F.sum(change).alias("net_change"),
         F.stddev_samp(change).alias("volatility"),
@@ -322,10 +323,16 @@ def student_sample(events: DataFrame, users: list[str]) -> DataFrame:
     )
 
 
-def replay_series(events: DataFrame, users: list[str], step: int = 10) -> DataFrame:
-    """ELO-16: rating of at most two students after every ``step`` attempts and at the end."""
-    if len(users) > 2:
-        raise ValueError("at most two students")
-    rows = events.filter(F.col("user_id").isin(users))
+def replay_series(events: DataFrame, step: int = 10, users: list[str] | None = None) -> DataFrame:
+    """ELO-16: rating of each (chosen) student after every ``step`` attempts and at the end."""
+    rows = events if users is None else events.filter(F.col("user_id").isin(users))
     last = F.max("attempt_ordinal").over(Window.partitionBy("user_id", "module_code"))
     return rows.withColumn("_last", last).filter((F.col("attempt_ordinal") % step == 0) | (F.col("attempt_ordinal") == F.col("_last"))).select("user_id", "module_code", F.col("attempt_ordinal").alias("cutoff"), F.col("post").alias("rating"))
+
+
+def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
+    """ELO-16: two systems' ratings by student, module and ordinal; raises if ordinals differ."""
+    keys = ["user_id", "module_code", "attempt_ordinal"]
+    both = left.select(*keys, F.col("post").alias("left_rating")).join(right.select(*keys, F.col("post").alias("right_rating")), keys, "full")
+    missing = F.col("left_rating").isNull() | F.col("right_rating").isNull()
+    return both.select(*keys, F.when(missing, F.raise_error(F.lit("ordinals of the two systems differ")).cast("double")).otherwise(F.col("left_rating")).alias("left_rating"), "right_rating")

@@ -60,7 +60,15 @@ def two_core(spark, sf_dir):
     return G.two_core(_bipartite(spark, sf_dir))
 
 
-@register("projected_components")
+PROJECTED_SQL = (
+    PAIRS_SQL.replace("WITH raw_events", "WITH RECURSIVE raw_events", 1)
+    + """, linked AS (SELECT left_exercise_id AS a, right_exercise_id AS b FROM pairs WHERE shared_students >= 20), two_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM two_ways UNION SELECT r.node, t.b FROM reach r JOIN two_ways t ON t.a = r.other)
+SELECT node, min(other) AS component FROM reach GROUP BY node"""
+)
+
+
+@register("projected_components", PROJECTED_SQL)
 def projected_components(spark, sf_dir):
     return A.projected_components(A.exercise_pairs(attempts(spark, sf_dir)), 20)
 
@@ -145,10 +153,22 @@ def retry_summary(spark, sf_dir):
     return rounded(A.retry_summary(attempts(spark, sf_dir)))
 
 
-@register("tail_exercises")
+TAIL_SQL = (
+    PAIRS_SQL
+    + """, ends AS (SELECT left_exercise_id AS exercise_id, shared_students FROM pairs UNION ALL SELECT right_exercise_id, shared_students FROM pairs),
+degrees AS (SELECT exercise_id, count(*) AS degree, min(shared_students) AS min_overlap, median(shared_students) AS median_overlap, max(shared_students) AS max_overlap FROM ends GROUP BY 1),
+quantiles AS (SELECT exercise_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at, exercise_id, event_id) AS DOUBLE) / count(*) OVER (PARTITION BY user_id) AS q FROM attempts WHERE attempt_number = 1),
+late AS (SELECT exercise_id, quantile_cont(q, 0.1) AS p10 FROM quantiles GROUP BY 1),
+ordered_degrees AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS i, count(*) OVER () AS n FROM degrees),
+low AS (SELECT degree AS low_degree FROM ordered_degrees WHERE i = round_even(0.1::DOUBLE * (n - 1), 0))
+SELECT d.exercise_id, degree, min_overlap, CAST(median_overlap AS DOUBLE) AS median_overlap, max_overlap, round(p10, 6) AS p10_progress FROM degrees d LEFT JOIN late USING (exercise_id), low WHERE degree <= low_degree OR p10 >= 0.9"""
+)
+
+
+@register("tail_exercises", TAIL_SQL)
 def tail_exercises(spark, sf_dir):
     rows = attempts(spark, sf_dir)
-    return A.tail_exercises(A.exercise_pairs(rows), P.progress_quantiles(P.first_exposures(rows)))
+    return rounded(A.tail_exercises(A.exercise_pairs(rows), P.progress_quantiles(P.first_exposures(rows))))
 
 
 @register("feasibility_verdict")

@@ -194,9 +194,9 @@ def segment_progress(spark, sf_dir):
     return rounded(P.segment_progress(P.trajectories(attempts(spark, sf_dir))))
 
 
-@register("individual_series", ATTEMPTS_SQL + " SELECT user_id, activity_id, count(*) AS attempts, round(avg(CAST(data_correct AS INTEGER)), 6) AS success_rate, max(student_attempt_index) AS last_ordinal FROM attempts WHERE user_id IN ('u1', 'u2') AND student_attempt_index <= 40 GROUP BY user_id, activity_id")
+@register("individual_series", ATTEMPTS_SQL + " SELECT user_id, activity_id, count(*) AS attempts, round(avg(CAST(data_correct AS INTEGER)), 6) AS success_rate, max(student_attempt_index) AS last_ordinal FROM attempts WHERE student_attempt_index <= 40 GROUP BY user_id, activity_id")
 def individual_series(spark, sf_dir):
-    return rounded(P.individual_series(attempts(spark, sf_dir), ["u1", "u2"], 40))
+    return rounded(P.individual_series(attempts(spark, sf_dir), 40))
 
 
 @register(
@@ -204,9 +204,9 @@ def individual_series(spark, sf_dir):
     ATTEMPTS_SQL
     + """, moves AS (
   SELECT user_id, student_attempt_index, activity_id AS to_activity_id, lag(activity_id) OVER (PARTITION BY user_id ORDER BY student_attempt_index) AS from_activity_id
-  FROM attempts WHERE user_id IN ('u1', 'u2') AND student_attempt_index <= 40
+  FROM attempts WHERE student_attempt_index <= 40
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY student_attempt_index DESC) AS recency FROM moves WHERE from_activity_id <> to_activity_id)
 SELECT user_id, recency, student_attempt_index, from_activity_id, to_activity_id FROM ranked WHERE recency <= 3""",
 )
 def last_moves(spark, sf_dir):
-    return P.last_moves(attempts(spark, sf_dir), ["u1", "u2"], 40)
+    return P.last_moves(attempts(spark, sf_dir), 40)

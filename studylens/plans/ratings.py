@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import ratings as R
 from ..sources.attempts_view import attempts
 from .concentration import START_SQL
@@ -20,16 +18,16 @@ def elo_smoothed_start(spark, sf_dir):
     return rounded(_start(spark, sf_dir))
 
 
-def replay_sql(by_module: bool) -> str:
-    start = START_SQL.replace("WITH raw_events", "WITH RECURSIVE raw_events", 1)
-    if by_module:
-        group, items = "user_id, module_code", ""
-    else:
-        group = "user_id"
-        items = """, global_counts AS (SELECT exercise_id, sum(n) AS n, sum(s) AS s FROM item_counts GROUP BY 1),
+#: Start ratings over all modules, continuing START_SQL.
+GLOBAL_SQL = """, global_counts AS (SELECT exercise_id, sum(n) AS n, sum(s) AS s FROM item_counts GROUP BY 1),
 global_rates AS (SELECT exercise_id, greatest(0.01::DOUBLE, least(0.99::DOUBLE, (s + 20 * (sum(s) OVER () / CAST(sum(n) OVER () AS DOUBLE))) / CAST(n + 20 AS DOUBLE))) AS q FROM global_counts),
 global_raw AS (SELECT exercise_id, 1500 - 400 * log10(q / (1 - q)) AS raw FROM global_rates),
 global_items AS (SELECT exercise_id, raw - avg(raw) OVER () + 1500 AS rating FROM global_raw)"""
+
+
+def replay_sql(by_module: bool) -> str:
+    start = START_SQL.replace("WITH raw_events", "WITH RECURSIVE raw_events", 1)
+    group, items = ("user_id, module_code", "") if by_module else ("user_id", GLOBAL_SQL)
     source, keys = ("items", "module_code, exercise_id") if by_module else ("global_items", "exercise_id")
     return (
         start
@@ -85,14 +83,14 @@ def elo_convergence(spark, sf_dir):
     return rounded(R.rating_at(_events(spark, sf_dir), 30))
 
 
-@register("elo_replay_series", replay_sql(True) + ", marked AS (SELECT *, max(ord) OVER (PARTITION BY user_id, module_code) AS last_ord FROM replay WHERE user_id IN ('u1', 'u2')) SELECT user_id, module_code, CAST(ord AS INTEGER) AS cutoff, round(post, 6) AS rating FROM marked WHERE ord % 10 = 0 OR ord = last_ord")
+@register("elo_replay_series", replay_sql(True) + ", marked AS (SELECT *, max(ord) OVER (PARTITION BY user_id, module_code) AS last_ord FROM replay) SELECT user_id, module_code, CAST(ord AS INTEGER) AS cutoff, round(post, 6) AS rating FROM marked WHERE ord % 10 = 0 OR ord = last_ord")
 def elo_replay_series(spark, sf_dir):
-    return rounded(R.replay_series(_events(spark, sf_dir), ["u1", "u2"]))
+    return rounded(R.replay_series(_events(spark, sf_dir)))
 
 
-@register("elo_student_sample", replay_sql(True) + " SELECT user_id, count(*) AS attempts, round(sum(post - pre), 6) AS net_change, round(stddev_samp(post - pre), 6) AS volatility, round(min(post - pre), 6) AS worst_drop FROM replay WHERE user_id IN ('u1', 'u2', 'u3') GROUP BY user_id")
+@register("elo_student_sample", replay_sql(True) + " SELECT user_id, count(*) AS attempts, round(sum(post - pre), 6) AS net_change, round(stddev_samp(post - pre), 6) AS volatility, round(min(post - pre), 6) AS worst_drop FROM replay GROUP BY user_id")
 def elo_student_sample(spark, sf_dir):
-    return rounded(R.student_sample(_events(spark, sf_dir), ["u1", "u2", "u3"]))
+    return rounded(R.student_sample(_events(spark, sf_dir)))
 
 
 BASE_SQL = """, contexts AS (SELECT module_code, objective_id, activity_id, exercise_id, count(*) AS n FROM ctx GROUP BY ALL),
@@ -138,8 +136,20 @@ def adaptive_block_elo(spark, sf_dir):
     return R.block_ratings(attempts(spark, sf_dir), _start(spark, sf_dir))
 
 
-@register("elo_system_comparison")
+@register(
+    "elo_system_comparison",
+    START_SQL
+    + GLOBAL_SQL
+    + """ SELECT count(*) AS exercises, round(corr(i.rating, g.rating), 6) AS correlation, round(median(abs(i.rating - g.rating)), 6) AS median_abs_shift, round(avg(g.rating - i.rating), 6) AS mean_shift
+FROM items i JOIN global_items g USING (exercise_id)""",
+)
 def elo_system_comparison(spark, sf_dir):
     local = _start(spark, sf_dir)
     both = _start(spark, sf_dir, False).join(local.select("module_code", "exercise_id"), "exercise_id").select("module_code", "exercise_id", "rating")
-    return R.compare_systems(local, both).select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in R.compare_systems(local, both).dtypes])
+    return rounded(R.compare_systems(local, both))
+
+
+@register("elo_aligned_systems")
+def elo_aligned_systems(spark, sf_dir):
+    rows, items = R.replay_rows(attempts(spark, sf_dir)), _start(spark, sf_dir)
+    return R.aligned(R.sequential_replay(rows, items), R.batch_replay(rows, items))

@@ -77,7 +77,21 @@ def entry_activities(spark, sf_dir):
     return rounded(S.entry_activities(attempts(spark, sf_dir)))
 
 
-@register("population_audit")
+POPULATION_SQL = (
+    ATTEMPTS_SQL
+    + """, single AS (SELECT playlist_or_module_id FROM attempts WHERE work_mode = 'playlist' GROUP BY 1 HAVING count(DISTINCT module_code) = 1),
+usable AS (SELECT * FROM attempts WHERE work_mode = 'zpdes' OR (work_mode = 'playlist' AND playlist_or_module_id IN (SELECT playlist_or_module_id FROM single))),
+per_mode AS (SELECT user_id, work_mode FROM usable GROUP BY 1, 2 HAVING count(DISTINCT exercise_id) >= 3),
+split AS (SELECT user_id, CASE WHEN count(*) = 2 THEN 'both_modes' ELSE 'exclusive_modes' END AS population FROM per_mode GROUP BY 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id, exercise_id ORDER BY created_at, event_id) AS k FROM usable),
+turned AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(work_mode) OVER w IS DISTINCT FROM work_mode THEN 1 ELSE 0 END AS new_run FROM numbered WHERE k = 1 WINDOW w AS (PARTITION BY user_id ORDER BY created_at, exercise_id, event_id)),
+in_runs AS (SELECT *, sum(new_run) OVER (PARTITION BY user_id ORDER BY created_at, exercise_id, event_id) AS run FROM turned),
+runs AS (SELECT population, work_mode, user_id, run, count(*) AS n FROM in_runs JOIN split USING (user_id) GROUP BY 1, 2, 3, 4)
+SELECT population, work_mode, count(DISTINCT user_id) AS students, count(*) AS runs, CAST(sum(n) AS BIGINT) AS attempts, round(avg(n), 6) AS mean_run_length FROM runs GROUP BY 1, 2"""
+)
+
+
+@register("population_audit", POPULATION_SQL)
 def population_audit(spark, sf_dir):
     return rounded(S.population_audit(S.population_trajectories(attempts(spark, sf_dir), least=3)))
 
