@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .words import text_buffers
 
@@ -48,13 +48,13 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return out
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete materialized tables that no later step reads."""
+def discard(*frames: DataFrame, part: str = "") -> None:
+    """Delete materialized tables, or one partition (``column=value``), that no later step reads."""
     for df in frames:
         path = getattr(df, "_scratch_path", None)
         if path:
             jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}".rstrip("/"))
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
@@ -113,10 +113,3 @@ def texts(column: pa.Array) -> Iterator[bytes]:
     view = memoryview(data)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         yield bytes(view[a:b])
-
-
-def arrow_batch(schema: T.StructType, columns: dict[str, object]) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    target = to_arrow_schema(schema)
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in target], schema=target)

@@ -156,7 +156,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             yield from _block_rows(ids, lens, hashes, buckets)
 
 
-_NUMBERED = f"block string, bucket int, blob binary, total bigint, types bigint, n array<bigint>"
+_NUMBERED = "block string, bucket int, blob binary, total bigint, types bigint, n array<bigint>"
 
 
 def _number(table: pa.Table, buckets: int) -> pa.Table:
@@ -329,20 +329,25 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     words, pairs = bucket_count(spark), max(PAIR_BUCKETS, bucket_count(spark))
-    blocks = materialize(documents(docs, id_col, text_col).mapInArrow(lambda it: _blocks(it, words), _BLOCKS), "lm-blocks")
-    asked = blocks.filter("bucket >= 0").select("block", "bucket", "words", "counts")
+    blocks = documents(docs, id_col, text_col).mapInArrow(lambda it: _blocks(it, words), _BLOCKS)
+    blocks = materialize(blocks.withColumn("part", (F.col("bucket") >= 0).cast("int")), "lm-blocks", "part")
+    asked = blocks.filter("part = 1").select("block", "bucket", "words", "counts")
     numbered = materialize(asked.groupBy("bucket").applyInArrow(lambda t: _number(t, words), _NUMBERED), "lm-words")
+    discard(blocks, part="part=1")
     totals = numbered.agg(F.sum("total"), F.sum("types"), *[F.sum(F.col("n")[r]) for r in range(DISCOUNTED + 2)]).first()
     total, types, *n = (int(x or 0) for x in totals)
     model = unigram_model(total, np.array(n), types)
 
-    whole = blocks.filter("bucket < 0").select("block", "blob")
+    whole = blocks.filter("part = 0").select("block", "blob")
     answers = numbered.select("block", "bucket", "blob")
     stored = materialize(whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: _pairs(b, a, model, pairs), _PAIRS).withColumn("part", F.pmod("bucket", F.lit(PARTS))), "lm-pairs", "part")
     discard(blocks, numbered)
     info = materialize(stored.filter("bucket < 0").select("block", "blob"), "lm-documents")
-    merged = [stored.filter(f"part = {p} and bucket >= 0").select("block", "bucket", "blob").groupBy("bucket").applyInArrow(lambda t: _merge(t, model), _MODEL) for p in range(PARTS)]
-    parts = [materialize(df, f"lm-model-{p}") for p, df in enumerate(merged)]
+    parts = []
+    for p in range(PARTS):
+        part = stored.filter(f"part = {p} and bucket >= 0").select("block", "bucket", "blob")
+        parts.append(materialize(part.groupBy("bucket").applyInArrow(lambda t: _merge(t, model), _MODEL), f"lm-model-{p}"))
+        discard(stored, part=f"part={p}")
     table = reduce(DataFrame.unionByName, parts)
     discard(stored)
 

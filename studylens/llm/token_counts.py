@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bucket_count, discard, documents, flat, materialize, texts
+from .common import bucket_count, documents, flat, materialize, texts
 
 #: A block closes at so many distinct pre-tokens or so many bytes of text.
 BLOCK_TERMS = 400_000
