@@ -34,7 +34,7 @@ DISCOUNTED = 5
 HOT = 1024
 #: Buckets of word pairs at least.  Every document touches many anyway.
 PAIR_BUCKETS = 1024
-BLOCK_SLICES = 3
+BLOCK_SLICES = 12
 #: Parts of the pair table that are merged one after the other, so that only one part's
 #: shuffle is on disk at a time.
 PARTS = 4

@@ -29,8 +29,6 @@ PARTS = 256
 ORDERS = 4
 #: Members of a bucket that meet in one task at a time.
 CHUNK = 256
-#: Bytes of text whose permutations a task holds at a time.
-SLICE = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -89,7 +87,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
     odd = np.uint64(2) * np.arange(BAND_ROWS, dtype=np.uint64) + np.uint64(3)
     for batch in batches:
         ids = batch.column(0)
-        for a, b, words in slices(batch.column(1), True, SLICE):
+        for a, b, words in slices(batch.column(1), True):
             h, first = shingle_sets(words, size)
             n = np.diff(first)
             sums = [np.append(np.uint64(0), np.cumsum(mix(h + np.uint64(s)))) for s in (1, 2)]
@@ -117,7 +115,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Columns a, b, left, right (hash lists): pairs with 100 * common >= percent * union."""
-    for batch in batches:
+    for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
         left, right = flat(batch, "left"), flat(batch, "right")
         n, m = lengths(batch, "left"), lengths(batch, "right")
         i, j = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(m))

@@ -16,7 +16,8 @@ U64 = np.uint64
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 _BYTE_STEP = 0x9D8F3C2B51A7E6D5  # odd multipliers: invertible modulo 2**64
 _WORD_STEP = 0xC2B2AE3D27D4EB4F
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a task works on at a time; about 40 bytes of arrays each.
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
