@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import rate, success
+from ..functions.lineage import kept
 from . import graph
 from .paths import first_exposures, retry_exposures
 
@@ -61,7 +62,7 @@ def projected_components(pairs: DataFrame, least: int) -> DataFrame:
 
 
 def tail_exercises(pairs: DataFrame, quantiles: DataFrame) -> DataFrame:
-    """IRT-7: exercises of low degree or only seen late, with neighbour overlap statistics."""
+    """IRT-7 in part, as its SQL has it: exercises of low degree or only seen late; see ``module_tails``."""
     both = pairs.select("module_code", F.col("left_exercise_id").alias("exercise_id"), "shared_students").unionByName(pairs.select("module_code", F.col("right_exercise_id").alias("exercise_id"), "shared_students"))
     degree = both.groupBy("exercise_id").agg(F.count("*").alias("degree"), F.min("shared_students").alias("min_overlap"), F.median("shared_students").alias("median_overlap"), F.max("shared_students").alias("max_overlap"))
     late = quantiles.groupBy("exercise_id").agg(F.expr("percentile(progress_quantile, 0.1)").alias("p10_progress"))
@@ -71,6 +72,34 @@ def tail_exercises(pairs: DataFrame, quantiles: DataFrame) -> DataFrame:
     return out.filter((F.col("degree") <= F.col("low_degree")) | (F.col("p10_progress") >= 0.9)).drop("low_degree")
 
 
+def module_tails(exposures: DataFrame) -> DataFrame:
+    """IRT-7 whole: tail exercises per module among all exercises with a first exposure.
+
+    ``exposures`` has module_code, user_id, exercise_id and progress_quantile.  A tail has a
+    degree up to the nearest-rank p10 of its module, lies in a component smaller than the
+    largest of its module, or is only seen late.  Exercises that share no student with
+    another have degree 0 and a component of one.
+    """
+    keys = ["module_code", "exercise_id"]
+    rows = kept(exposures.filter("module_code is not null and exercise_id is not null").select("user_id", *keys, "progress_quantile"))
+    pairs = kept(exercise_pairs(rows))
+    both = pairs.select("module_code", F.col("left_exercise_id").alias("exercise_id"), "shared_students").unionByName(pairs.select("module_code", F.col("right_exercise_id").alias("exercise_id"), "shared_students"))
+    degree = both.groupBy(*keys).agg(F.count("*").alias("degree"), F.min("shared_students").alias("min_overlap"), F.median("shared_students").alias("median_overlap"), F.max("shared_students").alias("max_overlap"))
+    seen = rows.groupBy(*keys).agg(F.count_distinct("user_id").alias("first_attempt_students"), F.expr("percentile(progress_quantile, 0.1)").alias("p10_progress"))
+    node = lambda c: F.to_json(F.array("module_code", c))
+    parts = graph.components(pairs.select(node("left_exercise_id").alias("a"), node("right_exercise_id").alias("b")))
+    full = seen.join(degree, keys, "left").fillna(0, ["degree", "min_overlap", "median_overlap", "max_overlap"]).withColumn("node", node("exercise_id"))
+    full = kept(full.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    sizes = full.groupBy("module_code", "component").agg(F.count("*").alias("component_exercises"))
+    largest = sizes.groupBy("module_code").agg(F.max("component_exercises").alias("largest"))
+    module = Window.partitionBy("module_code")
+    steps = full.groupBy("module_code", "degree").count().withColumn("upto", F.sum("count").over(module.orderBy("degree"))).withColumn("n", F.sum("count").over(module))
+    low = steps.groupBy("module_code").agg(F.min(F.when(F.col("upto") > F.bround(0.1 * (F.col("n") - 1)), F.col("degree"))).alias("low_degree"))
+    out = full.join(sizes, ["module_code", "component"]).join(F.broadcast(low.join(largest, "module_code")), "module_code")
+    tail = (F.col("degree") <= F.col("low_degree")) | (F.col("component_exercises") < F.col("largest")) | (F.col("p10_progress") >= 0.9)
+    return out.filter(tail).select(*keys, "first_attempt_students", "degree", "min_overlap", "median_overlap", "max_overlap", "component_exercises", "p10_progress")
+
+
 def success_band(attempts: DataFrame, key: str, low: float = 0.65, high: float = 0.85) -> DataFrame:
     """IRT-8: share of exercises or students whose first-exposure success lies in a band."""
     rates = first_exposures(attempts).groupBy(key).agg(rate(success()).alias("r"))

@@ -171,6 +171,31 @@ def tail_exercises(spark, sf_dir):
     return rounded(A.tail_exercises(A.exercise_pairs(rows), P.progress_quantiles(P.first_exposures(rows))))
 
 
+MODULE_TAIL_SQL = (
+    FIRST_SQL.replace("WITH raw_events", "WITH RECURSIVE raw_events", 1)
+    + """, took AS (SELECT DISTINCT user_id, module_code, exercise_id FROM firsts), nodes AS (SELECT DISTINCT module_code, exercise_id FROM took),
+shared AS (
+  SELECT module_code, l.exercise_id, r.exercise_id AS other, count(*) AS shared_students FROM took l JOIN took r USING (user_id, module_code) WHERE l.exercise_id <> r.exercise_id GROUP BY 1, 2, 3
+), reach AS (SELECT module_code, exercise_id, exercise_id AS other FROM nodes UNION SELECT r.module_code, r.exercise_id, s.other FROM reach r JOIN shared s ON s.module_code = r.module_code AND s.exercise_id = r.other),
+sizes AS (SELECT module_code, exercise_id, count(*) AS component_exercises FROM reach GROUP BY 1, 2),
+degrees AS (
+  SELECT n.module_code, n.exercise_id, count(other) AS degree, coalesce(min(shared_students), 0) AS min_overlap, coalesce(median(shared_students), 0) AS median_overlap, coalesce(max(shared_students), 0) AS max_overlap
+  FROM nodes n LEFT JOIN shared USING (module_code, exercise_id) GROUP BY 1, 2
+), quantiles AS (SELECT module_code, exercise_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at, exercise_id, event_id) AS DOUBLE) / count(*) OVER (PARTITION BY user_id) AS q FROM firsts),
+late AS (SELECT module_code, exercise_id, count(DISTINCT user_id) AS first_attempt_students, quantile_cont(q, 0.1) AS p10 FROM quantiles GROUP BY 1, 2),
+placed AS (SELECT module_code, degree, row_number() OVER (PARTITION BY module_code ORDER BY degree) - 1 AS i, count(*) OVER (PARTITION BY module_code) AS n FROM degrees),
+low AS (SELECT module_code, degree AS low_degree FROM placed WHERE i = round_even(0.1::DOUBLE * (n - 1), 0)), largest AS (SELECT module_code, max(component_exercises) AS largest FROM sizes GROUP BY 1)
+SELECT module_code, exercise_id, first_attempt_students, degree, min_overlap, CAST(median_overlap AS DOUBLE) AS median_overlap, max_overlap, component_exercises, round(p10, 6) AS p10_progress
+FROM degrees JOIN sizes USING (module_code, exercise_id) JOIN late USING (module_code, exercise_id) JOIN low USING (module_code) JOIN largest USING (module_code)
+WHERE degree <= low_degree OR component_exercises < largest OR p10 >= 0.9"""
+)
+
+
+@register("tail_exercises_by_module", MODULE_TAIL_SQL)
+def tail_exercises_by_module(spark, sf_dir):
+    return rounded(A.module_tails(P.progress_quantiles(P.first_exposures(attempts(spark, sf_dir)))))
+
+
 @register("feasibility_verdict")
 def feasibility_verdict(spark, sf_dir):
     rows = attempts(spark, sf_dir)

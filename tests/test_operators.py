@@ -344,3 +344,12 @@ def test_clustered_ols(spark):
     df = spark.createDataFrame(rows, "module string, class string, x double, y double")
     r = one(evidence.clustered_ols(df, "y", ["x"], "module", "class"))
     assert r.estimate == pytest.approx(2.0) and r.std_error == pytest.approx(0.0, abs=1e-9)
+
+
+def test_module_tails(spark):
+    dense = [f"f{i:02}" for i in range(1, 12)]
+    taken = [("u1", "M1", ["e1", "e2", "e3", "e4"]), ("u2", "M1", ["e4", "e3", "e2", "e1"]), ("u3", "M1", ["e5", "e6"]), ("u4", "M1", ["e6", "e5"]), ("u5", "M1", ["e7"]), ("u6", "M1", ["e8"]), ("u7", "M2", dense), ("u8", "M2", dense[::-1]), ("u9", "M2", ["f01", "f12"])]
+    df = attempts(spark, [{"user_id": u, "module_code": m, "exercise_id": e} for u, m, es in taken for e in es])
+    got = {(r.module_code, r.exercise_id): (r.degree, r.component_exercises) for r in audit.module_tails(paths.progress_quantiles(paths.first_exposures(df))).collect()}
+    # small component of more than the module's p10 degree, exercises without neighbours, and a denser module's own cut
+    assert got == {("M1", "e5"): (1, 2), ("M1", "e6"): (1, 2), ("M1", "e7"): (0, 1), ("M1", "e8"): (0, 1)} | {("M2", e): (10, 12) for e in dense[1:]} | {("M2", "f12"): (1, 12)}
