@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import logistic, outcome, real_text
 from ..functions.lineage import kept
+from .audit import distribution
 
 # fixed values of the rating model
 BASE, SCALE, K = 1500.0, 400.0, 24.0
@@ -311,6 +312,49 @@ def compare_systems(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("exercises"), F.corr("a", "b").alias("correlation"), F.median(F.abs(F.col("a") - F.col("b"))).alias("median_abs_shift"), F.avg(F.col("b") - F.col("a")).alias("mean_shift"))
 
 
+def exercise_shifts(left: DataFrame, right: DataFrame, calibration: DataFrame) -> DataFrame:
+    """ELO-18: both ratings of each exercise, their difference, and its first attempts."""
+    keys = ["module_code", "exercise_id"]
+    seen = calibration.groupBy(*keys).agg(F.count("*").alias("calibration_attempts"))
+    both = left.select(*keys, F.col("rating").alias("current_elo")).join(right.select("exercise_id", F.col("rating").alias("iterative_elo")), "exercise_id").join(seen, keys)
+    shift = F.col("iterative_elo") - F.col("current_elo")
+    return both.select(*keys, "calibration_attempts", "current_elo", "iterative_elo", shift.alias("elo_diff"), F.abs(shift).alias("abs_elo_diff"))
+
+
+def shift_summary(shifts: DataFrame) -> DataFrame:
+    """ELO-18: correlation, shifts, and median shifts of the quartiles of least and most first attempts."""
+    quarters = distribution(shifts, "calibration_attempts", "calibration_attempts").select(F.greatest(F.lit(1.0), "p25").alias("q25"), F.greatest(F.lit(1.0), "p25", "p75").alias("q75"))
+    n, shift = F.col("calibration_attempts"), F.col("abs_elo_diff")
+    spread = F.stddev_pop("current_elo") * F.stddev_pop("iterative_elo")  # corr() raises where it is 0
+    return shifts.join(F.broadcast(quarters)).agg(
+        F.count("*").alias("exercises"),
+        F.when(spread > 0, F.covar_pop("current_elo", "iterative_elo") / spread).alias("correlation"),
+        F.median(shift).alias("median_abs_shift"),
+        F.avg("elo_diff").alias("mean_shift"),
+        F.max("q25").alias("q25_attempts"),
+        F.max("q75").alias("q75_attempts"),
+        F.median(F.when(n <= F.col("q25"), shift)).alias("sparse_median_shift"),
+        F.median(F.when(n >= F.col("q75"), shift)).alias("dense_median_shift"),
+    )
+
+
+def student_gaps(both: DataFrame) -> DataFrame:
+    """ELO-18: per student and module of ``aligned`` ratings the final, mean, early and late gap.
+
+    Early and late are the first and last third (at least one attempt).
+    """
+    keys, gap = ["user_id", "module_code"], F.col("right_rating") - F.col("left_rating")
+    sizes = both.groupBy(*keys).agg(F.count("*").alias("attempts"))
+    cut = F.greatest(F.lit(1), F.floor(F.col("attempts") / 3))
+    out = both.join(sizes, keys).groupBy(*keys, "attempts").agg(
+        F.max_by(gap, "attempt_ordinal").alias("final_gap"),
+        F.avg(F.abs(gap)).alias("mean_abs_gap"),
+        F.avg(F.when(F.col("attempt_ordinal") <= cut, F.abs(gap))).alias("early_abs_gap"),
+        F.avg(F.when(F.col("attempt_ordinal") > F.col("attempts") - cut, F.abs(gap))).alias("late_abs_gap"),
+    )
+    return out.withColumn("gap_growth", F.col("late_abs_gap") - F.col("early_abs_gap"))
+
+
 def student_sample(events: DataFrame, users: list[str] | None = None) -> DataFrame:
     """ELO-19: net change, volatility and worst drop of each (chosen) student."""
     change = F.col("post") - F.col("pre")

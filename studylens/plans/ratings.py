@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators import ratings as R
+from ..functions.lineage import kept
+from ..operators import ratings as R, slices as S
 from ..sources.attempts_view import attempts
 from .concentration import START_SQL
 from .daily import rounded
@@ -13,6 +14,11 @@ def _start(spark, sf_dir, by_module=True):
     return R.smoothed_start(R.calibration_rows(attempts(spark, sf_dir)), by_module)
 
 
+def _current(spark, sf_dir):
+    """Calibrated ratings; only queries whose SQL says so read the smoothed start."""
+    return R.joint_ratings(R.calibration_rows(attempts(spark, sf_dir)))
+
+
 @register("elo_smoothed_start", START_SQL + " SELECT module_code, exercise_id, calibration_attempts, round(calibration_success_rate, 6) AS calibration_success_rate, round(smoothed_rate, 6) AS smoothed_rate, round(rating, 6) AS rating FROM items")
 def elo_smoothed_start(spark, sf_dir):
     return rounded(_start(spark, sf_dir))
@@ -128,12 +134,12 @@ def exercise_elo_iterative(spark, sf_dir):
 
 @register("elo_batch_replay")
 def elo_batch_replay(spark, sf_dir):
-    return R.batch_replay(R.replay_rows(attempts(spark, sf_dir)), _start(spark, sf_dir))
+    return R.batch_replay(R.replay_rows(attempts(spark, sf_dir)), _current(spark, sf_dir))
 
 
 @register("adaptive_block_elo")
 def adaptive_block_elo(spark, sf_dir):
-    return R.block_ratings(attempts(spark, sf_dir), _start(spark, sf_dir))
+    return R.block_ratings(attempts(spark, sf_dir), _current(spark, sf_dir))
 
 
 @register(
@@ -151,5 +157,33 @@ def elo_system_comparison(spark, sf_dir):
 
 @register("elo_aligned_systems")
 def elo_aligned_systems(spark, sf_dir):
-    rows, items = R.replay_rows(attempts(spark, sf_dir)), _start(spark, sf_dir)
+    rows, items = R.replay_rows(attempts(spark, sf_dir)), _current(spark, sf_dir)
     return R.aligned(R.sequential_replay(rows, items), R.batch_replay(rows, items))
+
+
+def _shifts(spark, sf_dir):
+    rows = attempts(spark, sf_dir)
+    return R.exercise_shifts(_current(spark, sf_dir), R.iterative_ratings(R.replay_rows(rows)), R.calibration_rows(rows))
+
+
+@register("elo_exercise_shifts")
+def elo_exercise_shifts(spark, sf_dir):
+    return _shifts(spark, sf_dir)
+
+
+@register("elo_calibrated_comparison")
+def elo_calibrated_comparison(spark, sf_dir):
+    return R.shift_summary(_shifts(spark, sf_dir))
+
+
+@register("elo_student_gaps")
+def elo_student_gaps(spark, sf_dir):
+    rows, shifts = R.replay_rows(attempts(spark, sf_dir)), kept(_shifts(spark, sf_dir))
+    rated = [R.sequential_replay(rows, shifts.withColumnRenamed(c, "rating")) for c in ("current_elo", "iterative_elo")]
+    return R.student_gaps(R.aligned(*rated))
+
+
+@register("exercise_elo_calibrated")
+def exercise_elo_calibrated(spark, sf_dir):
+    rows = attempts(spark, sf_dir)
+    return S.rating_table(R.item_base(rows).select("module_code", "exercise_id"), _current(spark, sf_dir), R.calibration_rows(rows))

@@ -353,3 +353,95 @@ def test_module_tails(spark):
     got = {(r.module_code, r.exercise_id): (r.degree, r.component_exercises) for r in audit.module_tails(paths.progress_quantiles(paths.first_exposures(df))).collect()}
     # small component of more than the module's p10 degree, exercises without neighbours, and a denser module's own cut
     assert got == {("M1", "e5"): (1, 2), ("M1", "e6"): (1, 2), ("M1", "e7"): (0, 1), ("M1", "e8"): (0, 1)} | {("M2", e): (10, 12) for e in dense[1:]} | {("M2", "f12"): (1, 12)}
+
+
+def _joint(seen, items):
+    """ELO-5 in plain Python from (student, exercise, outcome) of one module."""
+    from statistics import median
+
+    users = {u: 1500.0 for u, _, _ in seen}
+    for _ in range(10):
+        users = {u: _newton([(items[e], y) for v, e, y in seen if v == u], users[u]) for u in users}
+        new = {e: _newton([(users[u], y) for u, f, y in seen if f == e], items[e], -1) for e in items}
+        delta, shift = [abs(new[e] - items[e]) for e in items], 1500 - sum(new.values()) / len(new)
+        items = {e: r + shift for e, r in new.items()}
+        users = {u: r + shift for u, r in users.items()}
+        if median(delta) < 0.5 and max(delta) < 3:
+            break
+    return items
+
+
+def _iterative(seen, items):
+    """ELO-6 in plain Python: replay, golden-section search per exercise, mean back to 1500."""
+    import math
+    from statistics import median
+
+    ratio = (math.sqrt(5) - 1) / 2
+    for _ in range(10):
+        now, pre = {}, {e: [] for e in items}
+        for u, e, y in seen:
+            r = now.get(u, 1500.0)
+            pre[e].append((r, y))
+            now[u] = r + 24 * (y - 1 / (1 + 10 ** ((items[e] - r) / 400)))
+
+        def loss(e, r):
+            ps = [(1 / (1 + 10 ** ((r - a) / 400)), y) for a, y in pre[e]]
+            return -sum(math.log(p if y else 1 - p) for p, y in ps) + 0.5 * ((r - 1500) / 200) ** 2
+
+        new = {}
+        for e in items:
+            a, b = 600.0, 2400.0
+            for _ in range(40):
+                c, d = b - ratio * (b - a), a + ratio * (b - a)
+                a, b = (a, d) if loss(e, c) <= loss(e, d) else (c, b)
+            new[e] = (a + b) / 2
+        mean = sum(new.values()) / len(new)
+        new = {e: r - mean + 1500 for e, r in new.items()}
+        delta, items = [abs(new[e] - items[e]) for e in items], new
+        if median(delta) < 1 and max(delta) < 5:
+            break
+    return items
+
+
+def test_queries_read_calibrated_ratings(spark, monkeypatch):
+    import random
+
+    from studylens.plans import registry  # noqa: F401, loads the plans in their order
+    from studylens.plans import ratings as plan
+
+    rng = random.Random(7)
+    seen = [(f"u{u:02}", f"e{e}", rng.random() < 0.9 - 0.15 * e) for u in range(12) for e in range(5) if rng.random() < 0.8]
+    df = attempts(spark, [{"user_id": u, "exercise_id": e, "data_correct": y, "work_mode": "adaptive-test"} for u, e, y in seen]).cache()
+    monkeypatch.setattr(plan, "attempts", lambda spark, sf_dir: df)
+    joint = _joint(seen, {r.exercise_id: r.rating for r in ratings.smoothed_start(ratings.calibration_rows(df)).collect()})
+    iterative = _iterative(seen, {r.exercise_id: r.rating for r in ratings.smoothed_start(ratings.calibration_rows(df), by_module=False).collect()})
+    assert {r.exercise_id: r.item_rating for r in plan.elo_batch_replay(spark, "").collect()} == pytest.approx(joint, abs=1e-6)
+    users = {u: _newton([(joint[e], y) for v, e, y in seen if v == u]) for u, _, _ in seen}
+    assert {r.user_id: r.rating for r in plan.adaptive_block_elo(spark, "").collect()} == pytest.approx(users, abs=1e-6)
+    assert {r.exercise_id: r.exercise_elo for r in plan.exercise_elo_calibrated(spark, "").collect()} == pytest.approx(joint, abs=1e-6)
+    got = {r.exercise_id: (r.current_elo, r.iterative_elo, r.elo_diff) for r in plan.elo_exercise_shifts(spark, "").collect()}
+    for e in joint:
+        assert got[e] == pytest.approx((joint[e], iterative[e], iterative[e] - joint[e]), abs=1e-3)
+
+    def replay(items, u):
+        r, out = 1500.0, []
+        for v, e, y in seen:
+            if v == u:
+                r += 24 * (y - 1 / (1 + 10 ** ((items[e] - r) / 400)))
+                out.append(r)
+        return out
+
+    aligned = {(r.user_id, r.attempt_ordinal): r.left_rating for r in plan.elo_aligned_systems(spark, "").collect()}
+    for r in plan.elo_student_gaps(spark, "").collect():
+        left = replay(joint, r.user_id)
+        assert [aligned[r.user_id, i + 1] for i in range(len(left))] == pytest.approx(left, abs=1e-6)
+        gaps = [b - a for a, b in zip(left, replay(iterative, r.user_id))]
+        k = max(1, len(gaps) // 3)
+        size = [abs(g) for g in gaps]
+        assert (r.final_gap, r.early_abs_gap, r.late_abs_gap) == pytest.approx((gaps[-1], sum(size[:k]) / k, sum(size[-k:]) / k), abs=1e-3)
+
+
+def test_shift_summary(spark):
+    rows = [("M1", f"e{i}", i, 1500.0, 1500.0 + s, float(s), float(abs(s))) for i, s in zip([10, 20, 30, 40, 50], [-30, 10, 5, -8, 2])]
+    r = one(ratings.shift_summary(spark.createDataFrame(rows, "module_code string, exercise_id string, calibration_attempts long, current_elo double, iterative_elo double, elo_diff double, abs_elo_diff double")))
+    assert (r.exercises, r.median_abs_shift, r.mean_shift, r.q25_attempts, r.q75_attempts, r.sparse_median_shift, r.dense_median_shift) == (5, 8.0, pytest.approx(-4.2), 20, 40, 20.0, 5.0)
