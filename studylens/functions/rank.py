@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .lineage import kept
+
 
 def rank_by_count(rows: DataFrame, count: str, *ties: str, name: str = "rank", within: list[str] | None = None) -> DataFrame:
     """Rank by falling count, then by ``ties``; also the number of ranked rows, ``<name>_n``.
@@ -21,6 +23,15 @@ def rank_by_count(rows: DataFrame, count: str, *ties: str, name: str = "rank", w
     return ranked.join(offsets, [*keys, count]).withColumn(name, F.col("_above") + F.col("_r")).drop("_above", "_r")
 
 
+def rank_by_range(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """Row number in a total order: ranges are ordered in parallel, one row per range is summed."""
+    parts = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    above = F.sum("_k").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.groupBy("_part").agg(F.count("*").alias("_k")).select("_part", F.coalesce(above, F.lit(0)).alias("_above"))
+    placed = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_above") + F.col("_r")).drop("_part", "_above", "_r")
+
+
 def decile_by_cutoffs(rank, n):
     """First i in 1..10 with rank <= max(1, ceil(n * i / 10))."""
     steps = F.sequence(F.lit(1), F.lit(10))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import two_sided_p
+from ..functions.lineage import kept
+from ..functions.rank import rank_by_range
 
 
 
@@ -69,8 +71,12 @@ def single_module_playlists(attempts: DataFrame) -> DataFrame:
 def design(rows: DataFrame, modes: tuple[str, str] = ("zpdes", "playlist")) -> DataFrame:
     """MOD-8: intercept, mode, position, interaction, and nested group codes."""
     zpdes = (F.col("work_mode") == modes[0]).cast("double")
-    codes = {"student_code": F.dense_rank().over(_order("user_id")), "classroom_code": F.dense_rank().over(_order("classroom_id", "user_id"))}
-    return rows.filter(F.col("work_mode").isin(*modes)).select("user_id", "classroom_id", "module_code", F.lit(1.0).alias("intercept"), zpdes.alias("zpdes"), F.col("position").cast("double").alias("position"), (zpdes * F.col("position")).alias("interaction"), (F.col("data_correct").cast("double")).alias("y")).withColumns(codes)
+    out = kept(rows.filter(F.col("work_mode").isin(*modes)).select("user_id", "classroom_id", "module_code", F.lit(1.0).alias("intercept"), zpdes.alias("zpdes"), F.col("position").cast("double").alias("position"), (zpdes * F.col("position")).alias("interaction"), (F.col("data_correct").cast("double")).alias("y")))
+    for name, keys in (("student_code", ["user_id"]), ("classroom_code", ["classroom_id", "user_id"])):
+        ids = rank_by_range(out.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct(), *[F.asc(f"_{k}") for k in keys], name=name)
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        out = out.join(ids, same).drop(*[f"_{k}" for k in keys])
+    return out
 
 
 def clustered_ols(rows: DataFrame, y: str, numeric: list[str], effect: str, cluster: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import real_text
+from ..functions.rank import rank_by_range
 from . import classroom, daily, evidence, paths
 
 CANONICAL = r"^M\d+$"
@@ -77,9 +78,8 @@ def path_findings(attempts: DataFrame) -> DataFrame:
     out = routes.groupBy("path").agg(F.count("*").alias("student_count"), F.max("path_length").alias("path_length"))
     total = routes.agg(F.count("*").alias("students"))
     out = out.join(F.broadcast(total)).withColumn("student_share", F.col("student_count") / F.col("students")).withColumn("entry_activity", F.substring_index("path", ">", 1))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("student_count"), "path"))
     kind = F.when(F.col("student_share") >= 0.5, "dominant").when(F.col("student_share") >= 0.2, "common").otherwise("rare")
-    return out.withColumn("rank", rank).withColumn("dominance", kind).drop("students")
+    return rank_by_range(out, F.desc("student_count"), F.asc("path")).withColumn("dominance", kind).drop("students")
 
 
 def entry_activities(attempts: DataFrame) -> DataFrame:

@@ -445,3 +445,35 @@ def test_shift_summary(spark):
     rows = [("M1", f"e{i}", i, 1500.0, 1500.0 + s, float(s), float(abs(s))) for i, s in zip([10, 20, 30, 40, 50], [-30, 10, 5, -8, 2])]
     r = one(ratings.shift_summary(spark.createDataFrame(rows, "module_code string, exercise_id string, calibration_attempts long, current_elo double, iterative_elo double, elo_diff double, abs_elo_diff double")))
     assert (r.exercises, r.median_abs_shift, r.mean_shift, r.q25_attempts, r.q75_attempts, r.sparse_median_shift, r.dense_median_shift) == (5, 8.0, pytest.approx(-4.2), 20, 40, 20.0, 5.0)
+
+
+def test_ranks_over_several_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from studylens.functions.rank import rank_by_range
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(1000).select((F.col("id") % 3).alias("n"), F.format_string("%04d", "id").alias("path"))
+        out = rank_by_range(rows, F.desc("n"), F.asc("path"))
+        assert len({r[0] for r in out.select(F.spark_partition_id()).distinct().collect()}) > 1
+        got = [(r.n, r.path) for r in sorted(out.collect(), key=lambda r: r["rank"])]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted(got, key=lambda x: (-x[0], x[1])) and [r[0] for r in out.select("rank").orderBy("rank").collect()] == list(range(1, 1001))
+
+
+def test_designs_and_paths_stay_in_several_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from studylens.operators import slices
+
+    df = attempts(spark, [{"user_id": f"u{i % 20:02}", "classroom_id": None if i % 20 == 3 else f"c{i % 2}", "exercise_id": f"e{i}", "activity_id": f"a{i % 20}" if i < 20 else "a"} for i in range(40)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for make in (lambda: slices.path_findings(df), lambda: evidence.design(paths.trajectories(df))):
+            assert len({r["part"] for r in make().withColumn("part", F.spark_partition_id()).collect()}) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {(r.user_id, r.student_code) for r in evidence.design(paths.trajectories(df)).collect()}
+    assert got == {(f"u{i:02}", i + 1) for i in range(20)}
