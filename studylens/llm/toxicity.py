@@ -1,20 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are learned, one from what marks toxic text and one from
-ordinary text.  A document is cut into overlapping windows of a few words; a window that
-compresses better with the toxic dictionary speaks for toxicity by the bytes saved.
-Thresholds on that saving are calibrated on labelled documents that made no dictionary:
-a logistic model weighs how many windows save 1, 2, ... 8 bytes or more.
-
-The dictionaries' content is chosen by contrast between the classes and used as raw
-content, the strongest units last, where zstandard reaches them most cheaply.
-zstandard's own trainer picks segments by frequency alone; most of a toxic text is
-ordinary, so it fills the dictionary with ordinary syllables.
+Two zstandard dictionaries are trained, one on ordinary text and one on toxic text.  A
+document is cut into overlapping windows of a few words; a window that compresses better
+with the toxic dictionary speaks for toxicity by the bytes saved.  Thresholds on that
+saving are calibrated on labelled documents that made no dictionary: a logistic model
+weighs how many windows save 1, 2, ... 8 bytes or more.
+
+Most of a toxic text is ordinary, and zstandard's trainer goes by frequency alone, so on
+whole toxic texts it learns ordinary syllables.  The segments that it is trained on are
+therefore chosen first: the words and word beginnings of toxic documents whose contexts
+are too many, against ordinary documents, for chance.  The toxic side compresses with
+both dictionaries, its own one farther away, so that windows without such a segment cost
+the same on both sides.  Every window stands behind a fixed carrier that both sides hold;
+without it, zstandard's block overhead swallows savings of a few bytes.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,21 +29,32 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_mod, crc_mods, documents
+from .common import crc_mod, documents
 from .words import SLICE_BYTES, text_buffers
 
-WINDOW_WORDS = 3
+WINDOW_WORDS, STEP_WORDS = 4, 2
 SAVINGS = 8
-LEVEL = 3
-TOXIC_DICT, ORDINARY_DICT = 2048, 4096
+#: The lowest level that looks through whole chains of candidates in a dictionary.
+LEVEL = 5
+#: Sizes that zstandard's trainer is given; it fills what its samples are worth.
+TOXIC_DICT, ORDINARY_DICT = 2048, 6144
 #: Bound of the labelled sample that the model is fitted on, by class.
 SAMPLE = {1: 1500, 0: 3000}
-#: A unit marks toxic text from so many standard errors and so many times the ordinary rate.
-MARK_ERRORS, MARK_RATE, MARK_DOCS = 6.0, 5.0, 4
-#: Units are words and their beginnings of these lengths in bytes.
+#: A segment is chosen if chance would give so many of all candidates its contexts.
+CHANCE = 0.05
+#: A chosen segment is so many times as common in toxic documents as in ordinary ones.
+MARK_RATE = 5.0
+#: The strongest candidates that are chosen at least, however few labels there are.
+LEAST_MARKS = 24
+#: Segments are words and their beginnings of these lengths in bytes.
 STEMS = range(4, 9)
-#: Fewer labelled documents of a class than this fit no model.
-LEAST = 20
+#: Words of one sample of the ordinary dictionary.
+ORDINARY_WORDS = 12
+#: Bound of those samples, spread evenly over the ordinary documents of the fit.
+ORDINARY_PIECES = 15_000
+#: Clean documents that the cut of ``drop_toxic`` may at most lose, by calibration.
+CLEAN_LOST = 0.03
+CARRIER = bytes(range(1, 25))  # control characters never occur in a window
 
 _LETTER = np.full(256, 32, dtype=np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -53,6 +69,8 @@ class Model:
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]
+    #: Score from which a filter drops a document, chosen on calibration rows.
+    cut: float
 
 
 def _clean(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,25 +89,40 @@ def _clean(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[keep], shift[np.append(0, gap + 1)]
 
 
-def _windows(text: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, document) of overlapping windows; short documents are one window."""
+def _windows(first: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, document) of overlapping windows with the space before them; short documents are one window."""
     ends = np.flatnonzero(text == 32) + 1
     starts = np.append(0, ends[:-1]) if len(ends) else ends
     at = np.searchsorted(starts, first)  # first word of each document
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(at))
-    n = np.diff(at)[doc]
+    n_words = np.diff(at)
+    doc = np.repeat(np.arange(len(first) - 1), n_words)
     rank = np.arange(len(doc)) - at[doc]
-    mine = (rank + words <= n) | (rank == 0)
-    last = np.minimum(np.arange(len(doc)) + words, at[doc + 1]) - 1 if len(doc) else np.zeros(0, np.int64)
-    return starts[mine], (ends[last] - starts)[mine], doc[mine]
+    mine = np.flatnonzero((rank % STEP_WORDS == 0) & ((rank + WINDOW_WORDS < n_words[doc] + STEP_WORDS) | (rank == 0)))
+    doc = doc[mine]
+    last = np.minimum(mine + WINDOW_WORDS, at[doc + 1]) - 1
+    start = np.maximum(starts[mine] - 1, 0)
+    return start, ends[last] - start, doc
 
 
 def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict:
-    out = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    out = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     out.precompute_compress(level=LEVEL)
     return out
 
 
+def _carried(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[bytes, bytes]:
+    """The windows, each behind the carrier, and their spans."""
+    lead = np.frombuffer(CARRIER, dtype=np.uint8)
+    whole = size + len(lead)
+    first = np.cumsum(whole) - whole
+    out = np.empty(int(whole.sum()), dtype=np.uint8)
+    out[(first[:, None] + np.arange(len(lead))).ravel()] = np.tile(lead, len(first))
+    body = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+    into = np.arange(len(body)) + np.repeat((np.arange(len(first)) + 1) * len(lead), size)
+    out[into] = text[body]
+    return out.tobytes(), np.stack([first, whole], axis=1).astype(np.uint64).tobytes()
+
+
 def _sizes(data: bytes, spans: bytes, dictionary: zstandard.ZstdCompressionDict) -> np.ndarray:
     tool = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
     found = tool.multi_compress_to_buffer(zstandard.BufferWithSegments(data, spans), threads=0)
@@ -101,10 +134,10 @@ def _features(data: np.ndarray, offsets: np.ndarray, toxic, ordinary) -> np.ndar
     text, first = _clean(data, offsets)
     n_docs = len(first) - 1
     out = np.zeros((n_docs, SAVINGS + 3))
-    start, size, doc = _windows(text, first, WINDOW_WORDS)
+    start, size, doc = _windows(first, text)
     if not len(start):
         return out
-    spans, raw = np.stack([start, size], axis=1).astype(np.uint64).tobytes(), text.tobytes()
+    raw, spans = _carried(text, start, size)
     saved = _sizes(raw, spans, ordinary) - _sizes(raw, spans, toxic)
     for t in range(1, SAVINGS + 1):
         out[:, t - 1] = np.log1p(np.bincount(doc[saved >= t], minlength=n_docs))
@@ -135,47 +168,87 @@ def _words_of(text: str) -> list[bytes]:
     return _LETTER[np.frombuffer(text.encode(), dtype=np.uint8)].tobytes().split()
 
 
-def _units(text: str) -> set[bytes]:
-    words = set(_words_of(text))
-    return words | {w[:k] for w in words for k in STEMS if k < len(w)}
+def _units(word: bytes) -> list[bytes]:
+    return [word, *[word[:k] for k in STEMS if k < len(word)]]
 
 
-def _marks(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Units that toxic documents have far more often, the strongest first.
+def _contexts(texts: list[str], among: Counter | None = None) -> tuple[Counter, int]:
+    """How many different contexts each unit has, and how many contexts there are.
 
-    A stem gives way to a longer unit that has at least four fifths of its documents.
+    A context is a word with both neighbours.  Copies of a text have the same ones, so
+    a word that copies repeat does not look frequent.
     """
-    n1, n0 = len(toxic), len(ordinary)
-    within = Counter(u for t in toxic for u in _units(t))
-    within = Counter({u: c for u, c in within.items() if c >= MARK_DOCS and len(u) >= STEMS[0]})
-    outside = Counter(u for t in ordinary for u in _units(t) if u in within)
+    seen: set[int] = set()
+    whole: Counter = Counter()
+    for text in texts:
+        words = [b"", *_words_of(text), b""]
+        for i in range(1, len(words) - 1):
+            key = hash((words[i - 1], words[i], words[i + 1]))
+            if key in seen:
+                continue
+            seen.add(key)
+            whole[words[i]] += 1
+    found: Counter = Counter()
+    for word, n in whole.items():
+        for unit in _units(word):
+            if among is None or unit in among:
+                found[unit] += n
+    return found, len(seen)
+
+
+def _marks(toxic: tuple[Counter, int], ordinary: tuple[Counter, int]) -> list[bytes]:
+    """Units whose contexts lie in toxic documents beyond chance, the strongest first.
+
+    Under chance a context of a unit is toxic with the share of all contexts that is; the
+    log of the chance of at least so many is bounded by their relative entropy.  A stem
+    gives way to a longer unit that has at least four fifths of its contexts.
+    """
+    (within, n1), (outside, n0) = toxic, ordinary
+    q = n1 / (n1 + n0) if n1 else 1.0
     strength = {}
     for unit, c in within.items():
-        other = outside[unit]
-        pooled = (c + other + 1) / (n1 + n0 + 2)
-        errors = (c / n1 - other / n0) / math.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-        if (c + 0.5) / n1 > MARK_RATE * (other + 0.5) / n0 and errors > MARK_ERRORS:
-            strength[unit] = errors
-    longer = Counter()  # most documents of a longer unit, by stem
+        if c < 2 or len(unit) < STEMS[0]:
+            continue
+        share = c / (c + outside[unit])
+        if c * n0 > MARK_RATE * outside[unit] * n1:
+            rest = (1 - share) * math.log((1 - share) / (1 - q)) if share < 1 else 0.0
+            strength[unit] = (c + outside[unit]) * (share * math.log(share / q) + rest)
+    longer: Counter = Counter()  # most contexts of a longer unit, by stem
     for unit in strength:
         for k in range(STEMS[0], len(unit)):
             longer[unit[:k]] = max(longer[unit[:k]], within[unit])
-    return sorted((u for u in strength if longer[u] < 0.8 * within[u]), key=lambda u: (-strength[u], u))
+    ranked = sorted((u for u in strength if longer[u] < 0.8 * within[u]), key=lambda u: (-strength[u], u))
+    need = math.log(max(len(strength), 1) / CHANCE)
+    return [u for i, u in enumerate(ranked) if i < LEAST_MARKS or strength[u] > need]
 
 
-def _toxic_content(marks: list[bytes]) -> bytes:
-    chosen, size = [], 0
-    for unit in marks:
-        if (size := size + len(unit) + 1) > TOXIC_DICT:
-            break
-        chosen.append(unit)
-    return b" ".join(reversed(chosen)) + b" "
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """Content of a dictionary that zstandard trains; the samples themselves where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(reversed(samples)))[-size:]
+
+
+def _toxic_content(texts: list[str], marks: list[bytes]) -> bytes:
+    """Trained on the chosen segments of every toxic document, in their order."""
+    chosen = set(marks)
+    longest = functools.cache(lambda word: max((u for u in _units(word) if u in chosen), key=len, default=b""))
+    samples = []
+    for text in texts:
+        if found := [u for u in map(longest, _words_of(text)) if u]:
+            samples.append(b" " + b" ".join(found) + b" ")
+    return _trained(samples, TOXIC_DICT)
 
 
 def _ordinary_content(texts: list[str]) -> bytes:
-    """Words by the number of documents that have them, the most common last."""
-    count = Counter(w for t in texts for w in set(_words_of(t)))
-    return b" ".join(sorted(count, key=lambda w: (count[w], w)))[-ORDINARY_DICT:] + b" "
+    """Trained on pieces of ordinary documents."""
+    samples = []
+    for text in texts:
+        words = _words_of(text)
+        samples += [b" " + b" ".join(words[i : i + ORDINARY_WORDS]) + b" " for i in range(0, len(words), ORDINARY_WORDS)]
+    step = -(-len(samples) // ORDINARY_PIECES) or 1
+    return _trained(samples[::step], ORDINARY_DICT)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,27 +265,65 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return mean, scale, w
 
 
+def _contents(toxic: list[str], ordinary: list[str], counted: tuple) -> tuple[bytes, bytes]:
+    """(content of the toxic side, content of the ordinary side)."""
+    common = _ordinary_content(ordinary)
+    return _toxic_content(toxic, _marks(*counted)) + common, common
+
+
+def _all_features(texts: list[str], contents: tuple[bytes, bytes]) -> np.ndarray:
+    tools = [_dictionary(c) for c in contents]
+    return np.concatenate([_batch_features(*_joined(texts[i : i + 200]), *tools) for i in range(0, len(texts), 200)])
+
+
+def _cut(score: np.ndarray, y: np.ndarray) -> float:
+    """The score from which recall and clean share sum highest, with at most CLEAN_LOST of the clean ones above."""
+    order = np.argsort(-score, kind="stable")
+    found, lost = np.cumsum(y[order]) / y.sum(), np.cumsum(1 - y[order]) / (1 - y).sum()
+    ends = np.append(score[order][1:] < score[order][:-1], True)  # equal scores go together
+    good = np.where(ends & (lost <= CLEAN_LOST), found - lost, -1.0)
+    best = int(np.argmax(good))
+    if good[best] <= 0:
+        return 1.0
+    below = score[order][best + 1] if best + 1 < len(score) else 0.0
+    return float((score[order][best] + below) / 2)
+
+
 def fit(rows: list[tuple[int, str, int]], share: float) -> Model | float:
-    """Model from labelled (doc_id, text, toxic), or ``share`` where a class is too rare.
+    """Model from labelled (doc_id, text, toxic), or ``share`` where a class has fewer than two texts.
 
-    Documents with even hash make the dictionaries, the others calibrate.  ``share`` is the
-    toxic share of all labelled documents; the sample's own share is corrected to it.
+    Cross-fitted: documents with even and odd hash each make dictionaries for the other
+    half, so every calibration row is unknown to its dictionaries; the final ones are
+    trained on all.  ``share`` is the toxic share of all labelled documents; the sample's
+    own share is corrected to it.
     """
     rows = sorted(rows)
-    side = crc_mods([r[0] for r in rows], 10) % 2
-    train = [(t, y) for (_, t, y), s in zip(rows, side) if s == 0]
-    calibrate = [(t, y) for (_, t, y), s in zip(rows, side) if s]
-    n = [Counter(y for _, y in part) for part in (train, calibrate)]
-    if min(c[y] for c in n for y in (0, 1)) < LEAST:
-        return share
-    ordinary_texts = [t for t, y in train if not y]
-    toxic, ordinary = _toxic_content(_marks([t for t, y in train if y], ordinary_texts)), _ordinary_content(ordinary_texts)
-    tools = _dictionary(toxic), _dictionary(ordinary)
-    x = np.concatenate([_batch_features(*_joined([t for t, _ in calibrate[i : i + 200]]), *tools) for i in range(0, len(calibrate), 200)])
-    mean, scale, weights = _logistic(x, np.array([y for _, y in calibrate], dtype=float))
-    sampled = n[1][1] / len(calibrate)
-    weights[-1] += math.log(share / (1 - share)) - math.log(sampled / (1 - sampled))
-    return Model(toxic, ordinary, tuple(mean), tuple(scale), tuple(weights))
+    side = np.array([zlib.crc32(t.encode()) & 1 for _, t, _ in rows])  # copies fall on one side
+    y = np.array([r[2] for r in rows], dtype=float)
+    part = {(s, c): [t for (_, t, k), d in zip(rows, side) if d == s and k == c] for s in (0, 1) for c in (0, 1)}
+    if not all(part.values()):  # too few: by turns instead
+        rank = {c: 0 for c in (0, 1)}
+        for i, (_, _, k) in enumerate(rows):
+            side[i], rank[k] = rank[k] & 1, rank[k] + 1
+        part = {(s, c): [t for (_, t, k), d in zip(rows, side) if d == s and k == c] for s in (0, 1) for c in (0, 1)}
+        if not all(part.values()):
+            return share
+    toxic = {s: _contexts(part[s, 1]) for s in (0, 1)}
+    ordinary = {s: _contexts(part[s, 0], toxic[0][0] | toxic[1][0]) for s in (0, 1)}
+    x = np.zeros((len(rows), SAVINGS + 3))
+    for s in (0, 1):
+        mine = np.flatnonzero(side != s)
+        x[mine] = _all_features([rows[i][1] for i in mine], _contents(part[s, 1], part[s, 0], (toxic[s], ordinary[s])))
+    mean, scale, weights = _logistic(x, y)
+    weights[-1] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean())) if 0 < share < 1 else 0.0
+    both = [(a[0][0] + a[1][0], a[0][1] + a[1][1]) for a in (toxic, ordinary)]
+    contents = _contents(part[0, 1] + part[1, 1], part[0, 0] + part[1, 0], both)
+    cut = _cut(_logistic_score(x, mean, scale, weights), y)
+    return Model(*contents, tuple(mean), tuple(scale), tuple(weights), cut)
+
+
+def _logistic_score(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ weights[:-1] + weights[-1], -30, 30)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> tuple[list[tuple[int, str, int]], float]:
@@ -241,7 +352,7 @@ def _scorer(model: Model | float) -> Callable[[pa.Array], np.ndarray]:
 
     def score(column: pa.Array) -> np.ndarray:
         x = _batch_features(*text_buffers(column), toxic, ordinary)
-        return 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ weights[:-1] + weights[-1], -30, 30)))
+        return _logistic_score(x, mean, scale, weights)
 
     return score
 
@@ -258,13 +369,19 @@ def score_documents(docs: DataFrame, model: Model | float, id_col: str = "doc_id
 
 
 def drop_toxic(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, all columns as they are.  Narrow."""
+    """The rows of ``docs`` that score below the model's cut, all columns as they are.  Narrow.
+
+    Null and empty texts score as texts without evidence; repeated rows share their fate.
+    Without a fitted model nothing is known against any row, and all stay.
+    """
+    if not isinstance(model, Model):
+        return docs
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array(score(batch.column(at)) < 0.5))
+            yield batch.filter(pa.array(score(batch.column(at)) < model.cut))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -274,8 +391,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Only text enters the score.  Null and empty texts have no window and get the score
     of a text without evidence.  Repeated rows get equal scores; an empty table gives an
-    empty table; without enough labels every score is the labelled share of toxic
-    documents (0 without labels); other columns are ignored.
+    empty table; with fewer than two labelled documents of a class every score is the
+    labelled share of toxic documents (0 without labels); other columns are ignored.
     """
     rows = documents(docs, id_col, text_col)
     model = fit(*labelled_sample(rows, labels))
