@@ -18,7 +18,7 @@ from studylens.llm.toxicity import drop_toxic, fit, labelled_sample
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go; the model is fitted on labelled documents."""
+    """Documents that score above the cut go; model and cut are fitted on labelled documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return drop_toxic(docs, fit(*labelled_sample(documents(docs), labels)))
 
