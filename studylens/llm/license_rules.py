@@ -101,10 +101,10 @@ def _versioned() -> list[Rule]:
         ("rpl", "reciprocal public", "reciprocal", "1.1 1.5"),
         ("zpl", "zope public", "zope", "1.1 2.0 2.1"),
         ("psf", "python software foundation", "python software", "2"),
-        ("php", "php", "php licen", "3.0 3.01"),
+        ("php", "php", "php", "3.0 3.01"),
         ("sspl", "server side public", "server side", "1"),
         ("busl", "business source", "business source", "1.0 1.1"),
-        ("elastic", "elastic", "elastic licen", "1 2"),
+        ("elastic", "elastic", "elastic", "1 2"),
         ("ms-pl", "microsoft public", "microsoft public", "1"),
         ("ms-rl", "microsoft reciprocal", "microsoft reciprocal", "1"),
         ("apsl", "apple public source", "apple public", "1.0 1.1 1.2 2.0"),
@@ -171,4 +171,71 @@ def _plain() -> list[Rule]:
     return [Rule(*row) for row in rows]
 
 
-RULES: tuple[Rule, ...] = tuple(_gnu() + _creative_commons() + _versioned() + _plain())
+def _bodies() -> list[Rule]:
+    """Sentences that stand in the text of one license: (label, gate, words)."""
+    rows = (
+        # fixed values: sentences of published license texts
+        ("gpl-2", "take away your freedom", "the licen[sc]es for most software are designed to take away your freedom to share and change it"),
+        ("gpl-2", "verbatim copies", "you may copy and distribute verbatim copies of the program s source code as you receive it"),
+        ("gpl-2", "modify your copy", "you may modify your copy or copies of the program or any portion of it thus forming a work based on the program"),
+        ("gpl-3", "copyleft", "the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works"),
+        ("gpl-3", "circumvention", "protecting users legal rights from anti circumvention law"),
+        ("gpl-3", "convey", "to convey a work means any kind of propagation that enables other parties to make or receive copies"),
+        ("gpl", "program is free", "this program is free software you can redistribute it and or modify it"),
+        ("gpl", "without any warranty", "(?:but )?without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e"),
+        ("agpl-3", "interacting", "your modified version must prominently offer all users interacting with it remotely"),
+        ("agpl-3", "network server", "designed specifically to ensure cooperation with the community in the case of network server software"),
+        ("lgpl-2.1", "specially designated", "the lesser general public licen[sc]e applies to some specially designated software packages"),
+        ("lgpl-3", "incorporates", "this version of the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3 of the gnu general public licen[sc]e"),
+        ("lgpl", "library is free", "this library is free software you can redistribute it and or modify it"),
+        ("fdl", "textbook", "the purpose of this licen[sc]e is to make a manual textbook or other functional and useful document free in the sense of freedom"),
+        ("fdl", "invariant sections", "with no invariant sections no front cover texts and no back cover texts"),
+        ("fsf-text", "verbatim copies", "everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document but changing it is not allowed"),
+        ("apache-2", "applicable law", "unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+        ("apache-2", "perpetual", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e"),
+        ("apache-2", "compliance", "you may not use this file except in compliance with the licen[sc]e"),
+        ("apache-2", "apache", "(?:http|https) www apache org licen[sc]es licen[sc]e 2 0"),
+        ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
+        ("apache-1.0", "apache", "this product includes software developed by the apache group"),
+        ("mpl-2", "source code form", "this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0"),
+        ("mpl-2", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+        ("mpl-2", "incompatible", "this source code form is incompatible with secondary licen[sc]es"),
+        ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public licen[sc]e version 1 1"),
+        ("epl-1", "eclipse", "the accompanying program is provided under the terms of this eclipse public licen[sc]e"),
+        ("epl-2", "eclipse", "the accompanying materials are made available under the terms of the eclipse public licen[sc]e 2 0"),
+        ("epl", "recipient", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+        ("cddl", "common development", "the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+        ("cpl", "common public", "the accompanying program is provided under the terms of this common public licen[sc]e"),
+        ("cc-by", "appropriate credit", "you must give appropriate credit provide a link to the licen[sc]e and indicate if changes were made"),
+        ("cc-by", "medium or format", "(?:share )?copy and redistribute the material in any medium or format"),
+        ("cc-by-sa", "remix", "if you remix transform or build upon the material you must distribute your contributions under the same licen[sc]e as the original"),
+        ("cc-by-nc", "commercial purposes", "you may not use the material for commercial purposes"),
+        ("cc-by-nd", "remix", "if you remix transform or build upon the material you may not distribute the modified material"),
+        ("cc0-1.0", "neighboring", "has waived all copyright and related or neighboring rights"),
+        ("cc0-1.0", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders"),
+        ("mit", "substantial portions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+        ("mit", "noninfringement", "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+        ("x11", "x consortium", "the name of the x consortium shall not be used in advertising"),
+        ("bsd", "source code must", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+        ("bsd", "binary form", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+        ("bsl-1", "accompanying documentation", "any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e"),
+        ("zlib", "plainly marked", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+        ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+        ("unlicense", "anyone is free", "anyone is free to copy modify publish use compile sell or distribute this software"),
+        ("ofl-1.1", "font", "the goals of the open font licen[sc]e ofl are to stimulate worldwide development of collaborative font projects"),
+        ("ofl-1.1", "font software", "this font software is licensed under the sil open font licen[sc]e"),
+        ("wtfpl", "you just do", "you just do what the fuck you want to"),
+        ("artistic-1", "artistic control", "some semblance of artistic control over the development of the package"),
+        ("psf-2", "psf", "psf is making python available to licensee on an as is basis"),
+        ("eupl", "eupl", "licensed under the eupl"),
+        ("ms-pl", "accept this", "if you use the software you accept this licen[sc]e if you do not accept the licen[sc]e do not use the software"),
+        ("openssl", "openssl", "this product includes software developed by the openssl project"),
+        ("json", "good not evil", "the software shall be used for good not evil"),
+        ("sleepycat", "sleepycat", "the sleepycat (?:public )?licen[sc]e"),
+        ("odbl-1.0", "database", "this database is made available under the open database licen[sc]e"),
+        ("hpnd", "permission to use", "permission to use copy modify and distribute this software and its documentation for any purpose"),
+    )
+    return [Rule(label, EXACT, gate, pattern, 1.0) for label, gate, pattern in rows]
+
+
+RULES: tuple[Rule, ...] = tuple(_gnu() + _creative_commons() + _versioned() + _plain() + _bodies())

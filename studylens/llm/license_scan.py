@@ -7,6 +7,7 @@ number wins, and a detection inside the interval of a stronger one is suppressed
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -45,11 +46,22 @@ def _base() -> list[tuple[re.Pattern, bytes, str]]:
 
 
 def _resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Detections that no stronger detection contains, strongest first."""
+    """Detections that no stronger detection contains, strongest first.
+
+    ``starts`` and ``ends`` are the kept intervals that no other kept one contains, both
+    rising, so the last one that starts early enough decides.
+    """
     kept: list[tuple[int, int, Rule]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for start, end, rule in sorted(set(found), key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[2].label)):
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
+        at = bisect.bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        kept.append((start, end, rule))
+        first = bisect.bisect_left(starts, start)
+        last = bisect.bisect_right(ends, end)
+        starts[first : max(first, last)], ends[first : max(first, last)] = [start], [end]
     return kept
 
 
@@ -101,7 +113,8 @@ def _scan_slice(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...])
         joined = b" " + b" ".join(spaced[offsets[doc] : offsets[doc + 1]].split(b" ")) + b" "
         joined = re.sub(b" +", b" ", joined)
         base, found = _scan(joined, [groups[g] for g in sorted(gates) if g in groups])
-        places = [joined.count(b" ", 0, at) for at, _ in base]
+        gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
+        places = np.searchsorted(gaps, [at for at, _ in base]).tolist()
         names = sorted({label for _, label in base})
         out["n_base"][doc] = len(base)
         if places:

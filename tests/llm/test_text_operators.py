@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 
 from studylens.llm import katz, license_scan, media, toxicity
 
@@ -37,6 +38,52 @@ def test_license_scan(spark, no_docs):
     assert license_scan.license_scan(no_docs).collect() == []
 
 
+def slow_labels(text: str, rules) -> tuple[set[str], float]:
+    """Every rule without its gate, containment by comparing all pairs of detections."""
+    joined = b" " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))).encode() + b" "
+    found = []
+    for rule in rules:
+        found += [(m.start(), m.end(), rule) for m in re.finditer(b" (?:" + rule.pattern.encode() + b")(?= )", joined)]
+    kept = []
+    for start, end, rule in sorted(set(found), key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[2].label)):
+        if not any(a <= start and end <= b for a, b, _ in kept):
+            kept.append((start, end, rule))
+    base = {label for phrase, label in license_scan.BASE if f" {phrase} ".encode() in joined}
+    return base | {r.label for _, _, r in kept}, max([0.5 if base else 0.0, *(r.weight for _, _, r in kept)])
+
+
+def scanned(texts):
+    raw = [t.encode() for t in texts]
+    offsets = np.append(0, np.cumsum([len(r) for r in raw]))
+    out = license_scan._scan_slice(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets, license_scan.RULES)
+    return [({x for x in labels.split(",") if x}, score) for labels, score in zip(out["labels"], out["score"])]
+
+
+def test_gates_and_containment_change_no_label():
+    rng = random.Random(3)
+    pick = lambda p: re.sub(r"\[(\w)\w*\]|\(\?:([^()|]*)[^()]*\)\??| \?|(\w)\?|\.\{\d+,\d+\}\?", lambda m: m[1] or (m[2] if rng.random() < 0.6 else "") or (m[3] or "") if m[0] != " ?" else " ", p)
+    samples = [pick(pick(r.pattern)) for r in license_scan.RULES]
+    texts = ["php 3.0 and elastic 2", *samples, *[" or ".join(rng.sample(samples, 6)) for _ in range(60)], " ".join(samples)]
+    hit = 0
+    for text, got in zip(texts, scanned(texts)):
+        assert got == slow_labels(text, license_scan.RULES), text
+        hit += bool(got[0])
+    assert hit > 0.9 * len(texts)
+    assert scanned(texts[:1])[0][0] == {"php-3.0", "elastic-2"}
+
+
+@given(st.sampled_from(license_scan.RULES).flatmap(lambda r: st.from_regex(re.compile(r.pattern, re.ASCII), fullmatch=True)))
+@settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+def test_a_match_of_a_rule_needs_no_gate(text):
+    assert scanned([text])[0] == slow_labels(text, license_scan.RULES)
+
+
+def test_license_scan_of_a_very_long_text():
+    text = "under the mit license or gpl 3 all rights reserved " * 20_000
+    (labels, _), = scanned([text])
+    assert labels == {"mit", "gpl-3", "reserved"}
+
+
 def test_media(spark, odd_docs, no_docs):
     rows = media.text_media(odd_docs).collect()
     texts = {r.doc_id: r.text or "" for r in odd_docs.collect()}
