@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .words import text_buffers
 
+BUCKET_BYTES = 128 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -58,9 +59,19 @@ def discard(*frames: DataFrame, part: str = "") -> None:
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bucket_count(spark: SparkSession, per_partition: int = 2) -> int:
-    """Buckets of array rows: a multiple of the shuffle partitions the cluster is set to."""
-    return max(8, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def input_bytes(df: DataFrame) -> int:
+    """Size of ``df`` as the optimizer estimates it: the files' size where it is a scan."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def bucket_count(df: DataFrame, per_partition: int = 2) -> int:
+    """Buckets of array rows about ``df``.
+
+    A multiple of the shuffle partitions that the cluster is set to, and at least one
+    for each BUCKET_BYTES of input, so a bucket does not grow where nothing was set.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(8, per_partition * partitions, min(input_bytes(df) // BUCKET_BYTES, 1 << 20))
 
 
 def crc_mod(column: Column, modulus: int) -> Column:

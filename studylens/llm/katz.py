@@ -328,7 +328,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     contexts; the model stays in tables partitioned by context.
     """
     spark = docs.sparkSession
-    words, pairs = bucket_count(spark), max(PAIR_BUCKETS, bucket_count(spark))
+    words, pairs = bucket_count(docs), max(PAIR_BUCKETS, bucket_count(docs))
     blocks = documents(docs, id_col, text_col).mapInArrow(lambda it: _blocks(it, words), _BLOCKS)
     blocks = materialize(blocks.withColumn("part", (F.col("bucket") >= 0).cast("int")), "lm-blocks", "part")
     asked = blocks.filter("part = 1").select("block", "bucket", "words", "counts")

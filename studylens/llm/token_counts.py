@@ -220,7 +220,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     is the only thing that one task holds whole.
     """
     spark = docs.sparkSession
-    buckets = bucket_count(spark, 1)
+    buckets = bucket_count(docs, 1)
     blocks = materialize(documents(docs, id_col, text_col).mapInArrow(lambda it: _blocks(it, tokenizer, buckets), _BLOCKS), "token-blocks")
     asked = blocks.filter("bucket >= 0").select("block", "bucket", "words")
     counted = asked.groupBy("bucket").applyInArrow(lambda t: _count(t, tokenizer), "block string, bucket int, pieces array<int>")

@@ -94,10 +94,12 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def prefix(self) -> np.ndarray:
+    def prefix(self, salt: int = 0) -> np.ndarray:
+        """Sums for ``window_hash``; another salt gives hashes that collide independently."""
         up, _ = _WORD_POWERS.get(len(self.hash) + 1)
         sums = np.zeros(len(self.hash) + 1, dtype=U64)
-        np.cumsum(self.hash * up[: len(self.hash)], out=sums[1:])
+        code = mix(self.hash + U64(salt)) if salt else self.hash
+        np.cumsum(code * up[: len(self.hash)], out=sums[1:])
         return sums
 
     def window_hash(self, sums: np.ndarray, start: np.ndarray, length) -> np.ndarray:

@@ -67,7 +67,7 @@ def test_substrings_of_one_frequent_window(spark):
     df = spark.createDataFrame([(i, f"{line} {line} own{i}") for i in range(30)] + [(None, line), (99, line[:-1])], "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_words, r.n_removed) for r in sub.substring_dedup(df).collect()}
     assert all(got[i] == (81, 80) for i in range(30))
-    assert got[None] == (40, 0) and got[99] == (40, 39)
+    assert got[None] == (40, 40) and got[99] == (40, 39)
 
 
 def test_substrings_keep_other_columns(spark):
@@ -178,3 +178,12 @@ def test_components(spark):
     want = {i: 0 for i in range(61)} | {i: 100 for i in (100, 101, 102)} | {i: 500 for i in range(500, 540)}
     assert got == want
     assert connected_components(df.limit(0)).collect() == []
+
+
+def test_substrings_of_rows_without_or_with_shared_ids(spark):
+    passage = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    a, b, c = passage("a"), passage("b"), passage("c")
+    rows = [(None, a), (2, a), (1, b + " own"), (1, c), (3, b), (None, "x y"), (None, None), (4, c + " d"), (4, c + " d")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, doc int, tag int")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in sub.substring_dedup(df).collect())
+    assert got == sorted([(0, 40, 40, ""), (2, 40, 40, ""), (1, 41, 40, "own"), (1, 40, 40, ""), (3, 40, 40, ""), (0, 2, 0, "x y"), (0, 0, 0, ""), (4, 41, 41, ""), (4, 41, 41, "")])
