@@ -2,9 +2,10 @@
 
 Every piece of a document asks for a vector (tokens, documents, attention cost) and
 every bin offers one.  Among the bins whose residual holds the piece in every
-dimension, the one with the largest weighted dot product of demand and residual wins
-("dot") or the one whose residual after placing has the smallest weighted norm
-("norm").  Pieces go in by falling length.
+dimension, the one whose residual after placing has the smallest weighted norm wins
+("norm", the rule in production) or the one with the largest weighted dot product of
+demand and residual ("dot", which spreads pieces and needs more sequences).  Pieces go
+in by falling length; equal bins by age.
 
 All three demands follow from the length, so pieces of one length are alike and so are
 bins of one content.  The plan is made on counts: at most ``capacity`` lengths, and
@@ -76,9 +77,14 @@ def _cut(batches: Iterator[pa.RecordBatch], ranks_path: str, special: tuple, cap
 
 
 class VectorBestFit:
-    """Plan for counted lengths: groups of alike bins, filled by falling length."""
+    """Plan for counted lengths: groups of alike bins, filled by falling length.
 
-    def __init__(self, capacity: int, max_docs: int | None = None, max_cost: float | None = None, weights=(1.0, 0.1, 0.1), rule: str = "dot"):
+    ``plan`` places exactly what placing piece by piece would.  Under "norm" a bin that
+    took a piece is nearer to full than its like, so the next piece of that length goes
+    there too as long as it fits; under "dot" its product falls, so its like come first.
+    """
+
+    def __init__(self, capacity: int, max_docs: int | None = None, max_cost: float | None = None, weights=(1.0, 0.1, 0.1), rule: str = "norm"):
         if rule not in ("dot", "norm"):
             raise ValueError(f"unknown rule {rule!r}")
         self.limits = np.array([capacity, max_docs or capacity, max_cost or float(capacity) ** 2])
@@ -87,6 +93,13 @@ class VectorBestFit:
     def demand(self, length: int) -> np.ndarray:
         return np.array([length, 1.0, float(length) ** 2])
 
+    def score(self, residual: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Of bins that hold the piece; the lowest wins."""
+        share, ask = residual / self.limits, need / self.limits
+        if self.rule == "dot":
+            return -(self.weights * share * ask).sum(axis=-1)
+        return (self.weights * (share - ask) ** 2).sum(axis=-1)
+
     def plan(self, counts: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
         """(length, first number, last number + 1, first sequence, offset in the sequence).
 
@@ -100,46 +113,28 @@ class VectorBestFit:
             if (need > self.limits).any():
                 raise ValueError(f"a piece of {length} tokens fits no sequence")
             while left:
-                fits = (residual >= need).all(axis=1)
-                if fits.any():
-                    at = np.flatnonzero(fits)
-                    share, ask = residual[at] / self.limits, need / self.limits
-                    # a bin that the piece fills exactly can't be bettered
-                    if self.rule == "dot":
-                        score = -(self.weights * share * ask).sum(axis=1)
-                        score = np.where(residual[at, 0] == length, -np.inf, self._tight(residual[at, 0], length, score))
-                    else:
-                        score = (self.weights * (share - ask) ** 2).sum(axis=1)
-                    g = at[int(np.argmin(score))]
-                    take = min(left, int(copies[g]))
+                at = np.flatnonzero((residual >= need).all(axis=1))
+                if len(at):
+                    g = at[np.lexsort((base[at], self.score(residual[at], need)))[0]]
+                else:  # as many new bins as this length fills
+                    g, take = len(base), max(1, left // int(min(self.limits // need)))
+                    residual, copies, base, used = np.vstack([residual, self.limits]), np.append(copies, take), np.append(base, bins), np.append(used, 0)
+                    bins += take
+                layers = min(left, int(min(residual[g] // need))) if self.rule == "norm" else 1
+                take = min(left // layers, int(copies[g]))
+                if take < copies[g]:  # the rest of the group stays as it is
+                    residual = np.vstack([residual, residual[g]])
+                    copies, base, used = np.append(copies, copies[g] - take), np.append(base, base[g] + take), np.append(used, used[g])
+                    copies[g] = take
+                for _ in range(layers):
                     out.append((length, number, number + take, int(base[g]), int(used[g])))
-                    if take < copies[g]:  # the rest of the group stays as it is
-                        residual = np.vstack([residual, residual[g]])
-                        copies, base, used = np.append(copies, copies[g] - take), np.append(base, base[g] + take), np.append(used, used[g])
-                        copies[g] = take
-                    residual[g] = residual[g] - need
+                    residual[g] -= need
                     used[g] += length
-                else:
-                    per_bin = int(min(self.limits // need))
-                    take = max(1, left // per_bin)
-                    # alike bins filled with this length only, layer by layer
-                    layers = min(per_bin, left // take)
-                    for layer in range(layers):
-                        out.append((length, number, number + take, bins, layer * length))
-                        number, left = number + take, left - take
-                    residual = np.vstack([residual, self.limits - layers * need])
-                    copies, base, used = np.append(copies, take), np.append(base, bins), np.append(used, layers * length)
-                    bins += take
-                    continue
-                number, left = number + take, left - take
-            alive = residual[:, 0] > 0
+                    number, left = number + take, left - take
+            alive = (residual[:, 0] > 0) & (residual[:, 1] > 0)
             residual, copies, base, used = residual[alive], copies[alive], base[alive], used[alive]
         return out
 
-    def _tight(self, room: np.ndarray, length: int, score: np.ndarray) -> np.ndarray:
-        """Residual room decides between bins that the dot product ranks alike."""
-        return score + (room - length) / self.limits[0] * (1 + self.weights.sum())
-
 
 def best_fit_packing(docs: DataFrame, ranks_path: str, special: dict[str, int], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, packer: VectorBestFit | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.

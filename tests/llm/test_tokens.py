@@ -113,3 +113,44 @@ def test_plan_respects_every_capacity(counts, rule, max_docs):
             assert offset == at
             at += length
         assert at <= 64 and len(content) <= (max_docs or 64) and sum(n * n for _, n in content) <= 64 * 48
+
+
+def placed_one_by_one(packer, counts):
+    """Contents of the bins when every piece is placed on its own."""
+    bins = []
+    for length in sorted(counts, reverse=True):
+        need = packer.demand(length)
+        for _ in range(counts[length]):
+            fit = [i for i, (residual, _) in enumerate(bins) if (residual >= need).all()]
+            if fit:
+                i = min(fit, key=lambda i: (float(packer.score(bins[i][0], need)), i))
+            else:
+                i = len(bins)
+                bins.append([packer.limits.copy(), []])
+            bins[i][0] = bins[i][0] - need
+            bins[i][1].append(length)
+    return sorted(sorted(content) for _, content in bins)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 25), max_size=14), st.sampled_from([None, 3, 8]), st.sampled_from([None, 64.0 * 40]))
+def test_plan_places_like_one_by_one(counts, max_docs, max_cost):
+    packer = packing.VectorBestFit(64, max_docs, max_cost)
+    bins = {}
+    for length, first, last, sequence, _ in packer.plan(counts):
+        for i in range(last - first):
+            bins.setdefault(sequence + i, []).append(length)
+    assert sorted(sorted(b) for b in bins.values()) == placed_one_by_one(packer, counts)
+
+
+def test_limits_bind_without_costing_sequences(spark, byte_level):
+    """Ten short texts and ten that nearly fill a sequence: at most two texts to a sequence still fit in ten."""
+    path, library = byte_level
+    texts = ["a b c"] * 10 + ["w" + " w" * 49] * 10
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, None)], "doc_id long, text string")
+    packer = packing.VectorBestFit(64, max_docs=2, max_cost=64.0 * 64)
+    rows = packing.best_fit_packing(docs, P.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256}, capacity=64, packer=packer).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r.length)
+    assert len(by) == 11 and max(map(len, by.values())) == 2
