@@ -163,7 +163,7 @@ def best_fit_packing(docs: DataFrame, ranks_path: str, special: dict[str, int],
 
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = materialize(per_chunk.select("length", "chunk", F.coalesce(earlier, F.lit(0)).alias("before")), "pack-offsets")
-    numbered = pieces.join(offsets, ["length", "chunk"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("number"))
+    numbered = pieces.join(offsets.hint("merge"), ["length", "chunk"])  # offsets grow with the pieces.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("number"))
 
     def place(batches):
         rows = shared.value
