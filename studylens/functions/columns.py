@@ -4,9 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+
 def success() -> Column:
-    """Outcome as 0 or 1; NULL counts as 0."""
-    return F.coalesce(F.col("data_correct").cast("int"), F.lit(0))
+    """Outcome as 0 or 1; NULL stays NULL, so that means skip it."""
+    return F.col("data_correct").cast("int")
+
+
+def success_or_zero() -> Column:
+    """Outcome as 0 or 1 for running counts, where NULL is no success."""
+    return F.coalesce(success(), F.lit(0))
+
+
+def sum0(c: Column | str) -> Column:
+    """Sum that is 0 over no rows or only NULLs."""
+    return F.coalesce(F.sum(c), F.lit(0))
+
+
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def html_text(c: Column) -> Column:
+    """Text of marked-up content: tags go, common entities are read, white space collapses; NULL without text."""
+    text = F.regexp_replace(c.cast("string"), r"<[^>]*>", " ")
+    for entity, plain in _ENTITIES:  # the ampersand last, so that nothing is read twice
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    text = trimmed(F.regexp_replace(text, r"[\s\u00a0]+", " "))
+    return F.when(text != "", text)
 
 
 def trimmed(c: Column) -> Column:
@@ -64,13 +87,6 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def weighted(value: str, weight: str) -> Column:
-    """Weighted mean over rows that have a value; 0 where there is no weight."""
-    w = F.when(F.col(value).isNotNull(), F.col(weight))
-    total = F.sum(w)
-    return F.when(total > 0, F.sum(F.col(value) * w) / total).otherwise(F.lit(0.0))
-
-
 def logistic(item: Column, student: Column) -> Column:
     """Expected success on the rating scale of 400 points per factor ten."""
     return 1 / (1 + F.pow(F.lit(10.0), (item - student) / 400))

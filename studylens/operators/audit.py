@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import rate, success
+from ..functions.columns import rate, real_text, success
 from ..functions.lineage import kept
 from . import graph
 from .paths import first_exposures, retry_exposures
 
-PERCENTS = (0.1, 0.25, 0.5, 0.75, 0.9)
+#: Deciles, and the quartiles that ``shift_summary`` reads.
+PERCENTS = (0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9)
 
 
 def distribution(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -24,6 +25,22 @@ def distribution(rows: DataFrame, value: str, name: str) -> DataFrame:
     return steps.join(F.broadcast(whole)).groupBy("n", "mean", "sd", "min", "max").agg(*cut).withColumn("measure", F.lit(name))
 
 
+def histogram_distribution(histogram: DataFrame, value: str, count: str, name: str) -> DataFrame:
+    """IRT-1 over a histogram (one row per value): population sd, percentiles of rank ceil(p n), at least 1."""
+    v, k = F.col(value).cast("double"), F.col(count)
+    whole = histogram.agg(F.sum(k).alias("n"), (F.sum(v * k) / F.sum(k)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    rows = histogram.select(v.alias("v"), k.alias("k"), F.sum(k).over(Window.partitionBy(F.lit(0)).orderBy(v)).alias("upto")).join(F.broadcast(whole))
+    cut = [F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))), F.col("v"))).alias(f"p{round(p * 100)}") for p in PERCENTS]
+    sd = F.sqrt(F.sum((F.col("v") - F.col("mean")) ** 2 * F.col("k")) / F.max("n")).alias("sd")
+    return rows.groupBy("n", "mean", "min", "max").agg(sd, *cut).withColumn("measure", F.lit(name))
+
+
+def answered(attempts: DataFrame) -> DataFrame:
+    """What the audit reads: attempts with student, exercise, time, outcome and both ordinals."""
+    rows = attempts.filter(real_text(F.col("user_id")).isNotNull() & real_text(F.col("exercise_id")).isNotNull())
+    return rows.filter("created_at is not null and data_correct is not null and attempt_number is not null and student_attempt_index is not null")
+
+
 def sparsity(attempts: DataFrame) -> DataFrame:
     """IRT-2: scale of the table, first exposures and exercises with few of them."""
     first = first_exposures(attempts)

@@ -100,7 +100,7 @@ def exercise_map(frame: DataFrame, index: DataFrame) -> DataFrame:
     out = frame.withColumn("_r", F.row_number().over(Window.partitionBy("exercise_id").orderBy(*[F.coalesce(c, F.lit("")) for c in ("module_id", "objective_id", "activity_id")]))).filter("_r = 1").drop("_r")
     for level in ("activity", "objective", "module"):
         names = index.filter(F.col("type") == level).select(F.col("id").alias(f"{level}_id"), F.col("code").alias(f"{level}_code"), F.col("label").alias(f"{level}_label"))
-        out = out.join(F.broadcast(names), f"{level}_id", "left")
+        out = out.join(names, f"{level}_id", "left")
     return out
 
 
@@ -119,7 +119,7 @@ def derive_catalog(attempts: DataFrame, labels: DataFrame | None = None) -> Data
     if labels is not None:
         for level in ("module", "objective", "activity"):
             named = labels.select(F.col("id").alias(f"{level}_id"), F.col("label").alias("_named"))
-            rows = rows.join(F.broadcast(named), f"{level}_id", "left").withColumn(f"{level}_label", F.coalesce("_named", f"{level}_label")).drop("_named")
+            rows = rows.join(named, f"{level}_id", "left").withColumn(f"{level}_label", F.coalesce("_named", f"{level}_label")).drop("_named")
     return rows.drop("at", "_o", "_a")
 
 
@@ -139,7 +139,7 @@ def synthesise_unmapped(attempts: DataFrame, catalog: DataFrame) -> DataFrame:
     missing = attempts.filter("objective_id is not null").select("module_code", "objective_id").distinct().join(known, "objective_id", "left_anti")
     used = catalog.groupBy("module_code").agg(F.max(F.regexp_extract("objective_code", r"O(\d+)$", 1).cast("int")).alias("used"))
     k = F.row_number().over(Window.partitionBy("module_code").orderBy("objective_id"))
-    return missing.withColumn("k", k).join(F.broadcast(used), "module_code", "left").select("module_code", "objective_id", F.concat("module_code", F.lit("O"), (F.coalesce("used", F.lit(0)) + F.col("k")).cast("string")).alias("objective_code"))
+    return missing.withColumn("k", k).join(used, "module_code", "left").select("module_code", "objective_id", F.concat("module_code", F.lit("O"), (F.coalesce("used", F.lit(0)) + F.col("k")).cast("string")).alias("objective_code"))
 
 
 def resolve(attempts: DataFrame, catalog: DataFrame, codes: DataFrame) -> DataFrame:
@@ -154,25 +154,24 @@ def resolve(attempts: DataFrame, catalog: DataFrame, codes: DataFrame) -> DataFr
     rows = attempts.drop("module_id", "module_code", "module_label", "objective_label", "activity_label")
     for c in ("playlist_or_module_id", "objective_id", "activity_id", "exercise_id"):
         rows = rows.withColumn(c, real_id(F.col(c)))
-    small = lambda df: F.broadcast(df)
     modules = catalog.groupBy("module_id").agg(F.min("module_code").alias("d_module_code"), F.min("module_label").alias("d_module_label"))
-    rows = rows.join(small(modules), rows["playlist_or_module_id"] == modules["module_id"], "left").withColumnRenamed("module_id", "d_module_id")
+    rows = rows.join(modules, rows["playlist_or_module_id"] == modules["module_id"], "left").withColumnRenamed("module_id", "d_module_id")
     for c, alias in (("playlist_or_module_id", "p"), ("objective_id", "o"), ("activity_id", "a")):
-        rows = rows.join(small(codes.select(F.col("id").alias(f"_{alias}"), F.col("code").alias(f"{alias}_code"))), F.col(c) == F.col(f"_{alias}"), "left").drop(f"_{alias}")
+        rows = rows.join(codes.select(F.col("id").alias(f"_{alias}"), F.col("code").alias(f"{alias}_code")), F.col(c) == F.col(f"_{alias}"), "left").drop(f"_{alias}")
     context = F.coalesce("p_code", "o_code", "a_code")
     by_module = catalog.groupBy(F.col("module_code").alias("c_module_code")).agg(F.min("module_id").alias("c_module_id"), F.min("module_label").alias("c_module_label"))
     by_objective = catalog.groupBy(F.col("objective_code").alias("c_objective_code")).agg(F.min("objective_id").alias("c_objective_id"), F.min("objective_label").alias("c_objective_label"))
     by_activity = catalog.groupBy(F.col("activity_code").alias("c_activity_code")).agg(F.min("activity_id").alias("c_activity_id"), F.min("activity_label").alias("c_activity_label"))
     rows = rows.withColumns({f"_c_{level}": F.coalesce(*[code_of(F.col(f"{x}_code"), level) for x in ("a", "o", "p")]) for level in ("objective", "activity")} | {"_c_module": code_of(context, "module")})
     for level, table in (("module", by_module), ("objective", by_objective), ("activity", by_activity)):
-        rows = rows.join(small(table), F.col(f"_c_{level}") == F.col(f"c_{level}_code"), "left")
+        rows = rows.join(table, F.col(f"_c_{level}") == F.col(f"c_{level}_code"), "left")
     ids = {}
     for level in ("objective", "activity"):
         ids[level] = catalog.groupBy(F.col(f"{level}_id").alias(f"_{level}")).agg(F.min(f"{level}_label").alias(f"d_{level}_label"))
-        rows = rows.join(small(ids[level]), F.col(f"{level}_id") == F.col(f"_{level}"), "left")
+        rows = rows.join(ids[level], F.col(f"{level}_id") == F.col(f"_{level}"), "left")
     fallback = catalog.filter("exercise_id is not null").withColumn("_r", F.row_number().over(Window.partitionBy("exercise_id").orderBy("module_code", "objective_code", "activity_code"))).filter("_r = 1")
     fallback = fallback.select(F.col("exercise_id").alias("_e"), *[F.col(c).alias(f"e_{c}") for c in ("module_id", "module_code", "module_label", "objective_id", "objective_label", "activity_id", "activity_label")])
-    rows = rows.join(small(fallback), F.col("exercise_id") == F.col("_e"), "left")
+    rows = rows.join(fallback, F.col("exercise_id") == F.col("_e"), "left")
 
     bare = F.col("objective_id").isNull() & F.col("activity_id").isNull()
     source = F.when(F.col("d_module_id").isNotNull(), "direct").when(F.col("c_module_id").isNotNull(), "context").when(bare & F.col("e_module_id").isNotNull(), "exercise").otherwise("missing")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import rate, success, trimmed
+from ..functions.columns import rate, success, success_or_zero, trimmed
 
 ALL_STUDENTS = "__all_students__"
 
@@ -30,9 +30,9 @@ def replay_frames(attempts: DataFrame, step: int = 10, max_frames: int = 40) ->
     """
     rows = effective_classrooms(attempts).filter("created_at is not null and activity_id is not null")
     w = Window.partitionBy("classroom_id", "user_id").orderBy("created_at", "exercise_id", "attempt_number", "event_id")
-    rows = rows.select("classroom_id", "user_id", "activity_id", "exercise_id", "created_at", success().alias("s"), F.row_number().over(w).alias("ordinal"))
+    rows = rows.select("classroom_id", "user_id", "activity_id", "exercise_id", "created_at", success_or_zero().alias("s"), F.row_number().over(w).alias("ordinal"))
     width = rows.groupBy("classroom_id").agg(F.max("ordinal").alias("longest")).withColumn("width", F.greatest(F.lit(step), F.ceil(F.col("longest") / max_frames)).cast("int"))
-    rows = rows.join(F.broadcast(width), "classroom_id").withColumn("frame", F.ceil(F.col("ordinal") / F.col("width")).cast("int"))
+    rows = rows.join(width, "classroom_id").withColumn("frame", F.ceil(F.col("ordinal") / F.col("width")).cast("int"))
     fresh = Window.partitionBy("classroom_id", "user_id", "activity_id", "exercise_id").orderBy("ordinal")
     per = rows.withColumn("new_exercise", (F.row_number().over(fresh) == 1).cast("int")).groupBy("classroom_id", "user_id", "activity_id", "frame").agg(
         F.count("*").alias("n"), F.sum("s").alias("s"), F.sum("new_exercise").alias("e"), F.max("created_at").alias("t"), F.max("width").alias("width"), F.max("longest").alias("longest")
@@ -68,10 +68,12 @@ def default_classroom(profiles: DataFrame) -> DataFrame:
 
 
 def classroom_findings(attempts: DataFrame) -> DataFrame:
-    """CLS-3: per classroom the top student's share, variation, weak activities and breadth."""
+    """CLS-3: per classroom the share of its two most active students, variation, weak activities and breadth."""
     rows = effective_classrooms(attempts)
     students = rows.groupBy("classroom_id", "user_id").agg(F.count("*").alias("n"), F.count_distinct("activity_id").alias("breadth"))
-    a = students.groupBy("classroom_id").agg((F.max("n") / F.sum("n")).alias("top_student_share"), (F.stddev_pop("n") / F.avg("n")).alias("attempts_cv"), F.avg("breadth").alias("mean_breadth"))
+    place = F.row_number().over(Window.partitionBy("classroom_id").orderBy(F.desc("n"), "user_id"))
+    students = students.withColumn("place", place)
+    a = students.groupBy("classroom_id").agg((F.sum(F.when(F.col("place") <= 2, F.col("n"))) / F.sum("n")).alias("top_two_share"), (F.stddev_pop("n") / F.avg("n")).alias("attempts_cv"), F.avg("breadth").alias("mean_breadth"))
     b = rows.groupBy("classroom_id", "activity_id").agg(rate(success()).alias("r")).groupBy("classroom_id").agg(F.count_if(F.col("r") < 0.6).alias("weak_activities"), F.count("*").alias("activities"))
     return a.join(b, "classroom_id")
 
@@ -106,13 +108,13 @@ def student_rollup(profiles: DataFrame) -> DataFrame:
 
 def module_options(attempts: DataFrame, catalog: DataFrame) -> DataFrame:
     """SEL-8: modules of each student that the catalog has."""
-    return attempts.join(F.broadcast(catalog.select("module_code").distinct()), "module_code").groupBy("user_id", "module_code").agg(F.count("*").alias("attempts"))
+    return attempts.filter("user_id is not null").join(catalog.select("module_code").distinct(), "module_code").groupBy("user_id", "module_code").agg(F.count("*").alias("attempts"))
 
 
 def objective_summary(attempts: DataFrame, catalog: DataFrame) -> DataFrame:
     """STU-1: every catalog objective of a student's modules with attempts, success and coverage."""
     objectives = catalog.groupBy("module_code", "objective_id").agg(F.count_distinct("exercise_id").alias("exercises"))
-    grid = module_options(attempts, catalog).select("user_id", "module_code").join(F.broadcast(objectives), "module_code")
+    grid = module_options(attempts, catalog).select("user_id", "module_code").join(objectives, "module_code")
     first = F.col("attempt_number") == 1
     done = attempts.groupBy("user_id", "module_code", "objective_id").agg(F.count("*").alias("attempts"), F.count_distinct("exercise_id").alias("attempted"), F.count_if(first).alias("first_attempts"), rate(success()).alias("success_rate"), rate(F.when(first, success())).alias("first_attempt_success_rate"))
     out = grid.join(done, ["user_id", "module_code", "objective_id"], "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import success, count_with_null, rate, weighted
+from ..functions.columns import count_with_null, rate, success, success_or_zero, sum0
 
 HIERARCHY = ["module_id", "module_code", "module_label", "objective_id", "objective_label", "activity_id", "activity_label"]
 
@@ -13,14 +13,14 @@ def attempt_context(attempts: DataFrame) -> DataFrame:
     """AGG-0: success as integer, first-attempt flag and value, retry before any success."""
     earlier = Window.partitionBy("user_id", "exercise_id").orderBy("created_at", "attempt_number").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("attempt_number") == 1
-    prior = F.coalesce(F.sum(success()).over(earlier), F.lit(0))
+    prior = F.coalesce(F.sum(success_or_zero()).over(earlier), F.lit(0))
     return attempts.withColumns(
         {
             "success": success(),
-            "first_attempt_flag": first.cast("int"),
+            "first_attempt_flag": F.when(first, 1).otherwise(0),
             "first_attempt_value": F.when(first, success()),
             "repeat_attempt_flag": (F.col("attempt_number") > 1).cast("int"),
-            "retry_before_success_flag": ((F.col("attempt_number") > 1) & (prior == 0)).cast("int"),
+            "retry_before_success_flag": ((F.coalesce("attempt_number", F.lit(1)) > 1) & (prior == 0)).cast("int"),
         }
     )
 
@@ -80,16 +80,21 @@ def module_usage_daily(attempts: DataFrame) -> DataFrame:
 
 
 def playlist_module_usage(attempts: DataFrame) -> DataFrame:
-    """AGG-5: playlist x module; rows without module go where the playlist has a module."""
+    """AGG-5: playlist x module; rows without module go where the playlist has a module.
+
+    Attempts without a playlist are a group of their own.
+    """
     mapped = F.max(F.col("module_code").isNotNull()).over(Window.partitionBy("playlist_or_module_id"))
-    rows = attempts.filter("playlist_or_module_id is not null").withColumn("mapped", mapped).filter("module_code is not null or not mapped")
+    rows = attempts.withColumn("mapped", mapped).filter("module_code is not null or not mapped")
     modes = F.count_distinct("work_mode")
     return rows.groupBy("playlist_or_module_id", *HIERARCHY[:3]).agg(
         F.when(modes == 0, "unknown").when(modes == 1, F.max("work_mode")).otherwise("mixed").alias("work_mode"),
         F.count("*").alias("attempts"),
         F.count_distinct("user_id").alias("unique_students"),
+        F.count_distinct("classroom_id").alias("unique_classrooms"),
         F.count_distinct("activity_id").alias("unique_activities"),
         F.count_distinct("exercise_id").alias("unique_exercises"),
+        rate(success()).alias("success_rate"),
     )
 
 
@@ -187,16 +192,18 @@ LEVELS = {"module": HIERARCHY[:3], "objective": HIERARCHY[:5], "activity": HIERA
 def bottlenecks(daily: DataFrame, level: str = "activity", min_attempts: int = 1, n: int | None = None) -> DataFrame:
     """AGG-19: entities by difficulty, 0.7 failure + 0.3 retry before success.
 
-    Rates are attempt-weighted means of the daily table.
+    Rates are sums of rate x attempts over all attempts of the daily table, so days without
+    any known outcome count as attempts but not as failures.  Entities without id drop out.
     """
-    out = daily.groupBy(*LEVELS[level]).agg(
+    score = 0.7 * (1 - F.col("success_rate")) + 0.3 * F.col("retry_before_success_rate")
+    over_all = lambda c: F.coalesce(F.sum(c * F.col("attempts")) / F.sum("attempts"), F.lit(0.0))
+    out = daily.filter(F.col(f"{level}_id").isNotNull()).groupBy(*LEVELS[level]).agg(
         F.sum("attempts").alias("attempts"),
-        weighted("success_rate", "attempts").alias("success_rate"),
-        weighted("repeat_attempt_rate", "attempts").alias("repeat_attempt_rate"),
-        weighted("retry_before_success_rate", "attempts").alias("retry_before_success_rate"),
+        *[over_all(F.col(c)).alias(c) for c in ("success_rate", "repeat_attempt_rate", "retry_before_success_rate")],
+        over_all(1 - F.col("success_rate")).alias("failure_rate"),
+        over_all(score).alias("bottleneck_score"),
     )
-    failure = 1 - F.col("success_rate")
-    out = out.filter(F.col("attempts") >= min_attempts).withColumns({"failure_rate": failure, "bottleneck_score": 0.7 * failure + 0.3 * F.col("retry_before_success_rate")})
+    out = out.filter(F.col("attempts") >= min_attempts)
     if n is not None:
         out = out.orderBy(F.desc("bottleneck_score"), F.desc("attempts"), f"{level}_id").limit(n)
     return distinct_labels(out, f"{level}_label", f"{level}_id", None if level == "module" else "module_code")
@@ -222,7 +229,7 @@ SCOPES = ("zpdes", "playlist", "adaptive-test", "initial-test")
 def classroom_activity_summary(attempts: DataFrame, weak: float = 0.60) -> DataFrame:
     """AGG-11: activity rates per classroom, summarised over classrooms by mode scope."""
     scope = F.explode(F.when(F.col("work_mode").isin(*SCOPES), F.array("work_mode", F.lit("all"))).otherwise(F.array(F.lit("all"))))
-    per_class = attempts.filter("classroom_id is not null").select("classroom_id", "activity_label", success().alias("success"), scope.alias("mode_scope")).groupBy("mode_scope", "classroom_id", "activity_label").agg(F.count("*").alias("n"), F.sum("success").alias("s"), rate(F.col("success")).alias("r"))
+    per_class = attempts.filter("classroom_id is not null").select("classroom_id", "activity_label", success().alias("success"), scope.alias("mode_scope")).groupBy("mode_scope", "classroom_id", "activity_label").agg(F.count("*").alias("n"), sum0("success").alias("s"), rate(F.col("success")).alias("r"))
     below = F.count_if(F.col("r") < weak)
     return per_class.groupBy("mode_scope", "activity_label").agg(
         F.count("*").alias("classrooms"),

@@ -55,14 +55,21 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(keep.withColumnRenamed("node", "source"), "source", "left_semi").join(keep.withColumnRenamed("node", "target"), "target", "left_semi").select(*edges.columns)
 
 
-def focus(edges: DataFrame, node: str, rounds: int = 64) -> DataFrame:
-    """PRG-12: all ancestors of a node and its direct children, with their relation."""
-    found = kept(edges.filter(F.col("target") == node).select(F.col("source").alias("node")).distinct())
+def focus(edges: DataFrame, node: str, objectives: DataFrame | None = None) -> DataFrame:
+    """PRG-12: all ancestors of a node and its direct children, with their relation.
+
+    ``objectives`` (node, objective) are the activities with their objectives: the focused
+    activity and every activity among its ancestors pull in their objective, and its
+    ancestors.  A walk ends when a round finds nothing new.
+    """
+    up = edges.select("source", "target")
+    if objectives is not None:
+        up = up.unionByName(objectives.filter("objective is not null").select(F.col("objective").alias("source"), F.col("node").alias("target")))
+    up = kept(up.distinct())
+    found = kept(up.filter(F.col("target") == node).select(F.col("source").alias("node")).distinct())
     frontier = found
-    for _ in range(rounds):
-        frontier = kept(edges.join(frontier.withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("node")).distinct().join(found, "node", "left_anti"))
-        if frontier.isEmpty():
-            break
+    while not frontier.isEmpty():
+        frontier = kept(up.join(frontier.withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("node")).distinct().join(found, "node", "left_anti"))
         found = kept(found.unionByName(frontier))
     children = edges.filter(F.col("source") == node).select(F.col("target").alias("node")).distinct()
     return found.withColumn("relation", F.lit("ancestor")).unionByName(children.withColumn("relation", F.lit("child")))

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import success, rate
+from ..functions.columns import rate, real_text, success, trimmed
+from .ratings import with_rating
 
 METRICS = ("attempts", "success_rate", "exercise_balanced_success_rate", "activity_mean_exercise_elo", "repeat_attempt_rate", "first_attempt_success_rate", "playlist_unique_exercises")
 CELL = ["module_code", "objective_id", "objective_label", "activity_id", "activity_label"]
 
 
 def cells(attempts: DataFrame, metric: str, ratings: DataFrame | None = None, mode: str | None = None) -> DataFrame:
-    """MTX-1, MTX-2, MTX-3: one value per objective and activity, 0 without attempts."""
+    """MTX-1, MTX-2, MTX-3: one value per objective and activity, 0 without attempts.
+
+    Attempts without objective or activity have no cell.
+    """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     rows = attempts.filter(F.col("work_mode") == mode) if mode else attempts
+    for c in ("objective_id", "activity_id"):
+        rows = rows.filter(real_text(F.col(c)).isNotNull() & (trimmed(F.col(c)) != "None"))
     if metric == "exercise_balanced_success_rate":
         return rows.groupBy(*CELL, "exercise_id").agg(rate(success()).alias("r")).groupBy(*CELL).agg(F.avg("r").alias("metric_value"))
     if metric == "activity_mean_exercise_elo":
         seen = rows.select(*CELL, "exercise_id").distinct()
-        return seen.join(ratings.select("module_code", "exercise_id", "rating"), ["module_code", "exercise_id"], "left").groupBy(*CELL).agg(F.avg("rating").alias("metric_value"))
+        return with_rating(seen, ratings, "rating", "left").groupBy(*CELL).agg(F.avg("rating").alias("metric_value"))
     first = F.col("attempt_number") == 1
     value = {
         "attempts": F.count("*").cast("double"),

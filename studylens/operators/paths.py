@@ -7,27 +7,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import success, rate
+from ..functions.columns import rate, success, sum0
+from ..functions.rank import rank_by_range
 
 ORDER = ["created_at", "exercise_id", "attempt_number", "event_id"]
 
 
 def transition_edges(attempts: DataFrame) -> DataFrame:
-    """WIN-1: consecutive activities of a student by date of the first; self-transitions stay."""
+    """WIN-1: consecutive activities of a student by date of the first; self-transitions stay.
+
+    A next attempt without activity is no edge; the attempt after it does not move up.
+    """
     w = Window.partitionBy("user_id").orderBy(*ORDER)
-    names = ["activity_id", "activity_label", "module_code", "objective_id"]
-    rows = attempts.select("user_id", "date_utc", *names, F.lead(F.struct(*names, success().alias("success"))).over(w).alias("next")).filter("next is not null")
-    keys = [F.col(c).alias(f"from_{c}") for c in names[:3]] + [F.col(f"next.{c}").alias(f"to_{c}") for c in names[:3]]
+    names = ["activity_id", "activity_label", "module_code", "module_id", "module_label", "objective_id"]
+    rows = attempts.select("user_id", "date_utc", *names, F.lead(F.struct(*names, success().alias("success"))).over(w).alias("next")).filter("next.activity_id is not null")
+    keys = [F.col(c).alias(f"from_{c}") for c in names[:5]] + [F.col(f"next.{c}").alias(f"to_{c}") for c in names[:3]]
     return rows.groupBy("date_utc", *keys).agg(
         F.count("*").alias("transition_count"),
-        F.sum("next.success").alias("destination_successes"),
+        sum0("next.success").alias("destination_successes"),
         rate((F.col("objective_id") == F.col("next.objective_id")).cast("int")).alias("same_objective_rate"),
     )
 
 
 def cross_objective_edges(edges: DataFrame, n: int = 20) -> DataFrame:
     """WIN-2: most frequent edges between objectives."""
-    keys = [c for c in edges.columns if c.startswith(("from_", "to_"))]
+    keys = [f"{side}_{c}" for side in ("from", "to") for c in ("activity_id", "activity_label", "module_code")]
     out = edges.filter("same_objective_rate < 1").groupBy(*keys).agg(F.sum("transition_count").alias("transition_count"))
     return out.orderBy(F.desc("transition_count"), "from_activity_id", "to_activity_id").limit(n)
 
@@ -78,7 +82,8 @@ def work_mode_path_ranking(paths: DataFrame) -> DataFrame:
     path = F.concat_ws(" > ", "first_work_mode", "transition_1_mode", "transition_2_mode", "transition_3_mode", F.when(F.col("continues_after_transition_3"), F.lit("...")))
     out = paths.groupBy(path.alias("path")).agg(F.count("*").alias("student_count"))
     students = paths.agg(F.count("*").alias("students"))
-    return out.join(F.broadcast(students)).select("path", "student_count", (F.col("student_count") / F.col("students")).alias("student_share"), F.row_number().over(Window.orderBy(F.desc("student_count"), "path")).alias("rank"))
+    out = out.join(F.broadcast(students)).select("path", "student_count", (F.col("student_count") / F.col("students")).alias("student_share"))
+    return rank_by_range(out, F.desc("student_count"), F.asc("path"))
 
 
 def first_visits(attempts: DataFrame) -> DataFrame:
@@ -162,11 +167,12 @@ def segment_progress(runs: DataFrame) -> DataFrame:
 
 def empirical_curve(runs: DataFrame, ratings: DataFrame | None = None) -> DataFrame:
     """MOD-6: success by mode and position, with item rating and its coverage."""
+    from .ratings import with_rating  # ratings read paths through the audit
+
     if ratings is None:
         return runs.groupBy("work_mode", "position").agg(F.count("*").alias("attempts"), rate(success()).alias("success_rate"))
-    exact = ratings.select("module_code", "exercise_id", F.col("rating").alias("_exact"))
     mean = ratings.groupBy("exercise_id").agg(F.avg("rating").alias("_mean"))
-    rows = runs.join(exact, ["module_code", "exercise_id"], "left").join(mean, "exercise_id", "left").withColumn("item_rating", F.coalesce("_exact", "_mean"))
+    rows = with_rating(runs, ratings, "_exact", "left").join(mean, "exercise_id", "left").withColumn("item_rating", F.coalesce("_exact", "_mean"))
     return rows.groupBy("work_mode", "position").agg(F.count("*").alias("attempts"), rate(success()).alias("success_rate"), F.avg("item_rating").alias("mean_item_rating"), (F.count("item_rating") / F.count("*")).alias("rating_coverage"))
 
 

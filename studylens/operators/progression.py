@@ -27,7 +27,7 @@ def progression_events(attempts: DataFrame, ranks: DataFrame) -> DataFrame:
     from a dominance join on counts per (group, timestamp, rank).
     """
     rows = attempts.withColumn("y", outcome(F.col("data_correct"))).filter("y is not null and created_at is not null and exercise_id is not null and user_id is not null and work_mode is not null")
-    rows = rows.join(F.broadcast(ranks), ["module_code", "activity_id"])
+    rows = rows.join(ranks, ["module_code", "activity_id"])
     tick = F.dense_rank().over(Window.partitionBy(*GROUP).orderBy("created_at"))
     rows = rows.select(*GROUP, "activity_id", "activity_rank", "exercise_id", "date_utc", "created_at", "event_id", "y", tick.alias("tick"))
     before = lambda *keys: F.count("*").over(Window.partitionBy(*keys).orderBy("tick").rangeBetween(Window.unboundedPreceding, -1))

@@ -14,7 +14,7 @@ def missing_references(attempts: DataFrame, catalog: DataFrame) -> DataFrame:
     """DQ-2, SET-4: ids of attempts that the catalog lacks, by level, with attempts."""
     out = None
     for level in ("objective_id", "activity_id", "exercise_id"):
-        part = attempts.filter(F.col(level).isNotNull()).join(F.broadcast(catalog.select(level).distinct()), level, "left_anti").groupBy(F.col(level).alias("id")).agg(F.count("*").alias("attempts")).select(F.lit(level).alias("level"), "id", "attempts")
+        part = attempts.filter(F.col(level).isNotNull()).join(catalog.select(level).distinct(), level, "left_anti").groupBy(F.col(level).alias("id")).agg(F.count("*").alias("attempts")).select(F.lit(level).alias("level"), "id", "attempts")
         out = part if out is None else out.unionByName(part)
     return out
 

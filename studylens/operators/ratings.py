@@ -18,6 +18,10 @@ BASE, SCALE, K = 1500.0, 400.0, 24.0
 BATCH_SD, NEWTON_STEPS, BATCH_ROUNDS, BATCH_MEDIAN, BATCH_MAX = 250.0, 16, 10, 0.5, 3.0
 ITER_SD, SMOOTHING, LOW, HIGH, GOLDEN_STEPS, ITER_ROUNDS, ITER_MEDIAN, ITER_MAX = 200.0, 20.0, 600.0, 2400.0, 40, 10, 1.0, 5.0
 SLOPE = math.log(10.0) / SCALE
+#: An exercise is rated in its context: the same exercise elsewhere is another item.
+CONTEXT = ["module_code", "objective_id", "activity_id", "exercise_id"]
+#: Observations of one item or student up to which a fit folds over a single row.
+FOLD_ROWS = 100_000
 REPLAY_ORDER = ["created_at", "exercise_id", "attempt_number", "event_id"]
 
 
@@ -26,38 +30,49 @@ def calibration_rows(attempts: DataFrame) -> DataFrame:
     rows = attempts.filter("attempt_number = 1").withColumn("y", outcome(F.col("data_correct")))
     for c in ("user_id", "module_code", "exercise_id"):
         rows = rows.filter(real_text(F.col(c)).isNotNull())
-    return rows.filter("y is not null").select("module_code", "user_id", "exercise_id", "y")
+    return rows.filter("y is not null").select("user_id", *CONTEXT, "y")
 
 
 def item_key() -> Column:
     """ELO-1: key of an exercise in its context; missing levels are spelled out."""
-    return F.concat_ws("␟", *[F.coalesce(F.col(c), F.lit("__NULL__")) for c in ("module_code", "objective_id", "activity_id", "exercise_id")])
+    return F.concat_ws("␟", *[F.coalesce(F.col(c), F.lit("__NULL__")) for c in CONTEXT])
+
+
+def item_columns(items: DataFrame) -> list[str]:
+    """What identifies a row of ``items``: the whole context, or the part of it that the table has."""
+    return [c for c in CONTEXT if c in items.columns]
+
+
+def with_rating(rows: DataFrame, items: DataFrame, name: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the rating of their item; missing levels of a context equal each other."""
+    keys = item_columns(items)
+    right = items.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("rating").alias(name))
+    return rows.join(right, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], how).drop(*[f"_{c}" for c in keys])
 
 
 def item_base(attempts: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """ELO-1: contexts of the catalog, and of observed exercises without one the most used context."""
-    names = ["module_code", "objective_id", "activity_id", "exercise_id"]
-    seen = attempts.filter("exercise_id is not null").groupBy(*names).agg(F.count("*").alias("_n"), F.min(F.col("work_mode") == "initial-test").alias("_initial"))
+    """ELO-1: contexts of the catalog, and the observed contexts that it lacks."""
+    seen = attempts.filter("exercise_id is not null").groupBy(*CONTEXT).agg(F.min(F.col("work_mode") == "initial-test").alias("_initial"), F.min("activity_label").alias("_label")).withColumn("item_key", item_key())
     if catalog is not None:
-        seen = seen.join(catalog.select("module_code", "exercise_id").distinct(), ["module_code", "exercise_id"], "left_anti")
-    w = Window.partitionBy("module_code", "exercise_id").orderBy(F.desc("_n"), F.coalesce("objective_id", F.lit("")), F.coalesce("activity_id", F.lit("")))
-    top = seen.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    label = F.when(F.col("activity_id").isNull() & F.col("_initial"), F.concat(F.lit("Unmapped initial-test activity ("), F.coalesce("module_code", F.lit("-")), F.lit(")"))).otherwise(F.col("activity_id"))
-    out = top.select(*names, label.alias("activity_label"), F.lit(False).alias("in_catalog"))
+        known = catalog.select(*CONTEXT, F.col("activity_label")).withColumn("item_key", item_key()).dropDuplicates(["item_key"])
+        seen = seen.join(known.select("item_key"), "item_key", "left_anti")
+    unmapped = F.concat(F.lit("Unmapped initial-test activity ("), F.coalesce("module_code", F.lit("-")), F.lit(")"))
+    label = F.coalesce("_label", F.when(F.col("activity_id").isNull() & F.col("_initial"), unmapped), F.col("activity_id"))
+    out = seen.select(*CONTEXT, label.alias("activity_label"), F.lit(False).alias("in_catalog"), "item_key")
     if catalog is not None:
-        out = out.unionByName(catalog.select(*names, F.col("activity_label"), F.lit(True).alias("in_catalog")))
-    return out.withColumn("item_key", item_key())
+        out = out.unionByName(known.withColumn("in_catalog", F.lit(True)).select(*out.columns))
+    return out
 
 
 def smoothed_start(rows: DataFrame, by_module: bool = True) -> DataFrame:
-    """ELO-4: smoothed success rate as a rating, item mean moved to 1500 per module."""
-    keys = ["module_code"] if by_module else []
-    items = rows.groupBy(*keys, "exercise_id").agg(F.count("*").alias("calibration_attempts"), F.sum("y").alias("_s"))
-    scope = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    overall = F.sum("_s").over(scope) / F.sum("calibration_attempts").over(scope)
+    """ELO-4: smoothed success rate as a rating, item mean moved to 1500 per module (or over all)."""
+    items, scope = (item_columns(rows), ["module_code"]) if by_module else (["exercise_id"], [])
+    sums = rows.groupBy(*items).agg(F.count("*").alias("calibration_attempts"), F.sum("y").alias("_s"))
+    whole = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
+    overall = F.sum("_s").over(whole) / F.sum("calibration_attempts").over(whole)
     smoothed = F.greatest(F.lit(0.01), F.least(F.lit(0.99), (F.col("_s") + SMOOTHING * overall) / (F.col("calibration_attempts") + SMOOTHING)))
-    items = items.withColumn("smoothed_rate", smoothed).withColumn("_raw", BASE - SCALE * F.log10(F.col("smoothed_rate") / (1 - F.col("smoothed_rate"))))
-    return items.select(*keys, "exercise_id", "calibration_attempts", (F.col("_s") / F.col("calibration_attempts")).alias("calibration_success_rate"), "smoothed_rate", (F.col("_raw") - F.avg("_raw").over(scope) + BASE).alias("rating"))
+    sums = sums.withColumn("smoothed_rate", smoothed).withColumn("_raw", BASE - SCALE * F.log10(F.col("smoothed_rate") / (1 - F.col("smoothed_rate"))))
+    return sums.select(*items, "calibration_attempts", (F.col("_s") / F.col("calibration_attempts")).alias("calibration_success_rate"), "smoothed_rate", (F.col("_raw") - F.avg("_raw").over(whole) + BASE).alias("rating"))
 
 
 def _newton(observations: Column, start: Column, sign: int) -> Column:
@@ -84,40 +99,66 @@ def _newton(observations: Column, start: Column, sign: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.struct(start.cast("double").alias("r"), F.lit(False).alias("done")), step)["r"]
 
 
-def _fit(observed: DataFrame, key: list[str], sign: int) -> DataFrame:
-    """Ratings by ``key`` from rows with other, y, n, start: a fold over each key's rows."""
-    listed = observed.groupBy(*key).agg(F.collect_list(F.struct("other", "y", "n")).alias("o"), F.first("start").alias("start"))
-    return listed.select(*key, _newton(F.col("o"), F.col("start"), sign).alias("rating"))
+def _large(observed: DataFrame, key: list[str]) -> DataFrame | None:
+    """Keys with more than FOLD_ROWS rows; None if there are none."""
+    large = kept(observed.groupBy(*key).count().filter(F.col("count") > FOLD_ROWS).select(*key))
+    return None if large.isEmpty() else large
+
+
+def _fit(observed: DataFrame, key: list[str], sign: int, large: DataFrame | None) -> DataFrame:
+    """Ratings by ``key`` from rows with other, y, n, start.
+
+    A fold over each key's rows; keys of ``large`` sum gradient and curvature of every
+    step over all tasks instead, so none of them gathers in a row.
+    """
+    small = observed if large is None else observed.join(large, key, "left_anti")
+    listed = small.groupBy(*key).agg(F.collect_list(F.struct("other", "y", "n")).alias("o"), F.first("start").alias("start"))
+    out = listed.select(*key, _newton(F.col("o"), F.col("start"), sign).alias("rating"))
+    if large is None:
+        return out
+    rows, inverse = kept(observed.join(large, key, "left_semi")), 1.0 / BATCH_SD**2
+    now = kept(rows.groupBy(*key).agg(F.first("start").alias("r")).withColumn("done", F.lit(False)))
+    for _ in range(NEWTON_STEPS):
+        p = F.least(F.greatest(1 / (1 + F.exp(SLOPE * sign * (F.col("other") - F.col("r")))), F.lit(1e-9)), F.lit(1 - 1e-9))
+        sums = rows.join(now, key).groupBy(*key, "r", "done").agg(F.sum(sign * SLOPE * F.col("n") * (p - F.col("y"))).alias("g"), F.sum(SLOPE**2 * F.col("n") * p * (1 - p)).alias("h"))
+        step = ((F.col("r") - BASE) * inverse + F.col("g")) / (F.col("h") + inverse)
+        moved = F.least(F.greatest(F.col("r") - step, F.lit(LOW)), F.lit(HIGH))
+        now = kept(sums.select(*key, F.when(F.col("done"), F.col("r")).otherwise(moved).alias("r"), (F.col("done") | (F.abs(step) < 0.01)).alias("done")))
+    return out.unionByName(now.select(*key, F.col("r").alias("rating")))
 
 
 def joint_ratings(rows: DataFrame, rounds: int = BATCH_ROUNDS) -> DataFrame:
-    """ELO-5: exercise ratings per module by alternating student and item fits.
+    """ELO-5: ratings of exercises in their context by alternating student and item fits.
 
     A module stops on its own round, when its item changes have a median below 0.5 and a
     maximum below 3, measured before the items are moved back to a mean of 1500.  Each
     round is checkpointed; one row per module returns to the driver.
     """
-    observed = kept(rows.groupBy("module_code", "user_id", "exercise_id").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("n")))
-    items = kept(smoothed_start(rows).select("module_code", "exercise_id", "rating"))
+    rows = rows.withColumn("item", item_key())
+    observed = kept(rows.groupBy("module_code", "user_id", "item").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("n")))
+    contexts = kept(smoothed_start(rows).withColumn("item", item_key()).select("item", *CONTEXT, "rating"))
+    items = contexts.select("module_code", "item", "rating")
     users = kept(observed.select("module_code", "user_id").distinct().withColumn("rating", F.lit(BASE)))
+    student, item = ["module_code", "user_id"], ["module_code", "item"]
+    many, common = _large(observed, student), _large(observed, item)
     open_ = {r[0] for r in observed.select("module_code").distinct().collect()}
     for _ in range(rounds):
         if not open_:
             break
         live = observed.filter(F.col("module_code").isin(*open_))
-        pairs = live.join(items.withColumnRenamed("rating", "other"), ["module_code", "exercise_id"]).join(users.withColumnRenamed("rating", "start"), ["module_code", "user_id"])
-        fitted = _fit(pairs, ["module_code", "user_id"], 1)
-        pairs = live.join(fitted.withColumnRenamed("rating", "other"), ["module_code", "user_id"]).join(items.withColumnRenamed("rating", "start"), ["module_code", "exercise_id"])
-        refit = _fit(pairs, ["module_code", "exercise_id"], -1)
+        pairs = live.join(items.withColumnRenamed("rating", "other"), item).join(users.withColumnRenamed("rating", "start"), student)
+        fitted = _fit(pairs, student, 1, many)
+        pairs = live.join(fitted.withColumnRenamed("rating", "other"), student).join(items.withColumnRenamed("rating", "start"), item)
+        refit = _fit(pairs, item, -1, common)
         shift = BASE - F.avg("rating").over(Window.partitionBy("module_code"))
-        step = kept(refit.join(items.withColumnRenamed("rating", "last"), ["module_code", "exercise_id"]).withColumns({"delta": F.abs(F.col("rating") - F.col("last")), "shift": shift}))
+        step = kept(refit.join(items.withColumnRenamed("rating", "last"), item).withColumns({"delta": F.abs(F.col("rating") - F.col("last")), "shift": shift}))
         moved = step.groupBy("module_code").agg(F.first("shift").alias("shift"), F.median("delta").alias("median"), F.max("delta").alias("max"))
-        users_new = fitted.join(F.broadcast(moved), "module_code").select("module_code", "user_id", (F.col("rating") + F.col("shift")).alias("rating"))
+        users_new = fitted.join(moved, "module_code").select(*student, (F.col("rating") + F.col("shift")).alias("rating"))
         rest = lambda df: df.filter(~F.col("module_code").isin(*open_))
         users = kept(rest(users).unionByName(users_new))
-        items = kept(rest(items).unionByName(step.select("module_code", "exercise_id", (F.col("rating") + F.col("shift")).alias("rating"))))
+        items = kept(rest(items).unionByName(step.select(*item, (F.col("rating") + F.col("shift")).alias("rating"))))
         open_ = {r["module_code"] for r in moved.collect() if not (r["median"] < BATCH_MEDIAN and r["max"] < BATCH_MAX)}
-    return items
+    return contexts.drop("rating").join(items.select("item", "rating"), "item").select(*CONTEXT, "rating")
 
 
 def replay_rows(attempts: DataFrame) -> DataFrame:
@@ -125,10 +166,10 @@ def replay_rows(attempts: DataFrame) -> DataFrame:
     rows = attempts.withColumn("y", outcome(F.col("data_correct"))).filter("y is not null and created_at is not null")
     for c in ("user_id", "module_code", "exercise_id"):
         rows = rows.filter(real_text(F.col(c)).isNotNull())
-    return rows.select("user_id", "module_code", "exercise_id", "activity_id", "created_at", "attempt_number", "event_id", "y")
+    return rows.select("user_id", *CONTEXT, "created_at", "attempt_number", "event_id", "y")
 
 
-_EVENTS = "event_id bigint, user_id string, module_code string, exercise_id string, activity_id string, created_at timestamp_ntz, y double, attempt_ordinal int, item_rating double, pre double, expected double, post double"
+_EVENTS = "event_id bigint, user_id string, module_code string, objective_id string, activity_id string, exercise_id string, created_at timestamp_ntz, y double, attempt_ordinal int, item_rating double, pre double, expected double, post double"
 
 
 def _replay_group(frame: pd.DataFrame) -> pd.DataFrame:
@@ -147,20 +188,18 @@ def _replay_group(frame: pd.DataFrame) -> pd.DataFrame:
 def sequential_replay(rows: DataFrame, items: DataFrame, by_module: bool = True) -> DataFrame:
     """ELO-10 and ELO-12: rating before and after every attempt of a student.
 
-    ``items`` has rating by (module_code, exercise_id), or by exercise_id for the global
-    replay.  One group is one student's attempts (in one module).
+    ``items`` has ratings by context, or by exercise_id alone for the global replay.  One
+    group is one student's attempts (in one module).
     """
-    keys = ["module_code", "exercise_id"] if by_module else ["exercise_id"]
-    rated = rows.join(items.select(*keys, F.col("rating").alias("item_rating")), keys)
+    rated = with_rating(rows, items, "item_rating")
     groups = ["user_id", "module_code"] if by_module else ["user_id"]
     return rated.groupBy(*groups).applyInPandas(_replay_group, _EVENTS)
 
 
 def final_ratings(rows: DataFrame, items: DataFrame, by_module: bool = True) -> DataFrame:
     """Final rating of the sequential replay as a fold, without Python."""
-    keys = ["module_code", "exercise_id"] if by_module else ["exercise_id"]
     groups = ["user_id", "module_code"] if by_module else ["user_id"]
-    rated = rows.join(items.select(*keys, F.col("rating").alias("item_rating")), keys)
+    rated = with_rating(rows, items, "item_rating")
     listed = rated.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct(*REPLAY_ORDER, "item_rating", "y"))).alias("o"))
     fold = F.aggregate("o", F.lit(BASE), lambda r, o: r + K * (o["y"] - logistic(o["item_rating"], r)))
     return listed.select(*groups, F.size("o").alias("attempts"), fold.alias("final_rating"))
@@ -186,7 +225,7 @@ def rating_at(events: DataFrame, ordinal: int = 50) -> DataFrame:
 
 def activity_ratings(base: DataFrame, items: DataFrame) -> DataFrame:
     """ELO-8: mean rating, calibrated and total exercises, and coverage per activity."""
-    rows = base.join(items.select("module_code", "exercise_id", "rating"), ["module_code", "exercise_id"], "left")
+    rows = with_rating(base, items, "rating", "left")
     return rows.groupBy("module_code", "objective_id", "activity_id").agg(F.avg("rating").alias("mean_rating"), F.count("rating").alias("calibrated_exercises"), F.count("*").alias("exercises"), (F.count("rating") / F.count("*")).alias("coverage"))
 
 
@@ -240,7 +279,7 @@ def _prefix_group(frame: pd.DataFrame) -> pd.DataFrame:
 
 def batch_replay(rows: DataFrame, items: DataFrame) -> DataFrame:
     """ELO-11: rating refitted on the whole prefix after each attempt."""
-    rated = rows.join(items.select("module_code", "exercise_id", F.col("rating").alias("item_rating")), ["module_code", "exercise_id"])
+    rated = with_rating(rows, items, "item_rating")
     return rated.groupBy("user_id", "module_code").applyInPandas(_prefix_group, _EVENTS)
 
 
@@ -254,7 +293,8 @@ def block_ratings(attempts: DataFrame, items: DataFrame, mode: str = "adaptive-t
     before = F.col("practice_at").isNull() | (F.col("created_at") < F.col("practice_at"))
     if only_before_practice:
         block = block.filter(before)
-    rated = block.withColumn("y", outcome(F.col("data_correct"))).filter("y is not null").join(items.select("module_code", "exercise_id", F.col("rating").alias("other")), ["module_code", "exercise_id"])
+    rated = block.withColumn("y", outcome(F.col("data_correct"))).filter("y is not null")
+    rated = with_rating(rated, items, "other")
     per_item = rated.groupBy("user_id", "module_code", "other").agg(F.count("*").cast("double").alias("n"), F.avg("y").alias("y"), F.count_if(before).alias("_b"))
     listed = per_item.groupBy("user_id", "module_code").agg(F.collect_list(F.struct("other", "y", "n")).alias("o"), F.sum("n").cast("long").alias("attempts"), F.sum("_b").alias("before_practice"), F.sum(F.col("n") * F.col("y")).alias("successes"))
     return listed.select("user_id", "module_code", "attempts", "before_practice", (F.col("attempts") - F.col("before_practice")).alias("after_practice"), (F.col("successes") / F.col("attempts")).alias("success_rate"), _newton(F.col("o"), F.lit(BASE), 1).alias("rating"))
@@ -284,6 +324,23 @@ def _golden_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"exercise_id": frame["exercise_id"], "rating": (a + b) / 2})
 
 
+def _golden_large(rows: DataFrame) -> DataFrame:
+    """``_golden_items`` for exercises with very many rows: the loss of each step is summed over all tasks."""
+    ratio = (math.sqrt(5) - 1) / 2
+    c, d = F.col("b") - ratio * (F.col("b") - F.col("a")), F.col("a") + ratio * (F.col("b") - F.col("a"))
+
+    def loss(r: Column) -> Column:
+        p = F.least(F.greatest(logistic(r, F.col("pre")), F.lit(1e-9)), F.lit(1 - 1e-9))
+        return F.sum(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))) + 0.5 * F.pow((r - BASE) / ITER_SD, F.lit(2))
+
+    now = kept(rows.select("exercise_id").distinct().withColumns({"a": F.lit(LOW), "b": F.lit(HIGH)}))
+    for _ in range(GOLDEN_STEPS):
+        sums = rows.join(now, "exercise_id").withColumns({"c": c, "d": d}).groupBy("exercise_id", "a", "b", "c", "d").agg(loss(F.col("c")).alias("fc"), loss(F.col("d")).alias("fd"))
+        left = F.col("fc") <= F.col("fd")
+        now = kept(sums.select("exercise_id", F.when(left, F.col("a")).otherwise(F.col("c")).alias("a"), F.when(left, F.col("d")).otherwise(F.col("b")).alias("b")))
+    return now.select("exercise_id", ((F.col("a") + F.col("b")) / 2).alias("rating"))
+
+
 def iterative_ratings(rows: DataFrame, rounds: int = ITER_ROUNDS) -> DataFrame:
     """ELO-6: global exercise ratings from replays of all students.
 
@@ -291,12 +348,19 @@ def iterative_ratings(rows: DataFrame, rounds: int = ITER_ROUNDS) -> DataFrame:
     exercise on them and moves the mean to 1500; changes are measured after that.  Two
     numbers per round return to the driver.
     """
-    first = rows.filter("attempt_number = 1")
+    rows = kept(rows)
+    first = kept(rows.filter("attempt_number = 1").select("event_id", "exercise_id", "y"))
     items = kept(smoothed_start(first, by_module=False).select("exercise_id", "rating"))
+    large = _large(first, ["exercise_id"])
     for _ in range(rounds):
-        events = sequential_replay(rows, items, by_module=False).join(first.select("event_id"), "event_id", "left_semi")
-        seen = events.groupBy("exercise_id").agg(F.collect_list("pre").alias("pre"), F.collect_list("y").alias("y"))
-        fitted = items.select("exercise_id").join(seen.mapInPandas(_golden_items, "exercise_id string, rating double"), "exercise_id", "left").withColumn("rating", F.coalesce("rating", F.lit(BASE)))
+        events = sequential_replay(rows, items, by_module=False).join(first.select("event_id"), "event_id", "left_semi").select("exercise_id", "pre", "y")
+        if large is not None:
+            events = kept(events)
+        small = events if large is None else events.join(large, "exercise_id", "left_anti")
+        found = small.groupBy("exercise_id").agg(F.collect_list("pre").alias("pre"), F.collect_list("y").alias("y")).mapInPandas(_golden_items, "exercise_id string, rating double")
+        if large is not None:
+            found = found.unionByName(_golden_large(events.join(large, "exercise_id", "left_semi")))
+        fitted = items.select("exercise_id").join(found, "exercise_id", "left").withColumn("rating", F.coalesce("rating", F.lit(BASE)))
         moved = fitted.withColumn("rating", F.col("rating") - F.avg("rating").over(Window.partitionBy(F.lit(0))) + BASE)
         step = kept(moved.join(items.withColumnRenamed("rating", "last"), "exercise_id"))
         items = step.select("exercise_id", "rating")
@@ -307,18 +371,17 @@ def iterative_ratings(rows: DataFrame, rounds: int = ITER_ROUNDS) -> DataFrame:
 
 
 def compare_systems(left: DataFrame, right: DataFrame) -> DataFrame:
-    """ELO-18: correlation and median absolute shift of two rating tables by exercise."""
-    both = left.select("module_code", "exercise_id", F.col("rating").alias("a")).join(right.select("module_code", "exercise_id", F.col("rating").alias("b")), ["module_code", "exercise_id"])
+    """ELO-18: correlation and median absolute shift of two rating tables by item."""
+    both = with_rating(left.withColumnRenamed("rating", "a"), right, "b")
     return both.agg(F.count("*").alias("exercises"), F.corr("a", "b").alias("correlation"), F.median(F.abs(F.col("a") - F.col("b"))).alias("median_abs_shift"), F.avg(F.col("b") - F.col("a")).alias("mean_shift"))
 
 
 def exercise_shifts(left: DataFrame, right: DataFrame, calibration: DataFrame) -> DataFrame:
-    """ELO-18: both ratings of each exercise, their difference, and its first attempts."""
-    keys = ["module_code", "exercise_id"]
-    seen = calibration.groupBy(*keys).agg(F.count("*").alias("calibration_attempts"))
-    both = left.select(*keys, F.col("rating").alias("current_elo")).join(right.select("exercise_id", F.col("rating").alias("iterative_elo")), "exercise_id").join(seen, keys)
+    """ELO-18: both ratings of each item, their difference, and its first attempts."""
+    seen = calibration.groupBy(*CONTEXT).agg(F.count("*").alias("rating"))
+    both = with_rating(with_rating(left.withColumnRenamed("rating", "current_elo"), right, "iterative_elo"), seen, "calibration_attempts")
     shift = F.col("iterative_elo") - F.col("current_elo")
-    return both.select(*keys, "calibration_attempts", "current_elo", "iterative_elo", shift.alias("elo_diff"), F.abs(shift).alias("abs_elo_diff"))
+    return both.select(*CONTEXT, "calibration_attempts", "current_elo", "iterative_elo", shift.alias("elo_diff"), F.abs(shift).alias("abs_elo_diff"))
 
 
 def shift_summary(shifts: DataFrame) -> DataFrame:

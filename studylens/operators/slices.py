@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import real_text
 from ..functions.rank import rank_by_range
-from . import classroom, daily, evidence, paths
+from . import classroom, daily, evidence, paths, ratings
 
 CANONICAL = r"^M\d+$"
 
@@ -62,9 +62,11 @@ def first_wins(frames: list[DataFrame], key: list[str]) -> DataFrame:
 
 def rating_table(base: DataFrame, items: DataFrame, calibration: DataFrame) -> DataFrame:
     """ELO-2, ELO-7: every exercise with its rating if calibrated, attempts filled with 0."""
-    keys = [c for c in ("module_code", "exercise_id") if c in items.columns]
+    keys = ratings.item_columns(items)
     seen = calibration.groupBy(*keys).agg(F.count("*").alias("calibration_attempts"), F.avg("y").alias("calibration_success_rate"))
-    out = base.join(items.select(*keys, "rating"), keys, "left").join(seen, keys, "left")
+    out = base
+    for table, name in ((items, "rating"), (seen.withColumnRenamed("calibration_attempts", "rating"), "calibration_attempts"), (seen.withColumnRenamed("calibration_success_rate", "rating"), "calibration_success_rate")):
+        out = ratings.with_rating(out, table.select(*keys, "rating"), name, "left")
     done = F.coalesce(F.col("calibration_attempts"), F.lit(0)) > 0
     return out.select(
         *base.columns, F.when(done, F.col("rating")).alias("exercise_elo"), F.coalesce("calibration_attempts", F.lit(0)).alias("calibration_attempts"),

@@ -26,6 +26,21 @@ def exercise_pairs(spark, sf_dir):
     return A.exercise_pairs(attempts(spark, sf_dir))
 
 
+_HISTOGRAM_SQL = (
+    PAIRS_SQL
+    + """, histogram AS (SELECT shared_students AS v, count(*) AS k FROM pairs GROUP BY 1), steps AS (SELECT *, sum(k) OVER (ORDER BY v) AS upto, sum(k) OVER () AS n FROM histogram)
+SELECT CAST(max(n) AS BIGINT) AS n, round(sum(v * k) / max(n), 6) AS mean, CAST(min(v) AS DOUBLE) AS min, CAST(max(v) AS DOUBLE) AS max,
+  round(sqrt((sum(CAST(v AS DOUBLE) * v * k) - sum(v * k) * (sum(v * k) / max(n))) / max(n)), 6) AS sd, """
+    + ", ".join(f"CAST(min(v) FILTER (WHERE upto >= greatest(1, ceil({p}::DOUBLE * n))) AS DOUBLE) AS p{round(p * 100)}" for p in A.PERCENTS)
+    + ", 'shared_students' AS measure FROM steps"
+)
+
+
+@register("overlap_histogram_distribution", _HISTOGRAM_SQL)
+def overlap_histogram_distribution(spark, sf_dir):
+    return rounded(A.histogram_distribution(A.overlap_distribution(A.exercise_pairs(attempts(spark, sf_dir))), "shared_students", "pairs", "shared_students"))
+
+
 @register("overlap_distribution", PAIRS_SQL + " SELECT shared_students, count(*) AS pairs FROM pairs GROUP BY 1")
 def overlap_distribution(spark, sf_dir):
     return A.overlap_distribution(A.exercise_pairs(attempts(spark, sf_dir)))
@@ -33,7 +48,7 @@ def overlap_distribution(spark, sf_dir):
 
 COMPONENT_SQL = (
     ATTEMPTS_SQL.replace("WITH raw_events", "WITH RECURSIVE raw_events", 1)
-    + """, links AS (SELECT DISTINCT 's:' || user_id AS s, 'e:' || exercise_id AS e FROM attempts WHERE work_mode = 'initial-test'),
+    + """, links AS (SELECT DISTINCT 's:' || user_id AS s, 'e:' || exercise_id AS e FROM attempts WHERE work_mode = 'initial-test' AND user_id IS NOT NULL AND exercise_id IS NOT NULL),
 both_ways AS (SELECT s AS a, e AS b FROM links UNION ALL SELECT e, s FROM links),
 reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ways UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.other)"""
 )

@@ -12,9 +12,9 @@ from .registry import register
 REPLAY_SQL = (
     ATTEMPTS_SQL
     + """, ordinals AS (
-  SELECT classroom_id, user_id, activity_id, exercise_id, created_at, CAST(data_correct AS INTEGER) AS s,
+  SELECT classroom_id, user_id, activity_id, exercise_id, created_at, coalesce(CAST(data_correct AS INTEGER), 0) AS s,
     row_number() OVER (PARTITION BY classroom_id, user_id ORDER BY created_at, exercise_id, attempt_number, event_id) AS ordinal
-  FROM attempts WHERE classroom_id IS NOT NULL AND trim(classroom_id) NOT IN ('', 'None')
+  FROM attempts WHERE classroom_id IS NOT NULL AND trim(classroom_id) NOT IN ('', 'None') AND activity_id IS NOT NULL
 ), widths AS (SELECT classroom_id, max(ordinal) AS longest, CAST(greatest(10, ceil(max(ordinal) / 40.0::DOUBLE)) AS BIGINT) AS width FROM ordinals GROUP BY 1),
 frames AS (SELECT classroom_id, longest, width, CAST(g.i AS INTEGER) AS frame, least(g.i * width, longest) AS cutoff FROM widths, range(1, 100000) g(i) WHERE (g.i - 1) * width < longest)
 SELECT f.classroom_id, frame, cutoff, activity_id, user_id, count(*) AS attempts, CAST(sum(s) AS BIGINT) AS successes, round(CAST(sum(s) AS DOUBLE) / count(*), 6) AS success_rate,
@@ -62,9 +62,9 @@ def classrooms_near_size(spark, sf_dir):
     "classroom_findings",
     ATTEMPTS_SQL
     + """, kept AS (SELECT * FROM attempts WHERE classroom_id IS NOT NULL), per_student AS (SELECT classroom_id, user_id, count(*) AS n, count(DISTINCT activity_id) AS b FROM kept GROUP BY 1, 2),
-a AS (SELECT classroom_id, CAST(max(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS t, stddev_pop(n) / avg(n) AS cv, avg(b) AS mb FROM per_student GROUP BY 1),
+a AS (SELECT classroom_id, CAST(list_sum(list_sort(list(n), 'DESC')[1:2]) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS t, stddev_pop(n) / avg(n) AS cv, avg(b) AS mb FROM per_student GROUP BY 1),
 b AS (SELECT classroom_id, count(*) FILTER (WHERE r < 0.6) AS weak_activities, count(*) AS activities FROM (SELECT classroom_id, activity_id, avg(CAST(data_correct AS INTEGER)) AS r FROM kept GROUP BY 1, 2) GROUP BY 1)
-SELECT classroom_id, round(t, 6) AS top_student_share, round(cv, 6) AS attempts_cv, round(mb, 6) AS mean_breadth, weak_activities, activities FROM a JOIN b USING (classroom_id)""",
+SELECT classroom_id, round(t, 6) AS top_two_share, round(cv, 6) AS attempts_cv, round(mb, 6) AS mean_breadth, weak_activities, activities FROM a JOIN b USING (classroom_id)""",
 )
 def classroom_findings(spark, sf_dir):
     return rounded(C.classroom_findings(attempts(spark, sf_dir)))
@@ -73,7 +73,7 @@ def classroom_findings(spark, sf_dir):
 SELECTION_SQL = (
     ATTEMPTS_SQL
     + """, selection AS (SELECT user_id, count(*) AS attempts, min(created_at) AS first_attempt_at, max(created_at) AS last_attempt_at, count(DISTINCT module_code) AS unique_modules,
-  string_agg(DISTINCT module_code, ',' ORDER BY module_code) AS modules, count(*) >= 50 AS eligible FROM attempts GROUP BY user_id)"""
+  string_agg(DISTINCT module_code, ',' ORDER BY module_code) AS modules, count(*) >= 50 AS eligible FROM attempts WHERE user_id IS NOT NULL GROUP BY user_id)"""
 )
 
 
@@ -112,7 +112,7 @@ def student_rollup(spark, sf_dir):
 SUMMARY_SQL = (
     CATALOG_SQL
     + """, objectives AS (SELECT module_code, objective_id, count(DISTINCT exercise_id) AS exercises FROM catalog GROUP BY 1, 2),
-grid AS (SELECT DISTINCT user_id, module_code FROM attempts), done AS (
+grid AS (SELECT DISTINCT user_id, module_code FROM attempts WHERE user_id IS NOT NULL), done AS (
   SELECT user_id, module_code, objective_id, count(*) AS n, count(DISTINCT exercise_id) AS e, count(*) FILTER (WHERE attempt_number = 1) AS f, avg(CAST(data_correct AS INTEGER)) AS r,
     avg(CAST(data_correct AS INTEGER)) FILTER (WHERE attempt_number = 1) AS fr FROM attempts GROUP BY 1, 2, 3
 ), summary AS (

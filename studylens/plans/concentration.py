@@ -13,8 +13,8 @@ def entity_sql(level: str) -> str:
     return (
         ATTEMPTS_SQL
         + f""", entity AS (
-  SELECT {id_} AS id, max({label}) AS label, count(*) AS attempts, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM attempts) AS attempt_share, count(DISTINCT exercise_id) AS contained_exercises
-  FROM attempts GROUP BY {id_}
+  SELECT {id_} AS id, max({label}) AS label, count(*) AS attempts, CAST(count(*) AS DOUBLE) / (SELECT count({id_}) FROM attempts) AS attempt_share, count(DISTINCT exercise_id) AS contained_exercises
+  FROM attempts WHERE {id_} IS NOT NULL GROUP BY {id_}
 ), ranked AS (SELECT *, row_number() OVER (ORDER BY attempts DESC, id) AS rank, count(*) OVER () AS n FROM entity),
 deciled AS (
   SELECT id, label, attempts, attempt_share, contained_exercises, rank,
@@ -50,7 +50,7 @@ def concentration_findings(spark, sf_dir):
 
 STUDENT_SQL = (
     ATTEMPTS_SQL
-    + """, student AS (SELECT user_id, count(*) AS attempts, count(DISTINCT exercise_id) AS unique_exercises, count(DISTINCT activity_id) AS unique_activities FROM attempts GROUP BY user_id),
+    + """, student AS (SELECT user_id, count(*) AS attempts, count(DISTINCT exercise_id) AS unique_exercises, count(DISTINCT activity_id) AS unique_activities FROM attempts WHERE user_id IS NOT NULL GROUP BY user_id),
 ranked AS (SELECT *, row_number() OVER (ORDER BY attempts DESC, user_id) AS rank, count(*) OVER () AS n FROM student)"""
 )
 
@@ -67,7 +67,7 @@ def student_concentration(spark, sf_dir):
 
 WITHIN_SQL = (
     ATTEMPTS_SQL
-    + """, per AS (SELECT activity_id AS id, user_id, count(*) AS attempts FROM attempts GROUP BY 1, 2),
+    + """, per AS (SELECT activity_id AS id, user_id, count(*) AS attempts FROM attempts WHERE user_id IS NOT NULL AND activity_id IS NOT NULL GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY attempts DESC, user_id) AS rank, count(*) OVER (PARTITION BY id) AS n FROM per),
 filled AS (SELECT id, (rank - 1) * 10 // n + 1 AS bucket, sum(attempts) AS attempts, count(*) AS students FROM ranked GROUP BY 1, 2),
 total AS (SELECT id, sum(attempts) AS total, count(*) AS unique_students FROM per GROUP BY id),
@@ -90,13 +90,18 @@ def top_student_share(spark, sf_dir):
 
 
 #: Smoothed start ratings, the fixed item ratings of replay oracles.
+def same_item(a: str, b: str) -> str:
+    """Join condition on an exercise in its context; missing levels equal each other."""
+    return " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in R.CONTEXT)
+
+
 START_SQL = (
     CONTEXT_SQL
-    + """, item_counts AS (SELECT module_code, exercise_id, count(*) AS n, CAST(sum(success) AS DOUBLE) AS s FROM ctx WHERE attempt_number = 1 GROUP BY 1, 2),
+    + """, item_counts AS (SELECT module_code, objective_id, activity_id, exercise_id, count(*) AS n, CAST(sum(success) AS DOUBLE) AS s FROM ctx WHERE attempt_number = 1 AND success IS NOT NULL AND user_id IS NOT NULL AND module_code IS NOT NULL AND exercise_id IS NOT NULL GROUP BY 1, 2, 3, 4),
 item_rates AS (
   SELECT *, greatest(0.01::DOUBLE, least(0.99::DOUBLE, (s + 20 * (sum(s) OVER (PARTITION BY module_code) / CAST(sum(n) OVER (PARTITION BY module_code) AS DOUBLE))) / (n + 20))) AS smoothed_rate FROM item_counts
 ), item_raw AS (SELECT *, 1500 - 400 * log10(smoothed_rate / (1 - smoothed_rate)) AS raw FROM item_rates),
-items AS (SELECT module_code, exercise_id, n AS calibration_attempts, s / n AS calibration_success_rate, smoothed_rate, raw - avg(raw) OVER (PARTITION BY module_code) + 1500 AS rating FROM item_raw)"""
+items AS (SELECT module_code, objective_id, activity_id, exercise_id, n AS calibration_attempts, s / n AS calibration_success_rate, smoothed_rate, raw - avg(raw) OVER (PARTITION BY module_code) + 1500 AS rating FROM item_raw)"""
 )
 
 _CELL = "module_code, objective_id, objective_label, activity_id, activity_label"
@@ -104,7 +109,7 @@ _VALUES = {
     "attempts": f"SELECT {_CELL}, CAST(count(*) AS DOUBLE) AS v FROM ctx GROUP BY ALL",
     "success_rate": f"SELECT {_CELL}, avg(success) AS v FROM ctx GROUP BY {_CELL}",
     "exercise_balanced_success_rate": f"SELECT {_CELL}, avg(r) AS v FROM (SELECT {_CELL}, exercise_id, avg(success) AS r FROM ctx GROUP BY {_CELL}, exercise_id) GROUP BY {_CELL}",
-    "activity_mean_exercise_elo": f"SELECT {_CELL}, avg(rating) AS v FROM (SELECT DISTINCT {_CELL}, exercise_id FROM ctx) LEFT JOIN items USING (module_code, exercise_id) GROUP BY {_CELL}",
+    "activity_mean_exercise_elo": f"SELECT {_CELL}, avg(rating) AS v FROM (SELECT DISTINCT {_CELL}, exercise_id FROM ctx) x LEFT JOIN items i ON {same_item('x', 'i')} GROUP BY {_CELL}".replace("SELECT module_code, objective_id, objective_label, activity_id, activity_label, avg", "SELECT x.module_code, x.objective_id, objective_label, x.activity_id, activity_label, avg").replace("GROUP BY module_code, objective_id, objective_label, activity_id, activity_label", "GROUP BY x.module_code, x.objective_id, objective_label, x.activity_id, activity_label"),
     "repeat_attempt_rate": f"SELECT {_CELL}, avg(repeat_flag) AS v FROM ctx GROUP BY {_CELL}",
     "first_attempt_success_rate": f"SELECT {_CELL}, coalesce(avg(first_value), 0) AS v FROM ctx GROUP BY {_CELL}",
     "playlist_unique_exercises": f"SELECT {_CELL}, CAST(count(DISTINCT CASE WHEN work_mode = 'playlist' THEN exercise_id END) AS DOUBLE) AS v FROM ctx GROUP BY ALL",
@@ -114,7 +119,7 @@ _VALUES = {
 def matrix_sql(metric: str) -> str:
     return (
         START_SQL
-        + f""", vals AS ({_VALUES[metric]}),
+        + f""", placed AS (SELECT * FROM ctx WHERE objective_id IS NOT NULL AND activity_id IS NOT NULL), vals AS ({_VALUES[metric].replace("FROM ctx", "FROM placed")}),
 objective_rows AS (SELECT module_code, objective_id, objective_label, row_number() OVER (PARTITION BY module_code ORDER BY lower(objective_label), objective_id) AS row_idx FROM (SELECT DISTINCT module_code, objective_id, objective_label FROM vals)),
 cells AS (
   SELECT v.*, o.objective_label AS objective_row_label, row_idx, row_number() OVER (PARTITION BY v.module_code, v.objective_id ORDER BY lower(activity_label), activity_id) AS activity_col_idx

@@ -13,7 +13,7 @@ CONTEXT_SQL = (
     ATTEMPTS_SQL
     + """, flagged AS (
   SELECT *, CAST(data_correct AS INTEGER) AS success,
-    sum(CAST(data_correct AS INTEGER)) OVER (PARTITION BY user_id, exercise_id ORDER BY created_at, attempt_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
+    sum(coalesce(CAST(data_correct AS INTEGER), 0)) OVER (PARTITION BY user_id, exercise_id ORDER BY created_at, attempt_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
   FROM attempts
 ), ctx AS (
   SELECT *, CASE WHEN attempt_number = 1 THEN 1 ELSE 0 END AS first_flag, CASE WHEN attempt_number = 1 THEN success END AS first_value,
@@ -69,7 +69,7 @@ def agg_objective_daily(spark, sf_dir):
 @register(
     "agg_student_module_progress",
     CONTEXT_SQL
-    + """ SELECT date_utc, user_id, module_id, module_code, module_label, count(*) AS attempts, count(DISTINCT activity_id) AS unique_activities,
+    + """ SELECT date_utc, user_id, module_id, module_code, module_label, count(*) AS attempts, count(DISTINCT activity_id) + max(CAST(activity_id IS NULL AS INTEGER)) AS unique_activities,
   round(avg(success), 6) AS success_rate, round(avg(attempt_number), 6) AS avg_attempt_number, max(created_at) AS last_attempt_at
   FROM ctx GROUP BY date_utc, user_id, module_id, module_code, module_label""",
 )
@@ -92,15 +92,17 @@ PLAYLIST_SQL = (
     + """, playlists AS (
   SELECT playlist_or_module_id, module_id, module_code, module_label,
     CASE count(DISTINCT work_mode) WHEN 0 THEN 'unknown' WHEN 1 THEN max(work_mode) ELSE 'mixed' END AS work_mode,
-    count(*) AS attempts, count(DISTINCT user_id) AS unique_students, count(DISTINCT activity_id) AS unique_activities, count(DISTINCT exercise_id) AS unique_exercises
-  FROM attempts WHERE playlist_or_module_id IS NOT NULL GROUP BY ALL
+    count(*) AS attempts, count(DISTINCT user_id) AS unique_students, count(DISTINCT classroom_id) AS unique_classrooms, count(DISTINCT activity_id) AS unique_activities,
+    count(DISTINCT exercise_id) AS unique_exercises, avg(CAST(data_correct AS INTEGER)) AS success_rate
+  FROM (SELECT *, bool_or(module_code IS NOT NULL) OVER (PARTITION BY playlist_or_module_id) AS mapped FROM attempts)
+  WHERE module_code IS NOT NULL OR NOT mapped GROUP BY playlist_or_module_id, module_id, module_code, module_label
 )"""
 )
 
 
-@register("agg_playlist_module_usage", PLAYLIST_SQL + " SELECT * FROM playlists")
+@register("agg_playlist_module_usage", PLAYLIST_SQL + " SELECT * REPLACE (round(success_rate, 6) AS success_rate) FROM playlists")
 def agg_playlist_module_usage(spark, sf_dir):
-    return D.playlist_module_usage(attempts(spark, sf_dir))
+    return rounded(D.playlist_module_usage(attempts(spark, sf_dir)))
 
 
 @register("playlist_intensity", PLAYLIST_SQL + " SELECT module_code, count(*) AS playlists, round(avg(unique_activities), 6) AS mean_unique_activities FROM playlists GROUP BY module_code")
@@ -108,9 +110,9 @@ def playlist_intensity(spark, sf_dir):
     return rounded(D.playlist_intensity(D.playlist_module_usage(attempts(spark, sf_dir))))
 
 
-@register("top_playlists", PLAYLIST_SQL + " SELECT * FROM playlists ORDER BY attempts DESC, playlist_or_module_id, module_code LIMIT 25")
+@register("top_playlists", PLAYLIST_SQL + " SELECT * REPLACE (round(success_rate, 6) AS success_rate) FROM playlists ORDER BY attempts DESC, playlist_or_module_id NULLS FIRST, module_code NULLS FIRST LIMIT 25")
 def top_playlists(spark, sf_dir):
-    return D.top_playlists(D.playlist_module_usage(attempts(spark, sf_dir)))
+    return rounded(D.top_playlists(D.playlist_module_usage(attempts(spark, sf_dir))))
 
 
 USAGE_SQL = ATTEMPTS_SQL + f", usage AS (SELECT {_KEYS}, count(*) AS attempts, count(DISTINCT user_id) AS unique_students FROM attempts GROUP BY ALL)"
@@ -121,7 +123,7 @@ def agg_module_activity_usage(spark, sf_dir):
     return rounded(D.module_activity_usage(attempts(spark, sf_dir)))
 
 
-@register("top_activities", USAGE_SQL + " SELECT *, round(attempts / CAST(sum(attempts) OVER (PARTITION BY module_code) AS DOUBLE), 6) AS activity_share_within_module, activity_label AS display_label FROM usage ORDER BY attempts DESC, module_code, activity_id LIMIT 25")
+@register("top_activities", USAGE_SQL + " SELECT *, round(attempts / CAST(sum(attempts) OVER (PARTITION BY module_code) AS DOUBLE), 6) AS activity_share_within_module, coalesce(activity_label, activity_id, 'unknown') AS display_label FROM usage ORDER BY attempts DESC, module_code NULLS FIRST, activity_id NULLS FIRST LIMIT 25")
 def top_activities(spark, sf_dir):
     return rounded(D.top_activities(D.module_activity_usage(attempts(spark, sf_dir))))
 
@@ -175,9 +177,9 @@ def exposure(spark, sf_dir):
 @register(
     "diligent_performance",
     EXPOSURE_SQL
-    + """ SELECT e.attempts >= 10 AND e.unique_activities >= 5 AND e.active_days >= 3 AS diligent, count(*) AS attempts, count(DISTINCT c.user_id) AS unique_students,
+    + """ SELECT coalesce(e.attempts >= 10 AND e.unique_activities >= 5 AND e.active_days >= 3, false) AS diligent, count(*) AS attempts, count(DISTINCT c.user_id) AS unique_students,
   round(avg(success), 6) AS success_rate, round(median(data_duration), 6) AS median_duration, round(avg(repeat_flag), 6) AS repeat_attempt_rate
-  FROM ctx c JOIN exposure e USING (user_id, module_code) GROUP BY 1""",
+  FROM ctx c LEFT JOIN exposure e ON e.user_id = c.user_id AND e.module_code = c.module_code GROUP BY 1""",
 )
 def diligent_performance(spark, sf_dir):
     return rounded(D.diligent_performance(attempts(spark, sf_dir)))
@@ -194,12 +196,13 @@ def _bottleneck_sql(level: str) -> str:
         DAILY_SQL
         + f""", scored AS (
   SELECT {keys}, CAST(sum(attempts) AS BIGINT) AS attempts, sum(success_rate * attempts) / sum(attempts) AS success_rate,
-    sum(repeat_attempt_rate * attempts) / sum(attempts) AS repeat_attempt_rate, sum(retry_before_success_rate * attempts) / sum(attempts) AS retry_before_success_rate
-  FROM daily GROUP BY {keys}
+    sum(repeat_attempt_rate * attempts) / sum(attempts) AS repeat_attempt_rate, sum(retry_before_success_rate * attempts) / sum(attempts) AS retry_before_success_rate,
+    sum(attempts - success_rate * attempts) / sum(attempts) AS failure_rate, sum((0.7::DOUBLE * (1 - success_rate) + 0.3::DOUBLE * retry_before_success_rate) * attempts) / sum(attempts) AS score
+  FROM daily WHERE {level}_id IS NOT NULL GROUP BY {keys}
 )
-SELECT {keys}, attempts, round(success_rate, 6) AS success_rate, round(repeat_attempt_rate, 6) AS repeat_attempt_rate,
-  round(retry_before_success_rate, 6) AS retry_before_success_rate, round(1 - success_rate, 6) AS failure_rate,
-  round(0.7::DOUBLE * (1 - success_rate) + 0.3::DOUBLE * retry_before_success_rate, 6) AS bottleneck_score, {level}_label AS display_label
+SELECT {keys}, attempts, round(coalesce(success_rate, 0), 6) AS success_rate, round(repeat_attempt_rate, 6) AS repeat_attempt_rate,
+  round(retry_before_success_rate, 6) AS retry_before_success_rate, round(coalesce(failure_rate, 0), 6) AS failure_rate,
+  round(coalesce(score, 0), 6) AS bottleneck_score, {level}_label AS display_label
 FROM scored"""
     )
 

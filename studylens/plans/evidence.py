@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import daily as D, evidence as E, paths as P
 from ..sources.attempts_view import ATTEMPTS_SQL, attempts
-from .concentration import START_SQL
+from .concentration import START_SQL, same_item
 from .daily import CONTEXT_SQL, DAILY_SQL, rounded
 from .paths import EDGES_SQL, runs_sql
 from .ratings import _events, _start, replay_sql
@@ -15,8 +15,9 @@ from .registry import register
     "bottleneck_evidence",
     DAILY_SQL
     + """, scored AS (
-  SELECT activity_id, CAST(sum(attempts) AS BIGINT) AS attempts, 1 - sum(success_rate * attempts) / sum(attempts) AS f, sum(retry_before_success_rate * attempts) / sum(attempts) AS q FROM daily GROUP BY 1
-), impacts AS (SELECT *, 0.7::DOUBLE * f + 0.3::DOUBLE * q AS score FROM scored), ranked AS (SELECT *, score * attempts AS impact, row_number() OVER (ORDER BY round(score * attempts, 6) DESC, activity_id) AS rank FROM impacts)
+  SELECT activity_id, CAST(sum(attempts) AS BIGINT) AS attempts, coalesce(sum((1 - success_rate) * attempts), 0) / sum(attempts) AS f, sum(retry_before_success_rate * attempts) / sum(attempts) AS q,
+    coalesce(sum((0.7::DOUBLE * (1 - success_rate) + 0.3::DOUBLE * retry_before_success_rate) * attempts), 0) / sum(attempts) AS score FROM daily WHERE activity_id IS NOT NULL GROUP BY 1
+), impacts AS (SELECT * FROM scored), ranked AS (SELECT *, score * attempts AS impact, row_number() OVER (ORDER BY round(score * attempts, 6) DESC, activity_id) AS rank FROM impacts)
 SELECT activity_id, attempts, round(score, 6) AS bottleneck_score, round(impact, 6) AS impact, CASE WHEN f - q > 0.1 THEN 'failure' WHEN f - q < -0.1 THEN 'retry' ELSE 'mixed' END AS driver, rank,
   round(sum(CASE WHEN rank <= 3 THEN impact ELSE 0 END) OVER () / sum(impact) OVER (), 6) AS top_3_share FROM ranked""",
 )
@@ -28,7 +29,7 @@ def bottleneck_evidence(spark, sf_dir):
     "transition_evidence",
     EDGES_SQL
     + """, pairs AS (SELECT from_activity_id, to_activity_id, CAST(sum(transition_count) AS BIGINT) AS n, CAST(sum(destination_successes) AS BIGINT) AS s FROM edges GROUP BY 1, 2)
-SELECT from_activity_id, to_activity_id, n, s, round(CAST(s AS DOUBLE) / n, 6) AS destination_success, n - s AS fragility, row_number() OVER (ORDER BY n - s DESC, from_activity_id, to_activity_id) AS rank,
+SELECT from_activity_id, to_activity_id, n, s, round(CAST(s AS DOUBLE) / n, 6) AS destination_success, n - s AS fragility, row_number() OVER (ORDER BY n - s DESC, from_activity_id NULLS FIRST, to_activity_id) AS rank,
   round(CAST(s AS DOUBLE) / n - CAST(sum(s) OVER () - s AS DOUBLE) / CAST(sum(n) OVER () - n AS DOUBLE), 6) AS gap_to_rest FROM pairs""",
 )
 def transition_evidence(spark, sf_dir):
@@ -84,7 +85,7 @@ def single_module_playlists(spark, sf_dir):
     return E.single_module_playlists(attempts(spark, sf_dir)).select("event_id", "user_id", "work_mode", "playlist_or_module_id")
 
 
-@register("empirical_curve", START_SQL + runs_sql("student").split("FROM coded\n)", 1)[1] + " SELECT work_mode, position, count(*) AS attempts, round(avg(CAST(data_correct AS INTEGER)), 6) AS success_rate, round(avg(rating), 6) AS mean_item_rating, round(CAST(count(rating) AS DOUBLE) / count(*), 6) AS rating_coverage FROM runs LEFT JOIN items USING (module_code, exercise_id) GROUP BY work_mode, position")
+@register("empirical_curve", START_SQL + runs_sql("student").split("FROM coded\n)", 1)[1] + " SELECT work_mode, position, count(*) AS attempts, round(avg(CAST(data_correct AS INTEGER)), 6) AS success_rate, round(avg(coalesce(rating, m)), 6) AS mean_item_rating, round(CAST(count(coalesce(rating, m)) AS DOUBLE) / count(*), 6) AS rating_coverage FROM runs x LEFT JOIN items i ON " + same_item("x", "i") + " LEFT JOIN (SELECT exercise_id AS e, avg(rating) AS m FROM items GROUP BY 1) f ON f.e = x.exercise_id GROUP BY work_mode, position")
 def empirical_curve(spark, sf_dir):
     return rounded(P.empirical_curve(P.trajectories(attempts(spark, sf_dir)), _start(spark, sf_dir)))
 
@@ -93,7 +94,7 @@ def empirical_curve(spark, sf_dir):
     "model_design",
     runs_sql("student")
     + """ SELECT user_id, classroom_id, module_code, 1.0::DOUBLE AS intercept, CAST(work_mode = 'zpdes' AS DOUBLE) AS zpdes, CAST(position AS DOUBLE) AS position, CAST(work_mode = 'zpdes' AS DOUBLE) * position AS interaction, CAST(data_correct AS DOUBLE) AS y,
-  dense_rank() OVER (ORDER BY user_id) AS student_code, dense_rank() OVER (ORDER BY classroom_id NULLS FIRST, user_id) AS classroom_code FROM runs WHERE work_mode IN ('zpdes', 'playlist')""",
+  dense_rank() OVER (ORDER BY user_id NULLS FIRST) AS student_code, dense_rank() OVER (ORDER BY classroom_id NULLS FIRST, user_id NULLS FIRST) AS classroom_code FROM runs WHERE work_mode IN ('zpdes', 'playlist')""",
 )
 def model_design(spark, sf_dir):
     return E.design(P.trajectories(attempts(spark, sf_dir)))

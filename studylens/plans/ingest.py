@@ -22,8 +22,8 @@ def researcher_lines(spark, sf_dir):
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     answer = F.when(F.col("event_id") % 3 == 0, F.lit("1, 2, 3")).when(F.col("event_id") % 3 == 1, F.lit('"4, 5"')).otherwise(F.lit("x"))
     fields = {
-        "classroom_id": text(F.col("classroom_id")), "teacher_id": F.lit(""), "user_id": F.col("user_id"), "playlist_or_module_id": F.col("playlist_or_module_id"),
-        "objective_id": F.col("objective_id"), "activity_id": F.col("activity_id"), "exercise_id": F.col("exercise_id"), "module_long_title": F.col("module_label"),
+        "classroom_id": text(F.col("classroom_id")), "teacher_id": F.lit(""), "user_id": text(F.col("user_id")), "playlist_or_module_id": text(F.col("playlist_or_module_id")),
+        "objective_id": text(F.col("objective_id")), "activity_id": text(F.col("activity_id")), "exercise_id": text(F.col("exercise_id")), "module_long_title": text(F.col("module_label")),
         "created_at": F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "login_time": F.lit(""), "is_initial_test": F.lit("false"), "data_correct": text(F.col("data_correct")),
         "work_mode": F.when(F.col("event_id") % 5 == 0, "None").otherwise(F.col("work_mode")), "student_attempt_index": text(F.col("student_attempt_index")), "attempt_number": text(F.col("attempt_number")),
         "data_duration": text(F.col("data_duration")), "session_duration": text(F.col("session_duration")), "data_answer": answer, "data_score": F.lit("1"), "data_test_context": F.lit("ctx"), "variation": text(F.col("event_id")),
@@ -74,7 +74,7 @@ def filtered_query(spark, sf_dir):
     ATTEMPTS_SQL + " SELECT 'main:' || user_id AS student_id, classroom_id, module_code AS module, work_mode, exercise_id, activity_id, created_at, CAST(data_correct AS INTEGER) AS success, 'main' AS source FROM attempts",
 )
 def standardised_attempts(spark, sf_dir):
-    rows = attempts(spark, sf_dir).withColumn("ok", F.when(F.col("data_correct"), "Vrai").otherwise("faux"))
+    rows = attempts(spark, sf_dir).withColumn("ok", F.when(F.col("data_correct"), "Vrai").when(~F.col("data_correct"), "faux"))
     return I.standardise(rows, {"student_id": "user_id", "classroom_id": "classroom_id", "module": "module_code", "work_mode": "work_mode", "exercise_id": "exercise_id", "activity_id": "activity_id", "created_at": "created_at", "success": "ok"}, "main")
 
 
@@ -122,7 +122,7 @@ def schema_snapshot(spark, sf_dir):
     return rounded(S.snapshot(attempts(spark, sf_dir).select(*_CHECKED)))
 
 
-@register("baseline_assertions", ATTEMPTS_SQL + " SELECT 'classroom_id_nulls' AS name, 0.0::DOUBLE AS expected, CAST(count(*) FILTER (WHERE classroom_id IS NULL) AS DOUBLE) AS actual, count(*) FILTER (WHERE classroom_id IS NULL) = 0 AS passed FROM attempts UNION ALL SELECT 'user_id_nulls', 0.0, 0.0, true")
+@register("baseline_assertions", ATTEMPTS_SQL + " SELECT 'classroom_id_nulls' AS name, 0.0::DOUBLE AS expected, CAST(count(*) FILTER (WHERE classroom_id IS NULL) AS DOUBLE) AS actual, count(*) FILTER (WHERE classroom_id IS NULL) = 0 AS passed FROM attempts UNION ALL SELECT 'user_id_nulls', 0.0, CAST(count(*) FILTER (WHERE user_id IS NULL) AS DOUBLE), count(*) FILTER (WHERE user_id IS NULL) = 0 FROM attempts")
 def baseline_assertions(spark, sf_dir):
     return Q.assertions(Q.table_counts(attempts(spark, sf_dir).select(*_CHECKED)), {"classroom_id_nulls": 0, "user_id_nulls": 0})
 

@@ -14,8 +14,8 @@ EDGES_SQL = (
     lead(objective_id) OVER w AS to_objective_id, lead(CAST(data_correct AS INTEGER)) OVER w AS to_success
   FROM attempts WINDOW w AS (PARTITION BY user_id ORDER BY created_at, exercise_id, attempt_number, event_id)
 ), edges AS (
-  SELECT date_utc, activity_id AS from_activity_id, activity_label AS from_activity_label, module_code AS from_module_code,
-    to_activity_id, to_activity_label, to_module_code, count(*) AS transition_count, CAST(sum(to_success) AS BIGINT) AS destination_successes,
+  SELECT date_utc, activity_id AS from_activity_id, activity_label AS from_activity_label, module_code AS from_module_code, module_id AS from_module_id, module_label AS from_module_label,
+    to_activity_id, to_activity_label, to_module_code, count(*) AS transition_count, CAST(coalesce(sum(to_success), 0) AS BIGINT) AS destination_successes,
     avg(CAST(objective_id = to_objective_id AS INTEGER)) AS same_objective_rate
   FROM stepped WHERE to_activity_id IS NOT NULL GROUP BY ALL
 )"""
@@ -42,8 +42,8 @@ def cross_objective_edges(spark, sf_dir):
     EDGES_SQL
     + """ SELECT from_activity_id, to_activity_id, CAST(sum(transition_count) AS BIGINT) AS transition_count, any_value(n) AS objective_attempts,
   round(CAST(sum(transition_count) AS DOUBLE) / any_value(n), 6) AS share
-FROM edges JOIN (SELECT DISTINCT activity_id, objective_id FROM attempts) a ON a.activity_id = from_activity_id
-JOIN (SELECT objective_id, count(*) AS n FROM attempts GROUP BY 1) o USING (objective_id) GROUP BY from_activity_id, to_activity_id""",
+FROM edges LEFT JOIN (SELECT DISTINCT activity_id, objective_id FROM attempts) a ON a.activity_id = from_activity_id
+LEFT JOIN (SELECT objective_id, count(*) AS n FROM attempts GROUP BY 1) o USING (objective_id) GROUP BY from_activity_id, to_activity_id""",
 )
 def transition_share(spark, sf_dir):
     rows = attempts(spark, sf_dir)

@@ -14,7 +14,7 @@ CATALOG_SQL = (
     ATTEMPTS_SQL
     + """, places AS (
   SELECT module_id, module_code, module_label, objective_id, objective_label, activity_id, activity_label, exercise_id, min(created_at) AS first_at
-  FROM attempts GROUP BY ALL
+  FROM attempts WHERE exercise_id IS NOT NULL AND activity_id IS NOT NULL AND objective_id IS NOT NULL GROUP BY ALL
 ), seen AS (
   SELECT *, min(first_at) OVER (PARTITION BY module_id, objective_id) AS o_at, min(first_at) OVER (PARTITION BY module_id, objective_id, activity_id) AS a_at FROM places
 ), ordered AS (
@@ -51,7 +51,7 @@ for _level, _id, _label in (("exercise", "exercise_id", "exercise_id"), ("activi
 
 EVENTS_SQL = (
     CATALOG_SQL
-    + """, ready AS (SELECT a.*, activity_rank, CAST(data_correct AS DOUBLE) AS y FROM attempts a JOIN ranks USING (module_code, activity_id)),
+    + """, ready AS (SELECT a.*, activity_rank, CAST(data_correct AS DOUBLE) AS y FROM attempts a JOIN ranks USING (module_code, activity_id) WHERE data_correct IS NOT NULL AND user_id IS NOT NULL AND exercise_id IS NOT NULL),
 picked AS (SELECT *, row_number() OVER (PARTITION BY user_id, module_code, work_mode, exercise_id ORDER BY created_at, event_id) AS n FROM ready),
 progress AS (
   SELECT e.user_id, e.module_code, e.work_mode, e.activity_id, e.activity_rank, e.exercise_id, e.date_utc, e.created_at, e.event_id, e.y AS exercise_first_attempt_outcome,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.lineage import kept
 from ..operators import ratings as R, slices as S
 from ..sources.attempts_view import attempts
-from .concentration import START_SQL
+from .concentration import START_SQL, same_item
 from .daily import rounded
 from .registry import register
 
@@ -19,7 +19,7 @@ def _current(spark, sf_dir):
     return R.joint_ratings(R.calibration_rows(attempts(spark, sf_dir)))
 
 
-@register("elo_smoothed_start", START_SQL + " SELECT module_code, exercise_id, calibration_attempts, round(calibration_success_rate, 6) AS calibration_success_rate, round(smoothed_rate, 6) AS smoothed_rate, round(rating, 6) AS rating FROM items")
+@register("elo_smoothed_start", START_SQL + " SELECT module_code, objective_id, activity_id, exercise_id, calibration_attempts, round(calibration_success_rate, 6) AS calibration_success_rate, round(smoothed_rate, 6) AS smoothed_rate, round(rating, 6) AS rating FROM items")
 def elo_smoothed_start(spark, sf_dir):
     return rounded(_start(spark, sf_dir))
 
@@ -34,14 +34,14 @@ global_items AS (SELECT exercise_id, raw - avg(raw) OVER () + 1500 AS rating FRO
 def replay_sql(by_module: bool) -> str:
     start = START_SQL.replace("WITH raw_events", "WITH RECURSIVE raw_events", 1)
     group, items = ("user_id, module_code", "") if by_module else ("user_id", GLOBAL_SQL)
-    source, keys = ("items", "module_code, exercise_id") if by_module else ("global_items", "exercise_id")
+    source, on = ("items", same_item("c", "i")) if by_module else ("global_items", "c.exercise_id = i.exercise_id")
     return (
         start
         + items
         + f""", seq AS (
   SELECT c.event_id, c.user_id, c.module_code, c.exercise_id, c.activity_id, c.created_at, CAST(c.success AS DOUBLE) AS y, rating AS item_rating,
-    row_number() OVER (PARTITION BY {", ".join("c." + g for g in group.split(", "))} ORDER BY created_at, exercise_id, attempt_number, event_id) AS ord
-  FROM ctx c JOIN {source} USING ({keys})
+    row_number() OVER (PARTITION BY {", ".join("c." + g for g in group.split(", "))} ORDER BY created_at, c.exercise_id, attempt_number, event_id) AS ord
+  FROM ctx c JOIN {source} i ON {on} WHERE c.success IS NOT NULL AND c.user_id IS NOT NULL AND c.module_code IS NOT NULL
 ), replay AS (
   SELECT *, 1500.0::DOUBLE AS pre, 1500.0::DOUBLE + 24 * (y - 1 / (1 + pow(10.0::DOUBLE, (item_rating - 1500.0::DOUBLE) / 400))) AS post FROM seq WHERE ord = 1
   UNION ALL
@@ -99,11 +99,10 @@ def elo_student_sample(spark, sf_dir):
     return rounded(R.student_sample(_events(spark, sf_dir)))
 
 
-BASE_SQL = """, contexts AS (SELECT module_code, objective_id, activity_id, exercise_id, count(*) AS n FROM ctx GROUP BY ALL),
-item_base AS (SELECT *, row_number() OVER (PARTITION BY module_code, exercise_id ORDER BY n DESC, objective_id, activity_id) AS r FROM contexts)"""
+BASE_SQL = """, item_base AS (SELECT DISTINCT module_code, objective_id, activity_id, exercise_id FROM ctx WHERE exercise_id IS NOT NULL)"""
 
 
-@register("activity_elo", START_SQL + BASE_SQL + " SELECT module_code, objective_id, activity_id, round(avg(rating), 6) AS mean_rating, count(rating) AS calibrated_exercises, count(*) AS exercises, round(CAST(count(rating) AS DOUBLE) / count(*), 6) AS coverage FROM item_base LEFT JOIN items USING (module_code, exercise_id) WHERE r = 1 GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY module_code, objective_id, activity_id"))
+@register("activity_elo", START_SQL + BASE_SQL + f" SELECT x.module_code, x.objective_id, x.activity_id, round(avg(rating), 6) AS mean_rating, count(rating) AS calibrated_exercises, count(*) AS exercises, round(CAST(count(rating) AS DOUBLE) / count(*), 6) AS coverage FROM item_base x LEFT JOIN items i ON {same_item('x', 'i')} GROUP BY x.module_code, x.objective_id, x.activity_id")
 def activity_elo(spark, sf_dir):
     return rounded(R.activity_ratings(R.item_base(attempts(spark, sf_dir)), _start(spark, sf_dir)))
 
@@ -150,9 +149,8 @@ def adaptive_block_elo(spark, sf_dir):
 FROM items i JOIN global_items g USING (exercise_id)""",
 )
 def elo_system_comparison(spark, sf_dir):
-    local = _start(spark, sf_dir)
-    both = _start(spark, sf_dir, False).join(local.select("module_code", "exercise_id"), "exercise_id").select("module_code", "exercise_id", "rating")
-    return rounded(R.compare_systems(local, both))
+    local = _start(spark, sf_dir).select(*R.CONTEXT, "rating")
+    return rounded(R.compare_systems(local, _start(spark, sf_dir, False).select("exercise_id", "rating")))
 
 
 @register("elo_aligned_systems")
@@ -179,11 +177,11 @@ def elo_calibrated_comparison(spark, sf_dir):
 @register("elo_student_gaps")
 def elo_student_gaps(spark, sf_dir):
     rows, shifts = R.replay_rows(attempts(spark, sf_dir)), kept(_shifts(spark, sf_dir))
-    rated = [R.sequential_replay(rows, shifts.withColumnRenamed(c, "rating")) for c in ("current_elo", "iterative_elo")]
+    rated = [R.sequential_replay(rows, shifts.select(*R.CONTEXT, shifts[c].alias("rating"))) for c in ("current_elo", "iterative_elo")]
     return R.student_gaps(R.aligned(*rated))
 
 
 @register("exercise_elo_calibrated")
 def exercise_elo_calibrated(spark, sf_dir):
     rows = attempts(spark, sf_dir)
-    return S.rating_table(R.item_base(rows).select("module_code", "exercise_id"), _current(spark, sf_dir), R.calibration_rows(rows))
+    return S.rating_table(R.item_base(rows).select(*R.CONTEXT), _current(spark, sf_dir), R.calibration_rows(rows))

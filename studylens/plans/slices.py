@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ratings as R, slices as S
 from ..sources.attempts_view import ATTEMPTS_SQL, attempts
-from .concentration import START_SQL
+from .concentration import START_SQL, same_item
 from .daily import CONTEXT_SQL, rounded
 from .paths import VISITS_SQL
 from .ratings import BASE_SQL, _start
@@ -28,7 +28,7 @@ def classroom_scope_values(spark, sf_dir):
     return S.scope_values(attempts(spark, sf_dir), "classroom_id")
 
 
-@register("module_scope", ATTEMPTS_SQL + " SELECT module_code AS value, count(*) AS attempts FROM attempts GROUP BY 1")
+@register("module_scope", ATTEMPTS_SQL + " SELECT module_code AS value, count(*) AS attempts FROM attempts WHERE module_code IS NOT NULL GROUP BY 1")
 def module_scope(spark, sf_dir):
     return S.scope_values(attempts(spark, sf_dir), "module_code")
 
@@ -51,12 +51,13 @@ def label_union(spark, sf_dir):
     "exercise_elo_table",
     START_SQL
     + BASE_SQL
-    + """ SELECT module_code, exercise_id, round(rating, 6) AS exercise_elo, coalesce(calibration_attempts, 0) AS calibration_attempts, round(calibration_success_rate, 6) AS calibration_success_rate, calibration_attempts IS NOT NULL AS calibrated
-FROM item_base LEFT JOIN items USING (module_code, exercise_id) WHERE r = 1""",
+    + """ SELECT x.module_code, x.objective_id, x.activity_id, x.exercise_id, round(rating, 6) AS exercise_elo, coalesce(calibration_attempts, 0) AS calibration_attempts, round(calibration_success_rate, 6) AS calibration_success_rate, calibration_attempts IS NOT NULL AS calibrated
+FROM item_base x LEFT JOIN items i ON """
+    + same_item("x", "i"),
 )
 def exercise_elo_table(spark, sf_dir):
     rows = attempts(spark, sf_dir)
-    table = S.rating_table(R.item_base(rows).select("module_code", "exercise_id"), _start(spark, sf_dir), R.calibration_rows(rows))
+    table = S.rating_table(R.item_base(rows).select(*R.CONTEXT), _start(spark, sf_dir), R.calibration_rows(rows))
     return rounded(table.drop("exercise_type"))
 
 

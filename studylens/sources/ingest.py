@@ -78,9 +78,14 @@ def ingest_counts(rows: DataFrame) -> DataFrame:
 
 
 def with_ordinals(attempts: DataFrame) -> DataFrame:
-    """SRC-10: running attempt numbers per exercise and per student."""
-    per_user = Window.partitionBy("user_id").orderBy("created_at", "exercise_id")
-    per_exercise = Window.partitionBy("user_id", "exercise_id").orderBy("created_at")
+    """SRC-10: running attempt numbers per exercise and per student.
+
+    Attempts at one time go by exercise, then by a hash of the whole row, so that the
+    numbers do not depend on the order of reading; only equal rows are interchangeable.
+    """
+    last = F.xxhash64(*sorted(c for c in attempts.columns if c not in ("student_attempt_index", "attempt_number")))
+    per_user = Window.partitionBy("user_id").orderBy("created_at", "exercise_id", last)
+    per_exercise = Window.partitionBy("user_id", "exercise_id").orderBy("created_at", last)
     return attempts.withColumn("student_attempt_index", F.row_number().over(per_user)).withColumn("attempt_number", F.row_number().over(per_exercise))
 
 
@@ -95,19 +100,19 @@ def config_parents(rows: DataFrame) -> DataFrame:
     """SRC-6: (id, type, code) with the parent found by code prefix: M1O2A3 -> M1O2 -> M1."""
     parent = F.when(F.col("type") == "activity", code_of(F.col("code"), "objective")).when(F.col("type") == "objective", code_of(F.col("code"), "module"))
     up = rows.select(F.col("code").alias("_code"), F.col("id").alias("parent_id"))
-    return rows.withColumn("parent_code", parent).join(F.broadcast(up), F.col("parent_code") == F.col("_code"), "left").drop("_code")
+    return rows.withColumn("parent_code", parent).join(up, F.col("parent_code") == F.col("_code"), "left").drop("_code")
 
 
 def extend_activities(attempts: DataFrame, catalog: DataFrame) -> DataFrame:
     """SRC-8: exercises seen in an activity that the catalog has, but without them."""
     seen = attempts.filter("activity_id is not null and exercise_id is not null").select("activity_id", "exercise_id").distinct()
     places = catalog.select("module_id", "module_code", "objective_id", "activity_id").distinct()
-    return seen.join(catalog.select("activity_id", "exercise_id").distinct(), ["activity_id", "exercise_id"], "left_anti").join(F.broadcast(places), "activity_id")
+    return seen.join(catalog.select("activity_id", "exercise_id").distinct(), ["activity_id", "exercise_id"], "left_anti").join(places, "activity_id")
 
 
 def orphans(attempts: DataFrame, catalog: DataFrame) -> DataFrame:
     """SRC-9: activities of attempts that a module's configuration lacks, with attempts."""
-    return attempts.filter("activity_id is not null").join(F.broadcast(catalog.select("activity_id").distinct()), "activity_id", "left_anti").groupBy("activity_id").agg(F.count("*").alias("attempts"))
+    return attempts.filter("activity_id is not null").join(catalog.select("activity_id").distinct(), "activity_id", "left_anti").groupBy("activity_id").agg(F.count("*").alias("attempts"))
 
 
 _OPS = {"=": lambda c, v: c == v, "!=": lambda c, v: c != v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, "between": lambda c, v: c.between(*v), "in": lambda c, v: c.isin(*v) if v else F.lit(False)}
