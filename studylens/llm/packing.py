@@ -170,6 +170,8 @@ def best_fit_packing(docs: DataFrame, ranks_path: str, special: dict[str, int],
         # one sorted key per plan row: length, then first number
         first = np.searchsorted(rows[:, 0], np.arange(capacity + 2))
         for batch in batches:
+            if not batch.num_rows:  # an empty partition comes without columns
+                continue
             length, number = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "number"))
             at = np.empty(len(length), dtype=np.int64)
             for n in np.unique(length):
