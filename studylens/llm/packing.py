@@ -163,15 +163,14 @@ def best_fit_packing(docs: DataFrame, ranks_path: str, special: dict[str, int],
 
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = materialize(per_chunk.select("length", "chunk", F.coalesce(earlier, F.lit(0)).alias("before")), "pack-offsets")
-    numbered = pieces.join(offsets.hint("merge"), ["length", "chunk"])  # offsets grow with the pieces.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("number"))
+    # offsets grow with the pieces, so they are never broadcast
+    numbered = pieces.join(offsets.hint("merge"), ["length", "chunk"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("number"))
 
     def place(batches):
         rows = shared.value
         # one sorted key per plan row: length, then first number
         first = np.searchsorted(rows[:, 0], np.arange(capacity + 2))
         for batch in batches:
-            if not batch.num_rows:  # an empty partition comes without columns
-                continue
             length, number = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "number"))
             at = np.empty(len(length), dtype=np.int64)
             for n in np.unique(length):
