@@ -20,16 +20,20 @@ def sum0(c: Column | str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+# fixed values: character references of HTML; the ampersand last, so that nothing is read twice
+ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&agrave;", "à"), ("&acirc;", "â"), ("&ccedil;", "ç"),
+    ("&eacute;", "é"), ("&egrave;", "è"), ("&ecirc;", "ê"), ("&euml;", "ë"), ("&icirc;", "î"), ("&iuml;", "ï"), ("&ocirc;", "ô"), ("&ugrave;", "ù"), ("&ucirc;", "û"),
+    ("&laquo;", "«"), ("&raquo;", "»"), ("&rsquo;", "’"), ("&hellip;", "…"), ("&deg;", "°"), ("&times;", "×"), ("&divide;", "÷"), ("&euro;", "€"), ("&amp;", "&"),
+)
 
 
 def html_text(c: Column) -> Column:
-    """Text of marked-up content: tags go, common entities are read, white space collapses; NULL without text."""
-    text = F.regexp_replace(c.cast("string"), r"<[^>]*>", " ")
-    for entity, plain in _ENTITIES:  # the ampersand last, so that nothing is read twice
+    """Text of marked-up content: references are read, tags go, white space collapses."""
+    text = c.cast("string")
+    for entity, plain in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(plain))
-    text = trimmed(F.regexp_replace(text, r"[\s\u00a0]+", " "))
-    return F.when(text != "", text)
+    return trimmed(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"[\s\u00a0]+", " "))
 
 
 def trimmed(c: Column) -> Column:

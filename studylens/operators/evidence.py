@@ -79,6 +79,21 @@ def design(rows: DataFrame, modes: tuple[str, str] = ("zpdes", "playlist")) -> D
     return out
 
 
+def probability_curve(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """MOD-9: probability of success by mode and position from fitted coefficients.
+
+    ``rows`` has work_mode and position; ``estimates`` (term, estimate) must have the terms
+    intercept, zpdes, position and interaction, else the job fails.
+    """
+    terms = ("intercept", "zpdes", "position", "interaction")
+    one = estimates.agg(*[F.max(F.when(F.col("term") == t, F.col("estimate"))).alias(f"_{t}") for t in terms])
+    one = one.select(*[F.coalesce(f"_{t}", F.raise_error(F.lit(f"no coefficient {t}")).cast("double")).alias(f"_{t}") for t in terms])
+    zpdes, at = (F.col("work_mode") == "zpdes").cast("double"), F.col("position").cast("double")
+    x = F.col("_intercept") + F.col("_zpdes") * zpdes + F.col("_position") * at + F.col("_interaction") * zpdes * at
+    out = rows.select("work_mode", "position").distinct().join(F.broadcast(one)).withColumn("linear_predictor", x)
+    return out.select("work_mode", "position", (F.col("position") + 1).alias("attempt_number"), "linear_predictor", (1 / (1 + F.exp(-F.col("linear_predictor")))).alias("predicted_probability"))
+
+
 def clustered_ols(rows: DataFrame, y: str, numeric: list[str], effect: str, cluster: str) -> DataFrame:
     """MOD-7: OLS with fixed effects of one column and cluster-robust errors.
 

@@ -186,6 +186,24 @@ def individual_series(attempts: DataFrame, cutoff: int, users: list[str] | None
     return rows.groupBy("user_id", "activity_id").agg(F.count("*").alias("attempts"), rate(success()).alias("success_rate"), F.max("student_attempt_index").alias("last_ordinal"))
 
 
+def individual_findings(attempts: DataFrame, cutoff: int, mapped: DataFrame, users: list[str] | None = None) -> DataFrame:
+    """STU-4: per student the attempts up to an ordinal, those on ``mapped`` activities, their success and the last moves.
+
+    Unknown outcomes count as no success.  Moves are changes of activity among mapped
+    attempts only, the latest three as text, oldest first.
+    """
+    known = mapped.select("activity_id").filter("activity_id is not null").distinct().withColumn("_mapped", F.lit(1))
+    rows = _chosen(attempts, users).filter((F.col("student_attempt_index") <= cutoff) & F.col("user_id").isNotNull()).join(known, "activity_id", "left").withColumn("_mapped", F.coalesce("_mapped", F.lit(0)))
+    per = rows.groupBy("user_id").agg(
+        F.count("*").alias("visible_attempts"), F.sum("_mapped").alias("mapped_attempts"), F.count_distinct(F.when(F.col("_mapped") == 1, F.col("activity_id"))).alias("mapped_activities"),
+        F.sum(F.when(F.col("_mapped") == 1, F.coalesce(success(), F.lit(0)))).alias("_s"),
+    )
+    moves = last_moves(rows.filter("_mapped = 1"), cutoff)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("student_attempt_index", F.concat("from_activity_id", F.lit(" -> "), "to_activity_id").alias("move")))), lambda x: x["move"]), " | ")
+    out = per.join(moves.groupBy("user_id").agg(text.alias("recent_moves")), "user_id", "left")
+    return out.select("user_id", "visible_attempts", "mapped_attempts", (F.col("visible_attempts") - F.col("mapped_attempts")).alias("unmapped_attempts"), "mapped_activities", F.when(F.col("mapped_attempts") > 0, F.col("_s") / F.col("mapped_attempts")).alias("mapped_success_rate"), "recent_moves")
+
+
 def last_moves(attempts: DataFrame, cutoff: int, n: int = 3, users: list[str] | None = None) -> DataFrame:
     """WIN-16: the last distinct activity changes before an ordinal."""
     w = Window.partitionBy("user_id").orderBy("student_attempt_index")

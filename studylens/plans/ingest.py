@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..functions.columns import code_of
 from ..operators import catalog as C, graph as G, quality as Q
 from ..sources import ingest as I, sinks as S
 from ..sources.attempts_view import ATTEMPTS_SQL, attempts
@@ -156,9 +157,17 @@ def dependency_nodes(spark, sf_dir):
 
 @register(
     "dependency_topology",
-    GRAPH_SQL
-    + """, deg AS (SELECT n.module_code, activity_code AS node, (SELECT count(*) FROM graph g WHERE g.source = n.activity_code AND kind = 'activation') AS o, (SELECT count(*) FROM graph g WHERE g.target = n.activity_code AND kind = 'activation') AS i FROM nodes n)
-SELECT module_code, count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, CAST(1 AS BIGINT) AS components, count(*) FILTER (WHERE i = 0) AS roots, max(o) AS max_out, max(i) AS max_in, false AS cyclic, 'linear' AS topology FROM deg GROUP BY module_code""",
+    GRAPH_SQL.replace("WITH raw_events", "WITH RECURSIVE raw_events", 1)
+    + """, links AS (SELECT DISTINCT module_code, source, target FROM graph WHERE kind = 'activation'),
+two_ways AS (SELECT module_code, source AS a, target AS b FROM links UNION ALL SELECT module_code, target, source FROM links),
+near AS (SELECT DISTINCT module_code, activity_code AS node, activity_code AS other FROM nodes UNION SELECT n.module_code, n.node, t.b FROM near n JOIN two_ways t ON t.module_code = n.module_code AND t.a = n.other),
+parts AS (SELECT module_code, count(DISTINCT part) AS components FROM (SELECT module_code, node, min(other) AS part FROM near GROUP BY 1, 2) GROUP BY 1),
+below AS (SELECT module_code, source, target FROM links UNION SELECT b.module_code, b.source, l.target FROM below b JOIN links l ON l.module_code = b.module_code AND l.source = b.target),
+rings AS (SELECT module_code, bool_or(source = target) AS cyclic FROM below GROUP BY 1),
+deg AS (SELECT n.module_code, activity_code AS node, (SELECT count(*) FROM links g WHERE g.source = n.activity_code) AS o, (SELECT count(*) FROM links g WHERE g.target = n.activity_code) AS i FROM (SELECT DISTINCT module_code, activity_code FROM nodes) n),
+whole AS (SELECT module_code, count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, count(*) FILTER (WHERE i = 0) AS roots, max(o) AS max_out, max(i) AS max_in FROM deg GROUP BY 1)
+SELECT w.*, components, coalesce(cyclic, false) AS cyclic, CASE WHEN cyclic THEN 'cyclic' WHEN components > 1 THEN 'disconnected_dag' WHEN max_out <= 1 AND max_in <= 1 THEN 'linear' WHEN max_in <= 1 THEN 'tree' ELSE 'general_dag' END AS topology
+FROM whole w JOIN parts USING (module_code) LEFT JOIN rings USING (module_code)""",
 )
 def dependency_topology(spark, sf_dir):
     r = rules(spark, sf_dir)
@@ -169,14 +178,17 @@ def dependency_topology(spark, sf_dir):
 @register(
     "dependency_focus",
     GRAPH_SQL.replace("WITH raw_events", "WITH RECURSIVE raw_events", 1)
-    + """, start_node AS (SELECT max(target) AS n FROM graph WHERE module_code = 'M1'), up AS (
-  SELECT source AS node FROM graph, start_node WHERE target = n AND kind = 'activation' UNION SELECT g.source FROM graph g JOIN up ON g.target = up.node WHERE g.kind = 'activation'
-) SELECT node, 'ancestor' AS relation FROM up UNION ALL SELECT target, 'child' FROM graph, start_node WHERE source = n AND kind = 'activation'""",
+    + """, start_node AS (SELECT max(target) AS n FROM graph WHERE module_code = 'M1'), needs AS (
+  SELECT source, target FROM graph WHERE kind = 'activation' UNION SELECT regexp_extract(activity_code, '^(M[0-9]+O[0-9]+)', 1), activity_code FROM nodes UNION SELECT 'M1O01', 'M1O02'
+), up AS (SELECT source AS node FROM needs, start_node WHERE target = n UNION SELECT g.source FROM needs g JOIN up ON g.target = up.node)
+SELECT node, 'ancestor' AS relation FROM up UNION ALL SELECT target, 'child' FROM graph, start_node WHERE source = n AND kind = 'activation'""",
 )
 def dependency_focus(spark, sf_dir):
     edges = C.requirement_edges(rules(spark, sf_dir)).filter("kind = 'activation'")
     last = edges.filter("module_code = 'M1'").agg(F.max("target")).first()[0]
-    return G.focus(edges, last)
+    places = derived(spark, sf_dir).select(F.col("activity_code").alias("node"), code_of(F.col("activity_code"), "objective").alias("objective")).distinct()
+    order = spark.createDataFrame([("M1O01", "M1O02")], "source string, target string")  # the second objective needs the first
+    return G.focus(edges.select("source", "target").unionByName(order), last, places)
 
 
 @register("supported_modules", CATALOG_SQL + " SELECT DISTINCT module_code, CAST(regexp_extract(module_code, '([0-9]+)', 1) AS INTEGER) AS number FROM catalog")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import catalog as C, classroom as S, daily as D, paths as P, progression as G, ratings as R
@@ -84,6 +85,16 @@ def write_tables(tables: Tables, folder: str, names: list[str] | None = None) ->
     return wanted
 
 
+def classroom_profiles(spark: SparkSession, path: str, attempts: DataFrame) -> DataFrame:
+    """CLS-4: the stored classroom profiles if the folder has them with all columns, else built from attempts."""
+    wanted = D.classroom_mode_profiles(attempts)
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:
+        return wanted
+    return stored.select(*wanted.columns) if set(wanted.columns) <= set(stored.columns) else wanted
+
+
 def export(df: DataFrame, path: str) -> None:
     """SNK-2: CSV, JSON or Parquet by suffix."""
     kind = path.rsplit(".", 1)[-1].lower()
