@@ -4,12 +4,18 @@ A page becomes an ordered list of items: text blocks and media references with t
 captions, each with its position.  Media live once in a store keyed by digest; a
 reference resolves by joining on the digest, and positions and captions stay with the
 reference, so order and alignment survive any shuffle.
+
+``interleave`` reads any HTML.  ``text_media`` keeps a document's text as media: its page
+holds two figures, the whole text as an image and its last row as a strip of its own.
+What the result says of a document is read from its resolved sequence by position, and
+each item's caption must agree with what its digest resolved to.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import uuid
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -158,25 +164,43 @@ def _feature(samples: bytes) -> str:
     return f"{ROW}x{len(x) // ROW};mean={x.mean():.3f};sd={x.std():.3f};edge={edges:.3f};levels=" + "/".join(f"{v:.3f}" for v in levels)
 
 
-_PAGES = "doc_id bigint, n_bytes bigint, html string, media_ref string, media binary"
+_PAGES = "page string, doc_id bigint, html string, media array<struct<media_ref:string,media:binary>>"
 _STORED = "media_ref string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+_MEDIA_LIST = pa.list_(pa.struct([("media_ref", pa.string()), ("media", pa.binary())]))
+#: Bytes of text that become pages at a time.
+PAGE_BYTES = 4 << 20
+
+
+def _figure(ref: str, caption: str) -> str:
+    return f'<figure><img data-digest="{ref}"><figcaption>{html.escape(caption)}</figcaption></figure>'
 
 
 def _to_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every text as stored media and as a page that refers to it by digest."""
+    """Every text as a page with two figures, and the media that the page refers to by digest."""
+    names = ["page", "doc_id", "html", "media"]
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for a in range(0, len(ids), 1000):
-            sizes, pages, refs, media = [], [], [], []
-            for data in texts(batch.column(1).slice(a, 1000)):
-                image = encode_media(padded(data))
-                ref = "sha256:" + hashlib.sha256(image).hexdigest()
-                caption = f"{len(data)} bytes of text"
-                sizes.append(len(data))
-                refs.append(ref)
-                media.append(image)
-                pages.append(f'<article><p>Text as 8-bit samples</p><figure><img data-digest="{ref}"><figcaption>{html.escape(caption)}</figcaption></figure></article>')
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 1000], pa.int64()), pa.array(sizes, pa.int64()), pa.array(pages, pa.string()), pa.array(refs, pa.string()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "html", "media_ref", "media"])
+        lead, rows, taken, held = uuid.uuid4().hex, [], 0, 0
+        for doc_id, data in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+            payload = padded(data)
+            media = []
+            for part in (payload, payload[-ROW:]):
+                image = encode_media(part)
+                media.append({"media_ref": "sha256:" + hashlib.sha256(image).hexdigest(), "media": image})
+            body = f"<p>Text as 8-bit samples</p>{_figure(media[0]['media_ref'], f'{len(data)} bytes of text')}<p>Its last row</p>{_figure(media[1]['media_ref'], f'{ROW} bytes of {len(payload)}')}"
+            if len(payload) == ROW:  # one row is both, and is stored once
+                media.pop()
+            rows.append((f"{lead}-{taken}-{len(rows)}", doc_id, f"<article>{body}</article>", media))
+            held += len(payload)
+            if held > PAGE_BYTES:
+                yield _page_batch(rows, names)
+                rows, taken, held = [], taken + 1, 0
+        if rows:
+            yield _page_batch(rows, names)
+
+
+def _page_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.string(), _MEDIA_LIST]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,24 +219,66 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["media_ref", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
+def sequences_of(resolved: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``keys`` and ``sequence``: the resolved items of a page, put back in the order of their positions."""
+    item = F.struct("position", "caption", *columns)
+    return resolved.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("sequence"))
+
+
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its text as stored media, resolved through its page.
 
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, position, caption.  Null and empty texts are one row of zero
-    samples; equal texts give equal values; repeated rows stay; an empty table gives an
-    empty table; other columns are ignored.
+    media_sha256, feature, positions, captions.  Null and empty texts are one row of zero
+    samples; equal texts give equal values; repeated rows and rows without id stay; an
+    empty table gives an empty table; other columns are ignored.
 
     The media table is written to the shared folder and read back; payloads never
     shuffle.  Features are computed where the media are read, reduced to one row per
-    digest, and meet the references by digest.
+    digest, and meet the references by digest.  A page has two references, so a sequence
+    is a short list; the first item is the text and the second its last row.  A caption
+    that does not agree with its resolved item fails the job.
     """
     pages = materialize(documents(docs, id_col, text_col).mapInArrow(_to_pages, _PAGES), "media-pages")
-    read = pages.select("media_ref", "media").mapInArrow(_read_back, _STORED)
+    read = pages.select(F.explode("media").alias("m")).select("m.media_ref", "m.media").mapInArrow(_read_back, _STORED)
     columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     store = materialize(read.groupBy("media_ref").agg(*[F.min(c).alias(c) for c in columns]), "media-store")
-    refs = references(interleave(pages, "doc_id", "html", keep=("n_bytes",)))
-    return resolve(refs, store).select(F.col("id").alias("doc_id"), "n_bytes", *columns, "position", "caption")
+    refs = references(interleave(pages, "doc_id", "html", keep=("page",)))
+    rows = sequences_of(resolve(refs, store), ["page", "id"], columns)
+    whole, tail = F.get("sequence", F.lit(0)), F.get("sequence", F.lit(1))
+    n_bytes = F.regexp_extract(whole["caption"], r"^(\d+) bytes of text$", 1).try_cast("long")
+    fits = (F.greatest(F.lit(ROW), F.ceil(n_bytes / ROW) * ROW) == whole["payload_bytes"]) & (tail["caption"] == F.concat(F.lit(f"{ROW} bytes of "), whole["payload_bytes"].cast("string"))) & (tail["payload_bytes"] == ROW)
+    checked = F.when(fits, n_bytes).otherwise(F.raise_error(F.lit("captions and media do not align")).cast("long"))
+    return rows.select(
+        F.col("id").alias("doc_id"), checked.alias("n_bytes"), whole["payload_bytes"].alias("payload_bytes"), whole["payload_sha256"].alias("payload_sha256"), tail["tail_crc32"].alias("tail_crc32"),
+        whole["media_bytes"].alias("media_bytes"), whole["media_sha256"].alias("media_sha256"), whole["feature"].alias("feature"),
+        F.transform("sequence", lambda x: x["position"]).alias("positions"), F.transform("sequence", lambda x: x["caption"]).alias("captions"),
+    )
+
+
+def page_sequences(pages: DataFrame, store: DataFrame | None = None) -> DataFrame:
+    """One row per page: page_id, items, text_items, media_items, resolved_items, text_sha256, outline.
+
+    ``outline`` lists position, kind and caption of the media in order; ``text_sha256`` is
+    over the text blocks joined by newlines.  ``store`` (media_ref first) resolves media;
+    without one none resolves.  Null and empty pages have no items; repeated rows stay.
+    """
+    rows = interleave(pages.withColumn("_row", F.monotonically_increasing_id()), keep=("_row",))
+    rows = materialize(rows, "page-items")
+    refs = references(rows)
+    if store is None:
+        store = refs.select("media_ref").limit(0)
+    found = resolve(refs, store.select("media_ref").distinct().withColumn("known", F.lit(1)))
+    media = found.groupBy("_row").agg(F.count("*").alias("media_items"), F.count("known").alias("resolved_items"))
+    texts_ = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    outline = F.array_join(F.transform(F.filter("items", lambda x: x["kind"] != "text"), lambda x: F.concat_ws(":", x["position"].cast("string"), x["kind"], x["caption"])), "|")
+    out = rows.join(media, "_row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(F.col("id").alias("page_id"), F.size("items").cast("long").alias("items"), F.size(texts_).cast("long").alias("text_items"), zero("media_items"), zero("resolved_items"), F.sha2(F.array_join(texts_, "\n"), 256).alias("text_sha256"), outline.alias("outline"))
+
+
+def media_page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_sequences(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

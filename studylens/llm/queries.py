@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_codec": bpe.op8_bpe_codec,
     "op9_katz_scores": katz.op9_katz_scores,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
+    "media_page_sequences": media.media_page_sequences,
 }
 
 ORACLE_SQL = {

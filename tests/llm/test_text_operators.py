@@ -85,21 +85,36 @@ def test_license_scan_of_a_very_long_text():
 
 
 def test_media(spark, odd_docs, no_docs):
-    rows = media.text_media(odd_docs).collect()
-    texts = {r.doc_id: r.text or "" for r in odd_docs.collect()}
-    assert sorted(r.doc_id for r in rows) == sorted(texts)
-    same = defaultdict(set)
-    for r in rows:
-        data = texts[r.doc_id].encode()
+    extra = spark.createDataFrame([(None, "no id"), (3, "a"), (3, "a"), (200, "x" * 64), (201, "y" * 65), (None, None)], "doc_id long, text string")
+    docs = odd_docs.select("doc_id", "text").unionByName(extra)
+    want = Counter()
+    for r in docs.collect():
+        data = (r.text or "").encode()
         payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         stored = media.encode_media(payload)
-        assert (r.media_bytes, r.media_sha256, r.caption) == (len(stored), hashlib.sha256(stored).hexdigest(), f"{len(data)} bytes of text")
-        same[texts[r.doc_id]].add((r.media_sha256, r.feature))
-    assert all(len(v) == 1 for v in same.values())
+        assert media.decode_media(stored) == payload
+        want[(r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), media._feature(payload), (1, 3), (f"{len(data)} bytes of text", f"64 bytes of {len(payload)}"))] += 1
+    rows = media.text_media(docs).collect()
+    assert Counter((*tuple(r)[:8], tuple(r.positions), tuple(r.captions)) for r in rows) == want
     assert media.text_media(no_docs).collect() == []
 
 
+def test_feature_of_known_samples():
+    assert media._feature(bytes(64)) == "64x1;mean=0.000;sd=0.000;edge=0.000;levels=1.000/0.000/0.000/0.000/0.000/0.000/0.000/0.000"
+    assert media._feature(bytes([0, 255] * 32)).startswith("64x1;mean=127.500;sd=127.500;edge=255.000;levels=0.500/")
+
+
+def test_page_sequences(spark):
+    page = "<p>one</p><figure><img src=u1><figcaption>first</figcaption></figure><p>two</p><img src=u2 alt=second><video src=u1></video>"
+    df = spark.createDataFrame([(1, page, "z"), (1, page, "z"), (2, None, "z"), (None, "<p>three", "z")], "page_id long, html string, _row string")
+    store = spark.createDataFrame([("u1", 7)], "media_ref string, size int")
+    got = sorted(((r.page_id or 0, r["items"], r.text_items, r.media_items, r.resolved_items, r.outline) for r in media.page_sequences(df, store).collect()))
+    want = (1, 5, 2, 3, 2, "1:image:first|3:image:second|4:video")
+    assert got == [(0, 1, 1, 0, 0, ""), want, want, (2, 0, 0, 0, 0, "")]
+    by = {r.page_id: r.text_sha256 for r in media.page_sequences(df).collect()}
+    assert by[1] == hashlib.sha256(b"one\ntwo").hexdigest() and by[2] == hashlib.sha256(b"").hexdigest()
+
+
 def test_interleaved_pages(spark):
     page = "<html><head><title>t</title></head><body><h1>T</h1><p>a <b>b</b> &amp; c<figure><img src=u1><figcaption>cap <i>tion</i></figcaption></figure>tail<img src=u2 alt=alt2><script>no()</script><img><p>end"
     df = spark.createDataFrame([(1, page, "z"), (2, None, "z"), (3, "", "z"), (4, "<figure><figcaption>alone", "z"), (1, page, "z")], "page_id long, html string, items string")
