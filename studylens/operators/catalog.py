@@ -197,6 +197,9 @@ def resolve(attempts: DataFrame, catalog: DataFrame, codes: DataFrame) -> DataFr
     )
 
 
+SOURCES = tuple(f"resolution_source_{x}" for x in ("module", "objective", "activity"))
+
+
 def context_lookup(fact: DataFrame) -> DataFrame:
     """AGG-8: resolved contexts with attempts and students."""
     keys = ["playlist_or_module_id", "module_id", "module_code", "module_label", "objective_id", "objective_label", "activity_id", "activity_label", "exercise_id", *[f"resolution_source_{x}" for x in ("module", "objective", "activity")]]

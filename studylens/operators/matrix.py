@@ -61,11 +61,21 @@ def wide(matrix: DataFrame, columns: int) -> DataFrame:
     return matrix.groupBy("module_code", "objective_id", "objective_row_label").pivot("activity_col_label", [f"A{i + 1}" for i in range(columns)]).agg(F.first("metric_value"))
 
 
-def drilldown(attempts: DataFrame, metric: str = "success_rate") -> DataFrame:
-    """MTX-6: exercises of every cell with value, support and text."""
-    text = {"attempts": F.format_string("%d attempts", "attempts")}.get(metric, F.concat(F.round(F.col("metric_value") * 100, 1).cast("string"), F.lit("%")))
+def drilldown(attempts: DataFrame, metric: str = "success_rate", mode: str | None = None, ratings: DataFrame | None = None) -> DataFrame:
+    """MTX-6: exercises of every cell with value, support and text; of one work mode if given.
+
+    ``playlist_unique_exercises`` lists the exercises that playlists reached, with their
+    playlist attempts; ``activity_mean_exercise_elo`` shows each exercise's rating.
+    """
+    if mode or metric == "playlist_unique_exercises":
+        attempts = attempts.filter(F.col("work_mode") == (mode or "playlist"))
+    if metric == "activity_mean_exercise_elo":
+        seen = attempts.groupBy("module_code", "objective_id", "activity_id", "exercise_id").agg(F.count("*").alias("attempts"))
+        return with_rating(seen, ratings, "metric_value", "left").withColumn("metric_text", F.coalesce(F.bround("metric_value").cast("long").cast("string"), F.lit("not calibrated")))
+    text = {"attempts": F.format_string("%d attempts", "attempts"), "playlist_unique_exercises": F.format_string("%d playlist attempts", "attempts")}.get(metric, F.concat(F.round(F.col("metric_value") * 100, 1).cast("string"), F.lit("%")))
     value = {
         "attempts": F.count("*").cast("double"),
+        "playlist_unique_exercises": F.lit(1.0),
         "success_rate": rate(success()),
         "repeat_attempt_rate": rate((F.col("attempt_number") > 1).cast("int")),
         "first_attempt_success_rate": rate(F.when(F.col("attempt_number") == 1, success())),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ENTITIES, html_text
 from ..operators import audit as A, catalog as C, daily as D, evidence as E, graph as G, paths as P, progression as PR, quality as Q, ratings as R, slices as S
 from ..operators.classroom import selection_profiles
-from ..sources import ingest as I
+from ..sources import adapters as AD, ingest as I
 from ..sources.attempts_view import ATTEMPTS_SQL, attempts
 from .concentration import START_SQL, same_item
 from .daily import DAILY_SQL, rounded
@@ -66,6 +66,57 @@ def extended_activities(spark, sf_dir):
     return I.extend_activities(attempts(spark, sf_dir), derived(spark, sf_dir).filter("exercise_id not like '%7' and activity_id <> 'a3'"))
 
 
+_EXTENDED_SQL = (
+    CATALOG_SQL
+    + """, part AS (SELECT * FROM catalog WHERE objective_order <> 2 AND NOT (objective_order = 1 AND activity_order = 2) AND exercise_id NOT LIKE '%7'),
+known AS (SELECT DISTINCT module_id, module_code, objective_id, objective_code, activity_id, activity_code FROM part),
+owner AS (SELECT objective_id, arg_min(module_code, (created_at, module_code)) AS module_code FROM attempts WHERE objective_id IS NOT NULL AND module_code IS NOT NULL GROUP BY 1),
+top_objective AS (SELECT module_code, max(CAST(regexp_extract(objective_code, 'O([0-9]+)$', 1) AS INTEGER)) AS used FROM known GROUP BY 1),
+lost AS (SELECT objective_id, module_code, row_number() OVER (PARTITION BY module_code ORDER BY objective_id) AS k FROM owner WHERE objective_id NOT IN (SELECT objective_id FROM known)),
+parents AS (SELECT DISTINCT module_id, module_code, objective_id, objective_code FROM known UNION
+  SELECT m.module_id, l.module_code, l.objective_id, l.module_code || 'O' || (coalesce(used, 0) + k) FROM lost l JOIN (SELECT DISTINCT module_id, module_code FROM known) m USING (module_code) LEFT JOIN top_objective USING (module_code)),
+place AS (SELECT activity_id, arg_min(objective_id, (created_at, objective_id)) AS objective_id FROM attempts WHERE activity_id IS NOT NULL AND objective_id IS NOT NULL GROUP BY 1),
+top_activity AS (SELECT objective_code, max(CAST(regexp_extract(activity_code, 'A([0-9]+)$', 1) AS INTEGER)) AS used FROM known GROUP BY 1),
+new AS (SELECT p.*, pl.activity_id, row_number() OVER (PARTITION BY p.objective_code ORDER BY pl.activity_id) AS k FROM place pl JOIN parents p USING (objective_id) WHERE pl.activity_id NOT IN (SELECT activity_id FROM known)),
+spots AS (SELECT * FROM known UNION ALL SELECT module_id, module_code, objective_id, n.objective_code, activity_id, n.objective_code || 'A' || (coalesce(used, 0) + k) FROM new n LEFT JOIN top_activity USING (objective_code)),
+pairs AS (SELECT activity_id, exercise_id FROM part UNION SELECT activity_id, exercise_id FROM attempts WHERE activity_id IS NOT NULL AND exercise_id IS NOT NULL),
+extended AS (SELECT spots.*, exercise_id FROM spots LEFT JOIN pairs USING (activity_id))"""
+)
+
+
+def _extended(spark, sf_dir):
+    part = derived(spark, sf_dir).filter("objective_order <> 2 and not (objective_order = 1 and activity_order = 2) and exercise_id not like '%7'")
+    return AD.extended_catalog(attempts(spark, sf_dir), part)
+
+
+@register("extended_catalog", _EXTENDED_SQL + " SELECT module_id, module_code, objective_id, objective_code, activity_id, activity_code, exercise_id FROM extended")
+def extended_catalog(spark, sf_dir):
+    return _extended(spark, sf_dir).select("module_id", "module_code", "objective_id", "objective_code", "activity_id", "activity_code", "exercise_id")
+
+
+@register(
+    "completed_attempts",
+    _EXTENDED_SQL
+    + """, bare AS (SELECT * REPLACE (CASE WHEN event_id % 3 <> 0 THEN activity_id END AS activity_id, CASE WHEN event_id % 2 <> 0 THEN objective_id END AS objective_id) FROM attempts),
+a AS (SELECT activity_id AS k, min((objective_id, module_id)) AS p FROM extended GROUP BY 1), o AS (SELECT objective_id AS k, min(module_id) AS m FROM extended GROUP BY 1), e AS (SELECT exercise_id AS k, min((module_id, objective_id, activity_id)) AS p FROM extended WHERE exercise_id IS NOT NULL GROUP BY 1)
+SELECT event_id, coalesce(b.activity_id, e.p[3]) AS activity_id, coalesce(b.objective_id, a.p[1], e.p[2]) AS objective_id,
+  coalesce(a.p[2], o.m, e.p[1], CASE WHEN playlist_or_module_id IN (SELECT module_id FROM extended) THEN playlist_or_module_id END) AS module_id
+FROM bare b LEFT JOIN a ON a.k = b.activity_id LEFT JOIN o ON o.k = b.objective_id LEFT JOIN e ON e.k = b.exercise_id""",
+)
+def completed_attempts(spark, sf_dir):
+    rows = attempts(spark, sf_dir).withColumns({"activity_id": F.when(F.col("event_id") % 3 != 0, F.col("activity_id")), "objective_id": F.when(F.col("event_id") % 2 != 0, F.col("objective_id"))})
+    return AD.completed(rows, _extended(spark, sf_dir)).select("event_id", "activity_id", "objective_id", "module_id")
+
+
+@register("config_hierarchy", CATALOG_SQL + " SELECT DISTINCT module_id, module_code, objective_id, objective_code, activity_id, activity_code, exercise_id FROM catalog")
+def config_hierarchy(spark, sf_dir):
+    rows, out = derived(spark, sf_dir), None
+    for level in ("module", "objective", "activity"):
+        part = rows.groupBy(F.col(f"{level}_id").alias("id"), F.col(f"{level}_code").alias("code")).agg(F.min(f"{level}_label").alias("label"), F.collect_set("exercise_id").alias("exercise_ids")).withColumn("type", F.lit(level))
+        out = part if out is None else out.unionByName(part)
+    return AD.config_hierarchy(out).select("module_id", "module_code", "objective_id", "objective_code", "activity_id", "activity_code", "exercise_id")
+
+
 @register(
     "config_parents",
     CATALOG_SQL

@@ -92,7 +92,7 @@ def with_ordinals(attempts: DataFrame) -> DataFrame:
 def config_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC-5: semicolon rows of modules, objectives and activities with lists of UUIDs."""
     rows = spark.read.option("header", True).option("sep", ";").csv(path)
-    lists = [c for c in rows.columns if c.endswith("_ids")]
+    lists = [c for c in rows.columns if c.endswith("_ids") or c == "learning_items"]
     return rows.filter(F.lower(F.trim("type")).isin("module", "objective", "activity")).withColumns({c: F.regexp_extract_all(F.col(c), F.lit(f"({_UUID})"), F.lit(1)) for c in lists} | {"type": F.lower(F.trim("type"))})
 
 
@@ -154,18 +154,35 @@ def ingest(spark: SparkSession, profile: str, **paths: str) -> tuple[DataFrame,
 
     ``main``: Parquet attempts and a catalog file.  ``derived``: Parquet attempts whose
     catalog is derived.  ``researcher``: text lines with a header, catalog derived.
+    ``multi_module``: such lines and a JSON configuration, completed by the attempts.
+    ``module_config``: such lines and one module's CSV configuration.
     """
     from ..operators.catalog import hierarchy
+    from . import adapters
 
     if profile == "main":
         return scan(spark, paths["attempts"]), hierarchy(load_catalog(spark, paths["catalog"]))
     if profile == "derived":
         rows = scan(spark, paths["attempts"])
-    elif profile == "researcher":
+    elif profile in ("researcher", "multi_module", "module_config"):
         lines = spark.read.text(paths["attempts"])
-        head = lines.first()[0]
+        names = F.transform(F.split(F.regexp_replace("value", r"[;\s]+$", ""), ","), F.trim)
+        found = lines.filter(F.size(F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), names)) == 0).first()
+        check_header([] if found is None else [h.strip() for h in found[0].rstrip("; \r").split(",")])
+        head = found[0]  # every file of a folder repeats it
         rows = typed_researcher_rows(researcher_rows(lines.filter(F.col("value") != head), [h.strip() for h in head.rstrip("; \r").split(",")]))
         rows = with_ordinals(rows.withColumns({c: real_id(F.col(c)) for c in ("module_id", "objective_id", "activity_id", "exercise_id") if c in rows.columns}))
+        if profile == "multi_module":
+            base = adapters.config_hierarchy(adapters.config_json(spark, paths["config"]))
+            rows = rows.withColumn("module_code", code_of(F.col("playlist_or_module_id"), "module"))
+            codes = base.select(F.col("module_id").alias("playlist_or_module_id"), F.col("module_code").alias("_code")).distinct()
+            rows = rows.join(codes, "playlist_or_module_id", "left").withColumn("module_code", F.coalesce("_code", "module_code")).drop("_code")
+            full = adapters.extended_catalog(rows, base)
+            return adapters.completed(rows, full), full
+        if profile == "module_config":
+            config = config_csv(spark, paths["config"])
+            label = F.coalesce(real_text(F.col("short_title")), real_text(F.col("long_title")), F.col("code"))
+            return adapters.one_module(rows, config.select("id", "type", "code", label.alias("label"), F.col("learning_items").alias("exercise_ids")))
     else:
         raise ValueError(f"unknown profile {profile!r}")
     for level in ("module_code", "module_label", "module_id", "objective_label", "activity_label"):

@@ -52,9 +52,27 @@ BUILDERS: dict[str, Builder] = {
     "activity_elo": lambda t: R.activity_ratings(R.item_base(t["fact_attempt_core"]), t["exercise_elo"]),
     "student_elo_events": lambda t: R.sequential_replay(R.replay_rows(t["fact_attempt_core"]), t["exercise_elo"]),
     "student_elo_profiles": lambda t: R.profiles(t["student_elo_events"]),
+    "exercise_elo_iterative": lambda t: R.iterative_ratings(R.replay_rows(t["fact_attempt_core"])),
+    "student_elo_events_batch_replay": lambda t: R.batch_replay(R.replay_rows(t["fact_attempt_core"]), t["exercise_elo"]),
+    "student_elo_profiles_batch_replay": lambda t: R.profiles(t["student_elo_events_batch_replay"]),
+    "student_elo_events_iterative": lambda t: R.sequential_replay(R.replay_rows(t["fact_attempt_core"]), t["exercise_elo_iterative"], by_module=False),
+    "student_elo_profiles_iterative": lambda t: R.profiles(t["student_elo_events_iterative"], by_module=False),
+    "hierarchy_context_lookup": _fact(lambda fact: C.context_lookup(fact.withColumns({c: F.lit("unknown") for c in C.SOURCES if c not in fact.columns}))),
 }
 #: Columns that every reader of a table relies on.
 CONTRACTS: dict[str, tuple[str, ...]] = {
+    "catalog": ("module_id", "module_code", "objective_id", "objective_code", "activity_id", "activity_code", "exercise_id"),
+    "agg_objective_daily": ("date_utc", "module_code", "objective_id", "attempts", "success_rate"),
+    "agg_student_module_progress": ("date_utc", "user_id", "module_code", "attempts", "unique_activities", "success_rate", "last_attempt_at"),
+    "agg_module_usage_daily": ("date_utc", "module_code", "attempts", "unique_students"),
+    "agg_playlist_module_usage": ("playlist_or_module_id", "module_code", "work_mode", "attempts", "unique_students", "unique_classrooms", "success_rate"),
+    "agg_module_activity_usage": ("module_code", "activity_id", "attempts", "activity_share_within_module"),
+    "work_mode_paths": ("user_id", "first_work_mode", "total_transitions", "continues_after_transition_3"),
+    "classroom_mode_profiles": ("mode_scope", "classroom_id", "students", "activities", "attempts"),
+    "classroom_activity_summary": ("mode_scope", "activity_label", "classrooms", "mean_success_rate", "weak_share"),
+    "exercise_elo": ("module_code", "objective_id", "activity_id", "exercise_id", "rating"),
+    "student_elo_profiles": ("user_id", "module_code", "attempts", "final_rating"),
+    "hierarchy_context_lookup": ("module_code", "objective_id", "activity_id", "exercise_id", "attempts", "unique_students"),
     "agg_activity_daily": ("date_utc", "module_code", "objective_id", "activity_id", "attempts", "success_rate", "repeat_attempt_rate", "retry_before_success_rate"),
     "agg_exercise_daily": ("date_utc", "exercise_id", "attempts", "success_rate"),
     "agg_transition_edges": ("date_utc", "from_activity_id", "to_activity_id", "transition_count"),
