@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.columns import code_of
+from ..functions.lineage import stored
 from ..operators import catalog as C, graph as G, quality as Q
 from ..sources import ingest as I, sinks as S
 from ..sources.attempts_view import ATTEMPTS_SQL, attempts
@@ -67,7 +68,7 @@ def ingest_ordinals(spark, sf_dir):
 )
 def filtered_query(spark, sf_dir):
     filters = [("work_mode", "in", ["zpdes", "playlist"]), ("data_duration", "between", (10, 60)), ("module_code", "!=", "M2"), ("attempt_number", ">=", 2)]
-    return I.filtered(attempts(spark, sf_dir), ["event_id", "user_id", "work_mode", "data_duration"], filters, [("event_id", False)])
+    return I.filtered(stored(attempts(spark, sf_dir), "attempts"), ["event_id", "user_id", "work_mode", "data_duration"], filters, [("event_id", False)])
 
 
 @register(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import stored
 from ..operators import catalog as C, daily as D, progression as P
 from ..sources.attempts_view import ATTEMPTS_SQL, attempts
 from .daily import DAILY_SQL, rounded
@@ -191,7 +192,7 @@ _FACT = ["event_id", "user_id", "exercise_id", "playlist_or_module_id", "module_
 
 
 def fact(spark, sf_dir):
-    catalog = derived(spark, sf_dir)
+    catalog = stored(derived(spark, sf_dir), "catalog")  # read by every dimension of the resolution
     return C.resolve(raw_attempts(spark, sf_dir), catalog, _codes(catalog))
 
 

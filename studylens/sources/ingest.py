@@ -122,7 +122,7 @@ def filtered(df: DataFrame, columns: list[str], filters: list[tuple[str, str, ob
     """SRC-12: projection, conjunction of filters and order (column, descending).
 
     Only columns of ``df`` and the listed operators are accepted; an empty ``in`` gives no
-    rows but all columns.  Filters reach the Parquet scan.
+    rows but all columns.  On a stored table filters and columns reach the Parquet scan.
     """
     for c in [*columns, *(f[0] for f in filters), *(o[0] for o in order)]:
         if c not in df.columns:
