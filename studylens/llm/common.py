@@ -23,9 +23,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set (tests)."""
+    """The folder that the cluster shares; a temporary one only where none is set and all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         folder = "file://" + tempfile.mkdtemp(prefix="studylens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
