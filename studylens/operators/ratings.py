@@ -172,28 +172,79 @@ def replay_rows(attempts: DataFrame) -> DataFrame:
 _EVENTS = "event_id bigint, user_id string, module_code string, objective_id string, activity_id string, exercise_id string, created_at timestamp_ntz, y double, attempt_ordinal int, item_rating double, pre double, expected double, post double"
 
 
-def _replay_group(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(REPLAY_ORDER, kind="stable")
-    rating, pre, expected, post = BASE, [], [], []
-    for item, y in zip(frame["item_rating"].tolist(), frame["y"].tolist()):
-        p = 1 / (1 + 10 ** ((item - rating) / SCALE))
-        pre.append(rating)
-        expected.append(p)
-        rating += K * (y - p)
-        post.append(rating)
-    out = frame.assign(attempt_ordinal=np.arange(1, len(frame) + 1, dtype=np.int32), pre=pre, expected=expected, post=post)
-    return out[[c.split()[0] for c in _EVENTS.split(", ")]]
+class _Sequential:
+    """One student's rating, moved by K times the surprise of each attempt."""
+
+    def __init__(self):
+        self.rating = BASE
+
+    def step(self, item: float, y: float) -> tuple[float, float, float]:
+        pre = self.rating
+        p = 1 / (1 + 10 ** ((item - pre) / SCALE))
+        self.rating = pre + K * (y - p)
+        return pre, p, self.rating
+
+
+class _Prefix:
+    """One student's rating, refitted on all attempts so far; counts per item rating, warm-started."""
+
+    def __init__(self):
+        self.rating, self.at = BASE, {}
+        self.items, self.n, self.s = np.zeros(16), np.zeros(16), np.zeros(16)
+
+    def step(self, item: float, y: float) -> tuple[float, float, float]:
+        pre = rating = self.rating
+        expected = 1 / (1 + 10 ** ((item - pre) / SCALE))
+        i = self.at.setdefault(item, len(self.at))
+        if i == len(self.items):
+            self.items, self.n, self.s = (np.append(x, np.zeros(i)) for x in (self.items, self.n, self.s))
+        self.items[i] = item
+        self.n[i] += 1
+        self.s[i] += y
+        k, inverse = len(self.at), 1.0 / BATCH_SD**2
+        items, n, s = self.items[:k], self.n[:k], self.s[:k]
+        for _ in range(NEWTON_STEPS):
+            p = np.clip(1 / (1 + np.exp(SLOPE * (items - rating))), 1e-9, 1 - 1e-9)
+            step = ((rating - BASE) * inverse + SLOPE * (n * p - s).sum()) / (inverse + SLOPE**2 * (n * p * (1 - p)).sum())
+            rating = min(HIGH, max(LOW, rating - step))
+            if abs(step) < 0.01:
+                break
+        self.rating = rating
+        return pre, expected, rating
+
+
+def _replay(rated: DataFrame, groups: list[str], state: type) -> DataFrame:
+    """Every group's attempts in order, folded one by one.
+
+    Groups are runs of rows inside sorted partitions, so a task holds one batch and one
+    student's state, never a group.
+    """
+    names = [c.split()[0] for c in _EVENTS.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, now, ordinal = None, None, 0
+        for frame in frames:
+            rows = []
+            for *k, item, y in zip(*[frame[g].tolist() for g in groups], frame["item_rating"].tolist(), frame["y"].tolist()):
+                if k != key:
+                    key, now, ordinal = k, state(), 0
+                ordinal += 1
+                rows.append((ordinal, *now.step(item, y)))
+            done = pd.DataFrame(rows, columns=["attempt_ordinal", "pre", "expected", "post"], index=frame.index)
+            yield pd.concat([frame, done.astype({"attempt_ordinal": "int32"})], axis=1)[names]
+
+    return rated.repartition(*groups).sortWithinPartitions(*groups, *REPLAY_ORDER).mapInPandas(run, _EVENTS)
 
 
 def sequential_replay(rows: DataFrame, items: DataFrame, by_module: bool = True) -> DataFrame:
     """ELO-10 and ELO-12: rating before and after every attempt of a student.
 
-    ``items`` has ratings by context, or by exercise_id alone for the global replay.  One
-    group is one student's attempts (in one module).
+    ``items`` has ratings by context, or by exercise_id alone for the global replay.  A
+    run is one student's attempts (in one module).
     """
     rated = with_rating(rows, items, "item_rating")
     groups = ["user_id", "module_code"] if by_module else ["user_id"]
-    return rated.groupBy(*groups).applyInPandas(_replay_group, _EVENTS)
+    return _replay(rated, groups, _Sequential)
 
 
 def final_ratings(rows: DataFrame, items: DataFrame, by_module: bool = True) -> DataFrame:
@@ -253,34 +304,10 @@ def movement(events: DataFrame) -> DataFrame:
     )
 
 
-def _prefix_group(frame: pd.DataFrame) -> pd.DataFrame:
-    """Newton fits on growing prefixes, warm-started; counts per item rating as vectors."""
-    frame = frame.sort_values(REPLAY_ORDER, kind="stable")
-    items, code = np.unique(frame["item_rating"].to_numpy(), return_inverse=True)
-    n, s = np.zeros(len(items)), np.zeros(len(items))
-    rating, inverse = BASE, 1.0 / BATCH_SD**2
-    pre, expected, post = [], [], []
-    for i, y in zip(code, frame["y"].to_numpy()):
-        pre.append(rating)
-        expected.append(1 / (1 + 10 ** ((items[i] - rating) / SCALE)))
-        n[i] += 1
-        s[i] += y
-        used = n > 0
-        for _ in range(NEWTON_STEPS):
-            p = np.clip(1 / (1 + np.exp(SLOPE * (items[used] - rating))), 1e-9, 1 - 1e-9)
-            step = ((rating - BASE) * inverse + SLOPE * (n[used] * p - s[used]).sum()) / (inverse + SLOPE**2 * (n[used] * p * (1 - p)).sum())
-            rating = min(HIGH, max(LOW, rating - step))
-            if abs(step) < 0.01:
-                break
-        post.append(rating)
-    out = frame.assign(attempt_ordinal=np.arange(1, len(frame) + 1, dtype=np.int32), pre=pre, expected=expected, post=post)
-    return out[[c.split()[0] for c in _EVENTS.split(", ")]]
-
-
 def batch_replay(rows: DataFrame, items: DataFrame) -> DataFrame:
     """ELO-11: rating refitted on the whole prefix after each attempt."""
     rated = with_rating(rows, items, "item_rating")
-    return rated.groupBy("user_id", "module_code").applyInPandas(_prefix_group, _EVENTS)
+    return _replay(rated, ["user_id", "module_code"], _Prefix)
 
 
 def block_ratings(attempts: DataFrame, items: DataFrame, mode: str = "adaptive-test", only_before_practice: bool = False) -> DataFrame:
