@@ -20,6 +20,7 @@ from .words import text_buffers
 
 BUCKET_BYTES = 128 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -33,19 +34,24 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *partition_by: str, batch_rows: int = 2000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The shuffle files of the write are removed when it ends; the table replaces them.
+    Python workers of the write get at most ``batch_rows`` rows at a time, few where rows
+    are large.  Session settings are as before afterwards.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true", _BATCH: str(batch_rows)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # type: ignore[attr-defined]
     return out

@@ -208,13 +208,13 @@ def _links(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[
 
     Candidate ids grow with the corpus, so they meet the texts in a shuffle at every size.
     """
-    pairs = materialize(pairs, "near-pairs")
+    pairs = materialize(pairs, "near-pairs", batch_rows=16)  # a row may be two chunks of members
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(rows.join(ids.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(lambda it: _sets(it, size), "doc_id bigint, shingles array<bigint>"), "near-sets")
+    sets = materialize(rows.join(ids.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(lambda it: _sets(it, size), "doc_id bigint, shingles array<bigint>"), "near-sets", batch_rows=500)
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     found = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right").mapInArrow(lambda it: _verify(it, percent), "a bigint, b bigint")
-    found = materialize(found, "near-links")
+    found = materialize(found, "near-links", batch_rows=500)
     discard(sets)
     return found, pairs
 
