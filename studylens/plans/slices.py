@@ -108,7 +108,7 @@ def classroom_slice_profiles(spark, sf_dir):
     return S.classroom_slice(attempts(spark, sf_dir), module_code="M2")[0]
 
 
-@register("exercise_balanced_by_mode", CONTEXT_SQL + " SELECT module_code, objective_id, objective_label, activity_id, activity_label, round(avg(r), 6) AS metric_value FROM (SELECT module_code, objective_id, objective_label, activity_id, activity_label, exercise_id, avg(success) AS r FROM ctx WHERE work_mode = 'zpdes' GROUP BY ALL) GROUP BY module_code, objective_id, objective_label, activity_id, activity_label")
+@register("exercise_balanced_by_mode", CONTEXT_SQL + " SELECT module_code, objective_id, objective_label, activity_id, activity_label, round(avg(r), 6) AS metric_value FROM (SELECT module_code, objective_id, objective_label, activity_id, activity_label, exercise_id, avg(success) AS r FROM ctx WHERE work_mode = 'zpdes' AND objective_id IS NOT NULL AND activity_id IS NOT NULL GROUP BY ALL) GROUP BY module_code, objective_id, objective_label, activity_id, activity_label")
 def exercise_balanced_by_mode(spark, sf_dir):
     from ..operators import matrix as M
 
