@@ -30,8 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def component_sizes(parts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Sizes of all components; nodes without edges are components of one."""
-    full = nodes.select("node").distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """Sizes of all components; nodes without edges are components of one; NULL is no node."""
+    full = nodes.select("node").filter("node is not null").distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return full.groupBy("component").agg(F.count("*").alias("size"))
 
 
