@@ -251,9 +251,14 @@ def _ordinary_content(texts: list[str]) -> bytes:
     return _trained(samples[::step], ORDINARY_DICT)
 
 
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features; what lies far outside the labelled texts, as a book's length, counts no further."""
+    return np.clip((x - mean) / scale, -6, 6)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    a = np.c_[(x - mean) / scale, np.ones(len(x))]
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    a = np.c_[_standard(x, mean, scale), np.ones(len(x))]
     penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
     w = np.zeros(a.shape[1])
     for _ in range(30):
@@ -323,7 +328,7 @@ def fit(rows: list[tuple[int, str, int]], share: float) -> Model | float:
 
 
 def _logistic_score(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ weights[:-1] + weights[-1], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(_standard(x, mean, scale) @ weights[:-1] + weights[-1], -30, 30)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> tuple[list[tuple[int, str, int]], float]:
