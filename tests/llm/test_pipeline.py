@@ -44,3 +44,35 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).collect() == []
+
+
+def test_toxicity_stage_with_a_fitted_model(spark, tmp_path):
+    from .test_text_operators import _labelled
+
+    docs, labels, truth = _labelled(spark)
+    long = "ordinary words that go on " * 30_000
+    odd = spark.createDataFrame([(9000, long, "x"), (9001, long + " idiot worthless scumbag pathetic" * 50, "x"), (None, "solver andmi renka tomi", "x"), (None, "solver andmi renka tomi", "x")], docs.schema)
+    labels.filter("doc_id < 1100").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs.unionByName(odd)
+    kept = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    unseen = {i: y for i, y in truth.items() if i >= 1100}
+    assert sum(i not in ids for i, y in unseen.items() if y) >= 0.9 * sum(unseen.values())
+    assert sum(i in ids for i, y in unseen.items() if not y) >= 0.97 * sum(not y for y in unseen.values())
+    assert ids.count(None) == 2 and ids.count(5001) == 2 and 9000 in ids and 9001 not in ids
+
+
+def test_toxicity_drops_nothing_without_a_model(spark, tmp_path):
+    docs = _docs(spark)
+    spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.toxicity(spark, docs, str(tmp_path)).count() == 9
+
+
+def test_stages_on_missing_ids_and_repeated_rows(spark, tmp_path):
+    rows = [(None, "copy of one text", 1), (None, "copy of one text", 1), (1, "copy of one text", 1), (2, "a b c d e f g h", 2), (2, "a b c d e f g h", 2), (3, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({(r.doc_id or 0) for r in pieces}) == [0, 1, 2, 3] and len(pieces) == 6

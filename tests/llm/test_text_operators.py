@@ -223,3 +223,28 @@ def test_toxicity_on_held_out_rows(spark, no_docs):
 def test_toxicity_without_labels(spark, odd_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.toxicity(odd_docs, none).collect()} == {0.0}
+
+
+def test_toxicity_of_few_labels_and_odd_rows(spark):
+    long = "plain words in a row " * 40_000
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(5))
+    said = lambda toxic: " ".join([word(), word(), "idiot" if toxic else word(), word(), word(), "worthless" if toxic else word()] * 3)
+    rows = [(i, said(i < 10), "s", 0) for i in range(30)] + [(100, long, "s", 0), (None, "you idiot", "s", 0), (None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted int")
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(30)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 33 and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r.score for r in got if r.doc_id is not None}
+    assert sum(by[i] for i in range(10)) / 10 > sum(by[i] for i in range(10, 30)) / 20
+    assert toxicity.fit([(1, "a", 1), (2, "b", 0), (3, "c", 0)], 0.3) == 0.3
+
+
+def test_dictionaries_are_trained_on_both_classes():
+    rng = random.Random(2)
+    plain = [" ".join(rng.choice(["alder", "birch", "cedar", "maple", "poplar", "willow"]) for _ in range(80)) for _ in range(120)]
+    toxic = [t.replace("maple", "scoundrel", 3) for t in plain[:60]]
+    marks = toxicity._marks(toxicity._contexts(toxic), toxicity._contexts(plain[60:]))
+    assert marks[0] == b"scoundrel"
+    content = toxicity._toxic_content(toxic, marks)
+    assert b"scoundrel" in content and b"scoundrel" not in toxicity._ordinary_content(plain)
