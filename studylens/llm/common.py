@@ -20,7 +20,9 @@ from .words import text_buffers
 
 BUCKET_BYTES = 128 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that a Python worker gets at a time; a larger row comes alone.
+BATCH_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -38,12 +40,12 @@ def materialize(df: DataFrame, name: str, *partition_by: str, batch_rows: int =
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The shuffle files of the write are removed when it ends; the table replaces them.
-    Python workers of the write get at most ``batch_rows`` rows at a time, few where rows
-    are large.  Session settings are as before afterwards.
+    Python workers of the write get at most ``batch_rows`` rows and BATCH_BYTES at a
+    time.  Session settings are as before afterwards.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    wanted = {_CLEANUP: "true", _BATCH: str(batch_rows)}
+    wanted = {_CLEANUP: "true", _BATCH: str(batch_rows), _BYTES: str(BATCH_BYTES)}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

@@ -7,7 +7,7 @@ from studylens.llm import queries
 
 
 def test_every_operator_is_registered():
-    assert {k.split("_")[0] for k in queries.QUERIES if k.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {k.split("_")[0] for k in queries.QUERIES if k.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "substring_dedup", "packing"]
 
 
@@ -75,4 +75,27 @@ def test_stages_on_missing_ids_and_repeated_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted({(r.doc_id or 0) for r in pieces}) == [0, 1, 2, 3] and len(pieces) == 6
+    assert sorted(r.doc_id for r in pieces) == [1, 2, 3]  # one row of each text
+
+
+def _texts(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_no_unique_text_is_lost_with_a_shared_id(spark, tmp_path):
+    schema = "doc_id long, text string, row int"
+    rows = spark.createDataFrame([(1, "A", 0), (2, "A", 0), (2, "B", 0)], schema)
+    assert _texts(corpus_pipeline.exact(spark, rows, "")) == [(1, "A"), (2, "B")]
+    rng = random.Random(2)
+    long, other = (" ".join(f"w{rng.randrange(900)}" for _ in range(200)) for _ in range(2))
+    rows = spark.createDataFrame([(1, long, 0), (2, long + " x", 0), (2, other, 0), (3, "", 0), (4, None, 0)], schema)
+    near = corpus_pipeline.near(spark, rows, "")
+    assert near.columns == rows.columns
+    assert _texts(near) == sorted([(1, long), (2, other), (3, ""), (4, None)], key=repr)
+
+
+def test_copies_without_ids_leave_one_row(spark):
+    schema = "doc_id long, text string"
+    rows = spark.createDataFrame([(None, "A"), (None, "A"), (None, "B"), (5, "B"), (3, "B"), (None, None), (None, "")], schema)
+    kept = corpus_pipeline.exact(spark, rows, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "A"), (3, "B")]
