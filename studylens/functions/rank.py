@@ -10,26 +10,59 @@ from .lineage import kept
 def rank_by_count(rows: DataFrame, count: str, *ties: str, name: str = "rank", within: list[str] | None = None) -> DataFrame:
     """Rank by falling count, then by ``ties``; also the number of ranked rows, ``<name>_n``.
 
-    Equal counts are ordered in parallel; what is summed over the whole table (or over a
-    ``within`` group) is one row per distinct count, of which there are at most
-    sqrt(2 x the sum of counts).
+    Rows are dealt by ranges of (within, count, ties), so entities of one frequent count
+    spread over as many tasks as others; what is summed is one row per range and group.
     """
     keys = within or []
-    sizes = rows.groupBy(*keys, count).agg(F.count("*").alias("_k"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias(f"{name}_n"))
+    ranked = rank_by_range(rows, F.desc(count), *ties, name=name, within=keys)
+    return ranked.join(sizes, keys) if keys else ranked.join(F.broadcast(sizes))
+
+
+def rank_by_range(rows: DataFrame, *order, name: str = "rank", within: list[str] | None = None) -> DataFrame:
+    """Row number in a total order (of each ``within`` group): ranges are ordered in parallel, one row per range and group is summed."""
+    keys = within or []
+    parts = kept(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_k"))
     scope = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    above = F.sum("_k").over(scope.orderBy(F.desc(count)).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*keys, count, F.coalesce(above, F.lit(0)).alias("_above"), F.sum("_k").over(scope).alias(f"{name}_n"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, count).orderBy(*ties)))
-    return ranked.join(offsets, [*keys, count]).withColumn(name, F.col("_above") + F.col("_r")).drop("_above", "_r")
-
-
-def rank_by_range(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
-    """Row number in a total order: ranges are ordered in parallel, one row per range is summed."""
-    parts = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    above = F.sum("_k").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = parts.groupBy("_part").agg(F.count("*").alias("_k")).select("_part", F.coalesce(above, F.lit(0)).alias("_above"))
-    placed = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_above") + F.col("_r")).drop("_part", "_above", "_r")
+    above = F.sum("_k").over(scope.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*keys, "_part", F.coalesce(above, F.lit(0)).alias("_above"))
+    placed = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    return placed.join(offsets, [*keys, "_part"]).withColumn(name, F.col("_above") + F.col("_r")).drop("_part", "_above", "_r")
+
+
+def order_statistics(rows: DataFrame, value: str, ranks: set[int], weight: str | None = None, buckets: int = 1024) -> dict[int, float]:
+    """Values at 0-based ``ranks`` in rising order of ``value`` (finite), each row counted ``weight`` times.
+
+    Range refinement: the range that holds a rank is cut into equal buckets, an aggregate
+    counts them, and the bucket that holds the rank is the next range, down to one
+    value.  The driver sees at most ``buckets`` rows for each rank and round, rows never
+    move.  ``rows`` are read once a round and should be stored.
+    """
+    v, k = F.col(value), F.col(weight) if weight else F.lit(1)
+    found: dict[int, float] = {}
+    low, high = rows.agg(F.min(v), F.max(v)).first()
+    ranges = [(low, high, 0, sorted(ranks))] if ranks and low is not None else []
+    while ranges:
+        place = F.lit(None).cast("struct<r:int,b:bigint>")
+        for r, (a, b, _, _) in enumerate(ranges):
+            share = (v / 2 - a / 2) / (b / 2 - a / 2) if b / 2 > a / 2 else (v > a).cast("double")
+            place = F.when(v.between(a, b), F.struct(F.lit(r).alias("r"), F.least(F.lit(buckets - 1).cast("bigint"), F.floor(share * buckets)).alias("b"))).otherwise(place)
+        counted = rows.select(place.alias("p"), v.alias("v"), k.alias("k")).filter("p is not null").groupBy("p").agg(F.sum("k").alias("k"), F.min("v").alias("a"), F.max("v").alias("b"))
+        held: dict[int, list] = {}
+        for row in counted.collect():
+            held.setdefault(row.p.r, []).append((row.a, row.b, row.k))
+        following = []
+        for r, (_, _, below, wanted) in enumerate(ranges):
+            for a, b, n in sorted(held.get(r, [])):
+                here = [x for x in wanted if below <= x < below + n]
+                if here and a == b:
+                    found |= dict.fromkeys(here, a)
+                elif here:
+                    following.append((a, b, below, here))
+                below += n
+        ranges = following
+    return found
 
 
 def decile_by_cutoffs(rank, n):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import rate, real_text, success
 from ..functions.lineage import kept
-from . import graph
+from ..functions.rank import order_statistics
+from . import graph, overlap
 from .paths import first_exposures, retry_exposures
 
 #: Deciles, and the quartiles that ``shift_summary`` reads.
@@ -14,25 +17,31 @@ PERCENTS = (0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9)
 
 
 def distribution(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """IRT-1: count, mean, sd, min, nearest-rank percentiles (index round(p (n - 1))) and max.
+    """IRT-1: count, mean, sd, min, nearest-rank percentiles (index round(p (n - 1)), half to even) and max.
 
-    Percentiles come from running counts over distinct values, not from a collected list.
+    Percentiles are order statistics found by range refinement: nothing is sorted or
+    gathered, whatever the number of distinct values.  No known value, no row.
     """
-    known = rows.filter(F.col(value).isNotNull())
-    whole = known.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"))
-    steps = known.groupBy(F.col(value).cast("double").alias("v")).count().withColumn("upto", F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("v")))
-    cut = [F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("n") - 1)), F.col("v"))).alias(f"p{round(p * 100)}") for p in PERCENTS]
-    return steps.join(F.broadcast(whole)).groupBy("n", "mean", "sd", "min", "max").agg(*cut).withColumn("measure", F.lit(name))
+    known = kept(rows.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")))
+    whole = known.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max")).filter("n > 0")
+    n = known.count()
+    ranks = {p: round(p * (n - 1)) for p in PERCENTS}
+    return _with_percentiles(whole, order_statistics(known, "v", set(ranks.values())) if n else {}, ranks, name)
+
+
+def _with_percentiles(whole: DataFrame, found: dict[int, float], ranks: dict[float, int], name: str) -> DataFrame:
+    cut = [F.lit(found.get(r)).cast("double").alias(f"p{round(p * 100)}") for p, r in ranks.items()]
+    return whole.select("n", "mean", "sd", "min", "max", *cut, F.lit(name).alias("measure"))
 
 
 def histogram_distribution(histogram: DataFrame, value: str, count: str, name: str) -> DataFrame:
     """IRT-1 over a histogram (one row per value): population sd, percentiles of rank ceil(p n), at least 1."""
-    v, k = F.col(value).cast("double"), F.col(count)
-    whole = histogram.agg(F.sum(k).alias("n"), (F.sum(v * k) / F.sum(k)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
-    rows = histogram.select(v.alias("v"), k.alias("k"), F.sum(k).over(Window.partitionBy(F.lit(0)).orderBy(v)).alias("upto")).join(F.broadcast(whole))
-    cut = [F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))), F.col("v"))).alias(f"p{round(p * 100)}") for p in PERCENTS]
-    sd = F.sqrt(F.sum((F.col("v") - F.col("mean")) ** 2 * F.col("k")) / F.max("n")).alias("sd")
-    return rows.groupBy("n", "mean", "min", "max").agg(sd, *cut).withColumn("measure", F.lit(name))
+    rows = kept(histogram.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(count).alias("k")))
+    whole = rows.agg(F.sum("k").alias("n"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")).filter("n > 0")
+    spread = rows.join(F.broadcast(whole.select("n", "mean"))).agg(F.sqrt(F.sum((F.col("v") - F.col("mean")) ** 2 * F.col("k")) / F.max("n")).alias("sd"))
+    n = rows.agg(F.sum("k")).first()[0] or 0
+    ranks = {p: max(1, math.ceil(p * n)) - 1 for p in PERCENTS}
+    return _with_percentiles(whole.join(F.broadcast(spread)), order_statistics(rows, "v", set(ranks.values()), weight="k") if n else {}, ranks, name)
 
 
 def answered(attempts: DataFrame) -> DataFrame:
@@ -63,9 +72,9 @@ def coverage(attempts: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def exercise_pairs(attempts: DataFrame) -> DataFrame:
     """JN-9, IRT-5: exercises of a module that share students, with how many."""
-    seen = attempts.select("user_id", "module_code", "exercise_id").distinct()
-    right = seen.select("user_id", "module_code", F.col("exercise_id").alias("right_exercise_id"))
-    return seen.withColumnRenamed("exercise_id", "left_exercise_id").join(right, ["user_id", "module_code"]).filter("left_exercise_id < right_exercise_id").groupBy("module_code", "left_exercise_id", "right_exercise_id").agg(F.count("*").alias("shared_students"))
+    return overlap.shared_counts(attempts, "user_id", "module_code", "exercise_id").select(
+        "module_code", F.col("left").alias("left_exercise_id"), F.col("right").alias("right_exercise_id"), F.col("shared").alias("shared_students")
+    )
 
 
 def overlap_distribution(pairs: DataFrame) -> DataFrame:
@@ -117,39 +126,75 @@ def module_tails(exposures: DataFrame) -> DataFrame:
     return out.filter(tail).select(*keys, "first_attempt_students", "degree", "min_overlap", "median_overlap", "max_overlap", "component_exercises", "p10_progress")
 
 
-def success_band(attempts: DataFrame, key: str, low: float = 0.65, high: float = 0.85) -> DataFrame:
-    """IRT-8: share of exercises or students whose first-exposure success lies in a band."""
-    rates = first_exposures(attempts).groupBy(key).agg(rate(success()).alias("r"))
+def success_band(exposures: DataFrame, key: str, low: float = 0.65, high: float = 0.85) -> DataFrame:
+    """IRT-8: share of exercises or students whose success over ``exposures`` lies in a band.
+
+    The audit reads first exposures in the adaptive mode only; the caller chooses them.
+    """
+    rates = exposures.groupBy(key).agg(rate(success()).alias("r"))
     inside = F.col("r").between(low, high)
     return rates.agg(F.count("*").alias("entities"), F.avg("r").alias("mean_rate"), F.stddev_samp("r").alias("sd_rate"), F.avg(inside.cast("double")).alias("share_in_band"))
 
 
-def early_late(attempts: DataFrame) -> DataFrame:
-    """IRT-9: success in the first and last fifth (at least one) of a student's first exposures."""
-    w = Window.partitionBy("user_id")
-    rows = first_exposures(attempts).select("user_id", success().alias("s"), F.row_number().over(w.orderBy("created_at", "exercise_id", "event_id")).alias("i"), F.count("*").over(w).alias("n"))
-    k = F.greatest(F.lit(1), F.floor(F.col("n") / 5))
-    per = rows.groupBy("user_id").agg(F.max("n").alias("exposures"), F.avg(F.when(F.col("i") <= k, F.col("s"))).alias("early"), F.avg(F.when(F.col("i") > F.col("n") - k, F.col("s"))).alias("late"))
+def early_late(rows: DataFrame, ordinal: str = "student_attempt_index") -> DataFrame:
+    """IRT-9: success at the first and last fifth of a student's ordinals, a fifth being rounded up.
+
+    The fifth is of the rows at hand, while the ordinals are those of the whole history,
+    so a student whose late rows lack an outcome may have no early or late success.
+    """
+    total = rows.groupBy("user_id").agg(F.count("*").alias("exposures"))
+    part = F.greatest(F.lit(1), F.ceil(F.col("exposures") * F.lit(0.2)))
+    i, s = F.col(ordinal), success().cast("double")
+    per = rows.join(total, "user_id").groupBy("user_id").agg(F.max("exposures").alias("exposures"), F.avg(F.when(i <= part, s)).alias("early"), F.avg(F.when(i > F.col("exposures") - part, s)).alias("late"))
     return per.withColumn("delta", F.col("late") - F.col("early"))
 
 
+def first_exposure_ordinals(exposures: DataFrame) -> DataFrame:
+    """IRT-9 over first exposures: their ordinal among the student's first exposures."""
+    order = Window.partitionBy("user_id").orderBy("student_attempt_index", "exercise_id")
+    return exposures.withColumn("first_exposure_index", F.row_number().over(order))
+
+
+def early_late_summary(deltas: DataFrame, scope: str) -> DataFrame:
+    """IRT-9: mean, median and spread of the change, and the share of students who improved."""
+    whole = deltas.agg(F.count("*").alias("students"), F.median("delta").alias("median_delta"), (F.count_if(F.col("delta") > 0) / F.greatest(F.count("*"), F.lit(1))).alias("share_improved"))
+    return distribution(deltas, "delta", scope).join(F.broadcast(whole)).withColumnRenamed("measure", "scope")
+
+
 def growth(attempts: DataFrame) -> DataFrame:
     """IRT-10: attempts, exercises and elapsed whole days per student."""
     return attempts.groupBy("user_id").agg(F.count("*").alias("attempts"), F.count_distinct("exercise_id").alias("exercises"), F.floor(F.timestamp_diff("SECOND", F.min("created_at"), F.max("created_at")) / 86400).alias("elapsed_days"))
 
 
+def exposure_retries(attempts: DataFrame) -> DataFrame:
+    """IRT-11: every exposure of a student to an exercise: its first outcome and how often it was retried."""
+    first = F.min_by(success(), F.struct("created_at", "attempt_number", "event_id")).alias("first")
+    return retry_exposures(attempts).groupBy("user_id", "exercise_id", "exposure_index").agg(first, (F.max("attempt_number") - 1).alias("retries"))
+
+
 def retry_summary(attempts: DataFrame) -> DataFrame:
-    """IRT-11, RNK-5: retries after a failed first attempt, second-attempt success, reused pairs."""
-    rows = retry_exposures(attempts).select("user_id", "exercise_id", "attempt_number", success().alias("s"))
-    per = rows.groupBy("user_id", "exercise_id").agg(F.max(F.when(F.col("attempt_number") == 1, F.col("s"))).alias("first"), F.max(F.when(F.col("attempt_number") == 2, F.col("s"))).alias("second"), F.count("*").alias("n"))
-    failed = F.col("first") == 0
-    return per.agg(
-        F.count("*").alias("pairs"),
+    """IRT-11, RNK-5: retries of failed first exposures, success by kind of attempt, exercises met again.
+
+    ``retry_share_after_failure`` looks at a pair's first exposure, ``first_attempt_success``
+    at the start of every exposure, ``second_attempt_success`` at all second attempts
+    whatever came before, ``reused_pair_share`` at pairs with more than one exposure.
+    """
+    per = exposure_retries(attempts)
+    failed = (F.col("exposure_index") == 1) & (F.col("first") == 0)
+    pairs = F.count_if(F.col("exposure_index") == 1)
+    out = per.agg(
+        pairs.alias("pairs"),
         F.count_if(failed).alias("first_failures"),
-        (F.count_if(failed & F.col("second").isNotNull()) / F.count_if(failed)).alias("retry_share_after_failure"),
-        F.avg(F.when(failed, F.col("second"))).alias("second_attempt_success"),
-        (F.count_if(F.col("n") > 1) / F.count("*")).alias("reused_pair_share"),
+        (F.count_if(failed & (F.col("retries") > 0)) / F.greatest(F.count_if(failed), F.lit(1))).alias("retry_share_after_failure"),
+        F.avg("first").alias("first_attempt_success"),
+        (F.count_if(F.col("exposure_index") == 2) / F.greatest(pairs, F.lit(1))).alias("reused_pair_share"),
     )
+    return out.join(F.broadcast(attempts.agg(F.avg(F.when(F.col("attempt_number") == 2, success())).alias("second_attempt_success"))))
+
+
+def retry_distribution(attempts: DataFrame) -> DataFrame:
+    """IRT-11: how often first exposures are retried."""
+    return distribution(exposure_retries(attempts).filter("exposure_index = 1"), "retries", "first_exposure_retries")
 
 
 def metadata_audit(exercises: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -159,16 +204,33 @@ def metadata_audit(exercises: DataFrame, attempts: DataFrame) -> DataFrame:
     return types.unionByName(missing)
 
 
-def verdict(attempts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """IRT-13: feasibility flags from component share, density, growth and variance."""
-    giant = sizes.agg((F.max("size") / F.sum("size")).alias("giant_share"))
-    out = sparsity(attempts).select("density").join(F.broadcast(giant)).join(F.broadcast(early_late(attempts).agg(F.avg("delta").alias("mean_delta")))).join(F.broadcast(success_band(attempts, "exercise_id").select("sd_rate")))
-    return out.withColumns(
-        {
-            "connected": F.col("giant_share") >= 0.9,
-            "sparse": F.col("density") < 0.35,
-            "growing": F.col("mean_delta") >= 0.05,
-            "varied": F.col("sd_rate") >= 0.05,
-            "verdict": F.when(F.col("giant_share") < 0.9, "disconnected").when((F.col("mean_delta") >= 0.05) & (F.col("sd_rate") >= 0.05), "dynamic").when(F.col("sd_rate") >= 0.05, "static").otherwise("weak"),
-        }
-    )
+def component_shares(exposures: DataFrame) -> DataFrame:
+    """IRT-4: exercises and students in the largest component of the student-exercise graph, and their shares.
+
+    Largest is the one with most nodes, then most exercises.
+    """
+    edges = exposures.select(F.concat(F.lit("s:"), "user_id").alias("a"), F.concat(F.lit("e:"), "exercise_id").alias("b"))
+    item = F.col("node").startswith("e:")
+    sizes = graph.components(edges).groupBy("component").agg(F.count_if(item).alias("exercises"), F.count_if(~item).alias("students"))
+    most = F.max_by(F.struct("exercises", "students"), F.struct(F.col("exercises") + F.col("students"), "exercises"))
+    out = sizes.agg(F.count("*").alias("components"), most.alias("most"), F.sum("exercises").alias("e"), F.sum("students").alias("s"))
+    return out.select("components", F.coalesce(F.col("most.exercises") / F.col("e"), F.lit(0.0)).alias("exercise_share"), F.coalesce(F.col("most.students") / F.col("s"), F.lit(0.0)).alias("student_share"))
+
+
+def verdict(attempts: DataFrame, mode: str = "zpdes") -> DataFrame:
+    """IRT-13: whether one scale for all exercises can be estimated, and what stands against it.
+
+    In this order: the largest component holds less than 0.9 of the exercises
+    (``disconnected``), more than 0.35 of them have under 20 first exposures
+    (``sparse``), success changes by more than 0.05 within histories (``dynamic``),
+    exercise success varies by less than 0.05 (``compressed``); else ``feasible``.
+    """
+    rows = answered(attempts)
+    adaptive = first_exposures(rows, mode)
+    scale = sparsity(rows).select((F.col("exercises_below_20") / F.greatest("exercises", F.lit(1))).alias("sparse_share"))
+    growth_ = early_late(rows).agg(F.avg("delta").alias("mean_delta"))
+    band = success_band(adaptive, "exercise_id").select(F.col("sd_rate").alias("exercise_sd"))
+    parts = component_shares(adaptive).select("exercise_share")
+    out = parts.join(F.broadcast(scale)).join(F.broadcast(growth_)).join(F.broadcast(band))
+    steps = F.when(F.col("exercise_share") < 0.9, "disconnected").when(F.col("sparse_share") > 0.35, "sparse").when(F.abs("mean_delta") > 0.05, "dynamic").when(F.col("exercise_sd") < 0.05, "compressed").otherwise("feasible")
+    return out.withColumn("verdict", steps)

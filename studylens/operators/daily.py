@@ -55,7 +55,13 @@ def exercise_daily(attempts: DataFrame, exercises: DataFrame | None = None) -> D
 
 def objective_daily(attempts: DataFrame) -> DataFrame:
     """AGG-2: date x objective."""
-    return attempts.groupBy("date_utc", *HIERARCHY[:5]).agg(F.count("*").alias("attempts"), count_with_null("user_id").alias("unique_students"), rate(success()).alias("success_rate"), F.median("data_duration").alias("median_duration"))
+    return attempts.groupBy("date_utc", *HIERARCHY[:5]).agg(
+        F.count("*").alias("attempts"),
+        count_with_null("user_id").alias("unique_students"),
+        rate(success()).alias("success_rate"),
+        F.median("data_duration").alias("median_duration"),
+        rate((F.col("attempt_number") > 1).cast("int")).alias("repeat_attempt_rate"),
+    )
 
 
 def student_module_progress(attempts: DataFrame) -> DataFrame:

@@ -75,22 +75,40 @@ def focus(edges: DataFrame, node: str, objectives: DataFrame | None = None) -> D
     return found.withColumn("relation", F.lit("ancestor")).unionByName(children.withColumn("relation", F.lit("child")))
 
 
+def cyclic_groups(edges: DataFrame, group: str) -> DataFrame:
+    """Groups whose edges (source, target; no node lies in two groups) hold a ring.
+
+    A round trims both ends: edges from a node that none enters or into a node that none
+    leaves.  Then a node with one way out points past a neighbour that also has one way
+    out, so what a round trims of a chain doubles and a chain of n nodes takes log2 n
+    rounds; graphs that keep branching lose a layer at each end.  Pointing past a
+    neighbour neither makes nor breaks rings.  Where nothing can be trimmed every node
+    left can be left again, so each group left has a ring.
+    """
+    left = kept(edges.select(group, "source", "target").distinct())
+    size = left.count()
+    while size:
+        entered, leaving = left.select(F.col("target").alias("source")).distinct(), left.select(F.col("source").alias("target")).distinct()
+        trimmed = left.join(entered, "source", "left_semi").join(leaving, "target", "left_semi").select(group, "source", "target")
+        ways = trimmed.groupBy("source").agg(F.count("*").alias("n"), F.min("target").alias("past"))
+        single = ways.filter("n = 1").select(F.col("source").alias("target"), "past")
+        past = F.when(F.col("n") == 1, F.col("past"))
+        left = kept(trimmed.join(ways.select("source", "n"), "source").join(single, "target", "left").select(group, "source", F.coalesce(past, F.col("target")).alias("target")))
+        now = left.count()
+        if now == size:
+            break
+        size = now
+    return left.select(group).distinct()
+
+
 def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """PRG-13: per module node and edge counts, components, roots, acyclicity and class.
 
-    ``nodes`` has module_code, node; ``edges`` module_code, source, target.  A graph is
-    acyclic if peeling nodes without incoming edges removes all of them.
+    ``nodes`` has module_code, node; ``edges`` module_code, source, target.
     """
     key = lambda c: F.concat_ws("|", "module_code", c)
     keyed = edges.select(key("source").alias("source"), key("target").alias("target"), "module_code").distinct()
-    left = keyed
-    while True:
-        sources = left.select(F.col("source").alias("n")).distinct()
-        inner = kept(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select(*left.columns))
-        if inner.count() == left.count():
-            break
-        left = inner
-    cyclic = left.select("module_code").distinct().withColumn("cyclic", F.lit(True))
+    cyclic = cyclic_groups(keyed, "module_code").withColumn("cyclic", F.lit(True))
     parts = components(keyed.select(F.col("source").alias("a"), F.col("target").alias("b")))
     named = nodes.select("module_code", key("node").alias("node")).distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     degree = keyed.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("out"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import outcome, rate, success, two_proportion_z, two_sided_p
 
@@ -19,25 +22,76 @@ def canonical_rank(catalog: DataFrame) -> DataFrame:
     return place.select("module_code", "activity_id", (F.row_number().over(w) - 1).alias("activity_rank"))
 
 
+class _EarlierRanks:
+    """How many of the attempts seen so far lie at a rank below a given one: an indexed tree of counts."""
+
+    def __init__(self):
+        self.tree: list[int] = [0] * 65
+
+    def add(self, rank: int) -> None:
+        size = len(self.tree) - 1
+        while rank >= size:  # the new root holds what all ranks of the old tree hold
+            self.tree += [0] * size
+            self.tree[-1], size = self.tree[size], 2 * size
+        i = rank + 1
+        while i <= size:
+            self.tree[i] += 1
+            i += i & -i
+
+    def below(self, rank: int) -> int:
+        i, total = min(rank, len(self.tree) - 1), 0
+        while i:
+            total += self.tree[i]
+            i -= i & -i
+        return total
+
+
+_PRIOR = ("prior_attempt_count", "prior_same_activity_attempt_count", "prior_before_activity_attempt_count")
+
+
+def _first_with_prior(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole groups by rising time: the first of each exercise with what came strictly before it.
+
+    Attempts of one instant wait until the instant ends, so none counts for another.
+    Held are the counts by activity and the exercises of one group, and one instant.
+    """
+    group, now, waiting = None, None, []
+    ranks, activities, exercises, before = _EarlierRanks(), {}, set(), 0
+    for batch in batches:
+        first, counts = [], ([], [], [])
+        columns = [batch.column(c).to_pylist() for c in (*GROUP, "created_at", "activity_id", "activity_rank", "exercise_id")]
+        for i, (user, module, mode, at, activity, rank, exercise) in enumerate(zip(*columns)):
+            if (user, module, mode) != group:
+                group, now, waiting = (user, module, mode), at, []
+                ranks, activities, exercises, before = _EarlierRanks(), {}, set(), 0
+            elif at != now:
+                for done_rank, done in waiting:
+                    ranks.add(done_rank)
+                    activities[done] = activities.get(done, 0) + 1
+                before, now, waiting = before + len(waiting), at, []
+            if exercise not in exercises:
+                exercises.add(exercise)
+                first.append(i)
+                for values, n in zip(counts, (before, activities.get(activity, 0), ranks.below(rank))):
+                    values.append(n)
+            waiting.append((rank, activity))
+        rows = batch.take(pa.array(first, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(c, pa.int64()) for c in counts]], names=[*rows.schema.names, *_PRIOR])
+
+
 def progression_events(attempts: DataFrame, ranks: DataFrame) -> DataFrame:
     """PRG-2: strictly earlier attempts at the first attempt of each exercise.
 
-    All and same-activity counts are range windows over the order of timestamps, so rows
-    of one timestamp do not count for each other.  Attempts on lower activities come
-    from a dominance join on counts per (group, timestamp, rank).
+    A student's attempts in a module and mode are sorted by time once and counted in one
+    pass: all earlier ones, those on the same activity, and those on activities of a
+    lower rank, from an indexed tree over ranks.  One exchange, no join of attempts
+    with attempts; a task holds the activities and exercises of one group.
     """
     rows = attempts.withColumn("y", outcome(F.col("data_correct"))).filter("y is not null and created_at is not null and exercise_id is not null and user_id is not null and work_mode is not null")
-    rows = rows.join(ranks, ["module_code", "activity_id"])
-    tick = F.dense_rank().over(Window.partitionBy(*GROUP).orderBy("created_at"))
-    rows = rows.select(*GROUP, "activity_id", "activity_rank", "exercise_id", "date_utc", "created_at", "event_id", "y", tick.alias("tick"))
-    before = lambda *keys: F.count("*").over(Window.partitionBy(*keys).orderBy("tick").rangeBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumns({"prior_attempt_count": before(*GROUP), "prior_same_activity_attempt_count": before(*GROUP, "activity_id")})
-    first = Window.partitionBy(*GROUP, "exercise_id").orderBy("tick", "event_id")
-    events = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    counts = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in GROUP], F.col("tick").alias("_tick"), F.col("activity_rank").alias("_rank")).agg(F.count("*").alias("_k"))
-    on = [F.col(c) == F.col(f"_{c}") for c in GROUP] + [F.col("_rank") < F.col("activity_rank"), F.col("_tick") < F.col("tick")]
-    lower = events.select(*GROUP, "event_id", "activity_rank", "tick").join(counts, on).groupBy("event_id").agg(F.sum("_k").alias("_lower"))
-    out = events.join(lower, "event_id", "left").withColumn("prior_before_activity_attempt_count", F.coalesce("_lower", F.lit(0)))
+    rows = rows.join(ranks, ["module_code", "activity_id"]).select(*GROUP, "activity_id", F.col("activity_rank").cast("bigint").alias("activity_rank"), "exercise_id", "date_utc", "created_at", "event_id", "y")
+    sorted_rows = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "created_at", "event_id")
+    schema = T.StructType([*sorted_rows.schema.fields, *[T.StructField(c, T.LongType()) for c in _PRIOR]])
+    out = sorted_rows.mapInArrow(_first_with_prior, schema)
     later = F.greatest(F.lit(0), F.col("prior_attempt_count") - F.col("prior_before_activity_attempt_count") - F.col("prior_same_activity_attempt_count"))
     return out.select(
         *GROUP, "activity_id", "activity_rank", "exercise_id", "date_utc", "created_at", "event_id", F.col("y").alias("exercise_first_attempt_outcome"),

@@ -6,11 +6,21 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as A, graph as G, paths as P
 from ..sources.attempts_view import ATTEMPTS_SQL, attempts
-from .daily import CONTEXT_SQL, rounded
+from .daily import rounded
 from .paths import FIRST_SQL
 from .progression import CATALOG_SQL, derived
 from .registry import register
 
+#: What the audit reads: rows with student, exercise, time, outcome and ordinals.
+ANSWERED_SQL = ATTEMPTS_SQL + ", answered AS (SELECT * FROM attempts WHERE trim(user_id) <> '' AND trim(exercise_id) <> '' AND created_at IS NOT NULL AND data_correct IS NOT NULL)"
+#: First exposures in the adaptive mode: the earliest first attempt of a student at an exercise.
+ADAPTIVE_SQL = (
+    ANSWERED_SQL
+    + """, adaptive AS (
+  SELECT * FROM answered WHERE attempt_number = 1 AND work_mode = 'zpdes' QUALIFY row_number() OVER (PARTITION BY user_id, exercise_id ORDER BY created_at, event_id) = 1
+)"""
+)
+
 PAIRS_SQL = (
     ATTEMPTS_SQL
     + """, took AS (SELECT DISTINCT user_id, module_code, exercise_id FROM attempts),
@@ -130,26 +140,62 @@ def attempts_per_student_distribution(spark, sf_dir):
 BAND = """SELECT count(*) AS entities, round(avg(r), 6) AS mean_rate, round(stddev_samp(r), 6) AS sd_rate, round(avg(CASE WHEN r BETWEEN 0.65 AND 0.85 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_in_band FROM rates"""
 
 
-@register("success_band", FIRST_SQL + ", rates AS (SELECT exercise_id, avg(CAST(data_correct AS INTEGER)) AS r FROM firsts GROUP BY 1) " + BAND)
+def _adaptive(spark, sf_dir):
+    return P.first_exposures(A.answered(attempts(spark, sf_dir)), "zpdes")
+
+
+@register("success_band", ADAPTIVE_SQL + ", rates AS (SELECT exercise_id, avg(CAST(data_correct AS INTEGER)) AS r FROM adaptive GROUP BY 1) " + BAND)
 def success_band(spark, sf_dir):
-    return rounded(A.success_band(attempts(spark, sf_dir), "exercise_id"))
+    return rounded(A.success_band(_adaptive(spark, sf_dir), "exercise_id"))
 
 
-@register("student_success_band", FIRST_SQL + ", rates AS (SELECT user_id, avg(CAST(data_correct AS INTEGER)) AS r FROM firsts GROUP BY 1) " + BAND)
+@register("student_success_band", ADAPTIVE_SQL + ", rates AS (SELECT user_id, avg(CAST(data_correct AS INTEGER)) AS r FROM adaptive GROUP BY 1) " + BAND)
 def student_success_band(spark, sf_dir):
-    return rounded(A.success_band(attempts(spark, sf_dir), "user_id"))
+    return rounded(A.success_band(_adaptive(spark, sf_dir), "user_id"))
 
 
-EARLY_SQL = (
-    FIRST_SQL
-    + """, placed AS (SELECT user_id, CAST(data_correct AS INTEGER) AS s, row_number() OVER (PARTITION BY user_id ORDER BY created_at, exercise_id, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM firsts),
-early_late AS (SELECT user_id, max(n) AS exposures, avg(s) FILTER (WHERE i <= greatest(1, n // 5)) AS early, avg(s) FILTER (WHERE i > n - greatest(1, n // 5)) AS late FROM placed GROUP BY user_id)"""
-)
+def _deltas_sql(source: str, ordinal: str, name: str) -> str:
+    """Success of the first and last fifth, from totals of ``source`` and its ordinals."""
+    return f""", {name}_totals AS (SELECT user_id, count(*) AS total, greatest(1, CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT)) AS fifth FROM {source} GROUP BY 1),
+{name} AS (
+  SELECT t.user_id, max(total) AS exposures, avg(CAST(data_correct AS INTEGER)) FILTER (WHERE {ordinal} <= fifth) AS early, avg(CAST(data_correct AS INTEGER)) FILTER (WHERE {ordinal} > total - fifth) AS late
+  FROM {name}_totals t JOIN {source} USING (user_id) GROUP BY t.user_id
+)"""
+
 
+FIRST_DELTAS_SQL = """, starts AS (
+  SELECT * FROM answered WHERE attempt_number = 1 QUALIFY row_number() OVER (PARTITION BY user_id, exercise_id ORDER BY created_at, event_id) = 1
+), starting AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY student_attempt_index) AS nth FROM starts)""" + _deltas_sql("starting", "nth", "of_firsts")
 
-@register("early_late_delta", EARLY_SQL + " SELECT user_id, exposures, round(early, 6) AS early, round(late, 6) AS late, round(late - early, 6) AS delta FROM early_late")
+
+@register("early_late_delta", ANSWERED_SQL + _deltas_sql("answered", "student_attempt_index", "of_all") + " SELECT user_id, exposures, round(early, 6) AS early, round(late, 6) AS late, round(late - early, 6) AS delta FROM of_all")
 def early_late_delta(spark, sf_dir):
-    return rounded(A.early_late(attempts(spark, sf_dir)))
+    return rounded(A.early_late(A.answered(attempts(spark, sf_dir))))
+
+
+def _summary_sql(source: str, scope: str) -> str:
+    cut = ", ".join(f"(SELECT d FROM {source}_sorted WHERE i = round_even({p}::DOUBLE * ((SELECT count(*) FROM {source}_sorted) - 1), 0)) AS p{round(p * 100)}" for p in A.PERCENTS)
+    return f"SELECT count(late - early) AS n, avg(late - early) AS mean, stddev_samp(late - early) AS sd, min(late - early) AS min, max(late - early) AS max, {cut}, '{scope}' AS scope, count(*) AS students, median(late - early) AS median_delta, CAST(count(*) FILTER (WHERE late > early) AS DOUBLE) / greatest(count(*), 1) AS share_improved FROM {source}"
+
+
+@register(
+    "early_late_summary",
+    ANSWERED_SQL
+    + _deltas_sql("answered", "student_attempt_index", "of_all")
+    + FIRST_DELTAS_SQL
+    + "".join(f", {x}_sorted AS (SELECT late - early AS d, row_number() OVER (ORDER BY late - early) - 1 AS i FROM {x} WHERE late - early IS NOT NULL)" for x in ("of_all", "of_firsts"))
+    + ", both AS ("
+    + _summary_sql("of_all", "all_attempts")
+    + " UNION ALL "
+    + _summary_sql("of_firsts", "first_exposures")
+    + ") SELECT n, students, scope, "
+    + ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "sd", "min", "max", "median_delta", "share_improved", *(f"p{round(p * 100)}" for p in A.PERCENTS)))
+    + " FROM both",
+)
+def early_late_summary(spark, sf_dir):
+    rows = A.answered(attempts(spark, sf_dir))
+    firsts = A.first_exposure_ordinals(P.first_exposures(rows))
+    return rounded(A.early_late_summary(A.early_late(rows), "all_attempts").unionByName(A.early_late_summary(A.early_late(firsts, "first_exposure_index"), "first_exposures")))
 
 
 @register("trajectory_growth", ATTEMPTS_SQL + " SELECT user_id, count(*) AS attempts, count(DISTINCT exercise_id) AS exercises, CAST(floor((epoch(max(created_at)) - epoch(min(created_at))) / 86400) AS BIGINT) AS elapsed_days FROM attempts GROUP BY user_id")
@@ -157,15 +203,35 @@ def trajectory_growth(spark, sf_dir):
     return A.growth(attempts(spark, sf_dir))
 
 
+#: An exposure starts where the attempt number does not rise; its first row is the start itself.
+EXPOSURES_SQL = (
+    ANSWERED_SQL
+    + """, numbered AS (
+  SELECT *, CASE WHEN attempt_number > lag(attempt_number) OVER (PARTITION BY user_id, exercise_id ORDER BY created_at, attempt_number) THEN 0 ELSE 1 END AS starts_here FROM answered
+), exposed AS (SELECT *, sum(starts_here) OVER (PARTITION BY user_id, exercise_id ORDER BY created_at, attempt_number) - 1 AS nth FROM numbered),
+exposures AS (
+  SELECT user_id, exercise_id, nth, max(attempt_number) - 1 AS retries, CAST(arg_min(data_correct, (created_at, attempt_number)) AS INTEGER) AS correct FROM exposed GROUP BY ALL
+)"""
+)
+
+
 @register(
     "retry_summary",
-    CONTEXT_SQL
-    + """, tries AS (SELECT user_id, exercise_id, max(success) FILTER (WHERE attempt_number = 1) AS f, max(success) FILTER (WHERE attempt_number = 2) AS s2, count(*) AS n FROM ctx GROUP BY 1, 2)
-SELECT count(*) AS pairs, count(*) FILTER (WHERE f = 0) AS first_failures, round(CAST(count(*) FILTER (WHERE f = 0 AND s2 IS NOT NULL) AS DOUBLE) / count(*) FILTER (WHERE f = 0), 6) AS retry_share_after_failure,
-  round(avg(s2) FILTER (WHERE f = 0), 6) AS second_attempt_success, round(CAST(count(*) FILTER (WHERE n > 1) AS DOUBLE) / count(*), 6) AS reused_pair_share FROM tries""",
+    EXPOSURES_SQL
+    + """ SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id, exercise_id FROM exposures)) AS pairs, count(*) FILTER (WHERE nth = 0 AND correct = 0) AS first_failures,
+  round(CAST(count(*) FILTER (WHERE nth = 0 AND correct = 0 AND retries > 0) AS DOUBLE) / greatest(1, count(*) FILTER (WHERE nth = 0 AND correct = 0)), 6) AS retry_share_after_failure,
+  round(avg(correct), 6) AS first_attempt_success,
+  round((SELECT avg(CAST(data_correct AS INTEGER)) FROM answered WHERE attempt_number = 2), 6) AS second_attempt_success,
+  round((SELECT CAST(count(*) AS DOUBLE) FROM (SELECT 1 FROM exposures GROUP BY user_id, exercise_id HAVING count(*) > 1)) / (SELECT count(*) FROM (SELECT DISTINCT user_id, exercise_id FROM exposures)), 6) AS reused_pair_share
+FROM exposures""",
 )
 def retry_summary(spark, sf_dir):
-    return rounded(A.retry_summary(attempts(spark, sf_dir)))
+    return rounded(A.retry_summary(A.answered(attempts(spark, sf_dir))))
+
+
+@register("retry_distribution", EXPOSURES_SQL + ", starting_retries AS (SELECT retries AS r FROM exposures WHERE nth = 0)" + _distribution_sql("r", "starting_retries", "first_exposure_retries"))
+def retry_distribution(spark, sf_dir):
+    return rounded(A.retry_distribution(A.answered(attempts(spark, sf_dir))))
 
 
 TAIL_SQL = (
@@ -211,9 +277,32 @@ def tail_exercises_by_module(spark, sf_dir):
     return rounded(A.module_tails(P.progress_quantiles(P.first_exposures(attempts(spark, sf_dir)))))
 
 
-@register("feasibility_verdict")
+VERDICT_SQL = (
+    ADAPTIVE_SQL.replace("WITH raw_events", "WITH RECURSIVE raw_events", 1)
+    + """, near AS (SELECT DISTINCT l.exercise_id AS a, r.exercise_id AS b FROM adaptive l JOIN adaptive r USING (user_id)),
+reach AS (SELECT a, a AS b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+parts AS (SELECT a AS exercise_id, min(b) AS part FROM reach GROUP BY 1),
+sizes AS (SELECT part, count(DISTINCT exercise_id) AS exercises, count(DISTINCT user_id) AS students FROM adaptive JOIN parts USING (exercise_id) GROUP BY 1),
+largest AS (SELECT exercises AS n FROM sizes ORDER BY exercises + students DESC, exercises DESC LIMIT 1),
+starts AS (SELECT DISTINCT user_id, exercise_id FROM answered WHERE attempt_number = 1),
+scale AS (SELECT exercise_id, count(s.user_id) AS firsts FROM (SELECT DISTINCT exercise_id FROM answered) LEFT JOIN starts s USING (exercise_id) GROUP BY 1)"""
+    + _deltas_sql("answered", "student_attempt_index", "of_all")
+    + """, figures AS (
+  SELECT (SELECT CAST(n AS DOUBLE) FROM largest) / (SELECT count(DISTINCT exercise_id) FROM adaptive) AS exercise_share,
+    (SELECT avg(CASE WHEN firsts < 20 THEN 1.0::DOUBLE ELSE 0 END) FROM scale) AS sparse_share,
+    (SELECT avg(late - early) FROM of_all) AS mean_delta,
+    (SELECT stddev_samp(r) FROM (SELECT avg(CAST(data_correct AS INTEGER)) AS r FROM adaptive GROUP BY exercise_id)) AS exercise_sd
+) SELECT round(exercise_share, 6) AS exercise_share, round(sparse_share, 6) AS sparse_share, round(mean_delta, 6) AS mean_delta, round(exercise_sd, 6) AS exercise_sd,
+  CASE WHEN exercise_share < 0.9 THEN 'disconnected' WHEN sparse_share > 0.35 THEN 'sparse' WHEN abs(mean_delta) > 0.05 THEN 'dynamic' WHEN exercise_sd < 0.05 THEN 'compressed' ELSE 'feasible' END AS verdict FROM figures"""
+)
+
+
+@register("feasibility_verdict", VERDICT_SQL)
 def feasibility_verdict(spark, sf_dir):
-    rows = attempts(spark, sf_dir)
-    edges = rows.select(F.concat(F.lit("s:"), "user_id").alias("a"), F.concat(F.lit("e:"), "exercise_id").alias("b"))
-    sizes = G.component_sizes(G.components(edges), edges.select(F.explode(F.array("a", "b")).alias("node")))
-    return rounded(A.verdict(rows, sizes))
+    return rounded(A.verdict(attempts(spark, sf_dir)))
+
+
+@register("component_shares", VERDICT_SQL.split(",\nstarts AS")[0] + """ SELECT (SELECT count(*) FROM sizes) AS components, round((SELECT CAST(n AS DOUBLE) FROM largest) / (SELECT count(DISTINCT exercise_id) FROM adaptive), 6) AS exercise_share,
+  round((SELECT CAST(students AS DOUBLE) FROM sizes ORDER BY exercises + students DESC, exercises DESC LIMIT 1) / (SELECT count(DISTINCT user_id) FROM adaptive), 6) AS student_share""")
+def component_shares(spark, sf_dir):
+    return rounded(A.component_shares(_adaptive(spark, sf_dir)))

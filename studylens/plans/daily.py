@@ -59,7 +59,8 @@ def agg_exercise_daily(spark, sf_dir):
     "agg_objective_daily",
     CONTEXT_SQL
     + """ SELECT date_utc, module_id, module_code, module_label, objective_id, objective_label, count(*) AS attempts,
-  count(DISTINCT user_id) + max(CAST(user_id IS NULL AS INTEGER)) AS unique_students, round(avg(success), 6) AS success_rate, round(median(data_duration), 6) AS median_duration
+  count(DISTINCT user_id) + max(CAST(user_id IS NULL AS INTEGER)) AS unique_students, round(avg(success), 6) AS success_rate, round(median(data_duration), 6) AS median_duration,
+  round(avg(CASE WHEN attempt_number > 1 THEN 1.0::DOUBLE WHEN attempt_number <= 1 THEN 0 END), 6) AS repeat_attempt_rate
   FROM ctx GROUP BY ALL""",
 )
 def agg_objective_daily(spark, sf_dir):
