@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.columns import code_of, real_id, real_text
 
@@ -142,59 +142,90 @@ def synthesise_unmapped(attempts: DataFrame, catalog: DataFrame) -> DataFrame:
     return missing.withColumn("k", k).join(used, "module_code", "left").select("module_code", "objective_id", F.concat("module_code", F.lit("O"), (F.coalesce("used", F.lit(0)) + F.col("k")).cast("string")).alias("objective_code"))
 
 
+_PLACE_COLUMNS = [f"{level}_{c}" for level in ("module", "objective", "activity") for c in ("id", "code", "label")]
+#: Which raw id is looked up as what: slot, kind of key, column.
+_LOOKUPS = (
+    ("as_module", "module", "playlist_or_module_id"), ("code_p", "graph", "playlist_or_module_id"), ("code_o", "graph", "objective_id"), ("code_a", "graph", "activity_id"),
+    ("as_objective", "objective", "objective_id"), ("as_activity", "activity", "activity_id"), ("as_exercise", "exercise", "exercise_id"),
+)
+
+
+def place_dimension(catalog: DataFrame, codes: DataFrame) -> DataFrame:
+    """JN-1: one row per (kind, key) with all that a raw id can tell about a place.
+
+    Kinds: a module, objective or activity id, an exercise id, and a graph id of
+    ``codes``, whose code is resolved to places here already; ``parts`` are the code's
+    levels, also where the catalog lacks them.
+    """
+    least = lambda c: F.min(c).alias(c)
+    of = {level: catalog.groupBy(F.col(f"{level}_code").alias("k")).agg(F.min(f"{level}_id").alias("id"), F.min(f"{level}_label").alias("label")) for level in ("module", "objective", "activity")}
+    graph = codes.filter("code is not null").select(F.col("id").alias("key"), "code")
+    for level, table in of.items():
+        graph = graph.withColumn(f"{level}_part", code_of(F.col("code"), level))
+        found = table.select(F.col("k").alias(f"{level}_part"), F.col("k").alias(f"{level}_code"), F.col("id").alias(f"{level}_id"), F.col("label").alias(f"{level}_label"))
+        graph = graph.join(found, f"{level}_part", "left")
+    ids = {
+        "module": catalog.groupBy(F.col("module_id").alias("key")).agg(least("module_code"), least("module_label")).withColumn("module_id", F.col("key")),
+        "objective": catalog.groupBy(F.col("objective_id").alias("key")).agg(least("objective_label")),
+        "activity": catalog.groupBy(F.col("activity_id").alias("key")).agg(least("activity_label")),
+        "exercise": catalog.groupBy(F.col("exercise_id").alias("key")).agg(F.min(F.struct("module_code", "objective_code", "activity_code", *[c for c in _PLACE_COLUMNS if not c.endswith("_code")])).alias("p")).select("key", "p.*"),
+    }
+
+    def rows(df: DataFrame, kind: str) -> DataFrame:
+        text = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+        parts = F.struct(F.lit(kind == "graph").alias("coded"), *[text(f"{x}_part").alias(x) for x in ("module", "objective", "activity")]).alias("parts")
+        return df.filter("key is not null").select(F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"), F.struct(*[text(c).alias(c) for c in _PLACE_COLUMNS], parts).alias("place"))
+
+    out = rows(graph, "graph")
+    for kind, df in ids.items():
+        out = out.unionByName(rows(df, kind))
+    return out
+
+
 def resolve(attempts: DataFrame, catalog: DataFrame, codes: DataFrame) -> DataFrame:
     """JN-1: hierarchy of every attempt from raw ids, graph codes or the exercise map.
 
     Module: direct id; else the code of the playlist, objective or activity; else, only if
     objective and activity are both missing, the exercise.  Objective and activity: raw
     ids always stay, labels come from the catalog; without a raw id the context code
-    decides, else the exercise.  ``codes`` maps graph ids to codes; all dimensions are
-    curriculum-sized.  Emits one resolution source per level.
+    decides, else the exercise.  ``codes`` maps graph ids to one code each.  Emits one
+    resolution source per level.
+
+    Attempts are read twice: for their distinct contexts (four raw ids), which are
+    resolved by one look-up in ``place_dimension`` each, and to be joined with what
+    their context resolved to.  Every join is planned by the size of its sides.
     """
-    rows = attempts.drop("module_id", "module_code", "module_label", "objective_label", "activity_label")
-    for c in ("playlist_or_module_id", "objective_id", "activity_id", "exercise_id"):
-        rows = rows.withColumn(c, real_id(F.col(c)))
-    modules = catalog.groupBy("module_id").agg(F.min("module_code").alias("d_module_code"), F.min("module_label").alias("d_module_label"))
-    rows = rows.join(modules, rows["playlist_or_module_id"] == modules["module_id"], "left").withColumnRenamed("module_id", "d_module_id")
-    for c, alias in (("playlist_or_module_id", "p"), ("objective_id", "o"), ("activity_id", "a")):
-        rows = rows.join(codes.select(F.col("id").alias(f"_{alias}"), F.col("code").alias(f"{alias}_code")), F.col(c) == F.col(f"_{alias}"), "left").drop(f"_{alias}")
-    context = F.coalesce("p_code", "o_code", "a_code")
-    by_module = catalog.groupBy(F.col("module_code").alias("c_module_code")).agg(F.min("module_id").alias("c_module_id"), F.min("module_label").alias("c_module_label"))
-    by_objective = catalog.groupBy(F.col("objective_code").alias("c_objective_code")).agg(F.min("objective_id").alias("c_objective_id"), F.min("objective_label").alias("c_objective_label"))
-    by_activity = catalog.groupBy(F.col("activity_code").alias("c_activity_code")).agg(F.min("activity_id").alias("c_activity_id"), F.min("activity_label").alias("c_activity_label"))
-    rows = rows.withColumns({f"_c_{level}": F.coalesce(*[code_of(F.col(f"{x}_code"), level) for x in ("a", "o", "p")]) for level in ("objective", "activity")} | {"_c_module": code_of(context, "module")})
-    for level, table in (("module", by_module), ("objective", by_objective), ("activity", by_activity)):
-        rows = rows.join(table, F.col(f"_c_{level}") == F.col(f"c_{level}_code"), "left")
-    ids = {}
-    for level in ("objective", "activity"):
-        ids[level] = catalog.groupBy(F.col(f"{level}_id").alias(f"_{level}")).agg(F.min(f"{level}_label").alias(f"d_{level}_label"))
-        rows = rows.join(ids[level], F.col(f"{level}_id") == F.col(f"_{level}"), "left")
-    fallback = catalog.filter("exercise_id is not null").withColumn("_r", F.row_number().over(Window.partitionBy("exercise_id").orderBy("module_code", "objective_code", "activity_code"))).filter("_r = 1")
-    fallback = fallback.select(F.col("exercise_id").alias("_e"), *[F.col(c).alias(f"e_{c}") for c in ("module_id", "module_code", "module_label", "objective_id", "objective_label", "activity_id", "activity_label")])
-    rows = rows.join(fallback, F.col("exercise_id") == F.col("_e"), "left")
-
-    bare = F.col("objective_id").isNull() & F.col("activity_id").isNull()
-    source = F.when(F.col("d_module_id").isNotNull(), "direct").when(F.col("c_module_id").isNotNull(), "context").when(bare & F.col("e_module_id").isNotNull(), "exercise").otherwise("missing")
-
-    def module(c: str):
-        return F.coalesce(F.col(f"d_{c}"), F.col(f"c_{c}"), F.when(bare, F.col(f"e_{c}")))
-
-    def level_source(level: str):
-        raw = F.col(f"{level}_id").isNotNull()
-        return F.when(raw & F.col(f"d_{level}_label").isNotNull(), "direct").when(raw, "raw_id").when(F.col(f"c_{level}_id").isNotNull(), "context").when(F.col(f"e_{level}_id").isNotNull(), "exercise").otherwise("missing")
-
-    def label(level: str):
-        raw = F.col(f"{level}_id").isNotNull()
-        return F.when(raw, F.col(f"d_{level}_label")).otherwise(F.coalesce(f"c_{level}_label", f"e_{level}_label"))
-
-    kept = [c for c in attempts.columns if c not in ("module_id", "module_code", "module_label", "objective_label", "activity_label", "objective_id", "activity_id")]
-    return rows.select(
-        *kept,
-        module("module_id").alias("module_id"), module("module_code").alias("module_code"), module("module_label").alias("module_label"),
-        F.coalesce("objective_id", "c_objective_id", "e_objective_id").alias("objective_id"), label("objective").alias("objective_label"),
-        F.coalesce("activity_id", "c_activity_id", "e_activity_id").alias("activity_id"), label("activity").alias("activity_label"),
-        source.alias("resolution_source_module"), level_source("objective").alias("resolution_source_objective"), level_source("activity").alias("resolution_source_activity"),
-    )
+    raw = ("playlist_or_module_id", "objective_id", "activity_id", "exercise_id")
+    keys = [f"_{c}" for c in raw]
+    clean = [real_id(F.col(c)).alias(f"_{c}") for c in raw]
+    contexts = attempts.select(*clean).distinct()
+    asked = F.explode(F.array(*[F.struct(F.lit(slot).alias("slot"), F.lit(kind).alias("kind"), F.col(f"_{c}").alias("key")) for slot, kind, c in _LOOKUPS])).alias("q")
+    found = contexts.select(*keys, asked).select(*keys, "q.*").join(place_dimension(catalog, codes), ["kind", "key"], "left")
+    at = found.groupBy(*keys).agg(*[F.max(F.when(F.col("slot") == slot, F.col("place"))).alias(slot) for slot, _, _ in _LOOKUPS])
+
+    by_code = F.coalesce(*[F.when(F.col(f"code_{x}.parts.coded"), F.col(f"code_{x}")) for x in "poa"])
+    coded = {"module": by_code} | {level: F.coalesce(*[F.when(F.col(f"code_{x}.parts.{level}").isNotNull(), F.col(f"code_{x}")) for x in "aop"]) for level in ("objective", "activity")}
+    bare = F.col("_objective_id").isNull() & F.col("_activity_id").isNull()
+    fallback, direct = F.when(bare, F.col("as_exercise")), F.col("as_module")
+    source = F.when(direct["module_id"].isNotNull(), "direct").when(coded["module"]["module_id"].isNotNull(), "context").when(fallback["module_id"].isNotNull(), "exercise").otherwise("missing")
+
+    def level_columns(level: str) -> list[Column]:
+        known, own, has = coded[level], F.col(f"as_{level}")[f"{level}_label"], F.col(f"_{level}_id").isNotNull()
+        e = F.col("as_exercise")
+        return [
+            F.coalesce(f"_{level}_id", known[f"{level}_id"], e[f"{level}_id"]).alias(f"{level}_id"),
+            F.when(has, own).otherwise(F.coalesce(known[f"{level}_label"], e[f"{level}_label"])).alias(f"{level}_label"),
+            F.when(has & own.isNotNull(), "direct").when(has, "raw_id").when(known[f"{level}_id"].isNotNull(), "context").when(e[f"{level}_id"].isNotNull(), "exercise").otherwise("missing").alias(f"resolution_source_{level}"),
+        ]
+
+    module = [F.coalesce(direct[c], coded["module"][c], fallback[c]).alias(c) for c in ("module_id", "module_code", "module_label")]
+    resolved = at.select(*keys, *module, source.alias("resolution_source_module"), *level_columns("objective"), *level_columns("activity"))
+
+    placed = ("module_id", "module_code", "module_label", "objective_id", "objective_label", "activity_id", "activity_label")
+    others = [c for c in attempts.columns if c not in placed]
+    rows = attempts.select(*[real_id(F.col(c)).alias(c) if c in raw else F.col(c) for c in others], *[real_id(F.col(c)).alias(f"raw_{c}") for c in ("objective_id", "activity_id")])
+    on = [F.col({"objective_id": "raw_objective_id", "activity_id": "raw_activity_id"}.get(c, c)).eqNullSafe(F.col(f"_{c}")) for c in raw]
+    return rows.join(resolved, on).select(*others, *placed, *SOURCES)
 
 
 SOURCES = tuple(f"resolution_source_{x}" for x in ("module", "objective", "activity"))

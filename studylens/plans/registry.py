@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-_MODULES = ("daily", "paths", "concentration", "ratings", "progression", "audit", "classroom", "evidence", "ingest", "slices", "metadata")
+_MODULES = ("daily", "paths", "concentration", "ratings", "progression", "audit", "classroom", "evidence", "ingest", "slices", "metadata", "topology")
 
 
 def register(name: str, sql: str | None = None):
