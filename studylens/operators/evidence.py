@@ -94,34 +94,98 @@ def probability_curve(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return out.select("work_mode", "position", (F.col("position") + 1).alias("attempt_number"), "linear_predictor", (1 / (1 + F.exp(-F.col("linear_predictor")))).alias("predicted_probability"))
 
 
+class _Absorbed:
+    """OLS with absorbed fixed effects from one table of cells (cluster x effect).
+
+    A cell holds counts, means and co-moments of its rows: the only pass over the rows.
+    Group means, cross products within groups and cluster scores are sums over cells.
+    The driver sees one row of k x k sums and solves for k coefficients.
+    """
+
+    def __init__(self, rows: DataFrame, y: str, numeric: list[str], effect: str, cluster: str):
+        import numpy as np
+
+        self.x = numeric
+        names = [*numeric, y]
+        rows = rows.select(F.col(effect).alias("g"), F.col(cluster).alias("c"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(names)]).dropna(subset=[f"v{i}" for i in range(len(names))])
+        k = len(numeric)
+        self.pairs = [(i, j) for i in range(k) for j in range(i, k + 1)]  # the last is y
+        means = [F.avg(f"v{i}").alias(f"m{i}") for i in range(k + 1)]
+        moments = [F.covar_pop(f"v{i}", f"v{j}").alias(f"s{i}_{j}") for i, j in self.pairs]
+        cells = kept(rows.groupBy("g", "c").agg(F.count("*").alias("n"), *means, *moments))
+        total = lambda i: (F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n"))
+        groups = cells.groupBy(F.col("g").alias("_g")).agg(*[total(i).alias(f"g{i}") for i in range(k + 1)])
+        joined = cells.join(groups, F.col("g").eqNullSafe(F.col("_g")))
+        apart = {i: F.col(f"m{i}") - F.col(f"g{i}") for i in range(k + 1)}
+        within = [(F.col("n") * (F.col(f"s{i}_{j}") + apart[i] * apart[j])).alias(f"w{i}_{j}") for i, j in self.pairs]
+        self.cells = kept(joined.select("g", "c", "n", *[(F.col("n") * apart[i]).alias(f"d{i}") for i in range(k + 1)], *within))
+        one = self.cells.agg(F.sum("n").alias("n"), F.count_distinct("c").alias("clusters"), F.max(F.col("c").isNull().cast("int")).alias("c0"), F.count_distinct("g").alias("groups"), F.max(F.col("g").isNull().cast("int")).alias("g0"), *[F.sum(f"w{i}_{j}").alias(f"w{i}_{j}") for i, j in self.pairs]).first()
+        overall = cells.agg(*[total(i).alias(f"m{i}") for i in range(k + 1)]).first()
+        self.n, self.clusters, self.groups = int(one.n or 0), int(one.clusters + (one.c0 or 0)), int(one.groups + (one.g0 or 0))
+        self.means = np.array([overall[f"m{i}"] or 0.0 for i in range(k + 1)])
+        xx, xy = np.zeros((k, k)), np.zeros(k)
+        for i, j in self.pairs:
+            v = one[f"w{i}_{j}"] or 0.0
+            if j == k:
+                xy[i] = v
+            else:
+                xx[i, j] = xx[j, i] = v
+        self.inverse = np.linalg.pinv(xx)
+        self.beta = self.inverse @ xy
+
+    def _scores(self) -> DataFrame:
+        """Per cluster: the sum of residuals (u) and of centred regressor times residual (s0, s1, ...)."""
+        k = len(self.x)
+        slope = [F.lit(float(b)) for b in self.beta]
+        w = lambda i, j: F.col(f"w{min(i, j)}_{max(i, j)}")
+        u = F.col(f"d{k}") - sum((slope[i] * F.col(f"d{i}") for i in range(k)), F.lit(0.0))
+        score = [w(i, k) - sum((slope[j] * w(i, j) for j in range(k)), F.lit(0.0)) for i in range(k)]
+        return self.cells.select("c", u.alias("u"), *[e.alias(f"s{i}") for i, e in enumerate(score)]).groupBy("c").agg(F.sum("u").alias("u"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
+
+    def variances(self, directions) -> list[float]:
+        """Cluster-robust variance of estimates that move by a0 * mean residual + a1 . score for each (a0, a1)."""
+        parts = []
+        for share, by in directions:
+            moved = F.lit(share) * F.col("u") + sum((F.lit(float(b)) * F.col(f"s{i}") for i, b in enumerate(by)), F.lit(0.0))
+            parts.append(F.sum(moved * moved))
+        found = self._scores().agg(F.lit(1), *parts).first()[1:]
+        scale = self.clusters / max(1, self.clusters - 1) * (self.n - 1) / max(1, self.n - len(self.x) - self.groups)
+        return [max(0.0, v or 0.0) * scale for v in found]
+
+
 def clustered_ols(rows: DataFrame, y: str, numeric: list[str], effect: str, cluster: str) -> DataFrame:
-    """MOD-7: OLS with fixed effects of one column and cluster-robust errors.
+    """MOD-7: OLS with fixed effects of one column and cluster-robust errors: term, estimate, std_error, n, clusters.
 
-    Sums of products per cluster are Spark aggregates; effects are absorbed by demeaning
-    within groups; one k x k system is solved on the driver.
+    Errors have the usual small-sample factor, clusters / (clusters - 1) times
+    (n - 1) / (n - parameters), effects counting as parameters.  Rows with an unknown
+    number take no part; an unknown effect or cluster is one of its own.
     """
-    import numpy as np
-
-    within = Window.partitionBy(effect)
-    for c in (y, *numeric):
-        rows = rows.withColumn(c, F.col(c).cast("double") - F.avg(F.col(c).cast("double")).over(within))
-    pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i:]]
-    sums = rows.agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)) for a, b in pairs], *[F.sum(F.col(a) * F.col(y)) for a in numeric]).first()
-    k = len(numeric)
-    xx = np.zeros((k, k))
-    for (a, b), v in zip(pairs, sums[1 : 1 + len(pairs)]):
-        i, j = numeric.index(a), numeric.index(b)
-        xx[i, j] = xx[j, i] = v or 0.0
-    inverse = np.linalg.pinv(xx)
-    beta = inverse @ np.array([v or 0.0 for v in sums[1 + len(pairs) :]])
-    residual = F.col(y) - sum((F.lit(float(b)) * F.col(a) for a, b in zip(numeric, beta)), F.lit(0.0))
-    scores = rows.withColumn("_e", residual).groupBy(cluster).agg(*[F.sum(F.col(a) * F.col("_e")).alias(f"_s{i}") for i, a in enumerate(numeric)])
-    meat = scores.agg(F.count("*"), *[F.sum(F.col(f"_s{numeric.index(a)}") * F.col(f"_s{numeric.index(b)}")) for a, b in pairs]).first()
-    m = np.zeros((k, k))
-    for (a, b), v in zip(pairs, meat[1:]):
-        i, j = numeric.index(a), numeric.index(b)
-        m[i, j] = m[j, i] = v or 0.0
-    groups = meat[0]
-    cov = inverse @ m @ inverse * (groups / max(1, groups - 1))
-    out = [(name, float(b), float(np.sqrt(max(0.0, c))), int(sums[0]), int(groups)) for name, b, c in zip(numeric, beta, np.diag(cov))]
+    fit = _Absorbed(rows, y, numeric, effect, cluster)
+    errors = fit.variances([(0.0, fit.inverse[i]) for i in range(len(numeric))])
+    out = [(name, float(b), float(v**0.5), fit.n, fit.clusters) for name, b, v in zip(numeric, fit.beta, errors)]
     return rows.sparkSession.createDataFrame(out, "term string, estimate double, std_error double, n long, clusters long")
+
+
+def adjusted_means(rows: DataFrame, y: str, mode: str, modes: tuple[str, str], effect: str, cluster: str) -> DataFrame:
+    """MOD-7: mean outcome of both modes as if each met the groups in their overall shares, and their difference.
+
+    One row: estimate of the first mode against the second with error, z, two-sided p and
+    95 % bounds, and both adjusted means with their errors.  Without both modes or with
+    fewer than two clusters there is no row.
+    """
+    first = (F.col(mode) == modes[0]).cast("double")
+    used = rows.filter(F.col(mode).isin(*modes)).withColumn("_first", first)
+    fit = _Absorbed(used, y, ["_first"], effect, cluster)
+    share, mean = (float(v) for v in fit.means)
+    schema = "estimate double, std_error double, first_mean double, first_error double, second_mean double, second_error double, n long, clusters long, groups long"
+    if fit.clusters < 2 or not 0 < share < 1:
+        out = []
+    else:
+        b, inverse = float(fit.beta[0]), float(fit.inverse[0, 0])
+        at = [(1.0 / fit.n, [(x - share) * inverse]) for x in (1.0, 0.0)]
+        v = fit.variances([(0.0, [inverse]), *at])
+        out = [(b, v[0] ** 0.5, mean + b * (1 - share), v[1] ** 0.5, mean - b * share, v[2] ** 0.5, fit.n, fit.clusters, fit.groups)]
+    df = rows.sparkSession.createDataFrame(out, schema)
+    z = F.when(F.col("std_error") > 0, F.col("estimate") / F.col("std_error"))
+    low, high = (F.col("estimate") + s * F.lit(1.959963984540054) * F.col("std_error") for s in (-1, 1))
+    return df.withColumns({"z": z, "p_value": two_sided_p(z), "ci_low": low, "ci_high": high})

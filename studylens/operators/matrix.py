@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import rate, real_text, success, trimmed
+from ..functions.columns import rate, real_text, success, trimmed, two_proportion_z, two_sided_p
 from .ratings import with_rating
 
 METRICS = ("attempts", "success_rate", "exercise_balanced_success_rate", "activity_mean_exercise_elo", "repeat_attempt_rate", "first_attempt_success_rate", "playlist_unique_exercises")
@@ -95,3 +95,39 @@ def matrix_findings(matrix: DataFrame) -> DataFrame:
         F.min_by("activity_id", F.struct("metric_value", "activity_id")).alias("lowest_activity"),
         (F.avg(F.when(~F.col("_early"), F.col("metric_value"))) - F.avg(F.when(F.col("_early"), F.col("metric_value")))).alias("late_minus_early"),
     )
+
+
+#: Attempts (or calibration attempts) from which an exercise is compared.
+MIN_SUPPORT = 10
+
+
+def drilldown_findings(exercises: DataFrame, metric: str, support: str = "attempts", listed: int = 5) -> DataFrame:
+    """MTX-8: extremes of every cell's exercises, their spread, a verdict, a ranking and a test of the gap.
+
+    ``exercises`` is a drill-down of ``metric``.  Exercises below MIN_SUPPORT or without a
+    value are left out, cells with fewer than two others too.  Order: value falling, then
+    support falling, then id.  Rates of which low is worse list the lowest first; for
+    them and success counts rounded from the rate, the highest and lowest exercise are
+    tested as two proportions.  A cell is uneven from a spread of 0.2 (rates), 20
+    (counts) or 120 (ratings) on.
+    """
+    counts, low_is_worse = metric in ("attempts", "playlist_unique_exercises"), metric in ("success_rate", "exercise_balanced_success_rate", "first_attempt_success_rate")
+    value = F.col("attempts").cast("double") if counts else F.col("metric_value")
+    rows = exercises.withColumn("_v", value).filter((F.coalesce(F.col(support), F.lit(0)) >= MIN_SUPPORT) & F.col("_v").isNotNull())
+    falling = F.struct((-F.col("_v")).alias("v"), (-F.col(support)).alias("n"), F.col("exercise_id").alias("id"))
+    rising = F.struct(F.col("_v").alias("v"), (-F.col(support)).alias("n"), F.col("exercise_id").alias("id"))
+    shown = rising if low_is_worse else falling
+    item = F.struct("exercise_id", F.col("_v").alias("v"), F.col(support).cast("long").alias("n"))
+    cell = [c for c in ("module_code", "objective_id", "activity_id") if c in exercises.columns]
+    out = rows.groupBy(*cell).agg(
+        F.count("*").alias("exercises"), F.min_by(item, falling).alias("top"), F.max_by(item, falling).alias("bottom"),
+        F.concat_ws(">", F.transform(F.slice(F.array_sort(F.collect_list(shown)), 1, listed), lambda x: x["id"])).alias("ranking"),
+    ).filter("exercises >= 2")
+    spread = F.abs(F.col("top.v") - F.col("bottom.v"))
+    limit = 20 if counts else 120 if metric == "activity_mean_exercise_elo" else 0.20
+    hits = {x: F.bround(F.col(f"{x}.v") * F.col(f"{x}.n")) for x in ("top", "bottom")}
+    z = two_proportion_z(hits["top"], F.col("top.n"), hits["bottom"], F.col("bottom.n")) if low_is_worse else F.lit(None).cast("double")
+    return out.select(
+        *cell, "exercises", F.col("top.exercise_id").alias("highest_exercise"), F.col("top.v").alias("highest_value"), F.col("bottom.exercise_id").alias("lowest_exercise"), F.col("bottom.v").alias("lowest_value"),
+        spread.alias("spread"), F.when(spread >= limit, "uneven").otherwise("even").alias("finding"), "ranking", z.alias("z"), two_sided_p(z).alias("p_value"),
+    )

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import logistic, outcome, real_text
+from ..functions.columns import logistic, outcome, real_text, two_sided_p
 from ..functions.lineage import kept
 from .audit import distribution
 
@@ -325,6 +325,49 @@ def movement(events: DataFrame) -> DataFrame:
     )
 
 
+def movement_regions(events: DataFrame) -> DataFrame:
+    """ELO-17: rating movement by module and objective: events, students, mean change and points lost."""
+    change = F.col("post") - F.col("pre")
+    return events.groupBy("module_code", "objective_id").agg(
+        F.count("*").alias("event_count"), F.count_distinct("user_id").alias("unique_students"), F.avg(change).alias("mean_delta"), F.avg(F.abs(change)).alias("mean_abs_delta"), F.coalesce(F.sum(F.when(change < 0, -change)), F.lit(0.0)).alias("total_negative_loss")
+    )
+
+
+#: Events from which a place takes part in movement findings.
+MOVEMENT_MIN_EVENTS = 20
+
+
+def movement_findings(events: DataFrame, n: int = 5) -> DataFrame:
+    """ELO-17: the ``n`` leading places by points lost (impact), mean change (severity), mean absolute change (volatility), and objectives by points lost (region).
+
+    Places have at least MOVEMENT_MIN_EVENTS events.  Impact looks at places that lost
+    points and severity at those with a negative mean, unless there are none.  Ties: more
+    events, then module and id.  ``p_value`` tests the mean change against zero.
+    """
+    change = F.col("post") - F.col("pre")
+    keys = ["module_code", "objective_id", "activity_id"]
+    loss = F.coalesce(F.sum(F.when(change < 0, -change)), F.lit(0.0))
+    both = events.groupBy(*keys).agg(F.count("*").alias("event_count"), F.avg(change).alias("mean_delta"), F.stddev_samp(change).alias("std_delta"), F.avg(F.abs(change)).alias("mean_abs_delta"), loss.alias("total_negative_loss"))
+    places = kept(both.filter(F.col("event_count") >= MOVEMENT_MIN_EVENTS))
+    regions = movement_regions(events).filter(F.col("event_count") >= MOVEMENT_MIN_EVENTS).select("module_code", "objective_id", F.lit(None).cast("string").alias("activity_id"), "event_count", F.lit(None).cast("double").alias("p_value"), "total_negative_loss")
+    z = F.when(F.col("std_delta") > 0, F.col("mean_delta") / (F.col("std_delta") / F.sqrt("event_count")))
+    places = places.withColumn("p_value", two_sided_p(z))
+
+    def preferred(condition: Column) -> DataFrame:
+        some = places.agg(F.coalesce(F.max(condition), F.lit(False)).alias("_some"))
+        return places.join(F.broadcast(some)).filter(~F.col("_some") | condition).drop("_some")
+
+    def ranked(rows: DataFrame, kind: str, value: str, rising: bool = False) -> DataFrame:
+        order = F.round(value, 6)
+        w = Window.partitionBy("finding").orderBy(order.asc() if rising else order.desc(), F.desc("event_count"), "module_code", "objective_id", "activity_id")
+        out = rows.withColumn("finding", F.lit(kind)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+        return out.select("finding", "rank", *keys, "event_count", F.col(value).alias("value"), "p_value")
+
+    out = ranked(preferred(F.col("total_negative_loss") > 0), "impact", "total_negative_loss")
+    out = out.unionByName(ranked(preferred(F.col("mean_delta") < 0), "severity", "mean_delta", rising=True))
+    return out.unionByName(ranked(places, "volatility", "mean_abs_delta")).unionByName(ranked(regions, "region", "total_negative_loss"))
+
+
 def batch_replay(rows: DataFrame, items: DataFrame) -> DataFrame:
     """ELO-11: rating refitted on the whole prefix after each attempt."""
     rated = with_rating(rows, items, "item_rating")

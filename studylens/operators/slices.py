@@ -104,6 +104,33 @@ def population_audit(trajectories: DataFrame) -> DataFrame:
     return runs.groupBy("population", "work_mode").agg(F.count_distinct("user_id").alias("students"), F.count("*").alias("runs"), F.sum("n").alias("attempts"), F.avg("n").alias("mean_run_length"))
 
 
+def sliced_ordinals(attempts: DataFrame) -> DataFrame:
+    """WIN-5: ordinals of a filtered fact: a student's attempts in the slice, by time and then mode."""
+    w = Window.partitionBy("user_id").orderBy("created_at", "work_mode", "event_id")
+    return attempts.withColumn("student_attempt_index", F.row_number().over(w))
+
+
+def sliced_work_mode_paths(attempts: DataFrame, least: int = 1, **scope) -> DataFrame:
+    """WIN-4, WIN-5: work-mode paths within a slice; ``scope`` as of ``daily.slice_attempts``."""
+    rows = daily.min_attempts_slice(daily.slice_attempts(attempts, **scope), least)
+    return paths.work_mode_paths(sliced_ordinals(rows))
+
+
+def of_students(rows: DataFrame, students: DataFrame, module_code: str | None = None, mode: str | None = None) -> DataFrame:
+    """FLT-4: rows of some students (user_id; blank ids are none), in one module and mode if given; ``all`` is no mode."""
+    wanted = students.select(F.trim("user_id").alias("user_id")).filter("user_id <> ''").distinct()
+    out = rows.join(wanted, "user_id", "left_semi")
+    if module_code and module_code.strip():
+        out = out.filter(F.col("module_code") == module_code.strip())
+    return out.filter(F.col("work_mode") == mode) if mode and mode != "all" else out
+
+
+def student_places(attempts: DataFrame, students: DataFrame, module_code: str | None = None) -> DataFrame:
+    """FLT-4: labels of the places that some students met, one row per activity, objective and module."""
+    rows = of_students(attempts, students, module_code).filter("activity_id is not null and objective_id is not null and module_code is not null")
+    return rows.groupBy("activity_id", "objective_id", "module_code").agg(*[F.min(c).alias(c) for c in ("module_label", "objective_label", "activity_label")])
+
+
 def classroom_slice(attempts: DataFrame, **scope) -> tuple[DataFrame, DataFrame]:
     """CLS-5: classroom profiles and activity summary rebuilt on a filtered slice."""
     rows = exposure_scope(attempts, **scope)

@@ -184,13 +184,13 @@ def _summary_sql(source: str, scope: str) -> str:
     + _deltas_sql("answered", "student_attempt_index", "of_all")
     + FIRST_DELTAS_SQL
     + "".join(f", {x}_sorted AS (SELECT late - early AS d, row_number() OVER (ORDER BY late - early) - 1 AS i FROM {x} WHERE late - early IS NOT NULL)" for x in ("of_all", "of_firsts"))
-    + ", both AS ("
+    + ", summaries AS ("
     + _summary_sql("of_all", "all_attempts")
     + " UNION ALL "
     + _summary_sql("of_firsts", "first_exposures")
     + ") SELECT n, students, scope, "
     + ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "sd", "min", "max", "median_delta", "share_improved", *(f"p{round(p * 100)}" for p in A.PERCENTS)))
-    + " FROM both",
+    + " FROM summaries",
 )
 def early_late_summary(spark, sf_dir):
     rows = A.answered(attempts(spark, sf_dir))

@@ -156,3 +156,33 @@ SELECT module_code, objective_id, count(*) AS activities, round(avg(v), 6) AS me
 )
 def matrix_findings(spark, sf_dir):
     return rounded(M.matrix_findings(M.ordered(M.cells(attempts(spark, sf_dir), "success_rate"))))
+
+
+def p_sql(z: str) -> str:
+    """Two-sided normal p-value of a z by the power series of erf in Gamma functions."""
+    return f"CASE WHEN {z} IS NULL THEN NULL WHEN {z} = 0 THEN 1 WHEN abs({z}) > 8 THEN 0 ELSE 1 - exp(-{z} * {z} / 2) * list_sum(list_transform(range(0, 160), lambda i: exp((2 * i + 1) * ln(abs({z}) / sqrt(2)) - lgamma(i + 1.5)))) END"
+
+
+def _drilldown_findings(metric: str):
+    value, counts, low = {"success_rate": ("avg(success)", False, True), "repeat_attempt_rate": ("avg(repeat_flag)", False, False), "attempts": ("CAST(count(*) AS DOUBLE)", True, False)}[metric]
+    sql = (
+        CONTEXT_SQL
+        + f""", supported AS (SELECT module_code, objective_id, activity_id, exercise_id, count(*) AS n, {value} AS v FROM ctx GROUP BY ALL HAVING count(*) >= 10 AND {value} IS NOT NULL),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY module_code, objective_id, activity_id ORDER BY v DESC, n DESC, exercise_id) AS down, count(*) OVER (PARTITION BY module_code, objective_id, activity_id) AS k,
+    row_number() OVER (PARTITION BY module_code, objective_id, activity_id ORDER BY v{"" if low else " DESC"}, n DESC, exercise_id) AS shown FROM supported
+), ends AS (
+  SELECT module_code, objective_id, activity_id, max(k) AS exercises, max(exercise_id) FILTER (WHERE down = 1) AS highest_exercise, max(v) FILTER (WHERE down = 1) AS hv, max(n) FILTER (WHERE down = 1) AS hn,
+    max(exercise_id) FILTER (WHERE down = k) AS lowest_exercise, max(v) FILTER (WHERE down = k) AS lv, max(n) FILTER (WHERE down = k) AS ln_, string_agg(exercise_id, '>' ORDER BY shown) FILTER (WHERE shown <= 5) AS ranking
+  FROM ordered WHERE k >= 2 GROUP BY ALL
+), tested AS (
+  SELECT *, round_even(hv * hn, 0) AS hs, round_even(lv * ln_, 0) AS ls, (round_even(hv * hn, 0) + round_even(lv * ln_, 0)) / (hn + ln_) AS pooled FROM ends
+), zs AS (SELECT *, {"CASE WHEN pooled > 0 AND pooled < 1 THEN (hs / hn - ls / ln_) / sqrt(pooled * (1 - pooled) * (1.0::DOUBLE / hn + 1.0::DOUBLE / ln_)) END" if low else "CAST(NULL AS DOUBLE)"} AS z FROM tested)
+SELECT module_code, objective_id, activity_id, exercises, highest_exercise, round(hv, 6) AS highest_value, lowest_exercise, round(lv, 6) AS lowest_value, round(abs(hv - lv), 6) AS spread,
+  CASE WHEN abs(hv - lv) >= {"20" if counts else "0.20::DOUBLE"} THEN 'uneven' ELSE 'even' END AS finding, ranking, round(z, 6) AS z, round({p_sql("z")}, 6) AS p_value FROM zs"""
+    )
+    register(f"drilldown_findings_{metric}", sql)(lambda spark, sf_dir: rounded(M.drilldown_findings(M.drilldown(attempts(spark, sf_dir), metric), metric)))
+
+
+for _metric in ("success_rate", "repeat_attempt_rate", "attempts"):
+    _drilldown_findings(_metric)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import r6
 from ..operators import daily as D
+from ..sources import artifacts, sinks
 from ..sources.attempts_view import ATTEMPTS_SQL, attempts
 from .registry import register
 
@@ -67,6 +68,28 @@ def agg_objective_daily(spark, sf_dir):
     return rounded(D.objective_daily(attempts(spark, sf_dir)))
 
 
+_CONTRACT_SQL = {
+    "agg_objective_daily": """SELECT date_utc, module_id, module_code, module_label, objective_id, objective_label, count(*) AS attempts, count(DISTINCT user_id) AS unique_students, avg(success) AS success_rate, median(data_duration) AS median_duration, avg(repeat_flag) AS repeat_attempt_rate
+  FROM ctx GROUP BY date_utc, module_id, module_code, module_label, objective_id, objective_label""",
+    "agg_module_usage_daily": "SELECT date_utc, module_code, module_label, count(*) AS attempts, count(DISTINCT user_id) AS unique_students FROM ctx GROUP BY date_utc, module_id, module_code, module_label",
+}
+
+
+@register(
+    "artifact_contracts",
+    CONTEXT_SQL
+    + "".join(f", {t} AS ({q})" for t, q in _CONTRACT_SQL.items())
+    + " "
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, true AS present, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM {t}" for t in _CONTRACT_SQL for c in artifacts.CONTRACTS[t]),
+)
+def artifact_contracts(spark, sf_dir):
+    tables = sinks.Tables(attempts(spark, sf_dir))
+    first, *rest = [artifacts.contract_report(artifacts.artifact(tables, t), t) for t in _CONTRACT_SQL]
+    for r in rest:
+        first = first.unionByName(r)
+    return first
+
+
 @register(
     "agg_student_module_progress",
     CONTEXT_SQL

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ..functions.columns import success
 from ..operators import daily as D, evidence as E, paths as P
 from ..sources.attempts_view import ATTEMPTS_SQL, attempts
-from .concentration import START_SQL, same_item
+from .concentration import START_SQL, p_sql, same_item
 from .daily import CONTEXT_SQL, DAILY_SQL, rounded
 from .paths import EDGES_SQL, runs_sql
 from .ratings import _events, _start, replay_sql
@@ -104,3 +105,23 @@ def model_design(spark, sf_dir):
 def clustered_ols(spark, sf_dir):
     rows = E.design(P.trajectories(attempts(spark, sf_dir))).filter("classroom_id is not null")
     return rounded(E.clustered_ols(rows, "y", ["zpdes", "position", "interaction"], "module_code", "classroom_id"))
+
+
+@register(
+    "adjusted_mode_means",
+    ATTEMPTS_SQL
+    + """, used AS (
+  SELECT CAST(data_correct AS DOUBLE) AS y, CASE WHEN work_mode = 'zpdes' THEN 1.0::DOUBLE ELSE 0 END AS x, module_code AS g, classroom_id AS c FROM attempts
+  WHERE work_mode IN ('zpdes', 'playlist') AND data_correct IS NOT NULL AND classroom_id IS NOT NULL
+), centred AS (SELECT *, x - avg(x) OVER (PARTITION BY g) AS dx, y - avg(y) OVER (PARTITION BY g) AS dy FROM used),
+whole AS (SELECT sum(dx * dy) / sum(dx * dx) AS b, 1 / sum(dx * dx) AS inv, avg(x) AS mx, avg(y) AS my, count(*) AS n, count(DISTINCT c) AS k, count(DISTINCT coalesce(g, '')) AS m FROM centred),
+scores AS (SELECT c, sum(dx * (dy - b * dx)) AS s, sum(dy - b * dx) AS u FROM centred, whole GROUP BY c),
+spread AS (SELECT sum((inv * s) ** 2) AS v0, sum((u / n + (1 - mx) * inv * s) ** 2) AS v1, sum((u / n - mx * inv * s) ** 2) AS v2 FROM scores, whole),
+fitted AS (SELECT *, CAST(k AS DOUBLE) / (k - 1) * (n - 1) / (n - 1 - m) AS f, b / sqrt(v0 * CAST(k AS DOUBLE) / (k - 1) * (n - 1) / (n - 1 - m)) AS z FROM whole, spread)
+SELECT round(b, 6) AS estimate, round(sqrt(v0 * f), 6) AS std_error, round(my + b * (1 - mx), 6) AS first_mean, round(sqrt(v1 * f), 6) AS first_error, round(my - b * mx, 6) AS second_mean, round(sqrt(v2 * f), 6) AS second_error,
+  n, k AS clusters, m AS groups, round(z, 6) AS z, """
+    + f"round({p_sql('z')}, 6) AS p_value, round(b - 1.959963984540054::DOUBLE * sqrt(v0 * f), 6) AS ci_low, round(b + 1.959963984540054::DOUBLE * sqrt(v0 * f), 6) AS ci_high FROM fitted",
+)
+def adjusted_mode_means(spark, sf_dir):
+    rows = attempts(spark, sf_dir).filter("classroom_id is not null").withColumn("y", success())
+    return rounded(E.adjusted_means(rows, "y", "work_mode", ("zpdes", "playlist"), "module_code", "classroom_id"))

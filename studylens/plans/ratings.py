@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.lineage import kept
 from ..operators import ratings as R, slices as S
 from ..sources.attempts_view import attempts
-from .concentration import START_SQL, same_item
+from .concentration import START_SQL, p_sql, same_item
 from .daily import rounded
 from .registry import register
 
@@ -39,7 +39,7 @@ def replay_sql(by_module: bool) -> str:
         start
         + items
         + f""", seq AS (
-  SELECT c.event_id, c.user_id, c.module_code, c.exercise_id, c.activity_id, c.created_at, CAST(c.success AS DOUBLE) AS y, rating AS item_rating,
+  SELECT c.event_id, c.user_id, c.module_code, c.objective_id, c.exercise_id, c.activity_id, c.created_at, CAST(c.success AS DOUBLE) AS y, rating AS item_rating,
     row_number() OVER (PARTITION BY {", ".join("c." + g for g in group.split(", "))} ORDER BY created_at, c.exercise_id, attempt_number, event_id) AS ord
   FROM ctx c JOIN {source} i ON {on} WHERE c.success IS NOT NULL AND c.user_id IS NOT NULL AND c.module_code IS NOT NULL
 ), replay AS (
@@ -121,6 +121,40 @@ def elo_movement(spark, sf_dir):
     return rounded(R.movement(_events(spark, sf_dir)))
 
 
+_MOVED = "count(*) AS event_count, avg(post - pre) AS mean_delta, stddev_samp(post - pre) AS std_delta, avg(abs(post - pre)) AS mean_abs_delta, coalesce(sum(CASE WHEN post < pre THEN pre - post END), 0) AS loss"
+
+
+@register("elo_movement_regions", replay_sql(True) + f", moved AS (SELECT module_code, objective_id, count(DISTINCT user_id) AS unique_students, {_MOVED} FROM replay GROUP BY ALL) SELECT module_code, objective_id, event_count, unique_students, round(mean_delta, 6) AS mean_delta, round(mean_abs_delta, 6) AS mean_abs_delta, round(loss, 6) AS total_negative_loss FROM moved")
+def elo_movement_regions(spark, sf_dir):
+    return rounded(R.movement_regions(_events(spark, sf_dir)))
+
+
+def _leading(kind: str, source: str, value: str, order: str, condition: str = "true") -> str:
+    return f"""SELECT '{kind}' AS finding, row_number() OVER (ORDER BY {order}, event_count DESC, module_code NULLS FIRST, objective_id NULLS FIRST, activity_id NULLS FIRST) AS rank, module_code, objective_id, activity_id, event_count, round({value}, 6) AS value, p_value
+FROM {source} WHERE {condition} OR NOT EXISTS (SELECT 1 FROM {source} WHERE {condition}) QUALIFY rank <= 5"""
+
+
+@register(
+    "elo_movement_findings",
+    replay_sql(True)
+    + f""", places AS (SELECT module_code, objective_id, activity_id, {_MOVED} FROM replay GROUP BY ALL HAVING count(*) >= 20),
+tested AS (SELECT *, CASE WHEN std_delta > 0 THEN mean_delta / (std_delta / sqrt(event_count)) END AS z FROM places),
+probable AS (SELECT *, round({p_sql("z")}, 6) AS p_value FROM tested),
+regions AS (SELECT module_code, objective_id, CAST(NULL AS VARCHAR) AS activity_id, {_MOVED}, CAST(NULL AS DOUBLE) AS p_value FROM replay GROUP BY ALL HAVING count(*) >= 20) """
+    + " UNION ALL ".join(
+        f"({q})"
+        for q in (
+            _leading("impact", "probable", "loss", "round(loss, 6) DESC", "loss > 0"),
+            _leading("severity", "probable", "mean_delta", "round(mean_delta, 6)", "mean_delta < 0"),
+            _leading("volatility", "probable", "mean_abs_delta", "round(mean_abs_delta, 6) DESC"),
+            _leading("region", "regions", "loss", "round(loss, 6) DESC"),
+        )
+    ),
+)
+def elo_movement_findings(spark, sf_dir):
+    return rounded(R.movement_findings(_events(spark, sf_dir)))
+
+
 @register("exercise_elo_module")
 def exercise_elo_module(spark, sf_dir):
     return R.joint_ratings(R.calibration_rows(attempts(spark, sf_dir)))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ratings as R, slices as S
+from ..operators import daily as D, ratings as R, slices as S
 from ..sources.attempts_view import ATTEMPTS_SQL, attempts
 from .concentration import START_SQL, same_item
 from .daily import CONTEXT_SQL, rounded
 from .paths import VISITS_SQL
-from .ratings import BASE_SQL, _start
+from .ratings import BASE_SQL, _events, _start, replay_sql
 from .registry import register
 
 
@@ -115,3 +115,65 @@ def exercise_balanced_by_mode(spark, sf_dir):
     return rounded(M.cells(attempts(spark, sf_dir), "exercise_balanced_success_rate", mode="zpdes"))
 
 
+
+
+SLICE_SQL = (
+    ATTEMPTS_SQL
+    + """, in_slice AS (
+  SELECT * FROM attempts WHERE date_utc >= DATE '2024-01-10' AND module_code = 'M2'
+), enough AS (SELECT user_id FROM in_slice WHERE trim(user_id) <> '' GROUP BY 1 HAVING count(*) >= 3),
+renumbered AS (SELECT user_id, work_mode, row_number() OVER (PARTITION BY user_id ORDER BY created_at, work_mode, event_id) AS i FROM in_slice WHERE user_id IN (SELECT user_id FROM enough)),
+turns AS (SELECT *, CASE WHEN lag(work_mode) OVER (PARTITION BY user_id ORDER BY i) = work_mode THEN 0 ELSE 1 END AS turn FROM renumbered),
+stages AS (SELECT user_id, work_mode, sum(turn) OVER (PARTITION BY user_id ORDER BY i) - 1 AS stage FROM turns WHERE turn = 1)
+SELECT user_id, max(work_mode) FILTER (WHERE stage = 0) AS first_work_mode, max(work_mode) FILTER (WHERE stage = 1) AS transition_1_mode, max(work_mode) FILTER (WHERE stage = 2) AS transition_2_mode,
+  max(work_mode) FILTER (WHERE stage = 3) AS transition_3_mode, CAST(max(stage) AS BIGINT) AS total_transitions, max(stage) > 3 AS continues_after_transition_3 FROM stages GROUP BY user_id"""
+)
+
+
+@register("sliced_work_mode_paths", SLICE_SQL)
+def sliced_work_mode_paths(spark, sf_dir):
+    return S.sliced_work_mode_paths(attempts(spark, sf_dir), 3, start="2024-01-10", module_code="M2")
+
+
+def _classmates(rows):
+    """Students of classroom c3, with a blank id that is nobody's."""
+    return rows.filter("classroom_id = 'c3'").select("user_id").unionByName(rows.sparkSession.createDataFrame([(" ",)], "user_id string"))
+
+
+@register(
+    "student_module_attempts",
+    ATTEMPTS_SQL + " SELECT event_id, user_id, created_at, activity_id, exercise_id, attempt_number FROM attempts WHERE user_id IN (SELECT user_id FROM attempts WHERE classroom_id = 'c3') AND module_code = 'M1' AND work_mode = 'zpdes'",
+)
+def student_module_attempts(spark, sf_dir):
+    rows = attempts(spark, sf_dir)
+    return S.of_students(rows, _classmates(rows), " M1 ", "zpdes").select("event_id", "user_id", "created_at", "activity_id", "exercise_id", "attempt_number")
+
+
+@register("student_rating_events", replay_sql(True) + " SELECT event_id, user_id, module_code, CAST(ord AS INTEGER) AS attempt_ordinal, round(post, 6) AS post FROM replay WHERE module_code = 'M1' AND user_id IN (SELECT user_id FROM attempts WHERE classroom_id = 'c3')")
+def student_rating_events(spark, sf_dir):
+    return rounded(S.of_students(_events(spark, sf_dir), _classmates(attempts(spark, sf_dir)), "M1").select("event_id", "user_id", "module_code", "attempt_ordinal", "post"))
+
+
+@register(
+    "student_places",
+    ATTEMPTS_SQL
+    + """ SELECT activity_id, objective_id, module_code, min(module_label) AS module_label, min(objective_label) AS objective_label, min(activity_label) AS activity_label FROM attempts
+WHERE user_id IN (SELECT user_id FROM attempts WHERE classroom_id = 'c3') AND activity_id IS NOT NULL AND objective_id IS NOT NULL AND module_code IS NOT NULL GROUP BY 1, 2, 3""",
+)
+def student_places(spark, sf_dir):
+    rows = attempts(spark, sf_dir)
+    return S.student_places(rows, _classmates(rows))
+
+
+@register(
+    "exercise_daily_labelled",
+    CONTEXT_SQL
+    + """, named AS (SELECT exercise_id, min(activity_label) || ' / ' || exercise_id AS exercise_label, CASE WHEN min(module_code) = 'M1' THEN 'quiz' END AS exercise_type FROM attempts WHERE exercise_id LIKE '%1' GROUP BY exercise_id)
+SELECT date_utc, activity_id, c.exercise_id, coalesce(any_value(exercise_label), c.exercise_id) AS exercise_label, coalesce(any_value(exercise_type), 'unknown') AS exercise_type, count(*) AS attempts, round(avg(success), 6) AS success_rate
+FROM ctx c LEFT JOIN named USING (exercise_id) GROUP BY date_utc, module_id, module_code, module_label, objective_id, objective_label, activity_id, activity_label, c.exercise_id""",
+)
+def exercise_daily_labelled(spark, sf_dir):
+    rows = attempts(spark, sf_dir)
+    label, kind = F.concat(F.min("activity_label"), F.lit(" / "), "exercise_id"), F.when(F.min("module_code") == "M1", "quiz")
+    named = rows.filter("exercise_id like '%1'").groupBy("exercise_id").agg(label.alias("exercise_label"), kind.alias("exercise_type"))
+    return rounded(D.exercise_daily(rows, named)).select("date_utc", "activity_id", "exercise_id", "exercise_label", "exercise_type", "attempts", "success_rate")
