@@ -3,8 +3,8 @@
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text.  A
 document is cut into overlapping windows of a few words; a window that compresses better
 with the toxic dictionary speaks for toxicity by the bytes saved.  Thresholds on that
-saving are calibrated on labelled documents that made no dictionary: a logistic model
-weighs how many windows save 1, 2, ... 8 bytes or more.
+saving are calibrated on labelled documents that the dictionaries never saw: a logistic
+model weighs how many windows save 1, 2, ... 8 bytes or more.
 
 Most of a toxic text is ordinary, and zstandard's trainer goes by frequency alone, so on
 whole toxic texts it learns ordinary syllables.  The segments that it is trained on are
@@ -44,14 +44,12 @@ SAMPLE = {1: 1500, 0: 3000}
 CHANCE = 0.05
 #: A chosen segment is so many times as common in toxic documents as in ordinary ones.
 MARK_RATE = 5.0
-#: The strongest candidates that are chosen at least, however few labels there are.
-LEAST_MARKS = 24
-#: Segments are words and their beginnings of these lengths in bytes.
+#: Segments are words with their end and beginnings of words, of these lengths in bytes.
 STEMS = range(4, 9)
+#: Share of the labelled texts, by their hash, that the dictionaries are trained on; the others calibrate.
+TRAINED_SHARE = 0.6
 #: Words of one sample of the ordinary dictionary.
 ORDINARY_WORDS = 12
-#: Bound of those samples, spread evenly over the ordinary documents of the fit.
-ORDINARY_PIECES = 15_000
 #: Clean documents that the cut of ``drop_toxic`` may at most lose, by calibration.
 CLEAN_LOST = 0.03
 CARRIER = bytes(range(1, 25))  # control characters never occur in a window
@@ -169,7 +167,8 @@ def _words_of(text: str) -> list[bytes]:
 
 
 def _units(word: bytes) -> list[bytes]:
-    return [word, *[word[:k] for k in STEMS if k < len(word)]]
+    """The word with its end, and its beginnings: an ordinary word may begin insults without being one."""
+    return [word + b" ", *[word[:k] for k in STEMS if k < len(word)]]
 
 
 def _contexts(texts: list[str], among: Counter | None = None) -> tuple[Counter, int]:
@@ -219,36 +218,42 @@ def _marks(toxic: tuple[Counter, int], ordinary: tuple[Counter, int]) -> list[by
             longer[unit[:k]] = max(longer[unit[:k]], within[unit])
     ranked = sorted((u for u in strength if longer[u] < 0.8 * within[u]), key=lambda u: (-strength[u], u))
     need = math.log(max(len(strength), 1) / CHANCE)
-    return [u for i, u in enumerate(ranked) if i < LEAST_MARKS or strength[u] > need]
+    return [u for u in ranked if strength[u] > need]
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary that zstandard trains; the samples themselves where they are too few to train on."""
+    """Content of a dictionary that zstandard trains.
+
+    It refuses a handful of samples; then these, each once, are the dictionary.
+    """
     try:
         return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(reversed(samples)))[-size:]
+        return b"".join(dict.fromkeys(samples))
 
 
-def _toxic_content(texts: list[str], marks: list[bytes]) -> bytes:
-    """Trained on the chosen segments of every toxic document, in their order."""
+def _carried_unit(marks: list[bytes]) -> Callable[[bytes], bytes]:
+    """The longest chosen segment that a word ends or begins with, without its end; empty if none."""
     chosen = set(marks)
-    longest = functools.cache(lambda word: max((u for u in _units(word) if u in chosen), key=len, default=b""))
+    return functools.cache(lambda word: max((u for u in _units(word) if u in chosen), key=len, default=b"").strip())
+
+
+def _toxic_content(texts: list[str], unit: Callable[[bytes], bytes]) -> bytes:
+    """Trained on the chosen segments of every toxic document, in their order."""
     samples = []
     for text in texts:
-        if found := [u for u in map(longest, _words_of(text)) if u]:
+        if found := [u for u in map(unit, _words_of(text)) if u]:
             samples.append(b" " + b" ".join(found) + b" ")
     return _trained(samples, TOXIC_DICT)
 
 
-def _ordinary_content(texts: list[str]) -> bytes:
-    """Trained on pieces of ordinary documents."""
+def _ordinary_content(texts: list[str], unit: Callable[[bytes], bytes]) -> bytes:
+    """Trained on pieces of ordinary documents, without words that carry a chosen segment, which would cancel it."""
     samples = []
     for text in texts:
-        words = _words_of(text)
+        words = [w for w in _words_of(text) if not unit(w)]
         samples += [b" " + b" ".join(words[i : i + ORDINARY_WORDS]) + b" " for i in range(0, len(words), ORDINARY_WORDS)]
-    step = -(-len(samples) // ORDINARY_PIECES) or 1
-    return _trained(samples[::step], ORDINARY_DICT)
+    return _trained(samples, ORDINARY_DICT)
 
 
 def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -272,8 +277,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
 
 def _contents(toxic: list[str], ordinary: list[str], counted: tuple) -> tuple[bytes, bytes]:
     """(content of the toxic side, content of the ordinary side)."""
-    common = _ordinary_content(ordinary)
-    return _toxic_content(toxic, _marks(*counted)) + common, common
+    unit = _carried_unit(_marks(*counted))
+    common = _ordinary_content(ordinary, unit)
+    return _toxic_content(toxic, unit) + common, common
 
 
 def _all_features(texts: list[str], contents: tuple[bytes, bytes]) -> np.ndarray:
@@ -297,32 +303,29 @@ def _cut(score: np.ndarray, y: np.ndarray) -> float:
 def fit(rows: list[tuple[int, str, int]], share: float) -> Model | float:
     """Model from labelled (doc_id, text, toxic), or ``share`` where a class has fewer than two texts.
 
-    Cross-fitted: documents with even and odd hash each make dictionaries for the other
-    half, so every calibration row is unknown to its dictionaries; the final ones are
-    trained on all.  ``share`` is the toxic share of all labelled documents; the sample's
-    own share is corrected to it.
+    TRAINED_SHARE of the texts, by their hash, so that copies stay together, train the
+    dictionaries; thresholds and cut are calibrated on the scores that these very
+    dictionaries give the others.  Where that leaves a class out on one side, each class
+    is dealt by turns.  ``share`` is the toxic share of all labelled documents; the
+    calibration rows' own share is corrected to it.
     """
     rows = sorted(rows)
-    side = np.array([zlib.crc32(t.encode()) & 1 for _, t, _ in rows])  # copies fall on one side
     y = np.array([r[2] for r in rows], dtype=float)
-    part = {(s, c): [t for (_, t, k), d in zip(rows, side) if d == s and k == c] for s in (0, 1) for c in (0, 1)}
-    if not all(part.values()):  # too few: by turns instead
-        rank = {c: 0 for c in (0, 1)}
-        for i, (_, _, k) in enumerate(rows):
-            side[i], rank[k] = rank[k] & 1, rank[k] + 1
-        part = {(s, c): [t for (_, t, k), d in zip(rows, side) if d == s and k == c] for s in (0, 1) for c in (0, 1)}
-        if not all(part.values()):
+    trains = np.array([zlib.crc32(t.encode()) % 1000 < 1000 * TRAINED_SHARE for _, t, _ in rows], dtype=bool)
+    full = lambda side: all((y[side] == c).any() for c in (0, 1))
+    if not (full(trains) and full(~trains)):
+        for c in (0, 1):
+            mine = np.flatnonzero(y == c)
+            trains[mine] = np.arange(len(mine)) % 2 == 0
+        if not (full(trains) and full(~trains)):
             return share
-    toxic = {s: _contexts(part[s, 1]) for s in (0, 1)}
-    ordinary = {s: _contexts(part[s, 0], toxic[0][0] | toxic[1][0]) for s in (0, 1)}
-    x = np.zeros((len(rows), SAVINGS + 3))
-    for s in (0, 1):
-        mine = np.flatnonzero(side != s)
-        x[mine] = _all_features([rows[i][1] for i in mine], _contents(part[s, 1], part[s, 0], (toxic[s], ordinary[s])))
+    part = {c: [rows[i][1] for i in np.flatnonzero(trains & (y == c))] for c in (0, 1)}
+    toxic = _contexts(part[1])
+    contents = _contents(part[1], part[0], (toxic, _contexts(part[0], toxic[0])))
+    unseen = np.flatnonzero(~trains)
+    x, y = _all_features([rows[i][1] for i in unseen], contents), y[unseen]
     mean, scale, weights = _logistic(x, y)
     weights[-1] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean())) if 0 < share < 1 else 0.0
-    both = [(a[0][0] + a[1][0], a[0][1] + a[1][1]) for a in (toxic, ordinary)]
-    contents = _contents(part[0, 1] + part[1, 1], part[0, 0] + part[1, 0], both)
     cut = _cut(_logistic_score(x, mean, scale, weights), y)
     return Model(*contents, tuple(mean), tuple(scale), tuple(weights), cut)
 
