@@ -17,7 +17,6 @@ of each length, and looks every piece's place up in the plan.
 from __future__ import annotations
 
 import functools
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -42,18 +41,19 @@ def _encoder(ranks_path: str, special: tuple[tuple[str, int], ...]):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
-_PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, chunk string, rank int"
+_PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, chunk int, rank bigint"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], ranks_path: str, special: tuple, capacity: int) -> Iterator[pa.RecordBatch]:
-    """Pieces with their rank among this chunk's pieces of the same length.
+    """Pieces with their rank among the pieces of the same length in this partition, the chunk.
 
     The first piece of a long document takes the remainder, so that all others are full.
     """
     coder = _encoder(ranks_path, special)
     allowed = {s for s, _ in special}
+    seen = [0] * (capacity + 1)
     for batch in batches:
-        chunk, seen = uuid.uuid4().hex, np.zeros(capacity + 1, dtype=np.int32)
+        chunk = batch.column("part")[0].as_py() if batch.num_rows else 0
         ids_of, piece, start, size, crc, rank = [], [], [], [], [], []
         for doc_id, data in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
             text = data.decode()
@@ -71,7 +71,7 @@ def _cut(batches: Iterator[pa.RecordBatch], ranks_path: str, special: tuple, cap
                 seen[n] += 1
                 at, n, k = at + n, capacity, k + 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids_of, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(crc, pa.int64()), pa.array([chunk] * len(piece), pa.string()), pa.array(rank, pa.int32())],
+            [pa.array(ids_of, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(crc, pa.int64()), pa.array([chunk] * len(piece), pa.int32()), pa.array(rank, pa.int64())],
             names=["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "rank"],
         )
 
@@ -147,12 +147,14 @@ def best_fit_packing(docs: DataFrame, ranks_path: str, special: dict[str, int],
 
     Texts never move.  The driver sees one count per length (at most ``capacity`` rows)
     and makes the plan, whose rows grow with the number of distinct lengths only.
-    Numbers within a length come from per-chunk ranks and running sums over chunks, so a
-    length that most pieces share is not gathered anywhere.
+    Numbers within a length come from ranks within the input's partitions and running
+    sums over partitions, one row for each, so a length that most pieces share is not
+    gathered anywhere.
     """
     spark = docs.sparkSession
     marks = tuple(sorted(special.items()))
-    pieces = materialize(documents(docs, id_col, text_col).mapInArrow(lambda it: _cut(it, ranks_path, marks, capacity), _PIECES), "pack-pieces")
+    rows = documents(docs, id_col, text_col).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    pieces = materialize(rows.mapInArrow(lambda it: _cut(it, ranks_path, marks, capacity), _PIECES), "pack-pieces")
     per_chunk = materialize(pieces.groupBy("length", "chunk").agg(F.count("*").alias("n")), "pack-chunks")
     counts = {int(r[0]): int(r[1]) for r in per_chunk.groupBy("length").agg(F.sum("n")).collect()}
     plan = (packer or VectorBestFit(capacity)).plan(counts)
