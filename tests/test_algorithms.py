@@ -271,3 +271,57 @@ def test_component_shares_count_exercises_and_students_apart(spark):
 def test_objective_days_know_repeats(spark):
     r = one(daily.objective_daily(attempts(spark, [{}, {"attempt_number": 2}, {"attempt_number": None}])))
     assert r.repeat_attempt_rate == 0.5
+
+
+# iterative ratings
+
+
+def golden(observed):
+    """Rating of least penalised loss by golden-section search, from (student rating, outcome)."""
+
+    def loss(r):
+        total = 0.5 * ((r - ratings.BASE) / ratings.ITER_SD) ** 2
+        for pre, y in observed:
+            p = min(1 - 1e-9, max(1e-9, 1 / (1 + 10 ** ((r - pre) / ratings.SCALE))))
+            total -= y * math.log(p) + (1 - y) * math.log(1 - p)
+        return total
+
+    a, b, k = ratings.LOW, ratings.HIGH, (math.sqrt(5) - 1) / 2
+    for _ in range(ratings.GOLDEN_STEPS):
+        c, d = b - k * (b - a), a + k * (b - a)
+        a, b = (a, d) if loss(c) <= loss(d) else (c, b)
+    return (a + b) / 2
+
+
+def plain_iterative(seen, items, rounds):
+    """``seen``: (student, exercise, attempt number, outcome) in order of time."""
+    for _ in range(rounds):
+        students, before = {}, {}
+        for u, e, n, y in seen:
+            pre = students.get(u, ratings.BASE)
+            if n == 1:
+                before.setdefault(e, []).append((pre, y))
+            students[u] = pre + ratings.K * (y - 1 / (1 + 10 ** ((items[e] - pre) / ratings.SCALE)))
+        new = {e: golden(before[e]) if e in before else ratings.BASE for e in items}
+        shift = ratings.BASE - sum(new.values()) / len(new)
+        new = {e: r + shift for e, r in new.items()}
+        moved = sorted(abs(new[e] - items[e]) for e in items)
+        items = new
+        middle = (moved[(len(moved) - 1) // 2] + moved[len(moved) // 2]) / 2
+        if middle < ratings.ITER_MEDIAN and moved[-1] < ratings.ITER_MAX:
+            break
+    return items
+
+
+@pytest.mark.parametrize("rounds", [1, 10])
+def test_iterative_ratings_equal_plain_python(spark, rounds):
+    rng, rows = random.Random(9), []
+    for u in range(6):
+        for m, e in enumerate(rng.sample(range(5), 4)):
+            for n in range(1, rng.randrange(2, 4)):
+                rows.append({"user_id": f"u{u}", "exercise_id": f"e{e}", "minute": 100 * u + 10 * m + n, "attempt_number": n, "data_correct": rng.random() < 0.35 + 0.12 * e})
+    df = ratings.replay_rows(attempts(spark, rows))
+    start = {r.exercise_id: r.rating for r in ratings.smoothed_start(df.filter("attempt_number = 1").select("event_id", "exercise_id", "y"), by_module=False).collect()}
+    seen = [(r["user_id"], r["exercise_id"], r["attempt_number"], float(r["data_correct"])) for r in sorted(rows, key=lambda r: r["minute"])]
+    got = {r.exercise_id: r.rating for r in ratings.iterative_ratings(df, rounds).collect()}
+    assert got == pytest.approx(plain_iterative(seen, start, rounds), abs=1e-3)
