@@ -65,7 +65,7 @@ def coverage(attempts: DataFrame, catalog: DataFrame) -> DataFrame:
     seen = attempts.select("user_id", "module_code", "exercise_id").distinct()
     total = catalog.agg(F.count_distinct("exercise_id").alias("total"))
     modules = catalog.groupBy("module_code").agg(F.count_distinct("exercise_id").alias("size"))
-    entered = seen.select("user_id", "module_code").distinct().join(F.broadcast(modules), "module_code").groupBy("user_id").agg(F.sum("size").alias("entered"))
+    entered = seen.select("user_id", "module_code").distinct().join(modules, "module_code").groupBy("user_id").agg(F.sum("size").alias("entered"))
     per = seen.groupBy("user_id").agg(F.count_distinct("exercise_id").alias("exercises")).join(entered, "user_id").join(F.broadcast(total))
     return per.select("user_id", "exercises", (F.col("exercises") / F.col("total")).alias("catalog_share"), (F.col("exercises") / F.col("entered")).alias("entered_share"))
 
@@ -121,7 +121,7 @@ def module_tails(exposures: DataFrame) -> DataFrame:
     module = Window.partitionBy("module_code")
     steps = full.groupBy("module_code", "degree").count().withColumn("upto", F.sum("count").over(module.orderBy("degree"))).withColumn("n", F.sum("count").over(module))
     low = steps.groupBy("module_code").agg(F.min(F.when(F.col("upto") > F.bround(0.1 * (F.col("n") - 1)), F.col("degree"))).alias("low_degree"))
-    out = full.join(sizes, ["module_code", "component"]).join(F.broadcast(low.join(largest, "module_code")), "module_code")
+    out = full.join(sizes, ["module_code", "component"]).join(low.join(largest, "module_code"), "module_code")
     tail = (F.col("degree") <= F.col("low_degree")) | (F.col("component_exercises") < F.col("largest")) | (F.col("p10_progress") >= 0.9)
     return out.filter(tail).select(*keys, "first_attempt_students", "degree", "min_overlap", "median_overlap", "max_overlap", "component_exercises", "p10_progress")
 

@@ -269,12 +269,31 @@ def sequential_replay(rows: DataFrame, items: DataFrame, by_module: bool = True)
 
 
 def final_ratings(rows: DataFrame, items: DataFrame, by_module: bool = True) -> DataFrame:
-    """Final rating of the sequential replay as a fold, without Python."""
+    """Attempts and final rating of the sequential replay, one row per student (and module).
+
+    Folded over sorted runs of rows as in ``sequential_replay``; only the last state of a
+    run leaves the task.
+    """
     groups = ["user_id", "module_code"] if by_module else ["user_id"]
-    rated = with_rating(rows, items, "item_rating")
-    listed = rated.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct(*REPLAY_ORDER, "item_rating", "y"))).alias("o"))
-    fold = F.aggregate("o", F.lit(BASE), lambda r, o: r + K * (o["y"] - logistic(o["item_rating"], r)))
-    return listed.select(*groups, F.size("o").alias("attempts"), fold.alias("final_rating"))
+    rated = with_rating(rows, items, "item_rating").select(*groups, *[c for c in REPLAY_ORDER if c not in groups], "item_rating", "y")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, now, n = None, _Sequential(), 0
+        for frame in frames:
+            done = []
+            for *k, item, y in zip(*[frame[g].tolist() for g in groups], frame["item_rating"].tolist(), frame["y"].tolist()):
+                if k != key:
+                    if key is not None:
+                        done.append((*key, n, now.rating))
+                    key, now, n = k, _Sequential(), 0
+                now.step(item, y)
+                n += 1
+            yield pd.DataFrame(done, columns=[*groups, "attempts", "final_rating"]).astype({"attempts": "int32", "final_rating": "float64"})
+        if key is not None:
+            yield pd.DataFrame([(*key, n, now.rating)], columns=[*groups, "attempts", "final_rating"]).astype({"attempts": "int32"})
+
+    schema = ", ".join(f"{g} string" for g in groups) + ", attempts int, final_rating double"
+    return rated.repartition(*groups).sortWithinPartitions(*groups, *REPLAY_ORDER).mapInPandas(run, schema)
 
 
 def profiles(events: DataFrame, by_module: bool = True) -> DataFrame:
