@@ -28,7 +28,8 @@ def rank_by_range(rows: DataFrame, *order, name: str = "rank", within: list[str]
     above = F.sum("_k").over(scope.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select(*keys, "_part", F.coalesce(above, F.lit(0)).alias("_above"))
     placed = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
-    return placed.join(offsets, [*keys, "_part"]).withColumn(name, F.col("_above") + F.col("_r")).drop("_part", "_above", "_r")
+    at = offsets if keys else F.broadcast(offsets)  # without groups there is one row per range
+    return placed.join(at, [*keys, "_part"]).withColumn(name, F.col("_above") + F.col("_r")).drop("_part", "_above", "_r")
 
 
 def order_statistics(rows: DataFrame, value: str, ranks: set[int], weight: str | None = None, buckets: int = 1024) -> dict[int, float]:
