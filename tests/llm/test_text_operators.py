@@ -245,6 +245,29 @@ def test_dictionaries_are_trained_on_both_classes():
     plain = [" ".join(rng.choice(["alder", "birch", "cedar", "maple", "poplar", "willow"]) for _ in range(80)) for _ in range(120)]
     toxic = [t.replace("maple", "scoundrel", 3) for t in plain[:60]]
     marks = toxicity._marks(toxicity._contexts(toxic), toxicity._contexts(plain[60:]))
-    assert marks[0] == b"scoundrel"
-    content = toxicity._toxic_content(toxic, marks)
-    assert b"scoundrel" in content and b"scoundrel" not in toxicity._ordinary_content(plain)
+    assert marks[0] == b"scoundrel "  # the word with its end
+    unit = toxicity._carried_unit(marks)
+    assert unit(b"scoundrel") == b"scoundrel" and unit(b"cedar") == b""
+    content = toxicity._toxic_content(toxic, unit)
+    assert b"scoundrel" in content and b"scoundrel" not in toxicity._ordinary_content(plain + toxic[:5], unit)
+
+
+def test_an_ordinary_word_may_begin_insults():
+    rng = random.Random(3)
+    words = ["alder", "birch", "cedar", "maple", "poplar", "willow"]
+    said = lambda extra: " ".join(rng.choice([*words, *extra]) for _ in range(80))
+    plain, toxic = [said(["baral"]) for _ in range(80)], [said(["baralgo", "baralix", "baralum"]) for _ in range(80)]
+    unit = toxicity._carried_unit(toxicity._marks(toxicity._contexts(toxic), toxicity._contexts(plain)))
+    assert all(unit(w) for w in (b"baralgo", b"baralix", b"baralum")) and not unit(b"baral") and not unit(b"maple")
+
+
+def test_calibration_rows_made_no_dictionary(monkeypatch):
+    rng = random.Random(4)
+    said = lambda extra: " ".join(rng.choice(["alder", "birch", "cedar", "maple", *extra]) for _ in range(40))
+    rows = [(i, said(["scoundrel"] if i % 4 == 0 else ["poplar"]), int(i % 4 == 0)) for i in range(400)]
+    trained, scored = [], []
+    contents, features = toxicity._contents, toxicity._all_features
+    monkeypatch.setattr(toxicity, "_contents", lambda a, b, c: trained.extend(a + b) or contents(a, b, c))
+    monkeypatch.setattr(toxicity, "_all_features", lambda t, c: scored.extend(t) or features(t, c))
+    model = toxicity.fit(rows, 0.25)
+    assert isinstance(model, toxicity.Model) and not set(trained) & set(scored) and len(trained) + len(scored) == 400
