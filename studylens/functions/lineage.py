@@ -31,4 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, so that later filters and projections reach its scan."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_path = path
+    return table
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a ``stored`` table that no later step reads."""
+    target = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_path)
+    target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

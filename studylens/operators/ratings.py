@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import logistic, outcome, real_text, two_sided_p
-from ..functions.lineage import kept
+from ..functions.columns import outcome, real_text, two_sided_p
+from ..functions.lineage import dropped, kept, stored
 from .audit import distribution
 
 # fixed values of the rating model
@@ -20,10 +22,12 @@ ITER_SD, SMOOTHING, LOW, HIGH, GOLDEN_STEPS, ITER_ROUNDS, ITER_MEDIAN, ITER_MAX
 SLOPE = math.log(10.0) / SCALE
 #: An exercise is rated in its context: the same exercise elsewhere is another item.
 CONTEXT = ["module_code", "objective_id", "activity_id", "exercise_id"]
-#: Observations of one item or student up to which a fit folds over a single row.
+#: A constant of earlier fits that folded over single rows.
 FOLD_ROWS = 100_000
-#: Points of a rating bin in prefix refits.
-BIN = 1.0
+#: Exercises up to which their ratings are broadcast to the runs of attempts.
+BROADCAST_ITEMS = 1_000_000
+#: Points of a rating bin in prefix refits, and in fits of items.
+BIN, SPAN = 1.0, 2.0
 REPLAY_ORDER = ["created_at", "exercise_id", "attempt_number", "event_id"]
 
 
@@ -69,7 +73,11 @@ def item_base(attempts: DataFrame, catalog: DataFrame | None = None) -> DataFram
 def smoothed_start(rows: DataFrame, by_module: bool = True) -> DataFrame:
     """ELO-4: smoothed success rate as a rating, item mean moved to 1500 per module (or over all)."""
     items, scope = (item_columns(rows), ["module_code"]) if by_module else (["exercise_id"], [])
-    sums = rows.groupBy(*items).agg(F.count("*").alias("calibration_attempts"), F.sum("y").alias("_s"))
+    return _smoothed(rows.groupBy(*items).agg(F.count("*").alias("calibration_attempts"), F.sum("y").alias("_s")), items, scope)
+
+
+def _smoothed(sums: DataFrame, items: list[str], scope: list[str]) -> DataFrame:
+    """Start ratings from attempts and successes of each item."""
     whole = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
     overall = F.sum("_s").over(whole) / F.sum("calibration_attempts").over(whole)
     smoothed = F.greatest(F.lit(0.01), F.least(F.lit(0.99), (F.col("_s") + SMOOTHING * overall) / (F.col("calibration_attempts") + SMOOTHING)))
@@ -77,90 +85,106 @@ def smoothed_start(rows: DataFrame, by_module: bool = True) -> DataFrame:
     return sums.select(*items, "calibration_attempts", (F.col("_s") / F.col("calibration_attempts")).alias("calibration_success_rate"), "smoothed_rate", (F.col("_raw") - F.avg("_raw").over(whole) + BASE).alias("rating"))
 
 
-def _newton(observations: Column, start: Column, sign: int) -> Column:
-    """Gaussian-prior Newton fit folded over an array of (other rating, y, weight).
+def _binned(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows with ``value``, y and n per key, summed by bin of SPAN points, as one list ``o`` per key.
 
-    ``sign`` is 1 for a student against items, -1 for an item against students.  The
-    state keeps whether the last step was below 0.01; then later steps change nothing.
+    A bin keeps successes, attempts and three power sums of the distance from its centre.
+    Fits expand the logistic function around the centre, which leaves out less than 1e-11
+    of an attempt's term, so a key has a few hundred entries however many rows it has, and
+    every task adds up its part before anything moves.
     """
-    inverse = 1.0 / BATCH_SD**2
+    d, n = F.col(value) - F.col("at"), F.col("n")
+    sums = rows.withColumn("at", (F.floor(F.col(value) / SPAN) + 0.5) * SPAN).groupBy(key, "at")
+    bins = sums.agg(F.sum(n * F.col("y")).alias("s"), F.sum(n).alias("m0"), F.sum(n * d).alias("m1"), F.sum(n * d * d).alias("m2"), F.sum(n * d * d * d).alias("m3"))
+    return bins.groupBy(key).agg(F.collect_list(F.struct("at", "s", "m0", "m1", "m2", "m3")).alias("o"))
 
-    def step(state: Column, _: Column) -> Column:
-        now = state["r"]
 
-        def add(acc: Column, o: Column) -> Column:
-            p = 1 / (1 + F.exp(SLOPE * sign * (o["other"] - now)))
-            p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-            return F.struct((acc["g"] + sign * SLOPE * o["n"] * (p - o["y"])).alias("g"), (acc["h"] + SLOPE**2 * o["n"] * p * (1 - p)).alias("h"))
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Row number of each entry of the lists ``o``, and the entries' fields."""
+    lists = batch.column("o")
+    flat, row = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return row, {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
 
-        sums = F.aggregate(observations, F.struct(((now - BASE) * inverse).alias("g"), F.lit(inverse).alias("h")), add)
-        delta = sums["g"] / sums["h"]
-        moved = F.least(F.greatest(now - delta, F.lit(LOW)), F.lit(HIGH))
-        return F.struct(F.when(state["done"], now).otherwise(moved).alias("r"), (state["done"] | (F.abs(delta) < 0.01)).alias("done"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.struct(start.cast("double").alias("r"), F.lit(False).alias("done")), step)["r"]
+def _newton(start: np.ndarray, row: np.ndarray, at: np.ndarray, successes: np.ndarray, powers: list[np.ndarray], sign: int) -> np.ndarray:
+    """Gaussian-prior Newton fits of many ratings at once; each stops after a step below 0.01.
 
+    An entry belongs to rating ``row``, stands at ``at`` and has ``powers``: attempts, and of
+    a bin the power sums too.  ``sign`` is 1 for a student against items, -1 for an item
+    against students.
+    """
+    inverse, size, now = 1.0 / BATCH_SD**2, len(start), start.astype(float)
+    done, m = np.zeros(size, dtype=bool), [x * (-sign * SLOPE) ** k for k, x in enumerate(powers)]
+    for _ in range(NEWTON_STEPS):
+        p = np.clip(1 / (1 + np.exp(sign * SLOPE * (at - now[row]))), 1e-9, 1 - 1e-9)
+        q = p * (1 - p)
+        expected, curved = m[0] * p, m[0] * q
+        if len(m) > 1:
+            d2, d3 = q * (1 - 2 * p), q * (1 - 6 * q)
+            expected += m[1] * q + m[2] / 2 * d2 + m[3] / 6 * d3
+            curved += m[1] * d2 + m[2] / 2 * d3 + m[3] / 6 * d2 * (1 - 12 * q)
+        g = (now - BASE) * inverse + sign * SLOPE * np.bincount(row, weights=expected - successes, minlength=size)
+        step = g / (inverse + SLOPE**2 * np.bincount(row, weights=curved, minlength=size))
+        now = np.where(done, now, np.clip(now - step, LOW, HIGH))
+        done |= np.abs(step) < 0.01
+        if done.all():
+            break
+    return now
 
-def _large(observed: DataFrame, key: list[str]) -> DataFrame | None:
-    """Keys with more than FOLD_ROWS rows; None if there are none."""
-    large = kept(observed.groupBy(*key).count().filter(F.col("count") > FOLD_ROWS).select(*key))
-    return None if large.isEmpty() else large
 
+def _fit_students(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists ``o`` of (other, y, n) and ``start`` to all other columns and ``rating``."""
+    for batch in batches:
+        row, o = _entries(batch)
+        fitted = _newton(batch.column("start").to_numpy(), row, o["other"], o["n"] * o["y"], [o["n"]], 1)
+        yield batch.drop_columns(["start"]).append_column("rating", pa.array(fitted))
 
-def _fit(observed: DataFrame, key: list[str], sign: int, large: DataFrame | None) -> DataFrame:
-    """Ratings by ``key`` from rows with other, y, n, start.
 
-    A fold over each key's rows; keys of ``large`` sum gradient and curvature of every
-    step over all tasks instead, so none of them gathers in a row.
-    """
-    small = observed if large is None else observed.join(large, key, "left_anti")
-    listed = small.groupBy(*key).agg(F.collect_list(F.struct("other", "y", "n")).alias("o"), F.first("start").alias("start"))
-    out = listed.select(*key, _newton(F.col("o"), F.col("start"), sign).alias("rating"))
-    if large is None:
-        return out
-    rows, inverse = kept(observed.join(large, key, "left_semi")), 1.0 / BATCH_SD**2
-    now = kept(rows.groupBy(*key).agg(F.first("start").alias("r")).withColumn("done", F.lit(False)))
-    for _ in range(NEWTON_STEPS):
-        p = F.least(F.greatest(1 / (1 + F.exp(SLOPE * sign * (F.col("other") - F.col("r")))), F.lit(1e-9)), F.lit(1 - 1e-9))
-        sums = rows.join(now, key).groupBy(*key, "r", "done").agg(F.sum(sign * SLOPE * F.col("n") * (p - F.col("y"))).alias("g"), F.sum(SLOPE**2 * F.col("n") * p * (1 - p)).alias("h"))
-        step = ((F.col("r") - BASE) * inverse + F.col("g")) / (F.col("h") + inverse)
-        moved = F.least(F.greatest(F.col("r") - step, F.lit(LOW)), F.lit(HIGH))
-        now = kept(sums.select(*key, F.when(F.col("done"), F.col("r")).otherwise(moved).alias("r"), (F.col("done") | (F.abs(step) < 0.01)).alias("done")))
-    return out.unionByName(now.select(*key, F.col("r").alias("rating")))
+def _fit_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists ``o`` of bins and ``start`` to ``i`` and ``rating``."""
+    for batch in batches:
+        row, o = _entries(batch)
+        fitted = _newton(batch.column("start").to_numpy(), row, o["at"], o["s"], [o[f"m{k}"] for k in range(4)], -1)
+        yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(fitted)], names=["i", "rating"])
 
 
 def joint_ratings(rows: DataFrame, rounds: int = BATCH_ROUNDS) -> DataFrame:
     """ELO-5: ratings of exercises in their context by alternating student and item fits.
 
     A module stops on its own round, when its item changes have a median below 0.5 and a
-    maximum below 3, measured before the items are moved back to a mean of 1500.  Each
-    round is checkpointed; one row per module returns to the driver.
+    maximum below 3, measured before the items are moved back to a mean of 1500.  A
+    student's items of a module are one list, at most as long as the module's catalog; an
+    item's students are summed by bin.  Each round is stored; one row per module returns
+    to the driver.
     """
-    rows = rows.withColumn("item", item_key())
-    observed = kept(rows.groupBy("module_code", "user_id", "item").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("n")))
-    contexts = kept(smoothed_start(rows).withColumn("item", item_key()).select("item", *CONTEXT, "rating"))
-    items = contexts.select("module_code", "item", "rating")
-    users = kept(observed.select("module_code", "user_id").distinct().withColumn("rating", F.lit(BASE)))
-    student, item = ["module_code", "user_id"], ["module_code", "item"]
-    many, common = _large(observed, student), _large(observed, item)
-    open_ = {r[0] for r in observed.select("module_code").distinct().collect()}
+    per = kept(rows.groupBy("user_id", *CONTEXT).agg(F.sum("y").alias("_s"), F.count("*").alias("_n")).withColumn("item", item_key()))
+    sums = per.groupBy(*CONTEXT).agg(F.sum("_n").alias("calibration_attempts"), F.sum("_s").alias("_s"))
+    contexts = stored(_smoothed(sums, CONTEXT, ["module_code"]).withColumns({"item": item_key(), "i": F.monotonically_increasing_id()}).select("i", "item", *CONTEXT, "rating"), "elo-contexts")
+    seen = per.join(contexts.select("item", "i"), "item").select("module_code", "user_id", F.struct("i", (F.col("_s") / F.col("_n")).alias("y"), F.col("_n").cast("double").alias("n")).alias("o"))
+    students = seen.groupBy("module_code", "user_id").agg(F.collect_list("o").alias("o")).select("module_code", F.monotonically_increasing_id().alias("u"), "o", F.lit(BASE).alias("rating"))
+    students = stored(students, "elo-students")
+    items = contexts.select("module_code", "i", "rating", F.lit(0.0).alias("shift"))
+    open_ = {r[0] for r in contexts.select("module_code").distinct().collect()}
     for _ in range(rounds):
         if not open_:
             break
-        live = observed.filter(F.col("module_code").isin(*open_))
-        pairs = live.join(items.withColumnRenamed("rating", "other"), item).join(users.withColumnRenamed("rating", "start"), student)
-        fitted = _fit(pairs, student, 1, many)
-        pairs = live.join(fitted.withColumnRenamed("rating", "other"), student).join(items.withColumnRenamed("rating", "start"), item)
-        refit = _fit(pairs, item, -1, common)
+        live = lambda df: df.filter(F.col("module_code").isin(*open_))
+        now = live(items)
+        pairs = live(students).select("module_code", "u", "rating", F.inline("o")).join(now.select("i", F.col("rating").alias("other"), "shift"), "i")
+        listed = pairs.groupBy("module_code", "u").agg(F.collect_list(F.struct("i", "other", "y", "n")).alias("o"), F.first(F.col("rating") + F.col("shift")).alias("start"))
+        fitted = stored(listed.mapInArrow(_fit_students, "module_code string, u bigint, o array<struct<i bigint, other double, y double, n double>>, rating double").withColumn("o", F.transform("o", lambda x: F.struct(x["i"].alias("i"), x["y"].alias("y"), x["n"].alias("n")))), "elo-students")
+        bins = _binned(fitted.select("rating", F.inline("o")), "i", "rating")
+        refit = bins.join(now.select("i", F.col("rating").alias("start")), "i").mapInArrow(_fit_items, "i bigint, rating double")
         shift = BASE - F.avg("rating").over(Window.partitionBy("module_code"))
-        step = kept(refit.join(items.withColumnRenamed("rating", "last"), item).withColumns({"delta": F.abs(F.col("rating") - F.col("last")), "shift": shift}))
-        moved = step.groupBy("module_code").agg(F.first("shift").alias("shift"), F.median("delta").alias("median"), F.max("delta").alias("max"))
-        users_new = fitted.join(moved, "module_code").select(*student, (F.col("rating") + F.col("shift")).alias("rating"))
-        rest = lambda df: df.filter(~F.col("module_code").isin(*open_))
-        users = kept(rest(users).unionByName(users_new))
-        items = kept(rest(items).unionByName(step.select(*item, (F.col("rating") + F.col("shift")).alias("rating"))))
+        step = kept(refit.join(now.select("module_code", "i", F.col("rating").alias("last")), "i").withColumns({"delta": F.abs(F.col("rating") - F.col("last")), "shift": shift}))
+        moved = step.groupBy("module_code").agg(F.median("delta").alias("median"), F.max("delta").alias("max"))
+        rest = items.filter(~F.col("module_code").isin(*open_))
+        items = stored(rest.unionByName(step.select("module_code", "i", (F.col("rating") + F.col("shift")).alias("rating"), "shift")), "elo-items")
+        dropped(students)
+        students = fitted
         open_ = {r["module_code"] for r in moved.collect() if not (r["median"] < BATCH_MEDIAN and r["max"] < BATCH_MAX)}
-    return contexts.drop("rating").join(items.select("item", "rating"), "item").select(*CONTEXT, "rating")
+    dropped(students)
+    return contexts.drop("rating").join(items.select("i", "rating"), "i").select(*CONTEXT, "rating")
 
 
 def replay_rows(attempts: DataFrame) -> DataFrame:
@@ -407,23 +431,51 @@ def block_ratings(attempts: DataFrame, items: DataFrame, mode: str = "adaptive-t
     rated = with_rating(rated, items, "other")
     per_item = rated.groupBy("user_id", "module_code", "other").agg(F.count("*").cast("double").alias("n"), F.avg("y").alias("y"), F.count_if(before).alias("_b"))
     listed = per_item.groupBy("user_id", "module_code").agg(F.collect_list(F.struct("other", "y", "n")).alias("o"), F.sum("n").cast("long").alias("attempts"), F.sum("_b").alias("before_practice"), F.sum(F.col("n") * F.col("y")).alias("successes"))
-    return listed.select("user_id", "module_code", "attempts", "before_practice", (F.col("attempts") - F.col("before_practice")).alias("after_practice"), (F.col("successes") / F.col("attempts")).alias("success_rate"), _newton(F.col("o"), F.lit(BASE), 1).alias("rating"))
-
-
-def _golden_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per item the rating of least penalised loss, by golden-section search on its students."""
+    block = listed.withColumn("start", F.lit(BASE))
+    schema = ", ".join(f"{c} {t}" for c, t in listed.dtypes) + ", rating double"
+    return block.mapInArrow(_fit_students, schema).select("user_id", "module_code", "attempts", "before_practice", (F.col("attempts") - F.col("before_practice")).alias("after_practice"), (F.col("successes") / F.col("attempts")).alias("success_rate"), "rating")
+
+
+def _before_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of each student's attempts to (i, pre, y): the rating before every first attempt of the sequential replay."""
+    user, now = object(), BASE
+    for batch in batches:
+        users, y = batch.column("user_id"), batch.column("y").to_numpy()
+        if not len(users):
+            continue
+        starts = np.ones(len(users), dtype=bool)
+        starts[0] = users[0].as_py() != user
+        starts[1:] = pc.not_equal(users[1:], users[:-1]).to_numpy(zero_copy_only=False)
+        user, pre = users[-1].as_py(), []
+        for new, item, success in zip(starts.tolist(), batch.column("rating").to_pylist(), y.tolist()):
+            if new:
+                now = BASE
+            pre.append(now)
+            now = now + K * (success - 1 / (1 + 10 ** ((item - now) / SCALE)))
+        first = batch.column("first")
+        yield pa.RecordBatch.from_arrays([batch.column("i").filter(first), pa.array(pre, pa.float64()).filter(first), batch.column("y").filter(first)], names=["i", "pre", "y"])
+
+
+def _golden_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per item the rating of least penalised loss, by golden-section search on its students by bin.
+
+    With x the student's lead in natural units, an attempt costs log(1 + exp(x)) - y x; what
+    of y x does not depend on the item's rating is left out, as it moves no minimum.
+    """
     ratio = (math.sqrt(5) - 1) / 2
-    for frame in frames:
-        pre, y = [np.asarray(v, dtype=float) for v in frame["pre"]], [np.asarray(v, dtype=float) for v in frame["y"]]
-        item = np.repeat(np.arange(len(frame)), [len(v) for v in pre])
-        pre, y = (np.concatenate(v) if len(v) else np.zeros(0) for v in (pre, y))
+    for batch in batches:
+        row, o = _entries(batch)
+        size, m = len(batch.column("i")), [o[f"m{k}"] * SLOPE**k for k in range(4)]
+        successes = np.bincount(row, weights=o["s"], minlength=size) * SLOPE
 
         def loss(r):
-            p = np.clip(1 / (1 + 10 ** ((r[item] - pre) / SCALE)), 1e-9, 1 - 1e-9)
-            nll = -(y * np.log(p) + (1 - y) * np.log(1 - p))
-            return np.bincount(item, weights=nll, minlength=len(frame)) + 0.5 * ((r - BASE) / ITER_SD) ** 2
+            u = SLOPE * (o["at"] - r[row])
+            p = 1 / (1 + np.exp(-u))
+            q = p * (1 - p)
+            all_failed = m[0] * np.logaddexp(0, u) + m[1] * p + m[2] / 2 * q + m[3] / 6 * q * (1 - 2 * p)
+            return np.bincount(row, weights=all_failed, minlength=size) + successes * (r - BASE) + 0.5 * ((r - BASE) / ITER_SD) ** 2
 
-        a, b = np.full(len(frame), LOW), np.full(len(frame), HIGH)
+        a, b = np.full(size, LOW), np.full(size, HIGH)
         c, d = b - ratio * (b - a), a + ratio * (b - a)
         fc, fd = loss(c), loss(d)
         for _ in range(GOLDEN_STEPS):
@@ -431,53 +483,37 @@ def _golden_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = np.where(left, a, c), np.where(left, d, b)
             c, d = b - ratio * (b - a), a + ratio * (b - a)
             fc, fd = loss(c), loss(d)
-        yield pd.DataFrame({"exercise_id": frame["exercise_id"], "rating": (a + b) / 2})
-
-
-def _golden_large(rows: DataFrame) -> DataFrame:
-    """``_golden_items`` for exercises with very many rows: the loss of each step is summed over all tasks."""
-    ratio = (math.sqrt(5) - 1) / 2
-    c, d = F.col("b") - ratio * (F.col("b") - F.col("a")), F.col("a") + ratio * (F.col("b") - F.col("a"))
-
-    def loss(r: Column) -> Column:
-        p = F.least(F.greatest(logistic(r, F.col("pre")), F.lit(1e-9)), F.lit(1 - 1e-9))
-        return F.sum(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))) + 0.5 * F.pow((r - BASE) / ITER_SD, F.lit(2))
-
-    now = kept(rows.select("exercise_id").distinct().withColumns({"a": F.lit(LOW), "b": F.lit(HIGH)}))
-    for _ in range(GOLDEN_STEPS):
-        sums = rows.join(now, "exercise_id").withColumns({"c": c, "d": d}).groupBy("exercise_id", "a", "b", "c", "d").agg(loss(F.col("c")).alias("fc"), loss(F.col("d")).alias("fd"))
-        left = F.col("fc") <= F.col("fd")
-        now = kept(sums.select("exercise_id", F.when(left, F.col("a")).otherwise(F.col("c")).alias("a"), F.when(left, F.col("d")).otherwise(F.col("b")).alias("b")))
-    return now.select("exercise_id", ((F.col("a") + F.col("b")) / 2).alias("rating"))
+        yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array((a + b) / 2)], names=["i", "rating"])
 
 
 def iterative_ratings(rows: DataFrame, rounds: int = ITER_ROUNDS) -> DataFrame:
     """ELO-6: global exercise ratings from replays of all students.
 
     Each round replays every student, takes the ratings before first attempts, refits every
-    exercise on them and moves the mean to 1500; changes are measured after that.  Two
-    numbers per round return to the driver.
+    exercise on them and moves the mean to 1500; changes are measured after that.  Attempts
+    are sorted once; as long as the exercises fit a broadcast, every round reads the runs
+    where they lie.  Two numbers per round return to the driver.
     """
-    rows = kept(rows)
-    first = kept(rows.filter("attempt_number = 1").select("event_id", "exercise_id", "y"))
-    items = kept(smoothed_start(first, by_module=False).select("exercise_id", "rating"))
-    large = _large(first, ["exercise_id"])
+    rows = kept(rows.select("user_id", "exercise_id", *[c for c in REPLAY_ORDER if c != "exercise_id"], "y"))
+    start = smoothed_start(rows.filter("attempt_number = 1"), by_module=False).select("exercise_id", "rating")
+    exercises = stored(start.withColumn("i", F.monotonically_increasing_id()), "elo-exercises")
+    known = rows.join(exercises.select("exercise_id", "i"), "exercise_id")
+    runs = known.repartition("user_id").sortWithinPartitions("user_id", *REPLAY_ORDER)
+    runs = kept(runs.select("user_id", "i", F.col("attempt_number").eqNullSafe(1).alias("first"), "y", F.monotonically_increasing_id().alias("place")))
+    items, small = exercises.select("i", "rating"), exercises.count() <= BROADCAST_ITEMS
     for _ in range(rounds):
-        events = sequential_replay(rows, items, by_module=False).join(first.select("event_id"), "event_id", "left_semi").select("exercise_id", "pre", "y")
-        if large is not None:
-            events = kept(events)
-        small = events if large is None else events.join(large, "exercise_id", "left_anti")
-        found = small.groupBy("exercise_id").agg(F.collect_list("pre").alias("pre"), F.collect_list("y").alias("y")).mapInPandas(_golden_items, "exercise_id string, rating double")
-        if large is not None:
-            found = found.unionByName(_golden_large(events.join(large, "exercise_id", "left_semi")))
-        fitted = items.select("exercise_id").join(found, "exercise_id", "left").withColumn("rating", F.coalesce("rating", F.lit(BASE)))
-        moved = fitted.withColumn("rating", F.col("rating") - F.avg("rating").over(Window.partitionBy(F.lit(0))) + BASE)
-        step = kept(moved.join(items.withColumnRenamed("rating", "last"), "exercise_id"))
-        items = step.select("exercise_id", "rating")
+        rated = runs.join(F.broadcast(items) if small else items, "i")
+        if not small:
+            rated = rated.repartition("user_id").sortWithinPartitions("user_id", "place")
+        before = rated.select("user_id", "i", "first", "y", "rating").mapInArrow(_before_firsts, "i bigint, pre double, y double")
+        found = _binned(before.withColumn("n", F.lit(1.0)), "i", "pre").mapInArrow(_golden_items, "i bigint, rating double")
+        fitted = items.select("i", F.col("rating").alias("last")).join(found, "i", "left").withColumn("rating", F.coalesce("rating", F.lit(BASE)))
+        step = stored(fitted.withColumn("rating", F.col("rating") - F.avg("rating").over(Window.partitionBy(F.lit(0))) + BASE), "elo-iteration")
+        items = step.select("i", "rating")
         median, most = step.agg(F.median(F.abs(F.col("rating") - F.col("last"))), F.max(F.abs(F.col("rating") - F.col("last")))).first()
         if median is None or (median < ITER_MEDIAN and most < ITER_MAX):
             break
-    return items
+    return exercises.select("exercise_id", "i").join(items, "i").select("exercise_id", "rating")
 
 
 def compare_systems(left: DataFrame, right: DataFrame) -> DataFrame:
