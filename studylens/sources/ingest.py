@@ -32,6 +32,19 @@ def check_header(header: list[str]) -> None:
         raise ValueError(f"missing columns {sorted(missing)}, unexpected columns {sorted(unexpected)}")
 
 
+def _quoted_split(line: Column) -> Column:
+    """Fields of a line, cut at commas that an even number of quotes follows.
+
+    Pieces between quotes are told by their place from the end, so a line is passed a fixed
+    number of times; only lines that hold the mark itself look ahead from every comma.
+    """
+    mark = "\u0001"
+    pieces = F.split(line, '"', -1)
+    marked = F.array_join(F.transform(pieces, lambda x, i: F.when((F.size(pieces) - i) % 2 == 1, F.translate(x, ",", mark)).otherwise(x)), '"')
+    looked = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.when(~F.contains(line, F.lit('"')), F.split(line, ",", -1)).when(~F.contains(line, F.lit(mark)), F.split(marked, mark, -1)).otherwise(looked)
+
+
 def researcher_rows(lines: DataFrame, header: list[str]) -> DataFrame:
     """SRC-4: text lines (``value``) to string columns, with ``row_state`` ok, repaired or skipped.
 
@@ -40,17 +53,18 @@ def researcher_rows(lines: DataFrame, header: list[str]) -> DataFrame:
     first 17 and last 3 fields are taken by commas and the middle is the answer.
     """
     check_header(header)
-    line = F.regexp_replace("value", r";+\s*$", "")
-    quoted = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    bare = F.transform(quoted, lambda x: F.regexp_replace(F.regexp_replace(x, r'^\s*"(.*)"\s*$', "$1"), '""', '"'))
-    plain = F.split(F.regexp_replace(line, r'^"|"$', ""), ",", -1)
     n = len(header)
+    unquoted = lambda x: F.when(F.contains(x, F.lit('"')), F.regexp_replace(F.regexp_replace(x, r'^\s*"(.*)"\s*$', "$1"), '""', '"')).otherwise(x)
+    plain = F.col("plain")
     middle = F.array_join(F.slice(plain, HEAD + 1, F.size(plain) - HEAD - TAIL), ",")
     fixed = F.concat(F.slice(plain, 1, HEAD), F.array(middle), F.slice(plain, F.size(plain) - TAIL + 1, F.lit(TAIL)))
-    repairable = (F.size(plain) > n) & F.lit(n == HEAD + TAIL + 1)
-    rows = lines.filter(F.trim("value") != "").select(
-        F.when(F.size(quoted) == n, bare).when(repairable, fixed).alias("f"),
-        F.when(F.size(quoted) == n, "ok").when(repairable, "repaired").otherwise("skipped").alias("row_state"),
+    whole, repairable = F.size("quoted") == n, (F.size(plain) > n) & F.lit(n == HEAD + TAIL + 1)
+    # each step is a column of its own, so that a line is cut once
+    rows = lines.filter(F.trim("value") != "").select(F.regexp_replace("value", r";+\s*$", "").alias("line")).select("line", _quoted_split(F.col("line")).alias("quoted"))
+    rows = rows.select("quoted", F.when(~whole, F.split(F.regexp_replace("line", r'^"|"$', ""), ",", -1)).alias("plain"))
+    rows = rows.select(
+        F.when(whole, F.transform("quoted", unquoted)).when(repairable, fixed).alias("f"),
+        F.when(whole, "ok").when(repairable, "repaired").otherwise("skipped").alias("row_state"),
     )
     return rows.select("row_state", *[real_csv(F.col("f")[i]).alias(c) for i, c in enumerate(header)])
 

@@ -7,8 +7,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from studylens.operators import ratings
+from studylens.operators import daily, ratings
+from studylens.sources import ingest
 
 from .test_operators import attempts
 
@@ -49,3 +51,25 @@ def test_iterative_ratings_without_broadcast(spark, monkeypatch):
     whole = {r.exercise_id: r.rating for r in ratings.iterative_ratings(rows, 2).collect()}
     monkeypatch.setattr(ratings, "BROADCAST_ITEMS", 0)
     assert {r.exercise_id: r.rating for r in ratings.iterative_ratings(rows, 2).collect()} == pytest.approx(whole, abs=1e-6)
+
+
+def test_quoted_lines_are_cut_as_by_looking_ahead(spark):
+    rng = random.Random(8)
+    lines = ["", ",", '"', 'a,"b,c",d', '"a","b""c,",', 'x"y,z', '"a,b', 'q\u0001,"r,s"', '1,"\u0001,",2'] + ["".join(rng.choice('a,",\u0001' if k % 5 == 0 else 'a,"') for _ in range(rng.randrange(1, 25))) for k in range(300)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for r in df.select("line", ingest._quoted_split(F.col("line")).alias("cut"), F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1).alias("looked")).collect():
+        assert r.cut == r.looked, r.line
+
+
+def test_a_line_is_cut_once(spark):
+    lines = spark.createDataFrame([("a,b",)], "value string")
+    plan = ingest.researcher_rows(lines, ingest.REQUIRED)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?=") == 1  # the look-ahead is the last resort, and not repeated by column
+
+
+def test_playlists_are_decided_on_groups(spark):
+    rows = [{"playlist_or_module_id": p, **m} for p in ("p1", "p2") for m in ({}, {"module_code": None, "module_id": None, "module_label": None}) if p == "p1" or m] + [{"playlist_or_module_id": "p1", "user_id": "u2"}]
+    usage = daily.playlist_module_usage(attempts(spark, rows))
+    assert {(r.playlist_or_module_id, r.module_code, r.attempts, r.unique_students) for r in usage.collect()} == {("p1", "M1", 2, 2), ("p2", None, 1, 1)}
+    plan = usage._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate")  # the window has one row per group
