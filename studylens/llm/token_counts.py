@@ -6,6 +6,9 @@ per block, the distinct pre-tokens and every document's frequencies as integers.
 Distinct pre-tokens meet by hash bucket, where each is cut into pieces once for the
 whole corpus; the piece counts return to the blocks, one small integer per distinct
 pre-token, and are summed against the frequencies.  No ids are ever materialised.
+
+A task holds one block, so blocks are small, and a block's frequencies travel as
+compressed bytes: lists of them would fill the executor's heap as they are read.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import functools
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import bucket_count, documents, flat, materialize, texts
 
 #: A block closes at so many distinct pre-tokens or so many bytes of text.
-BLOCK_TERMS = 400_000
-BLOCK_BYTES = 48 << 20
+BLOCK_TERMS = 1 << 17
+BLOCK_BYTES = 16 << 20
 #: What ``\\s`` means to the tokenizer, beyond the ASCII separators.
 _WIDE_SPACE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _NARROW_SPACE = "\t\n\x0b\x0c\r"
@@ -75,17 +79,17 @@ def _splitter(path: str) -> Splitter:
 
 
 @functools.cache
-def _piece_counter(path: str) -> Callable[[list[str]], np.ndarray]:
+def _piece_counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     """Pieces of each pre-token: the file's model alone, without normaliser and splitting."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     model = Tokenizer(Tokenizer.from_file(path).model)
     model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def count(words: list[str]) -> np.ndarray:
+    def count(words: pa.Array) -> np.ndarray:
         out = np.empty(len(words), dtype=np.int32)
         for i in range(0, len(words), 4096):
-            out[i : i + 4096] = [len(e) for e in model.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+            out[i : i + 4096] = [len(e) for e in model.encode_batch_fast(words[i : i + 4096].to_pylist(), add_special_tokens=False)]
         return out
 
     return count
@@ -95,7 +99,8 @@ class _Block:
     def __init__(self):
         self.name = uuid.uuid4().hex
         self.units: dict[str, int] = {}
-        self.unit_terms: list[np.ndarray] = []
+        self.unit_terms = array("i")
+        self.unit_ends = array("i", [0])
         self.terms: dict[str, int] = {}
         self.ids: list[int | None] = []
         self.size: list[int] = []
@@ -109,11 +114,12 @@ class _Block:
         get = known.get
         seq = list(map(get, units))
         if None in seq:
+            terms = self.terms
             for u in units:
                 if u not in known:
                     known[u] = len(known)
-                    terms = self.terms
-                    self.unit_terms.append(np.array([terms.setdefault(t, len(terms)) for t in split.pretokens(u)], dtype=np.int32))
+                    self.unit_terms.extend([terms.setdefault(t, len(terms)) for t in split.pretokens(u)])
+                    self.unit_ends.append(len(self.unit_terms))
             seq = list(map(get, units))
         self.ids.append(doc_id)
         self.size.append(len(data))
@@ -134,9 +140,9 @@ class _Block:
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(words), dtype=np.int32)
         rank[order] = np.arange(len(words), dtype=np.int32)
-        n_units = np.array([len(t) for t in self.unit_terms], dtype=np.int64)
-        starts = np.append(0, np.cumsum(n_units))
-        all_terms = rank[np.concatenate([*self.unit_terms, np.zeros(0, np.int32)])]
+        starts = np.array(self.unit_ends, dtype=np.int64)
+        n_units = np.diff(starts)
+        all_terms = rank[np.array(self.unit_terms, dtype=np.int32)]
         doc_terms, doc_freq, doc_len = [], [], []
         for seq in self.docs:
             reps = n_units[seq]
@@ -146,24 +152,39 @@ class _Block:
             doc_freq.append(k.astype(np.int32))
             doc_len.append(len(t))
         keys, first = np.unique(bucket[order], return_index=True)
-        edges = np.append(first, len(words))
-        yield _row(self.name, -1, {"ids": self.ids, "sizes": self.size, "special": self.special, "lens": doc_len, "terms": np.concatenate([*doc_terms, np.zeros(0, np.int32)]), "freqs": np.concatenate([*doc_freq, np.zeros(0, np.int32)])})
-        for k, a, b in zip(keys.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
-            yield _row(self.name, k, {"words": [words[i] for i in order[a:b].tolist()]})
+        gaps = np.diff(np.concatenate([*doc_terms, np.zeros(0, np.int32)]), prepend=0)
+        freqs = np.concatenate([*doc_freq, np.zeros(0, np.int32)])
+        yield _rows(self.name, [-1], {"ids": self.ids, "sizes": self.size, "special": self.special, "lens": doc_len, "gaps": _packed(gaps), "freqs": _packed(freqs)})
+        yield _rows(self.name, keys, {"words": [words[i] for i in order.tolist()]}, np.append(first, len(words)))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit integers by byte planes, compressed: the upper planes of small ones are next to nothing."""
+    return pa.Codec("zstd", 1).compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int32)
+    planes = pa.Codec("zstd").decompress(data, decompressed_size=4 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<i4").ravel()
 
 
-_BLOCKS = "block string, bucket int, ids array<bigint>, sizes array<bigint>, special array<int>, lens array<int>, terms array<int>, freqs array<int>, words array<string>"
-_LISTS = {"ids": pa.int64(), "sizes": pa.int64(), "special": pa.int32(), "lens": pa.int32(), "terms": pa.int32(), "freqs": pa.int32(), "words": pa.string()}
+_BLOCKS = "block string, bucket int, ids array<bigint>, sizes array<bigint>, special array<int>, lens array<int>, gaps binary, freqs binary, words array<string>"
+_LISTS = {"ids": pa.int64(), "sizes": pa.int64(), "special": pa.int32(), "lens": pa.int32(), "gaps": None, "freqs": None, "words": pa.string()}
 
 
-def _row(block: str, bucket: int, lists: dict) -> pa.RecordBatch:
-    columns = {"block": pa.array([block]), "bucket": pa.array([bucket], pa.int32())}
+def _rows(block: str, buckets, lists: dict, offsets=None) -> pa.RecordBatch:
+    """A row for each bucket, whose lists begin at ``offsets``; without those one row has all."""
+    columns = {"block": pa.array([block] * len(buckets), pa.string()), "bucket": pa.array(buckets, pa.int32())}
     for name, kind in _LISTS.items():
-        if name in lists:
+        if kind is None:
+            columns[name] = pa.array([lists.get(name)] * len(buckets), pa.binary())
+        elif name in lists:
             values = pa.array(lists[name], type=kind)
-            columns[name] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            columns[name] = pa.ListArray.from_arrays(pa.array([0, len(values)] if offsets is None else offsets, pa.int32()), values)
         else:
-            columns[name] = pa.nulls(1, pa.list_(kind))
+            columns[name] = pa.nulls(len(buckets), pa.list_(kind))
     return pa.RecordBatch.from_pydict(columns)
 
 
@@ -184,7 +205,7 @@ def _count(table: pa.Table, path: str) -> pa.Table:
     words = table.column("words").combine_chunks()
     values = words.flatten() if not isinstance(words, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in words.chunks])
     coded = values.dictionary_encode()
-    pieces = _piece_counter(path)(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+    pieces = _piece_counter(path)(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "pieces": pa.ListArray.from_arrays(_offsets(words), pa.array(pieces, pa.int32()))})
 
 
@@ -201,7 +222,9 @@ _COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 def _sum(block: pa.Table, counts: pa.Table) -> pa.Table:
     pieces = flat(counts.sort_by("bucket"), "pieces")
     ids, sizes, special = (flat(block, c) for c in ("ids", "sizes", "special"))
-    lens, terms, freqs = (flat(block, c) for c in ("lens", "terms", "freqs"))
+    lens = flat(block, "lens")
+    gaps, freqs = (_unpacked(block.column(c)[0].as_py(), int(lens.sum())) for c in ("gaps", "freqs"))
+    terms = np.cumsum(gaps, dtype=np.int64)
     total = np.append(0, np.cumsum(pieces[terms].astype(np.int64) * freqs)) if len(terms) else np.zeros(1, np.int64)
     at = np.append(0, np.cumsum(lens))
     column = block.column("ids").combine_chunks()
@@ -225,7 +248,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     asked = blocks.filter("bucket >= 0").select("block", "bucket", "words")
     counted = asked.groupBy("bucket").applyInArrow(lambda t: _count(t, tokenizer), "block string, bucket int, pieces array<int>")
     counted = materialize(counted, "token-pieces")
-    whole = blocks.filter("bucket < 0").select("block", "ids", "sizes", "special", "lens", "terms", "freqs")
+    whole = blocks.filter("bucket < 0").select("block", "ids", "sizes", "special", "lens", "gaps", "freqs")
     return whole.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_sum, _COUNTS)
 
 

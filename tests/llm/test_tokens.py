@@ -4,6 +4,8 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -63,6 +65,29 @@ def test_counts(spark, odd_docs, no_docs):
     assert token_counts.token_counts(no_docs, P.path("word_bpe_49k.json")).collect() == []
 
 
+def test_a_task_holds_small_blocks():
+    """Eleven MB of text with 380,000 distinct words: no row over 4 MB, and the library's counts across blocks."""
+    path, rng = P.path("word_bpe_49k.json"), np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnop"))
+    words = ["".join(w) for w in letters[rng.integers(0, 16, (400_000, 8))].tolist()]
+    docs = {i: " ".join([words[k] for k in rng.integers(0, 400_000, 400)]) for i in range(3000)}
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(docs)[i : i + 500], "text": list(docs.values())[i : i + 500]}) for i in range(0, 3000, 500)]
+    rows = list(token_counts._blocks(iter(batches), path, 3))
+    table = pa.Table.from_batches(rows)
+    whole, asked = (table.filter(pc.less(table["bucket"], 0) if x else pc.greater_equal(table["bucket"], 0)) for x in (True, False))
+    assert max(r.nbytes for r in rows) < 4 << 20 and len(whole) >= 3
+    counts = pa.concat_tables([token_counts._count(asked.filter(pc.equal(asked["bucket"], k)), path) for k in range(3)])
+    got = pa.concat_tables([token_counts._sum(whole.slice(i, 1), counts.filter(pc.equal(counts["block"], whole["block"][i]))) for i in range(len(whole))])
+    library = tokenizers.Tokenizer.from_file(path).encode_batch_fast(list(docs.values()), add_special_tokens=False)
+    assert dict(zip(got["doc_id"].to_pylist(), got["n_tokens"].to_pylist())) == dict(enumerate(map(len, library)))
+
+
+@pytest.mark.parametrize("values", [[], [0], [5, -3, 2**31 - 1, -(2**31)], list(range(-500, 500))])
+def test_packed_integers(values):
+    values = np.array(values, dtype=np.int32)
+    assert np.array_equal(token_counts._unpacked(token_counts._packed(values), len(values)), values)
+
+
 def check_packing(rows, docs, library, capacity):
     by_doc, by_sequence = {}, {}
     for r in rows:
